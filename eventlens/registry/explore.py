@@ -119,14 +119,14 @@ def describe_field(spark, sf):
     return O.describe_field(X.events(spark, sf), "bytes")
 
 
-@query("page", X.sql("SELECT event_id, ms, message, row_number() OVER (ORDER BY ms DESC NULLS FIRST, event_id) AS place, true AS more FROM ev WHERE artifact = 'error' ORDER BY place LIMIT 50"))
+@query("page", X.sql("SELECT event_id, coalesce(ms, -1) AS ms, message, row_number() OVER (ORDER BY ms DESC NULLS FIRST, event_id) AS place, true AS more FROM ev WHERE artifact = 'error' ORDER BY place LIMIT 50"))
 def page(spark, sf):
-    return O.page(P.where(X.events(spark, sf), P.EventQuery(artifact="error")), 50).select("event_id", F.unix_millis("timestamp").alias("ms"), "message", "place", "more")
+    return O.page(P.where(X.events(spark, sf), P.EventQuery(artifact="error")), 50).select("event_id", F.coalesce(F.unix_millis("timestamp"), F.lit(-1)).alias("ms"), "message", F.col("place").cast("long").alias("place"), "more")
 
 
-@query("export_scan", X.sql("SELECT event_id, ms, artifact, message FROM ev WHERE list_contains(tags, 'tens')"))
+@query("export_scan", X.sql("SELECT event_id, coalesce(ms, -1) AS ms, artifact, message FROM ev WHERE list_contains(tags, 'tens')"))
 def export_scan(spark, sf):
-    return P.where(X.events(spark, sf), P.EventQuery(tag="tens")).orderBy(*O.newest_first()).select("event_id", F.unix_millis("timestamp").alias("ms"), "artifact", "message")
+    return P.where(X.events(spark, sf), P.EventQuery(tag="tens")).orderBy(*O.newest_first()).select("event_id", F.coalesce(F.unix_millis("timestamp"), F.lit(-1)).alias("ms"), "artifact", "message")
 
 
 @query("event_refs", X.sql("SELECT event_id, source_id FROM ev WHERE artifact = 'click' ORDER BY event_id LIMIT 100"))
