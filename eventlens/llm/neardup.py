@@ -5,8 +5,8 @@ zeros of the bucket's smallest hash and ten bits of mantissa after them. Documen
 class from the start. Six registers make a band; classes that share a band meet at the band's smallest
 class (its hub), never all with all. Registers estimate each pair's Jaccard index, corrected for chance
 collisions; pairs that could reach the threshold are confirmed on full sets made from the texts. Links
-give components; bands that then still hold several components are compared across components, so no
-link between different texts is lost to the hubs.
+give components; bands that then still hold several components are compared across components, small ones
+by a join, large ones in blocks inside tasks, so no link between different texts is lost to the hubs.
 
 At a Jaccard index of exactly 0.85 a pair shares no band with probability 3e-7.
 """
@@ -28,6 +28,8 @@ ROWS, BANDS, MANTISSA = 6, 32, 10
 REGISTERS = ROWS * BANDS
 #: A pair whose estimate is below the threshold by more than this is not confirmed: five standard errors at 192 registers.
 SLACK = 0.13
+#: Members of a bucket that are paired by a join; members and characters of a block in larger buckets.
+SMALL, BLOCK_ROWS, BLOCK_CHARS = 16, 512, 2_000_000
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -135,6 +137,54 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, n
     return materialize(far.mapInPandas(_confirm(percent), "a long, b long"), f"{name}-links")
 
 
+def _compare_blocks(percent: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+        node, comp, block, n = pdf["node"].to_numpy(), pdf["comp"].to_numpy().copy(), pdf["block"].to_numpy(), pdf["n_shingles"].to_numpy(float)
+        regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(len(pdf), REGISTERS)
+        keys = band_keys(regs)
+        band = int(np.argmax(keys[0] == key[0]))
+        sets: dict[int, np.ndarray] = {}
+        links = []
+        for x in range(len(pdf)):
+            y = np.arange(x + 1, len(pdf))
+            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) | (key[1] == key[2]))]
+            y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])) & ~(keys[y, :band] == keys[x, :band]).any(axis=1)]
+            if not len(y):
+                continue
+            likely = estimate(regs[y], regs[x], n[y], n[x])
+            for z in y[np.argsort(-likely, kind="stable")][: int((likely >= percent / 100 - SLACK).sum())]:
+                if comp[x] == comp[z]:
+                    continue
+                for i in (x, z):
+                    if i not in sets:
+                        sets[i] = next(distinct_sets([pdf["text"][i]]))
+                both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[z]) - both):
+                    links.append((node[x], node[z]))
+                    comp[comp == comp[z]] = comp[x]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _linked_in_blocks(rest: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between components in large buckets (bucket, node, comp, size).
+
+    A bucket's members are dealt to blocks of bounded number and text size, and each pair of blocks is one
+    group: pairs are estimated and confirmed in place, so only true links become rows. A pair is compared in
+    the first band that it shares only, and not at all once its components are linked in the group.
+    """
+    texts = materialize(docs.join(small(rest.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").distinct(), "neardup-block-texts")
+    full = rest.join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "regs"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    full = materialize(full, "neardup-block-rows")
+    blocks = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    full = full.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = full.select("bucket", "node", "comp", "n_shingles", "regs", "text", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return materialize(dealt.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long"), "neardup-block-links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -167,11 +217,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = components(links, "neardup-1")
     # Bands in which members of several components meet: compare those, but not with the hub again.
     seen = met.where("node <> hub").join(first.withColumnRenamed("component", "comp"), "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    rest = materialize(seen.join(mixed, "bucket", "left_semi").select("bucket", "node", "comp"), "neardup-rest")
-    one, two = (rest.select("bucket", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("a", "b"))
+    mixed = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
+    rest = materialize(seen.join(mixed, "bucket").select("bucket", "node", "comp", "size"), "neardup-rest")
+    one, two = (rest.where(F.col("size") <= SMALL).select("bucket", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("a", "b"))
     across = one.join(two, "bucket").where("a < b AND comp_a <> comp_b").select("a", "b").distinct()
-    more = _linked(across, nodes, known, percent, "neardup-2")
+    more = _linked(across, nodes, known, percent, "neardup-2").unionByName(_linked_in_blocks(rest.where(F.col("size") > SMALL), nodes, known, percent))
     last = components(links.unionByName(more), "neardup-all")
     rows = copies.select("doc_id", "n_shingles", "rep").unionByName(
         every.where("doc_id IS NULL OR digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
