@@ -98,7 +98,7 @@ def _encode(where: str, length: int, kept: list[str]):
 
 def _pack(length: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "doc_id", "piece", "ids"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["place", "doc_id", "h", "piece"], kind="stable", ignore_index=True)
         ids, docs, part, start = list(pdf["ids"]), pdf["doc_id"].to_numpy(), pdf["piece"].to_numpy(), pdf["start"].to_numpy()
         out = []
         for n, row in enumerate(best_fit([len(x) // 2 for x in ids], length)):
@@ -130,9 +130,9 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, shard: Column | None = No
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
         shard = F.lpad(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 + size // SHARD_BYTES)).cast("string"), 6, "0")
     place = (place if place is not None else F.col("doc_id")).cast("long")
-    rows = docs.select(doc_id, F.col("text").cast("string").alias("text"), shard.cast("string").alias("shard"), F.coalesce(place, F.lit(-1)).alias("place"))
-    kept = ["doc_id", "shard", "place"]
-    cut = rows.mapInPandas(_encode(path or model_path(), length, kept), "doc_id long, shard string, place long, piece int, start long, ids binary")
+    rows = docs.select(doc_id, F.col("text").cast("string").alias("text"), shard.cast("string").alias("shard"), F.coalesce(place, F.lit(-1)).alias("place"), F.xxhash64("text").alias("h"))
+    kept = ["doc_id", "shard", "place", "h"]
+    cut = rows.mapInPandas(_encode(path or model_path(), length, kept), "doc_id long, shard string, place long, h long, piece int, start long, ids binary")
     # Further runs of a very long document go to shards of their own.
     cut = cut.withColumn("shard", F.when(F.col("piece") < RUN, F.col("shard")).otherwise(F.concat_ws("-", "shard", "doc_id", F.floor(F.col("piece") / RUN))))
     return cut.groupBy("shard").applyInPandas(_pack(length), PACKED)
