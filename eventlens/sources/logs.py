@@ -186,10 +186,9 @@ def suricata(lines: DataFrame) -> DataFrame:
     return eve.unionByName(fast).unionByName(none).drop("_body", "_m")
 
 
-def cloudtrail(spark: SparkSession, path: str) -> DataFrame:
-    """Files with {"Records": [...]}: promoted scalars, nested objects as dotted keys, a message from the identity. Digest files are skipped."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_file"), "value").where("source_file NOT LIKE '%CloudTrail-Digest%'")
-    lines = files.select("source_file", F.explode(F.from_json(F.get_json_object("value", "$.Records"), "array<string>")).alias("raw"))
+def cloudtrail_lines(files: DataFrame) -> DataFrame:
+    """Texts (value) that are {"Records": [...]}: promoted scalars, nested objects as dotted keys, a message from the identity."""
+    lines = files.select(*[c for c in files.columns if c != "value"], F.explode(F.from_json(F.get_json_object("value", "$.Records"), "array<string>")).alias("raw"))
     rows = lines.withColumn("_m", flat_json(F.col("raw")))
     m = lambda k: F.col("_m")[k]
     who = F.coalesce(m("userIdentity.userName"), m("userIdentity.arn"), m("userIdentity.invokedBy"), m("userIdentity.type"), F.lit("?"))
@@ -198,6 +197,12 @@ def cloudtrail(spark: SparkSession, path: str) -> DataFrame:
     return out.drop("_m")
 
 
+def cloudtrail(spark: SparkSession, path: str) -> DataFrame:
+    """All files of a folder, each one JSON text; digest files are skipped."""
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    return cloudtrail_lines(files.select(F.col("_metadata.file_path").alias("source_file"), "value").where("source_file NOT LIKE '%CloudTrail-Digest%'"))
+
+
 def cowrie(lines: DataFrame) -> DataFrame:
     """Honeypot JSON with eventid and timestamp; one level flattened."""
     rows = lines.withColumn("_m", flat_json(F.col("raw")))
