@@ -10,11 +10,15 @@ from ..plans import filters as P
 from . import query
 
 C = P.Condition
-ROW = ["event_id", "source_id", F.coalesce(F.unix_millis("timestamp"), F.lit(-1)).alias("ms")]
+
+
+def row() -> list:
+    return ["event_id", "source_id", F.coalesce(F.unix_millis("timestamp"), F.lit(-1)).alias("ms")]
+
 
 
 def _filter(name: str, q: P.EventQuery, sql: str) -> None:
-    query(name, X.sql(f"SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE {sql}"))(lambda spark, sf: P.where(X.events(spark, sf), q).select(*ROW))
+    query(name, X.sql(f"SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE {sql}"))(lambda spark, sf: P.where(X.events(spark, sf), q).select(*row()))
 
 
 ANY = "(message {0} OR timestamp_desc {0} OR artifact {0} OR display_name {0} OR source_file {0} OR len(list_filter(tags, lambda t: t {0})) > 0 OR EXISTS (SELECT 1 FROM av WHERE av.event_id = ev.event_id AND val {0}))"
@@ -71,12 +75,12 @@ ROUTINE = ", routine AS (SELECT event_id, source_id, 'm' || (line_number % 7) AS
 
 @query("f_ids", X.sql(f"{AN} SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE event_id IN (SELECT event_id FROM an)"))
 def f_ids(spark, sf):
-    return P.where(X.events(spark, sf), P.EventQuery(), ids=annotations(spark, sf)).select(*ROW)
+    return P.where(X.events(spark, sf), P.EventQuery(), ids=annotations(spark, sf)).select(*row())
 
 
 @query("f_ids_not", X.sql(f"{AN} SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE event_id NOT IN (SELECT event_id FROM an)"))
 def f_ids_not(spark, sf):
-    return P.where(X.events(spark, sf), P.EventQuery(), not_ids=annotations(spark, sf)).select(*ROW)
+    return P.where(X.events(spark, sf), P.EventQuery(), not_ids=annotations(spark, sf)).select(*row())
 
 
 TAGGED = "(list_has_any(tags, ['high', 'keep', 'exfiltration']) OR event_id IN (SELECT event_id FROM an WHERE kind = 'tag' AND value IN ('high', 'keep', 'exfiltration')) OR event_id IN (SELECT event_id FROM hits WHERE label IN ('high', 'keep', 'exfiltration')))"
@@ -84,24 +88,24 @@ TAGGED = "(list_has_any(tags, ['high', 'keep', 'exfiltration']) OR event_id IN (
 
 @query("f_tags_unified", X.sql(f"{AN}{HITS} SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE {TAGGED}"))
 def f_tags_unified(spark, sf):
-    return P.by_tags(X.events(spark, sf), P.TagFilter(("high", "keep", "exfiltration")), annotations(spark, sf), hits(spark, sf)).select(*ROW)
+    return P.by_tags(X.events(spark, sf), P.TagFilter(("high", "keep", "exfiltration")), annotations(spark, sf), hits(spark, sf)).select(*row())
 
 
 @query("f_tags_unified_not", X.sql(f"{AN}{HITS} SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE NOT ({TAGGED} OR event_id IN (SELECT event_id FROM an))"))
 def f_tags_unified_not(spark, sf):
-    return P.by_tags(X.events(spark, sf), P.TagFilter(("high", "keep", "exfiltration"), annotated=True, negate=True), annotations(spark, sf), hits(spark, sf)).select(*ROW)
+    return P.by_tags(X.events(spark, sf), P.TagFilter(("high", "keep", "exfiltration"), annotated=True, negate=True), annotations(spark, sf), hits(spark, sf)).select(*row())
 
 
 @query("f_annotated", X.sql(f"{AN}{HITS} SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE (event_id IN (SELECT event_id FROM an WHERE kind IN ('tag', 'anomaly')) OR event_id IN (SELECT event_id FROM hits)) AND event_id IN (SELECT event_id FROM ev WHERE source_id <> 'src-0')"))
 def f_annotated(spark, sf):
     ev = X.events(spark, sf)
     ids = P.annotated_ids(annotations(spark, sf), hits(spark, sf), ev.where("source_id <> 'src-0'"))
-    return P.where(ev, P.EventQuery(), ids=ids).select(*ROW)
+    return P.where(ev, P.EventQuery(), ids=ids).select(*row())
 
 
 @query("f_collapse_motif", X.sql(f"{ROUTINE} SELECT event_id, source_id, coalesce(ms, -1) AS ms FROM ev WHERE event_id NOT IN (SELECT event_id FROM routine)"))
 def f_collapse_motif(spark, sf):
-    return P.where(X.events(spark, sf), P.EventQuery(), routine=routine(spark, sf)).select(*ROW)
+    return P.where(X.events(spark, sf), P.EventQuery(), routine=routine(spark, sf)).select(*row())
 
 
 MUTED = ("user <NUM> error from <IP> amount <NUM>", "user <NUM> view from <IP> amount <NUM>")

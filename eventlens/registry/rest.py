@@ -36,9 +36,9 @@ def _ms():
 def src_zeek(spark, sf):
     """Two headers in one file: connections up to a row, name queries after it."""
     sec = F.floor(F.unix_millis("timestamp") / 1000).cast("string")
-    conn = F.concat_ws("\t", sec, IP, F.lit("40"), F.lit("10.9.9.9"), F.lit("80"), F.lit("tcp"), F.lit("SF"), F.lit("-"))
-    dns = F.concat_ws("\t", sec, IP, F.lit("40"), F.lit("10.9.9.9"), F.lit("53"), F.lit("A"), F.concat(F.lit("q"), K, F.lit(".example")))
-    rows = _lines(spark, sf, F.when(ID < 3000, conn).otherwise(dns)).select("event_id", "raw", (F.col("event_id").cast("long") * 100 + 50).alias("byte_offset"))
+    conn = F.concat_ws("\t", sec, IP(), F.lit("40"), F.lit("10.9.9.9"), F.lit("80"), F.lit("tcp"), F.lit("SF"), F.lit("-"))
+    dns = F.concat_ws("\t", sec, IP(), F.lit("40"), F.lit("10.9.9.9"), F.lit("53"), F.lit("A"), F.concat(F.lit("q"), K(), F.lit(".example")))
+    rows = _lines(spark, sf, F.when(ID() < 3000, conn).otherwise(dns)).select("event_id", "raw", (F.col("event_id").cast("long") * 100 + 50).alias("byte_offset"))
     flow = "ts\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p"
     heads = [(-3, "#separator \\x09"), (-2, f"#path\tconn"), (-1, f"#fields\t{flow}\tproto\tconn_state\tservice"), (300_001, "#path\tdns"), (300_002, f"#fields\t{flow}\tqtype_name\tquery")]
     lines = rows.withColumn("byte_offset", F.when(F.col("byte_offset") > 300_000, F.col("byte_offset") + 10).otherwise(F.col("byte_offset")))
@@ -50,14 +50,14 @@ def src_zeek(spark, sf):
 @query("src_cowrie", X.sql(f"""SELECT event_id, ms, CASE WHEN n % 2 = 0 THEN 'cowrie.command.input' ELSE 'cowrie.login.failed' END AS artifact, CASE WHEN n % 2 = 0 THEN 'command: run ' || a_k ELSE 'login user-' || a_user || ' pw' END AS message, {IPX} AS src_ip, '22' AS "geo.port" FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev WHERE ms IS NOT NULL AND CAST(event_id AS BIGINT) % 10 <> 0)"""))
 def src_cowrie(spark, sf):
     ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    body = F.to_json(F.struct(F.when(ID % 10 != 0, F.when(ID % 2 == 0, "cowrie.command.input").otherwise("cowrie.login.failed")).alias("eventid"), ts.alias("timestamp"), F.when(ID % 2 == 0, F.concat(F.lit("run "), K)).alias("input"), F.concat(F.lit("user-"), USER).alias("username"), F.lit("pw").alias("password"), IP.alias("src_ip"), F.struct(F.lit(22).alias("port")).alias("geo")))
+    body = F.to_json(F.struct(F.when(ID() % 10 != 0, F.when(ID() % 2 == 0, "cowrie.command.input").otherwise("cowrie.login.failed")).alias("eventid"), ts.alias("timestamp"), F.when(ID() % 2 == 0, F.concat(F.lit("run "), K())).alias("input"), F.concat(F.lit("user-"), USER()).alias("username"), F.lit("pw").alias("password"), IP().alias("src_ip"), F.struct(F.lit(22).alias("port")).alias("geo")))
     out = L.cowrie(_lines(spark, sf, body)).where("ok")
     return out.select("event_id", _ms(), "artifact", "message", *_flat("src_ip", "geo.port"))
 
 
 @query("src_journal", X.sql(f"SELECT event_id, ms, 'journal:app' AS artifact, 'from ' || {IPX} || ' k ' || a_k AS message, {IPX} AS src_ip, CASE WHEN n % 8 = 3 THEN 'error' WHEN n % 8 = 6 THEN 'info' ELSE ['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'info', 'debug'][n % 8 + 1] END AS priority, 'a b' AS many FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev WHERE ms IS NOT NULL)"))
 def src_journal(spark, sf):
-    body = F.to_json(F.struct((F.unix_millis("timestamp") * 1000).cast("string").alias("__REALTIME_TIMESTAMP"), F.concat(F.lit("from "), IP, F.lit(" k "), K).alias("MESSAGE"), (ID % 8).cast("string").alias("PRIORITY"), F.lit("app").alias("SYSLOG_IDENTIFIER"), F.array(F.lit("a"), F.lit("b")).alias("many")))
+    body = F.to_json(F.struct((F.unix_millis("timestamp") * 1000).cast("string").alias("__REALTIME_TIMESTAMP"), F.concat(F.lit("from "), IP(), F.lit(" k "), K()).alias("MESSAGE"), (ID() % 8).cast("string").alias("PRIORITY"), F.lit("app").alias("SYSLOG_IDENTIFIER"), F.array(F.lit("a"), F.lit("b")).alias("many")))
     out = L.journal(_lines(spark, sf, body)).where("ok")
     return out.select("event_id", _ms(), "artifact", "message", *_flat("src_ip", "priority", "many"))
 
@@ -65,8 +65,8 @@ def src_journal(spark, sf):
 @query("src_webhoneypot", X.sql(f"""SELECT event_id, ms, 'POST /run?u=http%3A%2F%2Fin.example%2F' || a_k AS message, CASE n % 2 WHEN 0 THEN {IPX} ELSE '192.0.2.7' END AS src_ip, '/run' AS path, 'http://in.example/' || a_k AS ssrf_target, 'call' || a_k AS rpc_method, a_ua AS user_agent FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev WHERE ms IS NOT NULL)"""))
 def src_webhoneypot(spark, sf):
     ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    headers = F.struct(F.when(ID % 2 == 0, F.concat(IP, F.lit(", 10.1.1.1"))).alias("X-Forwarded-For"), F.col("attributes")["ua"].alias("User-Agent"))
-    body = F.to_json(F.struct(ts.alias("timestamp"), F.lit("POST").alias("method"), F.concat(F.lit("/run?u=http%3A%2F%2Fin.example%2F"), K).alias("url"), F.lit("192.0.2.7").alias("src_ip"), headers.alias("headers"), F.concat(F.lit('{"jsonrpc":"2.0","method":"call'), K, F.lit('","id":1}')).alias("body")))
+    headers = F.struct(F.when(ID() % 2 == 0, F.concat(IP(), F.lit(", 10.1.1.1"))).alias("X-Forwarded-For"), F.col("attributes")["ua"].alias("User-Agent"))
+    body = F.to_json(F.struct(ts.alias("timestamp"), F.lit("POST").alias("method"), F.concat(F.lit("/run?u=http%3A%2F%2Fin.example%2F"), K()).alias("url"), F.lit("192.0.2.7").alias("src_ip"), headers.alias("headers"), F.concat(F.lit('{"jsonrpc":"2.0","method":"call'), K(), F.lit('","id":1}')).alias("body")))
     out = L.web_honeypot(_lines(spark, sf, body)).where("ok")
     return out.select("event_id", _ms(), "message", *_flat("src_ip", "path", "ssrf_target", "rpc_method", "user_agent"))
 
@@ -74,8 +74,8 @@ def src_webhoneypot(spark, sf):
 @query("src_winevt", X.sql("""SELECT event_id, ms, 'windows:' || CASE WHEN n % 2 = 0 THEN '4624' ELSE '9' || a_k END AS artifact, CASE WHEN n % 2 = 0 THEN 'Successful logon' ELSE 'Event 9' || a_k END || ' user=user-' || a_user AS message, 'pc-1' AS host FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev WHERE ms IS NOT NULL)"""))
 def src_winevt(spark, sf):
     ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    system = F.struct(F.when(ID % 2 == 0, "4624").otherwise(F.concat(F.lit("9"), K)).alias("EventID"), ts.alias("TimeCreated"), F.lit("pc-1").alias("Computer"))
-    data = F.struct(F.concat(F.lit("user-"), USER).alias("TargetUserName"), F.lit("").alias("Blank"))
+    system = F.struct(F.when(ID() % 2 == 0, "4624").otherwise(F.concat(F.lit("9"), K())).alias("EventID"), ts.alias("TimeCreated"), F.lit("pc-1").alias("Computer"))
+    data = F.struct(F.concat(F.lit("user-"), USER()).alias("TargetUserName"), F.lit("").alias("Blank"))
     out = L.windows_json(_lines(spark, sf, F.to_json(F.struct(F.struct(system.alias("System"), data.alias("EventData")).alias("Event"))))).where("ok")
     return out.select("event_id", _ms(), "artifact", "message", *_flat("host"))
 
@@ -84,7 +84,7 @@ def src_winevt(spark, sf):
 def src_cloudtrail(spark, sf):
     """Files of records, written from the events and read back."""
     ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    record = F.struct(F.concat(F.lit("Get"), "artifact").alias("eventName"), F.lit("s3.amazonaws.com").alias("eventSource"), ts.alias("eventTime"), F.when(ID % 4 == 0, "backup.internal").otherwise(IP).alias("sourceIPAddress"), F.struct(F.concat(F.lit("user-"), USER).alias("userName"), F.lit("IAMUser").alias("type")).alias("userIdentity"), F.struct(K.alias("key")).alias("requestParameters"), F.col("event_id").alias("eventID"))
+    record = F.struct(F.concat(F.lit("Get"), "artifact").alias("eventName"), F.lit("s3.amazonaws.com").alias("eventSource"), ts.alias("eventTime"), F.when(ID() % 4 == 0, "backup.internal").otherwise(IP()).alias("sourceIPAddress"), F.struct(F.concat(F.lit("user-"), USER()).alias("userName"), F.lit("IAMUser").alias("type")).alias("userIdentity"), F.struct(K().alias("key")).alias("requestParameters"), F.col("event_id").alias("eventID"))
     path = folder(spark, "trail")
     rows = X.events(spark, sf).where("timestamp IS NOT NULL").select(record.alias("r"), F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("file"))
     rows.groupBy("file").agg(F.collect_list("r").alias("Records")).select(F.to_json(F.struct("Records")).alias("value")).repartition(8, "value").write.option("lineSep", "\n").text(path)

@@ -13,9 +13,24 @@ from ..sources import timelines as TL
 from . import query
 from .filters import AN, annotations
 
-USER, CENTS, K = F.col("attributes")["user"], F.col("attributes")["cents"], F.col("attributes")["k"]
-IP = F.coalesce(F.col("attributes")["src_ip"], F.col("attributes")["ip_addr"])
-ID = F.col("event_id").cast("long")
+def USER():
+    return F.col("attributes")["user"]
+
+
+def CENTS():
+    return F.col("attributes")["cents"]
+
+
+def K():
+    return F.col("attributes")["k"]
+
+
+def IP():
+    return F.coalesce(F.col("attributes")["src_ip"], F.col("attributes")["ip_addr"])
+
+
+def ID():
+    return F.col("event_id").cast("long")
 
 
 def _lines(spark, sf, raw):
@@ -24,9 +39,9 @@ def _lines(spark, sf, raw):
 
 def _nginx(spark, sf):
     time = F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss +0000")
-    access = F.concat(IP, F.lit(" - user-"), USER, F.lit(" ["), time, F.lit('] "GET /'), F.col("artifact"), F.lit("?k="), K, F.lit(' HTTP/1.1" '), F.when(F.col("artifact") == "error", "500").otherwise("200"), F.lit(" "), CENTS, F.lit(' "-" "'), F.col("attributes")["ua"], F.lit('"'))
-    error = F.concat(F.date_format("timestamp", "yyyy/MM/dd HH:mm:ss"), F.lit(" [error] 12#"), USER, F.lit(": *"), K, F.lit(" upstream failed, client: "), IP)
-    return _lines(spark, sf, F.when(ID % 11 == 0, "not a log line").when(ID % 7 == 0, error).otherwise(access))
+    access = F.concat(IP(), F.lit(" - user-"), USER(), F.lit(" ["), time, F.lit('] "GET /'), F.col("artifact"), F.lit("?k="), K(), F.lit(' HTTP/1.1" '), F.when(F.col("artifact") == "error", "500").otherwise("200"), F.lit(" "), CENTS(), F.lit(' "-" "'), F.col("attributes")["ua"], F.lit('"'))
+    error = F.concat(F.date_format("timestamp", "yyyy/MM/dd HH:mm:ss"), F.lit(" [error] 12#"), USER(), F.lit(": *"), K(), F.lit(" upstream failed, client: "), IP())
+    return _lines(spark, sf, F.when(ID() % 11 == 0, "not a log line").when(ID() % 7 == 0, error).otherwise(access))
 
 
 IPX = "coalesce(a_src_ip, a_ip_addr)"
@@ -56,11 +71,11 @@ def src_nginx(spark, sf):
 )
 def src_apache(spark, sf):
     time = F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss +0000")
-    access = F.concat(IP, F.lit(" - - ["), time, F.lit('] "GET / HTTP/1.0" 200 '), CENTS)
+    access = F.concat(IP(), F.lit(" - - ["), time, F.lit('] "GET / HTTP/1.0" 200 '), CENTS())
     stamp = F.date_format("timestamp", "EEE MMM dd HH:mm:ss")
-    e24 = F.concat(F.lit("["), stamp, F.lit(".000000 2024] [core:error] [pid 7:tid 8] [client "), IP, F.lit(":40"), K, F.lit("] AH0"), K, F.lit(": it failed"))
-    e22 = F.concat(F.lit("["), stamp, F.lit(" 2024] [error] [client "), IP, F.lit("] it failed"))
-    raw = F.when(ID % 4 == 0, access).when(ID % 4 == 1, F.concat(F.lit("www.host.example:443 "), access)).when(ID % 4 == 2, e24).otherwise(e22)
+    e24 = F.concat(F.lit("["), stamp, F.lit(".000000 2024] [core:error] [pid 7:tid 8] [client "), IP(), F.lit(":40"), K(), F.lit("] AH0"), K(), F.lit(": it failed"))
+    e22 = F.concat(F.lit("["), stamp, F.lit(" 2024] [error] [client "), IP(), F.lit("] it failed"))
+    raw = F.when(ID() % 4 == 0, access).when(ID() % 4 == 1, F.concat(F.lit("www.host.example:443 "), access)).when(ID() % 4 == 2, e24).otherwise(e22)
     out = L.apache(_lines(spark, sf, raw)).where("ok")
     return out.select("event_id", F.unix_millis("timestamp").alias("ms"), "artifact", *_flat("src_ip", "vhost", "module", "level", "code", "src_port"))
 
@@ -72,12 +87,12 @@ def src_apache(spark, sf):
     ),
 )
 def src_filterlog(spark, sf):
-    proto = F.when(ID % 2 == 0, "tcp").otherwise("udp")
-    tail = F.when(ID % 3 == 0, "").otherwise(F.concat(F.lit(",5"), K, F.lit(",443,0"), F.when(ID % 2 == 0, ",S,1,,64,,").otherwise("")))
+    proto = F.when(ID() % 2 == 0, "tcp").otherwise("udp")
+    tail = F.when(ID() % 3 == 0, "").otherwise(F.concat(F.lit(",5"), K(), F.lit(",443,0"), F.when(ID() % 2 == 0, ",S,1,,64,,").otherwise("")))
     head = F.concat(F.date_format("timestamp", "MMM d HH:mm:ss"), F.lit(" fw filterlog[12]: 4,,,100,igb0,match,"), F.when(F.col("artifact") == "error", "block").otherwise("pass"), F.lit(",in,"))
-    v4 = F.concat(head, F.lit("4,0x0,,64,1,0,DF,6,"), proto, F.lit(",52,"), IP, F.lit(",10.9.9.9"), tail)
-    v6 = F.concat(head, F.lit("6,0x00,0x1,64,"), proto, F.lit(",6,52,fe80::"), K, F.lit(",fe80::1"), tail)
-    raw = F.when(ID % 13 == 0, F.concat(head, F.lit("4,short"))).when(ID % 5 == 0, v6).otherwise(v4)
+    v4 = F.concat(head, F.lit("4,0x0,,64,1,0,DF,6,"), proto, F.lit(",52,"), IP(), F.lit(",10.9.9.9"), tail)
+    v6 = F.concat(head, F.lit("6,0x00,0x1,64,"), proto, F.lit(",6,52,fe80::"), K(), F.lit(",fe80::1"), tail)
+    raw = F.when(ID() % 13 == 0, F.concat(head, F.lit("4,short"))).when(ID() % 5 == 0, v6).otherwise(v4)
     out = L.filterlog(_lines(spark, sf, raw), 2024).where("ok")
     return out.select("event_id", F.unix_millis("timestamp").alias("ms"), "artifact", *_flat("src_ip", "dst_ip", "protocol", "src_port", "dst_port"))
 
@@ -89,11 +104,11 @@ def src_filterlog(spark, sf):
     ),
 )
 def src_syslog(spark, sf):
-    user = F.concat(F.lit("user-"), USER)
-    login = F.concat(F.lit("sshd[9]: "), F.when(ID % 4 == 0, "Accepted password for ").otherwise("Failed password for invalid user "), user, F.lit(" from "), IP, F.lit(" port 2222 ssh2"))
-    sudo = F.concat(F.lit("sudo: "), user, F.lit(" : TTY=pts/0 ; PWD=/home ; USER=root ; COMMAND=/bin/"), F.col("artifact"))
-    text = F.when(ID % 4 < 2, login).when(ID % 4 == 2, sudo).otherwise(F.concat(F.lit("app[1]: took "), K))
-    head = F.when(ID % 2 == 0, F.date_format("timestamp", "MMM d HH:mm:ss")).otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    user = F.concat(F.lit("user-"), USER())
+    login = F.concat(F.lit("sshd[9]: "), F.when(ID() % 4 == 0, "Accepted password for ").otherwise("Failed password for invalid user "), user, F.lit(" from "), IP(), F.lit(" port 2222 ssh2"))
+    sudo = F.concat(F.lit("sudo: "), user, F.lit(" : TTY=pts/0 ; PWD=/home ; USER()=root ; COMMAND=/bin/"), F.col("artifact"))
+    text = F.when(ID() % 4 < 2, login).when(ID() % 4 == 2, sudo).otherwise(F.concat(F.lit("app[1]: took "), K()))
+    head = F.when(ID() % 2 == 0, F.date_format("timestamp", "MMM d HH:mm:ss")).otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     out = L.syslog(_lines(spark, sf, F.concat(head, F.lit(" host1 "), text)), 2024).where("ok")
     return out.select("event_id", F.unix_millis("timestamp").alias("ms"), "artifact", *_flat("event", "user", "src_ip", "command"))
 
@@ -106,11 +121,11 @@ def src_syslog(spark, sf):
 )
 def src_suricata(spark, sf):
     ts = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    head = F.concat(F.lit('{"timestamp":"'), ts, F.lit('+0000","src_ip":"'), IP, F.lit('","dest_ip":"10.9.9.9","proto":"TCP",'))
-    alert = F.concat(head, F.lit('"event_type":"alert","alert":{"signature":"rule '), K, F.lit('","severity":2}}'))
-    http = F.concat(head, F.lit('"event_type":"http","http":{"http_method":"GET","hostname":"host.example","url":"/'), K, F.lit('"}}'))
-    fast = F.concat(F.date_format("timestamp", "MM/dd/yyyy-HH:mm:ss.SSSSSS"), F.lit("  [**] [1:2:3] rule "), K, F.lit(" [**] [Classification: x] [Priority: 2] {TCP} "), IP, F.lit(":40 -> 10.9.9.9:80"))
-    raw = F.when(ID % 3 == 0, F.concat(F.lit("a\thost\t"), alert)).when(ID % 3 == 1, http).otherwise(fast)
+    head = F.concat(F.lit('{"timestamp":"'), ts, F.lit('+0000","src_ip":"'), IP(), F.lit('","dest_ip":"10.9.9.9","proto":"TCP",'))
+    alert = F.concat(head, F.lit('"event_type":"alert","alert":{"signature":"rule '), K(), F.lit('","severity":2}}'))
+    http = F.concat(head, F.lit('"event_type":"http","http":{"http_method":"GET","hostname":"host.example","url":"/'), K(), F.lit('"}}'))
+    fast = F.concat(F.date_format("timestamp", "MM/dd/yyyy-HH:mm:ss.SSSSSS"), F.lit("  [**] [1:2:3] rule "), K(), F.lit(" [**] [Classification: x] [Priority: 2] {TCP} "), IP(), F.lit(":40 -> 10.9.9.9:80"))
+    raw = F.when(ID() % 3 == 0, F.concat(F.lit("a\thost\t"), alert)).when(ID() % 3 == 1, http).otherwise(fast)
     out = L.suricata(_lines(spark, sf, raw)).where("ok")
     return out.select("event_id", F.unix_millis("timestamp").alias("ms"), "artifact", *_flat("src_ip", "dst_ip"), "message")
 
@@ -122,8 +137,8 @@ def src_timefilter(spark, sf):
 
 @query("src_jsonl", X.sql("""SELECT event_id, coalesce(ms, -1) AS ms, message, artifact, a_k AS k, '{"a":' || a_k || '}' AS nested, CASE WHEN len(tags) > 0 THEN array_to_string(tags, ';') ELSE '' END AS tags FROM ev WHERE CAST(event_id AS BIGINT) % 9 <> 0"""))
 def src_jsonl(spark, sf):
-    body = F.to_json(F.struct(F.col("message").alias("msg"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("datetime"), F.col("artifact").alias("data_type"), "tags", F.struct(K.cast("int").alias("a")).alias("nested"), K.alias("k"), F.lit("").alias("blank")))
-    lines = X.events(spark, sf).select("event_id", F.when(ID % 9 == 0, "[1, 2").otherwise(body).alias("raw"))
+    body = F.to_json(F.struct(F.col("message").alias("msg"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("datetime"), F.col("artifact").alias("data_type"), "tags", F.struct(K().cast("int").alias("a")).alias("nested"), K().alias("k"), F.lit("").alias("blank")))
+    lines = X.events(spark, sf).select("event_id", F.when(ID() % 9 == 0, "[1, 2").otherwise(body).alias("raw"))
     out = TL.from_json_lines(lines)
     return out.select("event_id", F.coalesce(F.unix_millis("timestamp"), F.lit(-1)).alias("ms"), "message", "artifact", *_flat("k", "nested"), F.array_join("tags", ";").alias("tags"))
 
@@ -131,13 +146,13 @@ def src_jsonl(spark, sf):
 @query("ts_parse", X.sql("SELECT event_id, CASE n % 6 WHEN 0 THEN ms // 1000 * 1000 WHEN 1 THEN ms WHEN 2 THEN ms WHEN 3 THEN ms // 1000 * 1000 WHEN 4 THEN ms - 7200000 ELSE -1 END AS ms FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev WHERE ms IS NOT NULL)"))
 def ts_parse(spark, sf):
     ms = F.unix_millis("timestamp")
-    text = F.when(ID % 6 == 0, F.floor(ms / 1000).cast("string")).when(ID % 6 == 1, ms.cast("string")).when(ID % 6 == 2, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS")).when(ID % 6 == 3, F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss +0000")).when(ID % 6 == 4, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0200'")).otherwise("yesterday")
+    text = F.when(ID() % 6 == 0, F.floor(ms / 1000).cast("string")).when(ID() % 6 == 1, ms.cast("string")).when(ID() % 6 == 2, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS")).when(ID() % 6 == 3, F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss +0000")).when(ID() % 6 == 4, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0200'")).otherwise("yesterday")
     return X.events(spark, sf).where("timestamp IS NOT NULL").select("event_id", F.coalesce(F.unix_millis(N.parse_time(text)), F.lit(-1)).alias("ms"))
 
 
 @query("tags_split", X.sql("SELECT event_id, CASE n % 5 WHEN 0 THEN 'a;' || a_k WHEN 1 THEN artifact || ';' || a_k WHEN 2 THEN artifact || ';x' WHEN 3 THEN artifact ELSE '' END AS tags FROM (SELECT *, CAST(event_id AS BIGINT) AS n FROM ev)"))
 def tags_split(spark, sf):
-    text = F.when(ID % 5 == 0, F.concat(F.lit("['a', '"), K, F.lit("']"))).when(ID % 5 == 1, F.concat("artifact", F.lit(" ,, "), K)).when(ID % 5 == 2, F.concat("artifact", F.lit("| x |"))).when(ID % 5 == 3, F.concat(F.lit(" "), "artifact")).otherwise(" ")
+    text = F.when(ID() % 5 == 0, F.concat(F.lit("['a', '"), K(), F.lit("']"))).when(ID() % 5 == 1, F.concat("artifact", F.lit(" ,, "), K())).when(ID() % 5 == 2, F.concat("artifact", F.lit("| x |"))).when(ID() % 5 == 3, F.concat(F.lit(" "), "artifact")).otherwise(" ")
     return X.events(spark, sf).select("event_id", F.array_join(N.split_tags(text), ";").alias("tags"))
 
 
@@ -155,14 +170,14 @@ def content_hash(spark, sf):
 @query("ip_normalize")
 def ip_normalize(spark, sf):
     """No SQL: tests compare with the standard library's addresses."""
-    return X.events(spark, sf).select("event_id", N.normalize_ip(F.when(ID % 3 == 0, F.concat(F.lit("FE80:0:0::"), K)).otherwise(IP)).alias("ip"))
+    return X.events(spark, sf).select("event_id", N.normalize_ip(F.when(ID() % 3 == 0, F.concat(F.lit("FE80:0:0::"), K())).otherwise(IP())).alias("ip"))
 
 
 @query("ingest_dedup", X.sql("SELECT DISTINCT sha256(artifact || a_k) AS file_hash FROM ev WHERE sha256(artifact || a_k) NOT IN (SELECT sha256(artifact || a_k) FROM ev WHERE a_action = 'exfil')"))
 def ingest_dedup(spark, sf):
     ev = X.events(spark, sf)
-    files = ev.select(F.sha2(F.concat("artifact", K), 256).alias("file_hash"), F.col("event_id").alias("source_file"))
-    known = ev.where(F.col("attributes")["action"] == "exfil").select(F.sha2(F.concat("artifact", K), 256).alias("file_hash"))
+    files = ev.select(F.sha2(F.concat("artifact", K()), 256).alias("file_hash"), F.col("event_id").alias("source_file"))
+    known = ev.where(F.col("attributes")["action"] == "exfil").select(F.sha2(F.concat("artifact", K()), 256).alias("file_hash"))
     return T.new_files(files, known).select("file_hash")
 
 

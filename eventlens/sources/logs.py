@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.normalize import IPV4, clean_attributes
 from .text import attributes_of
@@ -290,7 +289,7 @@ def windows_json(lines: DataFrame) -> DataFrame:
     return _windows(lines, event, F.coalesce(get("System.TimeCreated.#attributes.SystemTime"), get("System.TimeCreated")), get("System.Computer"), get("System.Channel"), data)
 
 
-WINDOWS_XML = T.StructType.fromDDL("System struct<EventID:string,TimeCreated:struct<_SystemTime:string>,Computer:string,Channel:string>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>")
+WINDOWS_XML = "System struct<EventID:string,TimeCreated:struct<_SystemTime:string>,Computer:string,Channel:string>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>"
 
 
 def windows_xml(spark: SparkSession, path: str) -> DataFrame:
