@@ -171,7 +171,8 @@ def _search(k: int):
                 with np.errstate(all="ignore"):
                     score = (vectors[found] * queries[:, None]).sum(axis=2) / (norm(vectors)[found] * norm(queries)[:, None])
                 out = [(own[i], v, score[i, j]) for i in range(len(own)) for j in range(found.shape[1]) if found[i, j] >= 0 for v in ids[begins[found[i, j]] : ends[found[i, j]]] if v != own[i]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                if out:
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
@@ -210,7 +211,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
 
     def packed(batches):
         for pdf in batches:
-            yield pd.DataFrame({"dim": pdf["dim"], "query_ids": [[r["vec_id"] for r in q] for q in pdf["q"]], "queries": [np.array([r["vec"] for r in q], dtype=np.float64).tobytes() for q in pdf["q"]]})
+            if len(pdf):
+                yield pd.DataFrame({"dim": pdf["dim"], "query_ids": [[r["vec_id"] for r in q] for q in pdf["q"]], "queries": [np.array([r["vec"] for r in q], dtype=np.float64).tobytes() for q in pdf["q"]]})
 
     asked = asked.mapInPandas(packed, "dim int, query_ids array<long>, queries binary")
     # Every block meets every shard of its length: the stated queries against all rows, in blocks.

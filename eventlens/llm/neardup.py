@@ -103,7 +103,8 @@ def _screen(percent: int):
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint16).reshape(len(pdf), REGISTERS) for c in ("regs_a", "regs_b"))
                 keep = estimate(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)) >= percent / 100 - SLACK
-                yield pdf.loc[keep, ["a", "b"]]
+                if keep.any():
+                    yield pdf.loc[keep, ["a", "b"]]
 
     return run
 
@@ -120,7 +121,8 @@ def _confirm(percent: int):
                         hub, own = (a, text), next(distinct_sets([text]))
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     keep.append(100 * both >= percent * (len(own) + len(other) - both))
-                yield part.loc[keep, ["a", "b"]]
+                if any(keep):
+                    yield part.loc[keep, ["a", "b"]]
 
     return run
 

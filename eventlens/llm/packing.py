@@ -91,7 +91,8 @@ def _encode(where: str, length: int, kept: list[str]):
                     out["piece"].append(k)
                     out["start"].append(lo // 2)
                     out["ids"].append(ids[lo : lo + width])
-            yield pd.DataFrame(out)
+            if out["ids"]:
+                yield pd.DataFrame(out)
 
     return run
 

@@ -135,7 +135,8 @@ def token_counts(docs: DataFrame, limit: int = 4096, path: str | None = None) ->
         own = pieces(where)
         for pdf in batches:
             n = list(own.count_all(list(pdf.pop("text"))))
-            yield pdf.assign(n_tokens=np.array(n, dtype=np.int64))
+            if len(pdf):
+                yield pdf.assign(n_tokens=np.array(n, dtype=np.int64))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
