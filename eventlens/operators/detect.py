@@ -391,7 +391,7 @@ def sequence_motifs(df: DataFrame, field: str, n: int, support: int = 3, max_gap
     each = grams.withColumn("gap", gap).groupBy("gram", "source_id").agg(F.count(F.lit(1)).alias("n"), F.count("gap").alias("k"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"), F.percentile("gap", F.lit(0.5)).alias("median"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
     cv = F.when(F.col("mean") > 0, F.round(F.col("sd") / F.col("mean"), 4))
     each = each.withColumn("cv", cv)
-    best = F.min(F.struct(F.col("cv").isNull().alias("none"), F.coalesce("cv", -F.col("k").cast("double")).alias("rank"), "source_id", "cv", F.round("median", 3).alias("period"))).alias("best")
+    best = F.min(F.struct(F.col("cv").isNull().alias("none"), F.coalesce("cv", -F.col("k").cast("double")).alias("rank"), "source_id", "cv", F.round("median", 4).alias("period"))).alias("best")
     out = each.groupBy("gram").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("sources"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), best).where(F.col("support") >= support)
     regular = F.coalesce(F.round(F.greatest(F.lit(0.0), 1 - F.col("best.cv")), 4), F.lit(0.0))
     return out.select(F.array_join("gram", " > ").alias("gram"), "support", "sources", "first_ms", "last_ms", F.col("best.source_id").alias("source_id"), F.col("best.cv").alias("cv"), F.col("best.period").alias("period"), F.round(F.log10("support") * (1 + regular), 4).alias("score"))

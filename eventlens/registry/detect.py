@@ -257,7 +257,7 @@ ALL = ", sq AS (SELECT *, artifact AS val FROM ev WHERE ms IS NOT NULL)"
     "d_sequence_motif",
     X.sql(
         f"""{ALL}, {_grams(3, 'sq', 'source_id')}, gp AS (SELECT *, (first_ms - lag(first_ms) OVER (PARTITION BY source_id, gram ORDER BY first_ms, i2)) / 1000 AS gap FROM gr),
-        e AS (SELECT gram, source_id, count(*) AS n, count(gap) AS k, CASE WHEN avg(gap) > 0 THEN round(stddev_samp(gap) / avg(gap), 4) END AS cv, round(quantile_cont(gap, 0.5), 3) AS period, min(first_ms) AS first_ms, max(last_ms) AS last_ms FROM gp GROUP BY ALL),
+        e AS (SELECT gram, source_id, count(*) AS n, count(gap) AS k, CASE WHEN avg(gap) > 0 THEN round(stddev_samp(gap) / avg(gap), 4) END AS cv, round(quantile_cont(gap, 0.5), 4) AS period, min(first_ms) AS first_ms, max(last_ms) AS last_ms FROM gp GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY cv IS NULL, coalesce(cv, -k), source_id) AS r FROM e), s AS (SELECT gram, CAST(sum(n) AS BIGINT) AS support, count(*) AS sources, min(first_ms) AS first_ms, max(last_ms) AS last_ms FROM e GROUP BY gram HAVING sum(n) >= 3)
         SELECT s.*, source_id, cv, period, round(log10(support) * (1 + coalesce(round(greatest(0, 1 - cv), 4), 0)), 4) AS score FROM s JOIN r ON s.gram = r.gram AND r.r = 1"""
     ),
