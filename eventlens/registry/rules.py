@@ -120,6 +120,15 @@ def enrich_apply(spark, sf):
     return out.select("event_id", _flat(F.col("attributes")).alias("attributes"))
 
 
+@query("j_left_enrich", X.sql(f"{RG}, m AS (SELECT event_id, count(*) AS n FROM iv JOIN rg ON ip BETWEEN lo AND hi GROUP BY event_id) SELECT coalesce(n, 0) AS derived, count(*) AS events FROM ev LEFT JOIN m USING (event_id) GROUP BY 1"))
+def j_left_enrich(spark, sf):
+    """Events by how many keys the left join with grouped lookups adds."""
+    ev = X.events(spark, sf)
+    found = E.ranges_of(E.address_values(ev), ranges(spark, sf), ["zone"])
+    joined = ev.select("event_id").join(E.enrichment(ev, found, ["zone"]), "event_id", "left")
+    return joined.groupBy(F.coalesce(F.size("made"), F.lit(0)).cast("long").alias("derived")).agg(F.count(F.lit(1)).alias("events"))
+
+
 # Similarity.
 NORMED = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM v)"
 
