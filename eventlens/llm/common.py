@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 #: A side with at most this many narrow rows (ids, hashes) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts can be long: Arrow batches of 10,000 rows (the default) would be large in the JVM and in Python workers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Only where the session names none (tests) a local one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)

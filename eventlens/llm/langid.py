@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 #: Bounds of the training sample: documents, and characters from a place of each that its hash decides.
 SAMPLE, STRETCH = 3000, 240
@@ -216,6 +216,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.when(text.rlike(r"\p{L}"), F.lower(text)).alias("text"))
     if net is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     raw = net.dump()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small
+from .common import components, materialize, small, small_batches
 from .hashing import distinct_sets, mix, shingles
 
 ROWS, BANDS, MANTISSA = 6, 32, 10
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     if percent < 72:
         raise ValueError("percent must be 72 or more")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = materialize(sketches(docs), "neardup-sketches")
     full = every.where("doc_id IS NOT NULL AND digest IS NOT NULL")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import model_path, pieces
 
 LENGTH = 2048
@@ -126,6 +127,7 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, shard: Column | None = No
     """
     if not 1 <= length < 1 << 16:
         raise ValueError("length must be 1 to 65535")
+    small_batches(docs.sparkSession)
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")
     if shard is None:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0

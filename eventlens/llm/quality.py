@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .hashing import LOWER, mix, words
 from .langid import _parts
 
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     A bounded sample is used: of each label the `sample` labelled ids of smallest hash. Each one's features
     are computed in tasks from its whole text, at most 2**BITS of them.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
     picked = [known.where(F.col("quality") == y).distinct().orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
@@ -99,6 +100,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     doc_id are scored each; a null doc_id is not held out; an empty table gives an empty result; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     raw = weights.tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 #: Pre-tokens that a worker remembers; beyond it, it forgets all but the proven ones and goes on.
-REMEMBER = 800_000
+REMEMBER = 400_000
 #: Longer pre-tokens are merged each time, so that what is remembered stays small.
 LONGEST = 64
 #: In a line with runs of spaces: spaces with what follows them, what stands at its beginning.
@@ -138,6 +140,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, path: str | None = None) ->
             if len(pdf):
                 yield pdf.assign(n_tokens=np.array(n, dtype=np.int64))
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
     out = docs.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
