@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventlens.llm import decontam, langid, mixing, neardup, packing
-from eventlens.llm.common import materialize, shared_dir, table
+from eventlens.llm.common import materialize, shared_dir, small, table
 
 #: A document whose best language is less likely than this at the mean position has none.
 LEAST_SCORE = 0.35
@@ -29,28 +29,35 @@ LEAST_SCORE = 0.35
 SHARD_DOCS = 256
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in keys, or null if a null is; all of the columns of docs and no others."""
-    keys = keys.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]), "left_semi")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone: few ids, counted before they are broadcast; texts are shuffled only if they are many."""
+    gone = small(materialize(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-gone"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.fit(docs))
-    found = materialize(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id"), "pipeline-language")
-    return _kept(docs, found).where(F.col("text").rlike(r"\p{L}"))
+    return _without(docs.where(F.col("text").rlike(r"\p{L}")), found.where((F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs, 85)
+    found = materialize(neardup.near_duplicates(docs, 85), "pipeline-groups")
     again = found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1")
-    out = _kept(docs, found.where("kept").select("doc_id"))
+    out = _without(docs, found.where("NOT kept"))
     return out if again.isEmpty() else out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, materialize(found.where("NOT contaminated").select("doc_id"), "pipeline-clean"))
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated")
+    gone = materialize(found.where("contaminated"), "pipeline-contaminated")
+    out = _without(docs, gone)
+    # Rows without an id cannot be told apart by it: they are judged again, by themselves.
+    if gone.where("doc_id IS NULL").isEmpty():
+        return out
+    alone = out.where("doc_id IS NULL").withColumn("doc_id", F.xxhash64("text"))
+    dirty = decontam.decontaminate(alone, table(spark, sf_dir, "benchmark")).where("contaminated")
+    kept = _without(alone, dirty).withColumn("doc_id", F.lit(None).cast("long"))
+    return out.where("doc_id IS NOT NULL").unionByName(kept.select(*docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
