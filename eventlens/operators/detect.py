@@ -397,10 +397,12 @@ def sequence_motifs(df: DataFrame, field: str, n: int, support: int = 3, max_gap
     return out.select(F.array_join("gram", " > ").alias("gram"), "support", "sources", "first_ms", "last_ms", F.col("best.source_id").alias("source_id"), F.col("best.cv").alias("cv"), F.col("best.period").alias("period"), F.round(F.log10("support") * (1 + regular), 4).alias("score"))
 
 
-def motif_occurrences(df: DataFrame, field: str, gram: Sequence[str], cap: int = 1000) -> DataFrame:
-    """(event_id, source_id): member events of a motif's earliest occurrences, for hiding routine."""
+def motif_occurrences(df: DataFrame, field: str, gram: Sequence[str], cap: int | None = None) -> DataFrame:
+    """(event_id, source_id): member events of a motif's occurrences, for hiding routine; with cap, of the earliest ones only."""
     hits = ngrams(df, field, len(gram)).where(F.col("gram") == F.array(*map(F.lit, gram)))
-    return hits.orderBy("first_ms", "source_id", F.get("ids", 0)).limit(cap).select(F.explode("ids").alias("event_id"), "source_id").distinct()
+    if cap is not None:
+        hits = hits.orderBy("first_ms", "source_id", F.get("ids", 0)).limit(cap)
+    return hits.select(F.explode("ids").alias("event_id"), "source_id").distinct()
 
 
 def log_templates(df: DataFrame, new_since: str | None = None) -> DataFrame:

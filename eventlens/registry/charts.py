@@ -149,6 +149,12 @@ def kendall(spark, sf):
     return C.kendall_sample(X.events(spark, sf), "bytes", "k", 500).drop("p")
 
 
+@query("kendall_full")
+def kendall_full(spark, sf):
+    """At the reference's 5,000 points. No SQL, which would join all pairs: a test compares it with brute force."""
+    return C.kendall_sample(X.events(spark, sf), "bytes", "k", 5000).drop("p")
+
+
 @query("normality")
 def normality(spark, sf):
     """No SQL: tests hold Shapiro and Wilk's W and p against constants."""

@@ -279,9 +279,15 @@ def seq_segment(spark, sf):
     X.sql(f"{ALL}, {_grams(2, 'sq', 'source_id')}, h AS (SELECT * FROM gr WHERE gram = 'error > error' ORDER BY first_ms, source_id, i1 LIMIT 100) SELECT DISTINCT unnest([i1, i0]) AS event_id, source_id FROM h"),
 )
 def motif_occurrences(spark, sf):
+    """The 100 earliest, as its SQL; motif_occurrences_all has every one."""
     return D.motif_occurrences(X.events(spark, sf), "artifact", ["error", "error"], 100)
 
 
+@query("motif_occurrences_all", X.sql(f"{ALL}, {_grams(2, 'sq', 'source_id')}, h AS (SELECT * FROM gr WHERE gram = 'error > error') SELECT DISTINCT unnest([i1, i0]) AS event_id, source_id FROM h"))
+def motif_occurrences_all(spark, sf):
+    return D.motif_occurrences(X.events(spark, sf), "artifact", ["error", "error"])
+
+
 TPL = r"regexp_replace(regexp_replace(message, '10\.0\.[0-9]+\.[0-9]+', '<IP>'), '[0-9]+', '<NUM>', 'g')"
 
 

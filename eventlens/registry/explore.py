@@ -8,7 +8,7 @@ from .. import fixtures as X
 from ..functions import fields as FF
 from ..operators import explore as O
 from ..plans import filters as P
-from . import query
+from . import SQL, query
 from .filters import AN, HITS, annotations, hits
 
 
@@ -57,6 +57,12 @@ def field_coverage(spark, sf):
     return O.field_coverage(X.events(spark, sf), 1000)
 
 
+@query("field_coverage_full", SQL["field_coverage"].replace("n <= 1000", "n <= 20000"))
+def field_coverage_full(spark, sf):
+    """At the reference's 20,000 rows a source."""
+    return O.field_coverage(X.events(spark, sf), 20_000)
+
+
 @query(
     "field_stats",
     X.sql(
@@ -98,6 +104,12 @@ def embed_fields(spark, sf):
     return O.classify_fields(X.events(spark, sf), 500)
 
 
+@query("embed_fields_full", SQL["embed_fields"].replace("n <= 500", "n <= 2000"))
+def embed_fields_full(spark, sf):
+    """At the operator's 2,000 rows of an artifact and source."""
+    return O.classify_fields(X.events(spark, sf))
+
+
 @query(
     "column_score",
     X.sql(
@@ -131,10 +143,16 @@ def export_scan(spark, sf):
 
 @query("event_refs", X.sql("SELECT event_id, source_id FROM ev WHERE artifact = 'click' ORDER BY event_id LIMIT 100"))
 def event_refs(spark, sf):
-    """References of matching events for bulk tagging, to a documented cap."""
+    """References of the first 100 matching events, as its SQL; event_refs_all has every one."""
     return P.where(X.events(spark, sf), P.EventQuery(artifact="click")).select("event_id", "source_id").orderBy("event_id").limit(100)
 
 
+@query("event_refs_all", X.sql("SELECT event_id, source_id FROM ev WHERE artifact = 'click'"))
+def event_refs_all(spark, sf):
+    """References of all matching events for bulk tagging."""
+    return P.where(X.events(spark, sf), P.EventQuery(artifact="click")).select("event_id", "source_id")
+
+
 @query("attr_keys_present", X.sql("SELECT key, count(*) AS n FROM av WHERE key IN ('src_ip', 'ua', 'nothing') GROUP BY key"))
 def attr_keys_present(spark, sf):
     return O.keys_present(X.events(spark, sf), ["src_ip", "ua", "nothing"])
