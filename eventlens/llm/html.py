@@ -2,17 +2,20 @@
 
 Pages of one host come from one template. A bounded sample of a host's different pages is parsed, and their
 trees are aligned by simple tree matching (the largest order-preserving matching of equal labels). Nodes that
-hold the same text in nearly all pages, at a place of their own, are template; the others are slots. The wrapper of a host is the path
-of the deepest element that holds most of the slots' text, and the hashes of template texts inside it. Every
-page is then cut with its host's wrapper: the element at that path without template texts and without
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Pages without
-a wrapper that fits use their article or main element, or else their body.
+hold the same text in nearly all pages, at a place of their own, are template; the others are slots. Names of classes and
+ids say that an element is a menu, sidebar, advert and so on only where it does not hold most of the slots'
+text. The wrapper of a layout is the path of the lowest element that holds all remaining slots, and the hashes of template
+texts inside it; a host's sampled pages are first put together by layout. Every page is then cut with its
+layout's wrapper: the element at that path without template texts and without menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments. Pages without a wrapper that fits use
+their article or main element, or else their body.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -28,8 +31,10 @@ from .urlfilter import host_and_path
 SAMPLE, SAMPLE_CHARS = 8, 200_000
 #: Share of the other pages in which a template text stands; pages needed; share of the text it may be at most.
 CONSTANT, LEAST, MOST = 0.9, 4, 0.3
-#: Share of the slots' text that the content element holds.
-HOLDS = 0.6
+#: A named element that holds more than this share of the slots' text in most pages that have it is kept; articles that hold as much are the content.
+HOLDS = 0.5
+#: Share of places that pages of one layout have in common.
+ALIKE = 0.3
 #: Wrappers of at most so many hosts and characters are broadcast.
 BROADCAST_HOSTS, BROADCAST_CHARS = 50_000, 32_000_000
 
@@ -56,14 +61,15 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "out", "kids", "size")
+    __slots__ = ("tag", "names", "hard", "named", "out", "kids", "size")
 
-    def __init__(self, tag: str, names: str = "", out: bool = False):
-        self.tag, self.names, self.out, self.kids, self.size = tag, names, out, [], 0
+    def __init__(self, tag: str, names: str = "", hard: bool = False, named: str = ""):
+        self.tag, self.names, self.hard, self.named, self.out, self.kids, self.size = tag, names, hard, named, hard, [], 0
 
     @property
     def label(self) -> str:
@@ -71,21 +77,22 @@ class Node:
 
 
 def _make(tag: str, raw: str) -> Node:
-    """An element: whether its tag, role, class or id says that it is no main text."""
-    names, out = "", tag in NOT_TEXT
+    """An element: whether its tag or role says that it is no main text (hard), or its class or id, which are kept in `named`."""
+    names, out, named = "", tag in NOT_TEXT, ""
     if raw and not raw.isspace():
         for key, *values, hidden in _ATTRIBUTE.findall(raw):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id"):
                 words = {w.lower() for w in _NAME.findall(value)}
-                out |= bool(words & NOT_NAMES) and tag not in ("html", "body")
+                if words & NOT_NAMES and tag not in ("html", "body"):
+                    named += f"{key}={value} "
                 if key == "class":
                     names = ".".join(value.split())
             elif key == "role":
                 out |= value.lower() in NOT_ROLES
             elif hidden or (key == "aria-hidden" and value == "true"):
                 out = True
-    return Node(tag, names, out)
+    return Node(tag, names, out, named)
 
 
 def parse(html: str) -> Node:
@@ -145,6 +152,70 @@ def keep_articles(root: Node) -> None:
                 node.out = False
 
 
+def _placed(root: Node) -> list[tuple[Node, int]]:
+    """All elements, parents before children, each with a number for its path of labels."""
+    out, at = [(root, 0)], 0
+    while at < len(out):
+        node, place = out[at]
+        out += [(k, zlib.crc32(k.label.encode("utf-8", "replace"), place)) for k in node.kids if isinstance(k, Node)]
+        at += 1
+    return out
+
+
+def _name_key(node: Node, place: int) -> int:
+    return zlib.crc32(node.named.encode("utf-8", "replace"), place)
+
+
+def _most(placed: list[tuple[Node, int]], sizes: dict[int, int] | None = None) -> dict[int, bool]:
+    """For each kind of named element: whether its elements together hold most of the page's text (sizes: characters of each element's own)."""
+    holds: set[int] = set()  # elements that hold an article are not left out by tag
+    for node, _ in reversed(placed):
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        if any(id(k) in holds or (k.tag in ("article", "main") and not k.hard) for k in kids):
+            holds.add(id(node))
+        own = sum(len(k.strip()) for k in node.kids if isinstance(k, str)) if sizes is None else sizes.get(id(node), 0)
+        node.size = own + sum(k.size for k in kids) if sizes is not None or not node.hard or id(node) in holds else 0
+    held: Counter = Counter()
+    inside: dict[int, frozenset[int]] = {}
+    for node, place in placed:  # an element inside one of its own kind is counted with that
+        kinds = inside.get(id(node), frozenset())
+        if node.named:
+            key = _name_key(node, place)
+            if key not in kinds:
+                held[key] += node.size
+            kinds = kinds | {key}
+        if kinds:
+            inside.update((id(k), kinds) for k in node.kids if isinstance(k, Node))
+    return {key: n > HOLDS * placed[0][0].size for key, n in held.items()}
+
+
+def _decide(root: Node, kept: dict[int, bool], placed: list[tuple[Node, int]]) -> None:
+    """Marks what is left out: by tag and role, and by name unless kept says otherwise or, for names not in it, the page's own text does."""
+    if any(node.named for node, _ in placed):
+        most = _most(placed) | kept
+        for node, place in placed:
+            node.out = node.hard or (bool(node.named) and not most[_name_key(node, place)])
+    keep_articles(root)
+
+
+def _layout(placed: list[tuple[Node, int]]) -> set[int]:
+    """Numbers of the places of a page's blocks, without digits of class names and without what tags, roles and names leave out."""
+    places, out = {id(placed[0][0]): 0}, set()
+    for node, _ in placed:
+        if id(node) not in places:
+            continue
+        if node.tag in BLOCK and node.tag not in ("html", "body"):
+            out.add(places[id(node)])
+        for k in node.kids:
+            if isinstance(k, Node) and not k.hard:
+                places[id(k)] = zlib.crc32(_DIGITS.sub("", k.label).encode("utf-8", "replace"), places[id(node)])
+    return out
+
+
+def _alike(a: set[int], b: set[int]) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def blocks(node: Node, skip: frozenset[int] = frozenset()) -> list[str]:
     """The texts of node's blocks, in page order, white space made one space, empty ones and those of skip left out."""
     out: list[str] = []
@@ -176,8 +247,6 @@ def blocks(node: Node, skip: frozenset[int] = frozenset()) -> list[str]:
 
 def _key(text: str) -> int:
     """A number for a text, the same in every process."""
-    import zlib
-
     raw = text.encode("utf-8", "replace")
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
@@ -246,50 +315,108 @@ def _aligned(a, b, memo: dict) -> Iterator[tuple]:
 
 
 def induce(pages: list[str]) -> dict | None:
-    """A wrapper from a host's pages: the content element's path of labels, and keys of template texts in it."""
-    trees = []
+    """A wrapper from a host's pages: the content element's path of labels, keys of template texts in it, and of names whether they are kept."""
+    group = []
     for html in pages:
         root = parse(html)
-        keep_articles(root)
-        trees.append(_tree(root))
-    if len(trees) < 2:
+        group.append((root, _placed(root), set()))
+    return _induce(group)
+
+
+def _induce(group: list[tuple[Node, list, set[int]]]) -> dict | None:
+    """The wrapper of pages of one layout."""
+    if len(group) < 2:
         return None
-    paths: Counter = Counter()
-    constant: list[tuple[tuple, str]] = []
-    varying: set[tuple] = set()
-    total = 0
+    trees = []
+    for root, _, _ in group:
+        keep_articles(root)  # names leave nothing out yet
+        trees.append(_tree(root))
+    same: Counter = Counter()
     for ref in trees:
-        same: Counter = Counter()
         for other in trees:
             if other is not ref:
                 for x, y in _aligned(ref, other, {}):
                     if isinstance(x, _Leaf) and isinstance(y, _Leaf) and x.text == y.text:
                         same[id(x)] += 1
-        enough = max(LEAST, CONSTANT * (len(trees) - 1))
-        work = [(ref, (ref[0],))]
-        while work:
-            node, path = work.pop()
-            for k in node[1]:
-                if not isinstance(k, _Leaf):
-                    work.append((k, (*path, k[0])))
-                elif same[id(k)] >= enough:
-                    constant.append((path, k.text))
-                else:
-                    varying.add(path)
-                    total += len(k.text)
-                    for n in range(1, len(path) + 1):
-                        paths[path[:n]] += len(k.text)
-    good = [p for p, n in paths.items() if n >= HOLDS * total]
-    if not good:
+    others = len(trees) - 1
+    have, most = Counter(), Counter()
+    for (_, placed, _), ref in zip(group, trees, strict=True):
+        sizes: Counter = Counter()
+        for path, leaf, parent in _leaves(ref):
+            if same[id(leaf)] < CONSTANT * others:
+                sizes[id(parent)] += len(leaf.text)
+        if sizes:
+            for key, yes in _most(placed, sizes).items():
+                have[key] += 1
+                most[key] += yes
+    kept = {key: 2 * most[key] > n for key, n in have.items()}
+    for root, placed, _ in group:
+        _decide(root, kept, placed)
+    constant: list[tuple[tuple, str]] = []
+    varying: Counter = Counter()
+    slots: Counter = Counter()
+    for ref in trees:
+        for path, leaf, _ in _leaves(ref):
+            if same[id(leaf)] >= max(LEAST, CONSTANT * others):
+                constant.append((path, leaf.text))
+            else:
+                varying[path] += len(leaf.text)
+                if same[id(leaf)] < CONSTANT * others:
+                    slots[path] += len(leaf.text)
+    slots = slots or varying
+    if not slots:
         return None
-    best = max(good, key=lambda p: (len(p), paths[p], p))
+    paths: Counter = Counter()
+    for path, n in varying.items():
+        for k in range(1, len(path) + 1):
+            paths[path[:k]] += n
+    best = max((p for p, n in paths.items() if n >= 0.6 * sum(varying.values())), key=lambda p: (len(p), paths[p], p))
     while best[-1].split(".")[0] not in HOLDERS and len(best) > 1:  # blocks of text: what holds them
         best = best[:-1]
+    held = sum(n for path, n in varying.items() if path[: len(best)] == best)
     inside = [text for path, text in constant if path[: len(best)] == best]
-    few = sum(map(len, inside)) <= MOST * (paths[best] + sum(map(len, inside)))
+    few = sum(map(len, inside)) <= MOST * (held + sum(map(len, inside)))
     # A text that repeats among others of its kind (a paragraph of the article) is content; a template text has a marked place of its own.
     own = [text for path, text in constant if path[: len(best)] == best and path not in varying and any("." in x for x in path[len(best) :])]
-    return {"path": list(best), "template": sorted({_key(t) for t in own}) if few else []}
+    seen = Counter(k for _, _, layout in group for k in layout)
+    return {
+        "path": list(best), "template": sorted({_key(t) for t in own}) if few else [], "kept": sorted(k for k, yes in kept.items() if yes), "dropped": sorted(k for k, yes in kept.items() if not yes),
+        "layout": sorted(k for k, n in seen.items() if 2 * n >= len(group)),
+    }
+
+
+def _leaves(tree) -> Iterator[tuple]:
+    """(path of labels, leaf, its element) of a tree's texts that are not left out."""
+    work = [(tree, (tree[0],))]
+    while work:
+        node, path = work.pop()
+        for k in node[1]:
+            if isinstance(k, _Leaf):
+                yield path, k, node[2]
+            elif not k[2].out:
+                work.append((k, (*path, k[0])))
+
+
+def _article(path: tuple) -> int:
+    """The length of the path to the innermost article or main element; 0 if there is none."""
+    return max((i for i, label in enumerate(path, 1) if label.split(".")[0] in ("article", "main")), default=0)
+
+
+def _common(paths: list[tuple]) -> tuple:
+    low, high = min(paths), max(paths)
+    n = 0
+    while n < min(len(low), len(high)) and low[n] == high[n]:
+        n += 1
+    return low[:n]
+
+
+def _fitting(wrapper: dict, placed: list[tuple[Node, int]]) -> dict | None:
+    """The wrapper whose layout a page is most like; None if it is like none."""
+    if "more" not in wrapper:
+        return wrapper
+    own = _layout(placed)
+    score, at = max((_alike(own, set(w["layout"])), -i) for i, w in enumerate([wrapper, *wrapper["more"]]))
+    return [wrapper, *wrapper["more"]][-at] if score >= ALIKE else None
 
 
 def _at(root: Node, path: list[str]) -> list[Node]:
@@ -305,7 +432,9 @@ def extract(html: str | None, wrapper: dict | None = None) -> str:
     if not html:
         return ""
     root = parse(html)
-    keep_articles(root)
+    placed = _placed(root)
+    wrapper = _fitting(wrapper, placed) if wrapper else None
+    _decide(root, dict.fromkeys(wrapper["kept"], True) | dict.fromkeys(wrapper["dropped"], False) if wrapper else {}, placed)
     found = _at(root, wrapper["path"]) if wrapper else []
     skip = frozenset(wrapper["template"]) if wrapper and found else frozenset()
     if not found or found == [root]:
