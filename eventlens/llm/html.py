@@ -315,12 +315,28 @@ def _aligned(a, b, memo: dict) -> Iterator[tuple]:
 
 
 def induce(pages: list[str]) -> dict | None:
-    """A wrapper from a host's pages: the content element's path of labels, keys of template texts in it, and of names whether they are kept."""
-    group = []
+    """A wrapper from a host's pages: the content element's path of labels, keys of template texts in it, and of names whether they are kept.
+
+    Pages of several layouts give a wrapper for each layout of two pages or more: the first, and the others in its `more`.
+    """
+    groups: list[list[tuple[Node, list, set[int]]]] = []
     for html in pages:
         root = parse(html)
-        group.append((root, _placed(root), set()))
-    return _induce(group)
+        placed = _placed(root)
+        page = (root, placed, _layout(placed))
+        near = max(groups, key=lambda g: _alike(g[0][2], page[2]), default=None)
+        if near is not None and _alike(near[0][2], page[2]) >= ALIKE:
+            near.append(page)
+        else:
+            groups.append([page])
+    made = [w for w in map(_induce, sorted(groups, key=len, reverse=True)) if w]
+    if len(groups) > 1:  # one layout needs no choice
+        for w in made[:1]:
+            w["more"] = made[1:]
+    else:
+        for w in made:
+            w.pop("layout")
+    return made[0] if made else None
 
 
 def _induce(group: list[tuple[Node, list, set[int]]]) -> dict | None:
@@ -366,11 +382,12 @@ def _induce(group: list[tuple[Node, list, set[int]]]) -> dict | None:
     slots = slots or varying
     if not slots:
         return None
-    paths: Counter = Counter()
-    for path, n in varying.items():
-        for k in range(1, len(path) + 1):
-            paths[path[:k]] += n
-    best = max((p for p, n in paths.items() if n >= 0.6 * sum(varying.values())), key=lambda p: (len(p), paths[p], p))
+    within = {p: n for p, n in slots.items() if _article(p)}
+    if sum(within.values()) >= HOLDS * sum(slots.values()):
+        slots = within
+    best = _common(list(slots))
+    if _article(best):  # all of the article
+        best = best[: _article(best)]
     while best[-1].split(".")[0] not in HOLDERS and len(best) > 1:  # blocks of text: what holds them
         best = best[:-1]
     held = sum(n for path, n in varying.items() if path[: len(best)] == best)

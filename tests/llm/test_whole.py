@@ -32,3 +32,25 @@ def test_long_comments_of_a_few_pages_stay_out():
 
 def test_a_named_article_in_a_form():
     assert html.extract("<form><article class='post has-comments'><p>in a form</p></article></form>") == "in a form"
+
+
+@pytest.mark.parametrize("page", [
+    "<article><h1>Title {0}</h1><div class=content><p>{1}</p></div></article>", "<div class=page><h1>Title {0}</h1><div class=content><p>{1}</p></div></div>",
+    "<article><h1>Title {0}</h1><section class=intro><p>{2}</p></section><section class=body><p>{1}</p></section></article>", "<main><h1>News</h1><h2>Title {0}</h2><div class=content><p>{1}</p></div></main>",
+])
+@pytest.mark.parametrize("n", [2, 6])
+def test_the_wrapper_holds_all_slots(page, n):
+    pages = [f"<body><div class=top>Site name</div>{page.format(i, words(i, 65), words(f'i{i}', 35))}<footer>f</footer></body>" for i in range(n)]
+    w = html.induce(pages)
+    for i, p in enumerate(pages):
+        parts = ["News"] * ("News" in page) + [f"Title {i}"] + [words(f"i{i}", 35)] * ("intro" in page) + [words(i, 65)]
+        assert html.extract(p, w) == "\n\n".join(parts)
+
+
+def test_layouts_of_a_host_have_their_own_wrappers():
+    story = [f"<body><div class=top>Hello {i}</div><div class=story><h1>Title {i}</h1><p>{words(i, 40)}</p></div></body>" for i in range(4)]
+    shop = [f"<body><table class=goods><tr><td class=name>Thing {i}</td><td>{words(f's{i}', 30)}</td></tr></table></body>" for i in range(4)]
+    w = html.induce(story + shop)
+    assert len(w["more"]) == 1
+    assert [html.extract(p, w) for p in shop] == [f"Thing {i}\n\n{words(f's{i}', 30)}" for i in range(4)]
+    assert all(f"Title {i}\n\n{words(i, 40)}" in html.extract(p, w) for i, p in enumerate(story))
