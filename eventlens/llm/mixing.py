@@ -2,35 +2,48 @@
 
 Each source's documents form blocks. A source of weight w has block j (from 0) released at slot floor(j / w)
 and due by slot ceil((j + 1) / w); at every slot the released block with the earliest deadline runs, ties
-broken by which window overlaps its successor and then by name. Weights are whole units of a fixed total, so
-the schedule repeats after that many slots and one period of it, made on the driver, is all that is needed:
-its size is the total and does not depend on the data. A document's slot follows from its block number.
+broken by which window overlaps its successor and then by name. Weights are taken as the exact fractions that they
+are written as, brought to whole units without a common divisor; releases and deadlines are whole-number
+arithmetic on these. The schedule repeats after as many slots as there are units. If they are at most PERIOD,
+one period of it, made on the driver, is all that is needed; else the driver makes the schedule of the blocks
+that there are, one number for each block of documents. A document's slot follows from its block number.
 Until a source runs out, the share of any source in any prefix differs from its target by less than one block.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
+from numbers import Rational
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, small
 
-#: Units that all weights add up to, and so the slots of a period.
+#: Units for callers of to_units that want weights rounded to a fixed total.
 UNITS = 1000
+#: Slots of the longest period that is sent along with every source.
+PERIOD = 10_000
 #: Documents in a block.
 BLOCK = 16
 #: Documents that one group should hold while documents are numbered.
 GROUP = 2000
-#: Sources, at most: the target weights are a small table by nature.
-SOURCES = UNITS
 
 
-def to_units(weights: Mapping[str, float], units: int = UNITS) -> dict[str, int]:
-    """Weights as whole units, at least one each, by largest remainders."""
+def to_units(weights: Mapping[str, float], units: int | None = None) -> dict[str, int]:
+    """Weights as the smallest whole units of exactly their proportions; with units, rounded to that total, at least one each, by largest remainders."""
+    if units is None:
+        exact = {s: Fraction(w) if isinstance(w, Rational) else Fraction(str(w)) for s, w in weights.items()}
+        if not exact or min(exact.values()) <= 0:
+            raise ValueError("positive weights are needed")
+        scale = math.lcm(*(w.denominator for w in exact.values()))
+        whole = {s: int(w * scale) for s, w in exact.items()}
+        common = math.gcd(*whole.values())
+        return {s: n // common for s, n in whole.items()}
     if not weights or len(weights) > units or min(weights.values()) <= 0:
         raise ValueError(f"1 to {units} sources with positive weights are needed")
     total, spare = sum(weights.values()), units - len(weights)
@@ -41,26 +54,33 @@ def to_units(weights: Mapping[str, float], units: int = UNITS) -> dict[str, int]
     return out
 
 
-def period(units: Mapping[str, int]) -> dict[str, list[int]]:
-    """For each source the slots of its blocks in one period, by earliest deadline among released blocks."""
-    total = sum(units.values())
+def period(units: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> dict[str, list[int]]:
+    """For each source the slots of its blocks, by earliest deadline among released blocks.
+
+    Without blocks, those of one period. With blocks, so many of each source, and slots that only a source which has
+    run out would fill are not counted.
+    """
+    total, blocks = sum(units.values()), units if blocks is None else blocks
     slots: dict[str, list[int]] = {s: [] for s in units}
-    waiting, released = [(0, s, 0) for s in sorted(units)], []
+    waiting, released, slot, place = [(0, s, 0) for s in sorted(units) if blocks[s]], [], 0, 0
     heapq.heapify(waiting)
-    for slot in range(total):
+    while waiting or released:
+        if not released:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
             deadline = -(-(j + 1) * total // units[s])
             overlaps = (j + 1) * total % units[s] != 0
             heapq.heappush(released, (deadline, not overlaps, s, j))
         _, _, s, j = heapq.heappop(released)
-        slots[s].append(slot)
-        if j + 1 < units[s]:
+        slots[s].append(place)
+        slot, place = slot + 1, place + 1
+        if j + 1 < blocks[s]:
             heapq.heappush(waiting, ((j + 1) * total // units[s], s, j + 1))
     return slots
 
 
-def numbered(docs: DataFrame, groups: int) -> DataFrame:
+def numbered(docs: DataFrame, groups: int, sources: int) -> DataFrame:
     """docs with `number`, from 0 within each source in order of a hash of the row.
 
     A source's rows are numbered in groups by leading hash digits, with the counts of all groups before, so
@@ -72,35 +92,42 @@ def numbered(docs: DataFrame, groups: int) -> DataFrame:
     counts = counts.select(F.col("source").alias("_source"), F.col("_group").alias("_g"), F.coalesce(before, F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("source", "_group").orderBy("_hash", "doc_id", "text"))
     ranked = keyed.withColumn("_rank", inner)
-    out = ranked.join(F.broadcast(counts) if groups * SOURCES <= 1_000_000 else counts, ranked["source"].eqNullSafe(counts["_source"]) & (ranked["_group"] == counts["_g"]))
+    out = ranked.join(F.broadcast(counts) if groups * sources <= 1_000_000 else counts, ranked["source"].eqNullSafe(counts["_source"]) & (ranked["_group"] == counts["_g"]))
     return out.withColumn("number", F.col("_rank") - 1 + F.col("_before")).drop("_hash", "_group", "_source", "_g", "_before", "_rank")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, units: int = UNITS, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text, source and any others) with `slot` and `place`, to be ordered by both.
 
     weights: target weight for each source; by default all sources weigh the same. Every document is kept:
     after a source has run out, the others go on in their proportions. A null source is a source of its own
     (in weights: None). Sources without a weight get the smallest one. Rows that repeat are numbered each. An
-    empty table gives an empty result. More than UNITS sources are refused.
+    empty table gives an empty result.
     """
-    found = sorted((r.source for r in docs.select("source").distinct().limit(units + 1).collect()), key=lambda s: (s is not None, s))
-    if len(found) > units:
-        raise ValueError(f"more than {units} sources")
+    counts = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}  # a row a source, as the target weights
+    found = sorted(counts, key=lambda s: (s is not None, s))
     given = dict(weights or {})
     least = min(given.values(), default=1.0)
     share = {s: given.get(s, least) for s in found}
     if not share:
         return docs.withColumns({"slot": F.lit(0).cast("long"), "place": F.lit(0).cast("long")})
     name = lambda s: "0" if s is None else f"1{s}"
-    table = period(to_units({name(s): w for s, w in share.items()}, units))
-    slots = docs.sparkSession.createDataFrame([(name(s), table[name(s)]) for s in found], "_name string, _slots array<int>")
-    count = docs.count()
-    rows = numbered(docs, max(16, count // (GROUP * max(1, len(found) // 4)))).withColumn("_name", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")))
-    rows = rows.join(F.broadcast(slots), "_name")
+    own = to_units({name(s): w for s, w in share.items()})
+    total = sum(own.values())
+    groups = max(16, sum(counts.values()) // (GROUP * max(1, len(found) // 4)))
     j = F.floor(F.col("number") / block)
-    slot = F.floor(j / F.size("_slots")) * units + F.get("_slots", (j % F.size("_slots")).cast("int"))
-    return rows.withColumns({"slot": slot.cast("long"), "place": (F.col("number") % block).cast("long")}).drop("_name", "_slots", "number")
+    rows = numbered(docs, groups, len(found)).withColumn("_name", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))).withColumn("_block", j)
+    if total <= PERIOD:
+        table = period(own)
+        slots = docs.sparkSession.createDataFrame([(name(s), table[name(s)]) for s in found], "_name string, _slots array<int>")
+        size = F.size("_slots")
+        slot = F.floor(F.col("_block") / size) * total + F.get("_slots", (F.col("_block") % size).cast("int"))
+        rows = rows.join(F.broadcast(slots), "_name")
+    else:
+        table = period(own, {name(s): -(-n // block) for s, n in counts.items()})
+        slots = small(docs.sparkSession.createDataFrame([(s, i, x) for s, xs in table.items() for i, x in enumerate(xs)], "_name string, _block long, _slots long"))
+        slot, rows = F.col("_slots"), rows.join(slots, ["_name", "_block"])
+    return rows.withColumns({"slot": slot.cast("long"), "place": (F.col("number") % block).cast("long")}).drop("_name", "_block", "_slots", "number")
 
 
 def mixed_in_order(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:

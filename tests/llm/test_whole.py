@@ -1,8 +1,12 @@
 """Corpus operators do the whole job on rows that the test tables do not hold."""
 
+from collections import Counter
+from fractions import Fraction
+
 import pytest
+from pyspark.sql import functions as F
 
-from eventlens.llm import html
+from eventlens.llm import html, mixing, queries
 
 
 def words(i, n):
@@ -54,3 +58,57 @@ def test_layouts_of_a_host_have_their_own_wrappers():
     assert len(w["more"]) == 1
     assert [html.extract(p, w) for p in shop] == [f"Thing {i}\n\n{words(f's{i}', 30)}" for i in range(4)]
     assert all(f"Title {i}\n\n{words(i, 40)}" in html.extract(p, w) for i, p in enumerate(story))
+
+
+# Mixing: exact weights.
+def deviation(order, weights):
+    """The largest distance in blocks of any source from its target, in any prefix until a source runs out."""
+    total, done, left, worst = sum(weights.values()), Counter(), Counter(order), Fraction(0)
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        worst = max(worst, *(abs(w * t / total - done[x]) for x, w in weights.items()))
+        if done[s] == left[s]:
+            return worst
+    return worst
+
+
+@pytest.mark.parametrize("weights, n", [
+    ({s: Fraction(1) for s in "abc"}, 3000), ({"a": Fraction("0.123457"), "b": Fraction("0.3"), "c": Fraction("0.576543")}, 2000), ({f"s{i:03d}": Fraction(1) for i in range(600)}, 5),
+    ({"x": Fraction("0.9")} | {f"s{i:03d}": Fraction("0.1") / 499 for i in range(499)}, 5),
+])
+def test_schedules_keep_to_the_exact_weights(weights, n):
+    units = mixing.to_units(weights)
+    assert {s: Fraction(u, sum(units.values())) for s, u in units.items()} == {s: w / sum(weights.values()) for s, w in weights.items()}
+    blocks = {s: max(1, int(n * w * len(weights) / sum(weights.values()))) for s, w in weights.items()}
+    slots = mixing.period(units, blocks)
+    assert sorted(x for xs in slots.values() for x in xs) == list(range(sum(blocks.values())))
+    assert deviation([s for _, s in sorted((x, s) for s, xs in slots.items() for x in xs)], weights) < 1
+
+
+def test_weights_as_written():
+    assert mixing.to_units({"a": 0.1, "b": 0.2, "c": 0.7}) == {"a": 1, "b": 2, "c": 7} and mixing.to_units({"a": 3, "b": 3}) == {"a": 1, "b": 1}
+
+
+@pytest.mark.parametrize("weights", [None, {"0": 1 / 7, "1": 0.2, "2": 0.657143}])
+def test_mixture_to_exact_weights(spark, weights):
+    docs = spark.range(4500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    order = [r.source for r in mixing.mix(docs, weights, block=1).orderBy("slot", "place").collect()]
+    assert len(order) == 4500
+    assert deviation(order, {s: Fraction(str((weights or {}).get(s, 1))) for s in "012"}) < 1
+
+
+@pytest.mark.parametrize("n", [1500, 12000])
+def test_more_sources_than_a_thousand(spark, n):
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (F.col("id") % n).cast("string").alias("source"))
+    out = mixing.mix(docs, block=1)
+    assert out.count() == 2 * n and out.select("slot").distinct().count() == 2 * n and out.where(f"slot < {n}").select("source").distinct().count() == n
+
+
+def test_mixing_query_has_unequal_weights(spark, sf):
+    sf = "/root/testdata/sf0.01"
+    out = queries.op4_mixing(spark, sf).collect()
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    weights = {f"src{i}": Fraction(1 + i % 3) for i in range(20)}
+    assert {r.source for r in out} == set(weights)
+    order = [s for _, s in sorted({(r.slot, r.source) for r in out})]
+    assert len(set(r.slot for r in out)) == len(order) and deviation(order, weights) < 1
