@@ -128,10 +128,10 @@ def snk_parquet(spark, sf):
 
 @query("byte_offset", ", ".join(["WITH l AS (SELECT c_custkey, c_name || ' é ' || c_custkey AS raw FROM customer)", "o AS (SELECT c_custkey, raw, CAST(sum(strlen(raw) + 1) OVER (ORDER BY c_custkey) AS BIGINT) - strlen(raw) - 1 AS byte_offset, row_number() OVER (ORDER BY c_custkey) AS line_number FROM l)"]) + " SELECT byte_offset, line_number, raw FROM o")
 def byte_offset(spark, sf):
-    """Offsets and numbers of the lines of one text file made from the customers."""
+    """Offsets and numbers of the lines of a text made from the customers, written as part files that follow one another."""
     path = folder(spark, "lines")
-    X.read(spark, sf, "customer").orderBy("c_custkey").select(F.concat("c_name", F.lit(" é "), F.col("c_custkey").cast("string")).alias("value")).coalesce(1).write.text(path)
-    return T.with_line_numbers(T.read_with_offsets(spark, path)).select("byte_offset", "line_number", "raw")
+    X.read(spark, sf, "customer").orderBy("c_custkey").select(F.concat("c_name", F.lit(" é "), F.col("c_custkey").cast("string")).alias("value")).write.text(path)
+    return T.lines_of_parts(T.read_parts_with_offsets(spark, path)).select("byte_offset", "line_number", "raw")
 
 
 def _stream_files(spark, sf) -> tuple[str, object]:
@@ -145,7 +145,7 @@ def _stream_files(spark, sf) -> tuple[str, object]:
 def st_ingest(spark, sf):
     """A file stream with repeated events: each id once."""
     path, schema = _stream_files(spark, sf)
-    out = ST.run_to_end(ST.ingest(spark, path, schema, late="40 days"), f"ingest_{uuid.uuid4().hex}", folder(spark, "state"))
+    out = ST.run_to_end(ST.ingest(spark, path, schema, late="40 days"), folder(spark, "ingest"), folder(spark, "state"))
     return out.groupBy("artifact").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -153,7 +153,7 @@ def st_ingest(spark, sf):
 def st_counts(spark, sf):
     path, schema = _stream_files(spark, sf)
     stream = ST.counts(spark.readStream.schema(schema).parquet(path), "artifact")
-    return ST.run_to_end(stream, f"counts_{uuid.uuid4().hex}", folder(spark, "state"), "complete")
+    return ST.run_to_end(stream, folder(spark, "counts"), folder(spark, "state"), "complete")
 
 
 @query(
@@ -163,7 +163,7 @@ def st_counts(spark, sf):
 def st_sessions(spark, sf):
     path, schema = _stream_files(spark, sf)
     stream = ST.sessions(spark.readStream.schema(schema).parquet(path), "display_name", "12 hours")
-    return ST.run_to_end(stream, f"sessions_{uuid.uuid4().hex}", folder(spark, "state"), "complete")
+    return ST.run_to_end(stream, folder(spark, "sessions"), folder(spark, "state"), "complete")
 
 
 @query("effective_range", X.sql("SELECT source_id, min(ms + CASE source_id WHEN 'src-1' THEN 3600000 WHEN 'src-2' THEN -90500 ELSE 0 END) AS first_ms FROM ev GROUP BY source_id"))

@@ -29,6 +29,16 @@ def read_with_offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(lines, schema)
 
 
+def read_parts_with_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, start, byte_offset, raw) of the lines of a folder's files: offsets in each file, and the bytes of all files before it by name."""
+    files = sorted(spark.read.format("binaryFile").load(path).select("path", "length").collect())  # a row a file; contents are not read
+    out, start = spark.createDataFrame([], "source_file string, start long, byte_offset long, raw string"), 0
+    for file, length in files:
+        out = out.unionByName(read_with_offsets(spark, file).withColumns({"source_file": F.lit(file), "start": F.lit(start).cast("long")}))
+        start += length
+    return out
+
+
 def with_line_numbers(lines: DataFrame) -> DataFrame:
     """Adds line_number from 1 by file: lines before are counted in ranges of offsets first, so no file is sorted in one task."""
     by = [c for c in ("source_file",) if c in lines.columns]
@@ -40,6 +50,14 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_at", inside).join(counts, [*by, "_range"]).withColumn("line_number", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
+def lines_of_parts(parts: DataFrame) -> DataFrame:
+    """(byte_offset, line_number, raw) of lines of part files (source_file, start, byte_offset, raw) as if they were one file."""
+    counts = parts.groupBy("source_file", "start").agg(F.count(F.lit(1)).alias("_n"))  # a row a file
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = with_line_numbers(parts).join(F.broadcast(counts.select("source_file", before.alias("_lines"))), "source_file")
+    return rows.select((F.col("start") + F.col("byte_offset")).alias("byte_offset"), (F.col("_lines") + F.col("line_number")).alias("line_number"), "raw")
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, file_hash): SHA-256 of whole files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
