@@ -16,11 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import held_out, small_batches
 
 #: Bounds of the training sample: documents, and characters from a place of each that its hash decides.
 SAMPLE, STRETCH = 3000, 240
+#: Groups in which the documents of a language are ranked first.
+SALTS = 64
 HIDDEN, STEPS, LANES, UPDATES, RATE = 12, 96, 192, 180, 0.014
 #: A text is read in stretches of so many bytes, all of them, so many stretches at a time.
 READ, WIDE = 256, 2048
@@ -193,14 +196,18 @@ def probabilities(net: Network, texts: list[bytes], labels: bool = False) -> tup
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from docs (doc_id, text, lang): those with a language and a letter that are not held out.
 
-    A bounded sample is used: the `sample` documents of smallest hash, and of each at most STRETCH
-    characters from a place that its hash decides. None if there is no such document.
+    A bounded sample is used: of each language an equal part of `sample`, its documents of smallest hash, and of each
+    at most STRETCH characters from a place that its hash decides. None if there is no such document.
     """
     text, h = F.lower(F.col("text").cast("string")), F.xxhash64("doc_id", "text")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     begin = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - STRETCH, F.lit(1))).cast("int")
     rows = rows.select(F.substr(text, begin, F.lit(STRETCH)).alias("part"), F.col("lang").cast("string").alias("lang"), h.alias("h"))
-    got = [(r.part.encode("utf-8", "replace"), r.lang) for r in rows.orderBy("h", "lang").limit(sample).collect() if r.part]
+    each = -(-sample // max(1, docs.select("lang").where("lang IS NOT NULL").distinct().count()))
+    # Ranked in salted groups first, so no language has to be sorted in one task.
+    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= each).drop("r")
+    got = [(r.part.encode("utf-8", "replace"), r.lang) for r in rows.orderBy("h", "lang").collect() if r.part]
     return train([t for t, _ in got], [x for _, x in got]) if got else None
 
 

@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from eventlens.llm import html, mixing, queries
+from eventlens.llm import html, langid, mixing, queries
 
 
 def words(i, n):
@@ -112,3 +112,10 @@ def test_mixing_query_has_unequal_weights(spark, sf):
     assert {r.source for r in out} == set(weights)
     order = [s for _, s in sorted({(r.slot, r.source) for r in out})]
     assert len(set(r.slot for r in out)) == len(order) and deviation(order, weights) < 1
+
+
+# Language.
+def test_rare_languages_are_learnt(spark):
+    ids = F.col("id")
+    docs = spark.range(1000).select(ids.alias("doc_id"), F.concat(F.lit("some words of text number "), ids.cast("string")).alias("text"), F.when(ids >= 990, "xx").otherwise("en").alias("lang"))
+    assert langid.fit(docs, sample=8).langs == ["en", "xx"]
