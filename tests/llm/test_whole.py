@@ -1,12 +1,13 @@
 """Corpus operators do the whole job on rows that the test tables do not hold."""
 
+import hashlib
 from collections import Counter
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventlens.llm import html, langid, mixing, queries
+from eventlens.llm import decontam, html, langid, mixing, queries
 
 
 def words(i, n):
@@ -119,3 +120,13 @@ def test_rare_languages_are_learnt(spark):
     ids = F.col("id")
     docs = spark.range(1000).select(ids.alias("doc_id"), F.concat(F.lit("some words of text number "), ids.cast("string")).alias("text"), F.when(ids >= 990, "xx").otherwise("en").alias("lang"))
     assert langid.fit(docs, sample=8).langs == ["en", "xx"]
+
+
+# Decontamination.
+def test_item_ids_with_commas(spark):
+    run = words(1, 12)
+    docs = spark.createDataFrame([(1, f"x {run} y"), (2, "one two"), (3, "a one two b"), (4, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a,b", run), ("c", run), ("d", "One, two!"), ("e", "one two b")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontam.decontaminate(docs, bench).collect()}
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    assert got == {1: (12, 2, sha("a,b,c")), 2: (2, 1, sha("d")), 3: (3, 2, sha("d,e")), 4: (0, 0, sha(""))}
