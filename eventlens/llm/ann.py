@@ -2,9 +2,12 @@
 
 Equal vectors are one node, which keeps as many of its smallest ids as an answer can need. Nodes are dealt to
 shards of bounded size by a hash. A shard's graph is built layer by layer from the top, in batches: all nodes
-of a batch walk the graph together (numpy on whole batches), choose diverse neighbours, and are linked both
-ways. It is stored as flat neighbour arrays, one row a shard. Blocks of queries walk every shard's graph; the
-nodes they reach are measured in double precision on the original vectors, and the shards' answers are merged.
+of a batch walk the graph together (numpy on whole batches, in double precision), choose diverse neighbours,
+and are linked both ways. It is stored as flat neighbour arrays, one row a shard. Blocks of queries walk every
+shard's graph; all nodes they reach are measured on the original vectors, and the shards' answers are merged.
+Where all nodes that a walk keeps are as near as its k-th answer, or they are too few or hold too few ids, more
+nodes may tie: such a query is measured against its shard's nodes one by one, so ties go to the smaller id
+whatever their number.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-#: Vectors of a shard, about; queries of a block.
-SHARD, QUERIES = 8192, 1024
+#: Vectors of a shard, about; components of a block of queries, about; queries that walk together.
+SHARD, BLOCK, TOGETHER = 8192, 1 << 19, 1024
+#: Cosines that differ by less may be equal but for rounding.
+TIE = 1e-12
 #: Neighbours of a node on upper layers and on the lowest; nodes kept while building and while searching.
 M, M0, BUILD, SEARCH = 12, 24, 48, 96
 BATCH, SALT = 512, 64
@@ -30,7 +35,7 @@ def walk(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.nda
     All queries advance together: each expands its best node that is not expanded, until it has none.
     """
     q, width = len(queries), links.shape[1]
-    ids, sims, done = np.full((q, keep), -1, np.int32), np.full((q, keep), -2.0, np.float32), np.zeros((q, keep), bool)
+    ids, sims, done = np.full((q, keep), -1, np.int32), np.full((q, keep), -2.0), np.zeros((q, keep), bool)
     seen = np.zeros((q, len(links)), bool)
     rows = np.arange(q)
     ids[:, 0], sims[:, 0] = entry, np.einsum("qd,qd->q", queries, unit[entry])
@@ -48,7 +53,7 @@ def walk(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.nda
         fresh = (near >= 0) & ~seen[active[:, None], near]
         r, c = np.nonzero(fresh)
         seen[active[r], near[r, c]] = True
-        found = np.full((len(active), width), -2.0, np.float32)
+        found = np.full((len(active), width), -2.0)
         found[r, c] = np.einsum("nd,nd->n", unit[near[r, c]], queries[active[r]])
         all_sims = np.concatenate((sims[active], found), axis=1)
         all_ids = np.concatenate((ids[active], np.where(fresh, near, -1)), axis=1)
@@ -117,7 +122,8 @@ def build(unit: np.ndarray, levels: np.ndarray) -> list[np.ndarray]:
         while at < n:
             new = np.arange(at, min(n, at + min(BATCH, at)))
             entry = descend(unit, layers[::-1], unit[new])
-            entry = np.where(entry < at, entry, 0)  # a node of the layer above that is not linked here yet
+            if (late := np.flatnonzero(entry >= at)).size:  # a node of the layer above that is not linked here yet: the nearest that is
+                entry[late] = (unit[new[late]] @ unit[:at].T).argmax(axis=1)
             found, _ = walk(unit, links[:at], unit[new], entry, BUILD)
             near = unit[new] @ unit[new].T
             mates = np.argsort(-near, axis=1, kind="stable")[:, : min(len(new), width // 2 + 1)] + at
@@ -136,10 +142,15 @@ def descend(unit: np.ndarray, layers: list[np.ndarray], queries: np.ndarray) ->
     return entry
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors by a power of two each, so that squares neither overflow nor vanish; cosines stay as they are."""
     wide = vectors.astype(np.float64)
-    wide = wide / np.abs(wide).max(axis=1, keepdims=True)
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+    return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    wide = _scaled(vectors)
+    return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
 def _index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,24 +166,77 @@ def _index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row], columns=["dim", "shard", "vectors", "ids", "ends", "layers"])
 
 
+class Shard:
+    """A shard's nodes: original vectors, ids of each, and the graph; answers queries."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, ends: np.ndarray, layers: list[np.ndarray]):
+        self.ids, self.ends, self.layers = ids, ends, layers
+        self.begins = np.concatenate(([0], ends[:-1]))
+        self.vec, self.unit = _scaled(vectors), _unit(vectors)
+        self.norm = np.sqrt((self.vec * self.vec).sum(axis=1))
+
+    def _rank(self, row: np.ndarray, node: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(row, vec_id, score), the k best of each row's nodes: largest score, then smallest id, each id once and never the query's own."""
+        score = np.empty(len(row))
+        for lo in range(0, len(row), 1 << 16):
+            r, n = row[lo : lo + (1 << 16)], node[lo : lo + (1 << 16)]
+            q = queries[r]
+            score[lo : lo + (1 << 16)] = (self.vec[n] * q).sum(axis=1) / (self.norm[n] * np.sqrt((q * q).sum(axis=1)))
+        count = self.ends[node] - self.begins[node]
+        at = np.repeat(self.begins[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        row, vec_id, score = np.repeat(row, count), self.ids[at], np.repeat(score, count)
+        other = vec_id != own[row]
+        row, vec_id, score = row[other], vec_id[other], score[other]
+        order = np.lexsort((-score, vec_id, row))
+        row, vec_id, score = row[order], vec_id[order], score[order]
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (vec_id[1:] != vec_id[:-1])
+        row, vec_id, score = row[first], vec_id[first], score[first]
+        order = np.lexsort((vec_id, -score, row))
+        row, vec_id, score = row[order], vec_id[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[best], vec_id[best], score[best]
+
+    def answers(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        queries, unit = _scaled(queries), _unit(queries)
+        keep = min(SEARCH, len(self.vec))
+        found, sims = walk(self.unit, self.layers[0], unit, descend(self.unit, self.layers[1:], unit), keep)
+        row, col = np.nonzero(found >= 0)
+        out = self._rank(row, found[row, col], queries, own, k)
+        count = np.bincount(out[0], minlength=len(own))
+        worst = np.full(len(own), np.inf)
+        np.minimum.at(worst, out[0], out[2])
+        # Too few nodes reached, too few ids, or perhaps more nodes as near as the last answer.
+        crowded = (keep < len(self.vec)) & ((found[:, -1] < 0) | (count < k) | (sims[:, -1] >= worst - TIE))
+        parts = [tuple(x[~crowded[out[0]]] for x in out)]
+        again = np.flatnonzero(crowded)
+        for lo in range(0, len(again), 64):
+            own_rows = again[lo : lo + 64]
+            cos = unit[own_rows] @ self.unit.T
+            # As many nodes as can be needed if each holds one other id: the query's own id is on at most as many nodes as it has rows here.
+            need = min(len(self.vec), k + int((self.ids == own[own_rows][:, None]).sum(axis=1).max(initial=0)) + self._repeated)
+            least = -np.partition(-cos, need - 1, axis=1)[:, need - 1 : need]
+            r, n = np.nonzero(cos >= least - TIE)
+            parts.append(self._rank(own_rows[r], n, queries, own, k))
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+
+    @property
+    def _repeated(self) -> int:
+        """How many entries repeat an id that another node has too."""
+        return len(self.ids) - len(np.unique(self.ids))
+
+
 def _search(k: int):
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                vectors = np.frombuffer(row.vectors).reshape(-1, row.dim)
-                ids, ends = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.ends, "<i8")
-                unit, begins = _unit(vectors), np.concatenate(([0], ends[:-1]))
                 layers = [np.frombuffer(x, np.int32).reshape(-1, M if i else M0) for i, x in enumerate(row.layers)]
+                shard = Shard(np.frombuffer(row.vectors).reshape(-1, row.dim), np.frombuffer(row.ids, "<i8"), np.frombuffer(row.ends, "<i8"), layers)
                 queries, own = np.frombuffer(row.queries).reshape(-1, row.dim), np.array(row.query_ids)
-                found, _ = walk(unit, layers[0], _unit(queries), descend(unit, layers[1:], _unit(queries)), SEARCH)
-                # Enough nodes for k answers besides the query's own, and some more against rounding.
-                found = found[:, : k + 4]
-                norm = lambda x: np.sqrt((x * x).sum(axis=-1))
-                with np.errstate(all="ignore"):
-                    score = (vectors[found] * queries[:, None]).sum(axis=2) / (norm(vectors)[found] * norm(queries)[:, None])
-                out = [(own[i], v, score[i, j]) for i in range(len(own)) for j in range(found.shape[1]) if found[i, j] >= 0 for v in ids[begins[found[i, j]] : ends[found[i, j]]] if v != own[i]]
-                if out:
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                for lo in range(0, len(own), TOGETHER):
+                    at, vec_id, score = shard.answers(queries[lo : lo + TOGETHER], own[lo : lo + TOGETHER], k)
+                    if len(at):
+                        yield pd.DataFrame({"query_id": own[lo : lo + TOGETHER][at], "vec_id": vec_id, "score": score})
 
     return run
 
@@ -196,7 +260,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     queries with fewer candidates get all. Null and zero vectors, those that hold null or non-finite
     components, and rows without vec_id take no part; vectors are compared only with those of their length. A
     repeated vec_id with several vectors counts with its best one. Empty tables give an empty result; other
-    columns are ignored.
+    columns are ignored. A repeated query is answered once. Scores are the cosine in double precision; vectors are
+    scaled by powers of two before, so very large and very small ones neither overflow nor vanish.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -205,7 +270,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
 
     made = materialize(index(valid(vectors), k, shard), "ann-index")
     asked = valid(queries)
-    blocks = F.greatest(F.ceil(F.lit(asked.count()) / QUERIES), F.lit(1))
+    blocks = F.greatest(F.ceil(F.lit(asked.count()) * F.size("vec") / BLOCK), F.lit(1))
     flat = F.struct("vec_id", "vec")
     asked = asked.groupBy(F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec_id"), blocks).alias("block")).agg(F.sort_array(F.collect_list(flat)).alias("q"))
 
