@@ -47,6 +47,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with more underscores where df has such columns."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most that many rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,8 +5,9 @@ and due by slot ceil((j + 1) / w); at every slot the released block with the ear
 broken by which window overlaps its successor and then by name. Weights are taken as the exact fractions that they
 are written as, brought to whole units without a common divisor; releases and deadlines are whole-number
 arithmetic on these. The schedule repeats after as many slots as there are units. If they are at most PERIOD,
-one period of it, made on the driver, is all that is needed; else the driver makes the schedule of the blocks
-that there are, one number for each block of documents. A document's slot follows from its block number.
+one period of it, made on the driver, is all that is needed, however many documents there are; else the driver
+makes the schedule of the blocks that there are, one number for each block of documents. Weights that are
+multiples of a millionth of their sum have a period of at most a million. A document's slot follows from its block number.
 Until a source runs out, the share of any source in any prefix differs from its target by less than one block.
 """
 
@@ -22,16 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small
+from .common import free, materialize, small
 
 #: Units for callers of to_units that want weights rounded to a fixed total.
 UNITS = 1000
-#: Slots of the longest period that is sent along with every source.
-PERIOD = 10_000
+#: Slots of the longest period; its table has a row a slot and is broadcast.
+PERIOD = 1_000_000
 #: Documents in a block.
 BLOCK = 16
-#: Documents that one group should hold while documents are numbered.
-GROUP = 2000
+#: Documents that one group should hold while documents are numbered, and groups of a source at most (they grow beyond).
+GROUP, GROUPS = 64, 100_000
 
 
 def to_units(weights: Mapping[str, float], units: int | None = None) -> dict[str, int]:
@@ -80,56 +81,68 @@ def period(units: Mapping[str, int], blocks: Mapping[str, int] | None = None) ->
     return slots
 
 
-def numbered(docs: DataFrame, groups: int, sources: int) -> DataFrame:
-    """docs with `number`, from 0 within each source in order of a hash of the row.
+def _hashable(docs: DataFrame) -> list[str]:
+    return [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
 
-    A source's rows are numbered in groups by leading hash digits, with the counts of all groups before, so
-    no source has to fit one task.
-    """
-    keyed = docs.withColumn("_hash", F.xxhash64("doc_id", "text")).withColumn("_group", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(groups)).cast("int"))
-    counts = materialize(keyed.groupBy("source", "_group").agg(F.count(F.lit(1)).alias("n")), "mixing-counts")
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col("source").alias("_source"), F.col("_group").alias("_g"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("source", "_group").orderBy("_hash", "doc_id", "text"))
-    ranked = keyed.withColumn("_rank", inner)
-    out = ranked.join(F.broadcast(counts) if groups * sources <= 1_000_000 else counts, ranked["source"].eqNullSafe(counts["_source"]) & (ranked["_group"] == counts["_g"]))
-    return out.withColumn("number", F.col("_rank") - 1 + F.col("_before")).drop("_hash", "_group", "_source", "_g", "_before", "_rank")
 
+def numbered(docs: DataFrame, number: str, name: str, sizes: Mapping[str, int]) -> DataFrame:
+    """docs with `number`, from 0 within each source (its name in column `name`, its rows in sizes) in order of a hash of the row.
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """docs (doc_id, text, source and any others) with `slot` and `place`, to be ordered by both.
+    A source's rows are numbered in as many groups by leading hash digits as its size asks for, with the counts of
+    all groups before, so no source has to fit one task. Only the hash is ordered, so columns that the caller does
+    not use are not shuffled.
+    """
+    spark = docs.sparkSession
+    code, group, groups, rank, before = free(docs, "_hash", "_group", "_groups", "_rank", "_before")
+    plan = spark.createDataFrame([(s, max(1, min(GROUPS, n // GROUP))) for s, n in sizes.items()], f"{name} string, {groups} long")
+    keyed = docs.withColumn(code, F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(docs) if c != name]))
+    keyed = keyed.join(small(plan), name).withColumn(group, F.floor(F.shiftrightunsigned(code, 24) * F.col(groups) / (1 << 40)).cast("int")).drop(groups)
+    counts = materialize(keyed.groupBy(name, group).agg(F.count(F.lit(1)).alias("_n")), "mixing-counts")
+    earlier = F.sum("_n").over(Window.partitionBy(name).orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(name, group, F.coalesce(earlier, F.lit(0)).alias(before))
+    inner = F.row_number().over(Window.partitionBy(name, group).orderBy(code))
+    out = keyed.withColumn(rank, inner).join(small(counts), [name, group])
+    return out.withColumn(number, F.col(rank) - 1 + F.col(before)).drop(code, group, before, rank)
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, names: tuple[str, str] = ("slot", "place")) -> DataFrame:
+    """docs (source and any others) with `slot` and `place` (or other names), to be ordered by both.
 
     weights: target weight for each source; by default all sources weigh the same. Every document is kept:
     after a source has run out, the others go on in their proportions. A null source is a source of its own
     (in weights: None). Sources without a weight get the smallest one. Rows that repeat are numbered each. An
-    empty table gives an empty result.
+    empty table gives an empty result. All other columns are kept, whatever their names; those that docs already
+    has under the two new names are replaced.
     """
+    docs = docs.drop(*names)
     counts = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}  # a row a source, as the target weights
     found = sorted(counts, key=lambda s: (s is not None, s))
     given = dict(weights or {})
     least = min(given.values(), default=1.0)
     share = {s: given.get(s, least) for s in found}
     if not share:
-        return docs.withColumns({"slot": F.lit(0).cast("long"), "place": F.lit(0).cast("long")})
-    name = lambda s: "0" if s is None else f"1{s}"
-    own = to_units({name(s): w for s, w in share.items()})
-    total = sum(own.values())
-    groups = max(16, sum(counts.values()) // (GROUP * max(1, len(found) // 4)))
-    j = F.floor(F.col("number") / block)
-    rows = numbered(docs, groups, len(found)).withColumn("_name", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))).withColumn("_block", j)
-    if total <= PERIOD:
-        table = period(own)
-        slots = docs.sparkSession.createDataFrame([(name(s), table[name(s)]) for s in found], "_name string, _slots array<int>")
-        size = F.size("_slots")
-        slot = F.floor(F.col("_block") / size) * total + F.get("_slots", (F.col("_block") % size).cast("int"))
-        rows = rows.join(F.broadcast(slots), "_name")
+        return docs.withColumns({n: F.lit(0).cast("long") for n in names})
+    label = lambda s: "0" if s is None else f"1{s}"
+    own = to_units({label(s): w for s, w in share.items()})
+    whole = sum(own.values()) <= PERIOD
+    sizes = {label(s): n for s, n in counts.items()}
+    name, number, turn, length, at = free(docs, "_name", "_number", "_turn", "_length", "_at")
+    rows = docs.withColumn(name, F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source").cast("string"))))
+    rows = numbered(rows, number, name, sizes)
+    table = period(own, None if whole else {s: -(-n // block) for s, n in sizes.items()})
+    slots = docs.sparkSession.createDataFrame([(s, i, x) for s, xs in table.items() for i, x in enumerate(xs)], f"{name} string, {turn} long, {at} long")
+    lengths = docs.sparkSession.createDataFrame([(s, own[s]) for s in table], f"{name} string, {length} long")
+    j = F.floor(F.col(number) / block)
+    if whole:  # a period, again and again
+        rows = rows.join(small(lengths), name).withColumn(turn, j % F.col(length)).join(small(slots), [name, turn])
+        slot = F.floor(j / F.col(length)) * sum(own.values()) + F.col(at)
     else:
-        table = period(own, {name(s): -(-n // block) for s, n in counts.items()})
-        slots = small(docs.sparkSession.createDataFrame([(s, i, x) for s, xs in table.items() for i, x in enumerate(xs)], "_name string, _block long, _slots long"))
-        slot, rows = F.col("_slots"), rows.join(slots, ["_name", "_block"])
-    return rows.withColumns({"slot": slot.cast("long"), "place": (F.col("number") % block).cast("long")}).drop("_name", "_block", "_slots", "number")
+        rows = rows.withColumn(turn, j).join(small(slots), [name, turn])
+        slot = F.col(at)
+    return rows.withColumns({names[0]: slot.cast("long"), names[1]: (F.col(number) % block).cast("long")}).drop(name, number, turn, length, at)
 
 
 def mixed_in_order(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """docs in mixed order, with their own columns only: each output partition follows the one before."""
-    return mix(docs, weights).orderBy("slot", "place", "doc_id").select(*docs.columns)
+    names = tuple(free(docs, "_slot", "_place"))
+    return mix(docs, weights, names=names).orderBy(*names).select(*docs.columns)

@@ -237,10 +237,14 @@ def test_mixture(spark, docs, awkward):
     table = mixing.period(units)
     for s, slots in by.items():
         own = table[f"1{s}"]
-        assert sorted(slots) == [(j // len(own)) * mixing.UNITS + own[j % len(own)] for j in range(len(slots))]
-    odd = mixing.mix(awkward.drop("slot", "place", "number", "_rank"))
-    assert odd.count() == awkward.count()
+        assert sorted(slots) == [(j // len(own)) * sum(units.values()) + own[j % len(own)] for j in range(len(slots))]
+    clash = awkward.withColumns({c: F.lit("y") for c in ("_name", "_number", "_hash", "_group", "_turn", "_at", "_slot", "_place")})
+    odd = mixing.mix(clash)
+    assert sorted(odd.columns) == sorted(clash.columns) and dict(odd.dtypes)["slot"] == "bigint" and dict(odd.dtypes)["number"] == "string"
+    assert odd.count() == awkward.count() and odd.select("slot", "place").distinct().count() == awkward.count()
     assert mixing.mix(empty(awkward)).count() == 0
+    ordered = mixing.mixed_in_order(clash)
+    assert ordered.columns == clash.columns and {r.slot for r in ordered.collect()} == {"x"}
 
 
 # Language.
