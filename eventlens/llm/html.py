@@ -1,8 +1,10 @@
 """Main-text extraction from web pages by wrapper induction.
 
-Pages of one host come from one template. A bounded sample of a host's different pages is parsed, and their
-trees are aligned by simple tree matching (the largest order-preserving matching of equal labels). Nodes that
-hold the same text in nearly all pages, at a place of their own, are template; the others are slots. Names of classes and
+Pages of one host come from one template. A bounded sample of a host's different pages, of any length and depth,
+is parsed, and their whole trees, menus and footers too, are aligned by simple tree matching (the largest
+order-preserving matching of equal labels). Equal subtrees are matched as such; siblings too many for a table
+are matched by their unique equal subtrees, and between these by label in order, so long pages take linear
+time. Nodes that hold the same text in nearly all pages, at a place of their own, are template; the others are slots. Names of classes and
 ids say that an element is a menu, sidebar, advert and so on only where it does not hold most of the slots'
 text. The wrapper of a layout is the path of the lowest element that holds all remaining slots, and the hashes of template
 texts inside it; a host's sampled pages are first put together by layout. Every page is then cut with its
@@ -16,9 +18,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 from .urlfilter import host_and_path
 
-#: Different pages of a host that its wrapper is made from, and the longest that are used for it.
-SAMPLE, SAMPLE_CHARS = 8, 200_000
+#: Different pages of a host that its wrapper is made from.
+SAMPLE = 8
+#: Cells of a table of siblings, and of all tables of two pages, beyond which siblings are matched in linear time.
+CELLS, ALL_CELLS = 1024, 400_000
 #: Share of the other pages in which a template text stands; pages needed; share of the text it may be at most.
 CONSTANT, LEAST, MOST = 0.9, 4, 0.3
 #: A named element that holds more than this share of the slots' text in most pages that have it is kept; articles that hold as much are the content.
@@ -49,6 +55,8 @@ HOLDERS = frozenset("#root html body main article section div center td".split()
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 #: What a new element ends, if it is open inside the given bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that hold no visible text.
+UNSEEN = frozenset("script style noscript template iframe svg math head title object canvas audio video".split())
 NOT_TEXT = frozenset("nav header footer aside form script style noscript template iframe svg math button select textarea input dialog menu head title object canvas audio video search".split())
 NOT_NAMES = frozenset(
     "nav navbar navigation menu topbar header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion"
@@ -127,6 +135,8 @@ def parse(html: str) -> Node:
                 elif stack[i].tag in bounds or (stack[i].tag in BLOCK and tag not in ENDS):
                     break
         node = _make(tag, raw)
+        if tag == "header" and any(n.tag == "article" for n in stack):  # an article's own heading
+            node.hard = node.out = False
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(html, at)
@@ -251,59 +261,109 @@ def _key(text: str) -> int:
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
 
-def _text(node: Node) -> str:
-    return "\n".join(blocks(node))
+class _Tree:
+    """A node of the trees that are aligned: an element, or a leaf for a text."""
 
+    __slots__ = ("label", "kids", "node", "text", "whole", "full")
 
-class _Leaf:
-    __slots__ = ("label", "kids", "text")
+    def __init__(self, label: str, node: Node | None = None, text: str | None = None):
+        self.label, self.node, self.text, self.kids = label, node, text, []
 
-    def __init__(self, text: str):
-        self.label, self.kids, self.text = "#text", (), text
 
-
-def _tree(node: Node, depth: int = 0):
-    """(label, children) of what may be text: elements and one leaf for each element's own text; deep parts are one leaf."""
-    kids = []
-    for k in node.kids:
-        if isinstance(k, str):
-            text = " ".join(unescape(k).split())
-            if text:
-                kids.append(_Leaf(text))
-        elif not k.out:
-            kids.append(_tree(k, depth + 1) if depth < 60 else _Leaf(_text(k)))
-    return (node.label, kids, node)
-
-
-def _match(a, b, memo: dict) -> float:
-    """Simple tree matching: the weight of the largest matching of two trees; equal texts weigh double."""
-    if isinstance(a, _Leaf) or isinstance(b, _Leaf):
-        return (2.0 if a.text == b.text else 1.0) if isinstance(a, _Leaf) and isinstance(b, _Leaf) else 0.0
-    if a[0] != b[0]:
-        return 0.0
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1.0 + _table(a, b, memo)[len(a[1])][len(b[1])]
-    return memo[key]
-
-
-def _table(a, b, memo: dict) -> list[list[float]]:
-    m = [[0.0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
-    for i, x in enumerate(a[1], 1):
-        for j, y in enumerate(b[1], 1):
-            m[i][j] = max(m[i][j - 1], m[i - 1][j], m[i - 1][j - 1] + _match(x, y, memo))
-    return m
-
-
-def _aligned(a, b, memo: dict) -> Iterator[tuple]:
-    """Pairs of matched nodes of two trees with equal roots."""
-    work = [(a, b)]
-    while work:
-        x, y = work.pop()
-        yield x, y
-        if isinstance(x, _Leaf):
+def _tree(root: Node) -> _Tree:
+    """The tree of all that may be seen, with a hash of each subtree and the weight of its matching with itself."""
+    top = _Tree(root.label, root)
+    order = [top]
+    for tree in order:
+        if tree.node is None:
             continue
-        m, i, j = _table(x, y, memo), len(x[1]), len(y[1])
+        for k in tree.node.kids:
+            if isinstance(k, str):
+                text = " ".join(unescape(k).split())
+                if text:
+                    tree.kids.append(_Tree("#text", text=text))
+            elif k.tag not in UNSEEN:
+                tree.kids.append(_Tree(k.label, k))
+        order += tree.kids
+    for tree in reversed(order):
+        tree.whole = hash((tree.label, tree.text, tuple([k.whole for k in tree.kids])))
+        tree.full = 2.0 if tree.node is None else 1.0 + sum(k.full for k in tree.kids)
+    return top
+
+
+class _Matching:
+    """Simple tree matching of two trees: weights of pairs of nodes and the pairs of children that give them; equal texts weigh double."""
+
+    def __init__(self, a: _Tree, b: _Tree):
+        self.known: dict[tuple[int, int], tuple[float, list[tuple[_Tree, _Tree]]]] = {}
+        self.cells = 0
+        self.a, self.b = a, b
+        self._solve(a, b)
+
+    def _weight(self, x: _Tree, y: _Tree) -> float:
+        if x.whole == y.whole:
+            return x.full
+        if x.label != y.label:
+            return 0.0
+        return 1.0 if x.node is None else self.known[id(x), id(y)][0]
+
+    def _solve(self, a: _Tree, b: _Tree) -> None:
+        """Fills `known` for a and b and all pairs below that matter, children before parents, without recursion."""
+        work: list[tuple] = [(a, b, None)]
+        while work:
+            x, y, plan = work.pop()
+            if (id(x), id(y)) in self.known or x.whole == y.whole:
+                continue
+            if plan is None:
+                plan = self._plan(x.kids, y.kids)
+                work.append((x, y, plan))
+                fixed, tables = plan
+                pairs = fixed + [(p, q) for xs, ys in tables for p in xs for q in ys]
+                work += [(p, q, None) for p, q in pairs if p.node is not None and p.label == q.label]
+            else:
+                fixed, tables = plan
+                matched = list(fixed)
+                for xs, ys in tables:
+                    matched += self._table(xs, ys)
+                self.known[id(x), id(y)] = 1.0 + sum(self._weight(p, q) for p, q in matched), matched
+
+    def _plan(self, xs: list[_Tree], ys: list[_Tree]) -> tuple[list, list]:
+        """Pairs of children that are matched in any case, and stretches of children that a table decides."""
+        lo, n, m = 0, len(xs), len(ys)
+        while lo < min(n, m) and xs[lo].whole == ys[lo].whole:
+            lo += 1
+        while min(n, m) > lo and xs[n - 1].whole == ys[m - 1].whole:
+            n, m = n - 1, m - 1
+        fixed = [*zip(xs[:lo], ys[:lo], strict=True), *zip(xs[n:], ys[m:], strict=True)]
+        xs, ys = xs[lo:n], ys[lo:m]
+        if self._fits(len(xs) * len(ys)):
+            return fixed, [(xs, ys)] if xs and ys else []
+        tables, i, j = [], 0, 0
+        for p, q in [*_anchors(xs, ys), (len(xs), len(ys))]:
+            part, other = xs[i:p], ys[j:q]
+            if part and other:
+                if self._fits(len(part) * len(other)):
+                    tables.append((part, other))
+                else:
+                    fixed += _in_order(part, other)
+            if p < len(xs):
+                fixed.append((xs[p], ys[q]))
+            i, j = p + 1, q + 1
+        return fixed, tables
+
+    def _fits(self, cells: int) -> bool:
+        if cells > CELLS or self.cells + cells > ALL_CELLS:
+            return False
+        self.cells += cells
+        return True
+
+    def _table(self, xs: list[_Tree], ys: list[_Tree]) -> list[tuple[_Tree, _Tree]]:
+        m = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs, 1):
+            row, above = m[i], m[i - 1]
+            for j, y in enumerate(ys, 1):
+                row[j] = max(row[j - 1], above[j], above[j - 1] + self._weight(x, y))
+        out, i, j = [], len(xs), len(ys)
         while i and j:
             if m[i][j] == m[i - 1][j]:
                 i -= 1
@@ -311,7 +371,52 @@ def _aligned(a, b, memo: dict) -> Iterator[tuple]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                work.append((x[1][i], y[1][j]))
+                out.append((xs[i], ys[j]))
+        return out
+
+    def equal_texts(self) -> Iterator[tuple[_Tree, _Tree]]:
+        """Matched leaves that hold the same text."""
+        work = [(self.a, self.b)]
+        while work:
+            x, y = work.pop()
+            if x.whole == y.whole:
+                if x.node is None:
+                    yield x, y
+                work += zip(x.kids, y.kids, strict=True)
+            elif x.node is not None and y.node is not None:
+                work += self.known[id(x), id(y)][1]
+
+
+def _anchors(xs: list[_Tree], ys: list[_Tree]) -> list[tuple[int, int]]:
+    """Places of subtrees that both lists hold once, as many as stand in one order in both."""
+    a, b = Counter(x.whole for x in xs), Counter(y.whole for y in ys)
+    place = {y.whole: j for j, y in enumerate(ys)}
+    both = [(i, place[x.whole]) for i, x in enumerate(xs) if a[x.whole] == 1 and b[x.whole] == 1]
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int | None] = []
+    for k, (_, j) in enumerate(both):
+        n = bisect_left(ends, j)
+        before.append(at[n - 1] if n else None)
+        ends[n:], at[n:] = [j, *ends[n + 1 :]], [k, *at[n + 1 :]]
+    out, k = [], at[-1] if at else None
+    while k is not None:
+        out.append(both[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _in_order(xs: list[_Tree], ys: list[_Tree]) -> list[tuple[_Tree, _Tree]]:
+    """Children of one label each, in order: every x takes the next free y of its label, if that is not far ahead."""
+    out, j = [], 0
+    for i, x in enumerate(xs):
+        # As many may be skipped as the lists differ in length, so one stray label does not use up the rest.
+        for k in range(j, min(len(ys), max(j, i) + 1 + min(abs(len(ys) - len(xs)), 16))):
+            if ys[k].label == x.label:
+                out.append((x, ys[k]))
+                j = k + 1
+                break
+    return out
 
 
 def induce(pages: list[str]) -> dict | None:
@@ -348,12 +453,10 @@ def _induce(group: list[tuple[Node, list, set[int]]]) -> dict | None:
         keep_articles(root)  # names leave nothing out yet
         trees.append(_tree(root))
     same: Counter = Counter()
-    for ref in trees:
-        for other in trees:
-            if other is not ref:
-                for x, y in _aligned(ref, other, {}):
-                    if isinstance(x, _Leaf) and isinstance(y, _Leaf) and x.text == y.text:
-                        same[id(x)] += 1
+    for ref, other in combinations(trees, 2):
+        for x, y in _Matching(ref, other).equal_texts():
+            same[id(x)] += 1
+            same[id(y)] += 1
     others = len(trees) - 1
     have, most = Counter(), Counter()
     for (_, placed, _), ref in zip(group, trees, strict=True):
@@ -402,16 +505,16 @@ def _induce(group: list[tuple[Node, list, set[int]]]) -> dict | None:
     }
 
 
-def _leaves(tree) -> Iterator[tuple]:
+def _leaves(tree: _Tree) -> Iterator[tuple]:
     """(path of labels, leaf, its element) of a tree's texts that are not left out."""
-    work = [(tree, (tree[0],))]
+    work = [(tree, (tree.label,))]
     while work:
-        node, path = work.pop()
-        for k in node[1]:
-            if isinstance(k, _Leaf):
-                yield path, k, node[2]
-            elif not k[2].out:
-                work.append((k, (*path, k[0])))
+        tree, path = work.pop()
+        for k in tree.kids:
+            if k.node is None:
+                yield path, k, tree.node
+            elif not k.node.out:
+                work.append((k, (*path, k.label)))
 
 
 def _article(path: tuple) -> int:
@@ -473,7 +576,7 @@ def _wrappers(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def wrappers(pages: DataFrame, host: Column, sample: int = SAMPLE) -> DataFrame:
     """(host, wrapper as JSON or null) from a bounded sample: for each host one page for each of `sample` hash groups of page texts."""
     html = F.col("html").cast("string")
-    rows = pages.where(html.isNotNull() & (F.length(html) <= SAMPLE_CHARS)).select(host.alias("host"), html.alias("html"), F.xxhash64(html).alias("h"))
+    rows = pages.where(html.isNotNull()).select(host.alias("host"), html.alias("html"), F.xxhash64(html).alias("h"))
     few = rows.groupBy("host", F.pmod("h", F.lit(sample)).alias("g")).agg(F.min_by("html", "h").alias("html"))
     return few.select("host", "html").groupBy("host").applyInPandas(_wrappers, "host string, wrapper string")
 
