@@ -6,7 +6,7 @@ import ipaddress
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,23 @@ def clean_attributes(attributes: Column) -> Column:
     return F.map_filter(attributes, lambda k, v: v.isNotNull() & (v != ""))
 
 
+def last_key_wins(df: DataFrame) -> DataFrame:
+    """df, after its session is told that of equal map keys the last one counts, as in JSON parsers at large.
+
+    Spark's own setting stops the whole job at one record with a repeated or case-clashing key.
+    """
+    df.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    return df
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object's keys and values as text; null for other text. Of repeated keys the last one counts, where last_key_wins holds.
+
+    from_json keeps repeated keys of a map side by side; putting the map together again drops the earlier ones.
+    """
+    return F.map_from_entries(F.map_entries(F.from_json(text, "map<string,string>")))
+
+
 IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import number, resolve, template
+from ..functions.storage import small
 from ..functions.stats import benjamini_hochberg, chi2_p, g_2x2, ks_p_column, normal_p
 from ..plans.windows import AnalysisWindows
 from .charts import one_row
@@ -463,7 +464,7 @@ def recommend_strings(df: DataFrame, most: int = 15, reserve: int = 5) -> DataFr
 
 def suppress(findings: DataFrame, allowed: DataFrame, excluded: DataFrame) -> DataFrame:
     """Without allowed (field, value) pairs and without findings that excluded events represent."""
-    return findings.join(F.broadcast(allowed.select("field", "value")), ["field", "value"], "left_anti").join(F.broadcast(excluded.select("event_id")), "event_id", "left_anti")  # analysts' rows
+    return findings.join(small(allowed.select("field", "value").distinct()), ["field", "value"], "left_anti").join(small(excluded.select("event_id").distinct()), "event_id", "left_anti")
 
 
 def rank_findings(findings: DataFrame, df: DataFrame, limit: int = 100, columns: Sequence[str] = ("message", "artifact")) -> DataFrame:

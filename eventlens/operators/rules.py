@@ -17,16 +17,30 @@ from ..plans.filters import glob_like, java_regex
 MODIFIERS = frozenset("contains startswith endswith cased re i m s cidr lt lte gt gte exists all".split())
 
 
+def ipv6_digits(text: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, a dotted end included; null for all else."""
+    # A dotted end is written as two groups of digits.
+    dotted = F.regexp_extract(text, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    octet = lambda i: F.lpad(F.lower(F.hex(F.get(F.split(dotted, r"\."), i).cast("long"))), 2, "0")
+    plain = F.when(dotted.rlike(IPV4), F.concat(F.regexp_replace(text, r"[\d.]+$", ""), octet(0), octet(1), F.lit(":"), octet(2), octet(3))).otherwise(text)
+    sides = F.split(plain, "::")
+    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda x: x != "")
+    left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
+    gap = F.array_repeat(F.lit("0"), F.when(F.size(sides) == 2, F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0))
+    every = F.concat(left, gap, right)
+    good = plain.contains(":") & (F.size(sides) <= 2) & (F.size(every) == 8) & F.forall(every, lambda x: x.rlike("^[0-9a-fA-F]{1,4}$"))
+    return F.when(good, F.array_join(F.transform(every, lambda x: F.lpad(F.lower(x), 4, "0")), ""))
+
+
 def in_network(text: Column, network: str) -> Column:
-    """An IPv4 address inside a network; false for all else. IPv6 networks match by the prefix of expanded text."""
+    """An address inside a network of its kind, of any prefix length; false for all else."""
     net = ipaddress.ip_network(network, strict=False)
     if net.version == 4:
         lo, hi = int(net.network_address), int(net.broadcast_address)
         return F.coalesce(text.rlike(IPV4) & ipv4_number(text).between(lo, hi), F.lit(False))
-    digits = net.network_address.exploded.replace(":", "")[: net.prefixlen // 4]
-    parts = F.split(F.when(text.contains("::"), F.regexp_replace(text, "::", F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - F.size(F.filter(F.split(text, ":"), lambda x: x != "")))))).otherwise(text), ":")
-    full = F.array_join(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.lpad(F.lower(x), 4, "0")), "")
-    return F.coalesce(text.contains(":") & full.startswith(digits), F.lit(False))
+    # Digits of equal number compare as the addresses do.
+    lo, hi = (f"{int(x):032x}" for x in (net.network_address, net.broadcast_address))
+    return F.coalesce(text.contains(":") & ipv6_digits(text).between(lo, hi), F.lit(False))
 
 
 def match(value: Column, want, modifiers: Sequence[str]) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -55,22 +57,41 @@ def centroids(df: DataFrame, group: str) -> DataFrame:
     return whole.withColumn("n", norm(F.col("mean"))).where("n > 0").select(group, F.transform("mean", lambda x: x / F.col("n")).alias("centroid"))
 
 
+def _pairs(centers: DataFrame, group: str, both: bool) -> DataFrame:
+    """(a, b, c): cosines of pairs of centroids, each once or in both orders.
+
+    Every pair is asked for, in blocks: centroids are dealt to blocks, and pairs of blocks meet by an equi-join, so
+    neither side is broadcast however many groups there are.
+    """
+    n = centers.count()
+    blocks = max(1, int((n / 256) ** 0.5))  # as many pairs of blocks as tasks of 256 x 256 centroids or so ask for
+    side = lambda x, v: centers.select(F.col(group).alias(x), F.col("centroid").alias(v), F.pmod(F.xxhash64(group), F.lit(blocks)).alias("_block"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_other")
+    a = side("a", "u").select("a", "u", F.col("_block").alias("i"), other).withColumnRenamed("_other", "j")
+    b = side("b", "v").select("b", "v", F.col("_block").alias("j"), other).withColumnRenamed("_other", "i")
+    met = a.join(b, ["i", "j"]).where(F.col("a") != F.col("b") if both else F.col("a") < F.col("b"))
+    return met.select("a", "b", cosine(F.col("u"), F.col("v")).alias("c"))
+
+
 def cohesion(centers: DataFrame, group: str) -> DataFrame:
     """One row: the mean cosine of all pairs of centroids (a row a group) and what that says."""
-    a, b = centers.select(F.col(group).alias("a"), F.col("centroid").alias("u")), centers.select(F.col(group).alias("b"), F.col("centroid").alias("v"))
-    pairs = F.broadcast(a).join(b, F.col("a") < F.col("b")).select(cosine(F.col("u"), F.col("v")).alias("c"))
     mean = F.round(F.avg("c"), 6)
-    return pairs.agg(mean.alias("cohesion"), F.count(F.lit(1)).alias("pairs")).withColumn("level", F.when(F.col("cohesion") >= 0.7, "strong").when(F.col("cohesion") >= 0.5, "moderate").otherwise("weak"))
+    return _pairs(centers, group, False).agg(mean.alias("cohesion"), F.count(F.lit(1)).alias("pairs")).withColumn("level", F.when(F.col("cohesion") >= 0.7, "strong").when(F.col("cohesion") >= 0.5, "moderate").otherwise("weak"))
 
 
 def groups(centers: DataFrame, group: str, least: float = 0.6) -> DataFrame:
-    """(group, root): transitive groups of centroids with cosine >= least; labels spread until nothing changes."""
-    a, b = centers.select(F.col(group).alias("a"), F.col("centroid").alias("u")), centers.select(F.col(group).alias("b"), F.col("centroid").alias("v"))
-    links = F.broadcast(a).join(b, F.col("a") != F.col("b")).where(cosine(F.col("u"), F.col("v")) >= least).select("a", "b").checkpoint()
-    labels = centers.select(F.col(group).alias("b"), F.col(group).alias("root")).checkpoint()
+    """(group, root): transitive groups of centroids with cosine >= least; labels spread until nothing changes.
+
+    In every round each group takes the smallest label of its neighbours, and then that label's own label, so
+    chains end in logarithmically many rounds.
+    """
+    links = materialize(_pairs(centers, group, True).where(F.col("c") >= least).select("a", "b"), "similar-links")
+    labels = materialize(centers.select(F.col(group).alias("b"), F.col(group).alias("root")), "similar-labels")
     while True:
         near = links.join(labels, "b").groupBy("a").agg(F.min("root").alias("near"))
-        new = labels.join(near, labels["b"] == near["a"], "left").select("b", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was")).checkpoint()
+        lower = labels.join(near, labels["b"] == near["a"], "left").select("b", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
+        jump = labels.select(F.col("b").alias("root"), F.col("root").alias("next"))
+        new = materialize(lower.join(jump, "root").select("b", F.least("root", "next").alias("root"), "was"), "similar-labels")
         if new.where("root <> was").isEmpty():
             return new.select(F.col("b").alias(group), "root")
         labels = new.select("b", "root")

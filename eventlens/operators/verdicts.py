@@ -9,6 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import small
+
 MOST_ANNOTATED = 100_000
 
 
@@ -30,15 +32,15 @@ def persist_findings(old: DataFrame, findings: DataFrame, detector: str) -> Data
 def without_normal(findings: DataFrame, dispositions: DataFrame, detector: str) -> DataFrame:
     """Without findings that a `normal` verdict covers: by field and value, of this detector or all, or by event."""
     own = dispositions.where((F.col("kind") == "normal") & F.col("detector").isin(detector, "*"))
-    by_value = F.broadcast(own.where("field IS NOT NULL").select("field", "value").distinct())
-    by_event = F.broadcast(own.where("event_id IS NOT NULL").select("event_id").distinct())
+    by_value = small(own.where("field IS NOT NULL").select("field", "value").distinct())
+    by_event = small(own.where("event_id IS NOT NULL").select("event_id").distinct())
     return findings.join(by_value, ["field", "value"], "left_anti").join(by_event, "event_id", "left_anti")
 
 
 def with_verdicts(findings: DataFrame, dispositions: DataFrame) -> DataFrame:
     """Findings with `dismissed` and `confirmed` flags by field and value."""
     flags = dispositions.where("field IS NOT NULL").groupBy("field", "value").agg((F.count_if(F.col("kind") == "dismissed") > 0).alias("dismissed"), (F.count_if(F.col("kind") == "confirmed") > 0).alias("confirmed"))
-    out = findings.join(F.broadcast(flags), ["field", "value"], "left")
+    out = findings.join(small(flags), ["field", "value"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("dismissed", "confirmed")})
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions.fields import effective_time
+from ..functions.storage import new_folder as folder
 from ..sources import exchange as EX
 from ..sources import logs as L
 from ..sources import text as T
@@ -20,11 +18,6 @@ from .sources import ID, IP, K, SEC, USER, _flat, _lines
 IPX = "coalesce(a_src_ip, a_ip_addr)"
 
 
-def folder(spark, name: str) -> str:
-    """A new folder for this call, shared by all executors where the session names one."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{name}-{uuid.uuid4().hex}"
-
-
 def _ms():
     return F.coalesce(F.unix_millis("timestamp"), F.lit(-1)).alias("ms")
 
@@ -108,7 +101,7 @@ def src_csv(spark, sf):
 def src_parquet(spark, sf):
     ev, path = X.events(spark, sf), folder(spark, "interchange")
     ev.withColumns({"file_hash": F.lit("f"), "content_hash": F.sha2("message", 256)}).select(*TL.INTERCHANGE).write.parquet(path)
-    out = T.stamp(TL.read_parquet(spark, path).drop("content_hash").withColumn("raw", F.col("message")), "case-1", "s", "interchange")
+    out = T.stamp(TL.read_parquet(spark, path), "case-1", "s", "interchange")
     return out.select("message", _ms(), "byte_offset", "content_hash", F.array_join("tags", ";").alias("tags"))
 
 
@@ -131,7 +124,46 @@ def byte_offset(spark, sf):
     """Offsets and numbers of the lines of a text made from the customers, written as part files that follow one another."""
     path = folder(spark, "lines")
     X.read(spark, sf, "customer").orderBy("c_custkey").select(F.concat("c_name", F.lit(" é "), F.col("c_custkey").cast("string")).alias("value")).write.text(path)
-    return T.lines_of_parts(T.read_parts_with_offsets(spark, path)).select("byte_offset", "line_number", "raw")
+    return T.as_one_file(T.read_with_offsets(spark, path))
+
+
+@query("file_hash", "SELECT sha256(string_agg(c_name, ',' ORDER BY c_custkey) || chr(10)) AS file_hash FROM customer GROUP BY c_nationkey")
+def file_hash(spark, sf):
+    """Hashes of whole files, one of each nation's customers; files whose hash is known are no new ones."""
+    path = folder(spark, "files")
+    names = X.read(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("c"))
+    names.select("c_nationkey", F.array_join(F.transform("c", lambda x: x["c_name"]), ",").alias("value")).write.partitionBy("c_nationkey").text(path)
+    hashes = T.file_hashes(spark, path)
+    return T.new_files(hashes.unionByName(hashes), hashes.where("false")).select("file_hash")
+
+
+@query(
+    "src_csv_records",
+    X.sql("""SELECT event_id, sha256('"' || event_id || '";"' || replace(message || chr(10) || 'said "' || artifact || '"', '"', '""') || '";"' || a_ua || '"') AS content_hash, true AS own_id FROM ev"""),
+)
+def src_csv_records(spark, sf):
+    """A timeline's records keep their raw text's hash, and an id each: own_id says that no other record has it."""
+    ev, path = X.events(spark, sf), folder(spark, "csv")
+    text = F.concat("message", F.lit('\nsaid "'), "artifact", F.lit('"'))
+    rows = ev.select(F.col("event_id").alias("id"), text.alias("Message"), F.col("attributes")["ua"].alias("ua"))
+    rows.write.options(header=True, sep=";", quote='"', escape='"', quoteAll=True).csv(path)
+    out = T.stamp(TL.read_csv(spark, path).withColumn("file_hash", F.sha2("source_file", 256)), "case-1", "s", "csv")
+    twice = out.groupBy("event_id").count().where("count > 1").select("event_id", F.lit(False).alias("own"))
+    return out.join(twice, "event_id", "left").select(F.col("attributes")["id"].alias("event_id"), "content_hash", F.coalesce("own", F.lit(True)).alias("own_id"))
+
+
+DIRTY = X.sql("SELECT event_id, 'second ' || a_k AS message, a_k AS k, 'upper' AS \"A\", CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN 'flat' ELSE 'deep' END AS \"a.b\" FROM ev WHERE ms IS NOT NULL AND CAST(event_id AS BIGINT) % 9 <> 0")
+
+
+@query("src_jsonl_dirty", DIRTY)
+def src_jsonl_dirty(spark, sf):
+    """Lines with repeated and case-clashing keys, flattened keys that clash, and lines cut off: none stops the job."""
+    clash = F.when(ID() % 3 == 0, '{"b":"deep"},"a.b":"flat"').otherwise('{"b":"deep"}')
+    body = F.concat(F.lit('{"Message":"first","message":"second '), K(), F.lit('","id":"'), "event_id", F.lit('","k":"0","k":"'), K(), F.lit('","A":"upper","a":'), clash, F.lit("}"))
+    lines = _lines(spark, sf, F.when(ID() % 9 == 0, F.substring(body, 1, 40)).otherwise(body))
+    deep = lines.select("event_id", L.flat_json(F.col("raw")).alias("m"))
+    out = TL.from_json_lines(lines).join(deep, "event_id")
+    return out.select("event_id", "message", *_flat("k", "A"), F.col("m")["a.b"].alias("a.b"))
 
 
 def _stream_files(spark, sf) -> tuple[str, object]:

@@ -171,10 +171,6 @@ def emb_cohesion(spark, sf):
 
 @query("emb_groups", f"WITH RECURSIVE {CENTER[5:]}, k AS (SELECT a.label AS a, b.label AS b FROM c a JOIN c b ON a.label <> b.label AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.05), r AS (SELECT label AS a, label AS root FROM c UNION SELECT k.a, r.root FROM k JOIN r ON k.b = r.a) SELECT a AS label, min(root) AS root FROM r GROUP BY a")
 def emb_groups(spark, sf):
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return S.groups(S.centroids(X.read(spark, sf, "embeddings"), "label"), "label", 0.05)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import normalize as N
+from ..functions.storage import new_folder
 from ..sources import exchange as EX
 from ..sources import logs as L
 from ..sources import text as T
@@ -215,10 +216,7 @@ def imp_case(spark, sf):
 @query("exp_case", X.sql("SELECT source_id, count(*) AS n, CAST(sum(length(message)) AS BIGINT) AS chars, CAST(sum(coalesce(ms, 0)) AS BIGINT) AS ms FROM ev GROUP BY source_id"))
 def exp_case(spark, sf):
     """Written by source into the shared folder and read again."""
-    import tempfile
-    import uuid
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/case-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "case")
     EX.export_case(X.events(spark, sf), "case-1", folder)
     return EX.read_events(spark, folder).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars"), F.sum(F.coalesce(F.unix_millis("timestamp"), F.lit(0))).alias("ms"))
 

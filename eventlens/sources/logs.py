@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import IPV4, clean_attributes
+from ..functions.normalize import IPV4, clean_attributes, json_map, last_key_wins
 from .text import attributes_of
 
 
@@ -19,7 +19,7 @@ def _x(pattern: str, i: int, column: str = "raw") -> Column:
 
 def _event(lines: DataFrame, ok: Column, ts: Column, message: Column, artifact, attributes: Column, desc: str = "Log Entry", tags: Column | None = None) -> DataFrame:
     artifact = F.lit(artifact) if isinstance(artifact, str) else artifact
-    return lines.withColumns({"ok": F.coalesce(ok, F.lit(False)), "timestamp": ts, "timestamp_desc": F.lit(desc), "message": message, "artifact": artifact, "artifact_long": F.lit(""), "display_name": F.lit(""), "tags": tags if tags is not None else F.array().cast("array<string>"), "attributes": attributes})
+    return last_key_wins(lines).withColumns({"ok": F.coalesce(ok, F.lit(False)), "timestamp": ts, "timestamp_desc": F.lit(desc), "message": message, "artifact": artifact, "artifact_long": F.lit(""), "display_name": F.lit(""), "tags": tags if tags is not None else F.array().cast("array<string>"), "attributes": attributes})
 
 
 def _blank(c: Column) -> Column:
@@ -161,8 +161,8 @@ def filterlog(lines: DataFrame, year: int | None = None) -> DataFrame:
 
 def flat_json(raw: Column) -> Column:
     """Top-level values of a JSON object as text; nested objects one level down as dotted keys."""
-    top = F.from_json(raw, "map<string,string>")
-    nested = F.flatten(F.transform(F.map_entries(top), lambda e: F.when(e["value"].startswith("{"), F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda i: F.struct(F.concat_ws(".", e["key"], i["key"]).alias("key"), i["value"].alias("value")))).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
+    top = json_map(raw)
+    nested = F.flatten(F.transform(F.map_entries(top), lambda e: F.when(e["value"].startswith("{"), F.transform(F.map_entries(json_map(e["value"])), lambda i: F.struct(F.concat_ws(".", e["key"], i["key"]).alias("key"), i["value"].alias("value")))).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
     return F.map_from_entries(F.filter(nested, lambda p: p["value"].isNotNull() & (p["value"] != "") & (p["value"] != "null")))
 
 
@@ -216,7 +216,7 @@ PRIORITIES = ("emergency", "alert", "critical", "error", "warning", "notice", "i
 
 def journal(lines: DataFrame) -> DataFrame:
     """Journal JSON export: microsecond epoch, priority names, lists joined by spaces, the message's first address."""
-    rows = lines.withColumn("_m", F.from_json("raw", "map<string,string>"))
+    rows = lines.withColumn("_m", json_map(F.col("raw")))
     m = lambda k: F.col("_m")[k]
     joined = F.transform_values("_m", lambda k, v: F.when(v.startswith("["), F.array_join(F.from_json(v, "array<string>"), " ")).otherwise(v))
     text = F.when(m("MESSAGE").startswith("["), F.array_join(F.from_json(m("MESSAGE"), "array<string>"), " ")).otherwise(m("MESSAGE"))
@@ -230,9 +230,9 @@ def journal(lines: DataFrame) -> DataFrame:
 
 def web_honeypot(lines: DataFrame) -> DataFrame:
     """HTTP honeypot JSON: headers, effective client, URL parts, a request-forgery target, JSON-RPC fields."""
-    rows = lines.withColumn("_m", F.from_json("raw", "map<string,string>"))
+    rows = lines.withColumn("_m", json_map(F.col("raw")))
     m = lambda k: F.col("_m")[k]
-    headers = F.from_json(F.coalesce(m("headers"), F.lit("{}")), "map<string,string>")
+    headers = json_map(F.coalesce(m("headers"), F.lit("{}")))
     rows = rows.withColumn("_h", F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
     head = lambda k: F.col("_h")[k]
     client = F.coalesce(head("x-real-ip"), F.trim(F.get(F.split(head("x-forwarded-for"), ","), 0)), m("src_ip"))
@@ -284,7 +284,7 @@ def _windows(rows: DataFrame, event: Column, time: Column, host: Column, channel
 def windows_json(lines: DataFrame) -> DataFrame:
     """JSON lines with Event.System and Event.EventData."""
     get = lambda p: F.get_json_object("raw", f"$.Event.{p}")
-    data = F.coalesce(F.from_json(get("EventData"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    data = F.coalesce(json_map(get("EventData")), F.create_map().cast("map<string,string>"))
     event = F.coalesce(F.get_json_object("raw", "$.Event.System.EventID.#text"), get("System.EventID"))
     return _windows(lines, event, F.coalesce(get("System.TimeCreated.#attributes.SystemTime"), get("System.TimeCreated")), get("System.Computer"), get("System.Channel"), data)
 

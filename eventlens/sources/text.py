@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.normalize import clean_attributes, event_id
+from ..functions.storage import running_sums
 
 #: What parsers return, before provenance.
 PARSED = ("timestamp", "timestamp_desc", "message", "artifact", "artifact_long", "display_name", "tags", "attributes")
@@ -20,42 +20,25 @@ def read_lines(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
 
 
 def read_with_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(byte_offset, raw) of one file's lines, offsets exact for UTF-8; splits are read in parallel.
+    """(source_file, byte_offset, line_number, raw) of the lines of a file, or of all files below a folder.
 
-    Hadoop's text input format gives offsets, which Spark's own text source does not.
+    Offsets are exact bytes in each file, line numbers begin at 1; lines end at line feeds, and a carriage return
+    before is dropped from raw. Each file block's lines are added up by themselves, so a large file is no one task's.
     """
-    lines = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    schema = T.StructType([T.StructField("byte_offset", T.LongType()), T.StructField("raw", T.StringType())])
-    return spark.createDataFrame(lines, schema)
+    rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    sums = {"byte_offset": F.octet_length("raw").cast("long") + 1, "_before": F.lit(1).cast("long")}
+    out = running_sums(rows, ["source_file"], "_block", ["_at"], sums)
+    return out.select("source_file", "byte_offset", (F.col("_before") + 1).alias("line_number"), F.regexp_replace("raw", "\r$", "").alias("raw"))
 
 
-def read_parts_with_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, start, byte_offset, raw) of the lines of a folder's files: offsets in each file, and the bytes of all files before it by name."""
-    files = sorted(spark.read.format("binaryFile").load(path).select("path", "length").collect())  # a row a file; contents are not read
-    out, start = spark.createDataFrame([], "source_file string, start long, byte_offset long, raw string"), 0
-    for file, length in files:
-        out = out.unionByName(read_with_offsets(spark, file).withColumns({"source_file": F.lit(file), "start": F.lit(start).cast("long")}))
-        start += length
-    return out
-
-
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Adds line_number from 1 by file: lines before are counted in ranges of offsets first, so no file is sorted in one task."""
-    by = [c for c in ("source_file",) if c in lines.columns]
-    lines = lines.withColumn("_range", F.floor(F.col("byte_offset") / (8 << 20)))
-    counts = lines.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).drop("_n")  # a row for each 8 MB
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("byte_offset"))
-    return lines.withColumn("_at", inside).join(counts, [*by, "_range"]).withColumn("line_number", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
-
-
-def lines_of_parts(parts: DataFrame) -> DataFrame:
-    """(byte_offset, line_number, raw) of lines of part files (source_file, start, byte_offset, raw) as if they were one file."""
-    counts = parts.groupBy("source_file", "start").agg(F.count(F.lit(1)).alias("_n"))  # a row a file
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = with_line_numbers(parts).join(F.broadcast(counts.select("source_file", before.alias("_lines"))), "source_file")
-    return rows.select((F.col("start") + F.col("byte_offset")).alias("byte_offset"), (F.col("_lines") + F.col("line_number")).alias("line_number"), "raw")
+def as_one_file(lines: DataFrame) -> DataFrame:
+    """(byte_offset, line_number, raw) of lines of part files that end with a line feed, as if these were one file, in the order of their names."""
+    sizes = lines.groupBy("source_file").agg(F.max(F.struct("byte_offset", (F.col("byte_offset") + F.octet_length("raw") + 1).alias("end"), "line_number")).alias("last"))  # a row a file
+    earlier = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(f"last.{c}").over(earlier), F.lit(0))
+    sizes = sizes.select("source_file", before("end").alias("_bytes"), before("line_number").alias("_lines"))
+    return lines.join(sizes, "source_file").select((F.col("_bytes") + F.col("byte_offset")).alias("byte_offset"), (F.col("_lines") + F.col("line_number")).alias("line_number"), "raw")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -70,13 +53,21 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def stamp(parsed: DataFrame, case_id: str, source_id: str, parser: str, version: str = "1") -> DataFrame:
-    """Parsed rows (with raw, file_hash and byte_offset where known) as events with deterministic ids."""
+    """Parsed rows as events with deterministic ids.
+
+    Rows need raw, a content_hash or a byte_offset: without any, all rows of a file would get one id, so they are
+    refused. A content_hash that the rows bring is kept.
+    """
+    if not {"raw", "content_hash", "byte_offset"} & set(parsed.columns):
+        raise ValueError("rows without raw text, content_hash or byte_offset cannot be told apart")
     for name, kind in (("raw", "string"), ("file_hash", "string"), ("source_file", "string"), ("byte_offset", "long"), ("line_number", "long")):
         if name not in parsed.columns:
             parsed = parsed.withColumn(name, F.lit(None).cast(kind))
+    own = F.sha2("raw", 256)
+    own = F.coalesce("content_hash", own) if "content_hash" in parsed.columns else own
     out = parsed.withColumns(
         {
-            "case_id": F.lit(case_id), "source_id": F.lit(source_id), "parser_name": F.lit(parser), "parser_version": F.lit(version), "content_hash": F.sha2("raw", 256),
+            "case_id": F.lit(case_id), "source_id": F.lit(source_id), "parser_name": F.lit(parser), "parser_version": F.lit(version), "content_hash": own,
             "message": F.coalesce(F.nullif("message", F.lit("")), "raw"), "attributes": clean_attributes(F.col("attributes")),
             **{c: F.coalesce(c, F.lit("")) for c in ("timestamp_desc", "artifact", "artifact_long", "display_name")},
         }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import clean_attributes, parse_time, split_tags
+from ..functions.normalize import clean_attributes, json_map, last_key_wins, parse_time, split_tags
+from ..functions.storage import running_sums
+from .text import read_with_offsets
 
 #: Header names (lower case) and the event columns they fill; the later of two wins.
 KNOWN = {"message": "message", "msg": "message", "timestamp": "timestamp", "datetime": "timestamp", "timestamp_desc": "timestamp_desc", "tag": "tags", "tags": "tags", "artifact": "artifact", "data_type": "artifact", "artifact_long": "artifact_long", "display_name": "display_name"}
@@ -37,19 +41,46 @@ def sniff(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
+def _records(lines: DataFrame) -> DataFrame:
+    """CSV records (source_file, byte_offset, line_number, raw) from lines: one goes on while a quote is open.
+
+    Quotes before each line are counted in blocks of offsets, so a file is no one task's. A quote that is never
+    closed makes the rest of its file one record.
+    """
+    quotes = F.length("raw") - F.length(F.replace("raw", F.lit('"')))
+    lines = lines.withColumns({"_own": quotes.cast("long"), "_block": F.floor(F.col("byte_offset") / (8 << 20))})
+    lines = running_sums(lines, ["source_file"], "_block", ["byte_offset"], {"_open": F.col("_own")})
+    begins, ends = F.col("_open") % 2 == 0, (F.col("_open") + F.col("_own")) % 2 == 0
+    keep = ["source_file", "byte_offset", "line_number", "raw"]
+    parts = lines.where(~(begins & ends))
+    parts = running_sums(parts, ["source_file"], "_block", ["byte_offset"], {"_earlier": begins.cast("long")}).withColumn("_record", F.col("_earlier") + begins.cast("long"))
+    whole = parts.groupBy("source_file", "_record").agg(F.array_sort(F.collect_list(F.struct("byte_offset", "line_number", "raw"))).alias("p"))
+    whole = whole.select("source_file", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.col("p")[0]["line_number"].alias("line_number"), F.array_join(F.transform("p", lambda x: x["raw"]), "\n").alias("raw"))
+    return lines.where(begins & ends).select(*keep).unionByName(whole.select(*keep))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A timeline CSV: delimiter from the header, doubled quotes, quoted line breaks kept."""
-    first = spark.read.text(path).first()
+    """A timeline CSV, or a folder of such files with one header: delimiter from the header, doubled quotes, quoted line breaks kept.
+
+    Each row has its record's source_file, byte_offset, line_number and raw text. Blank records are dropped; of
+    repeated column names the last one counts.
+    """
+    lines = read_with_offsets(spark, path)
+    first = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).first()
     if first is None:
-        return spark.createDataFrame([], "raw string").withColumns(_columns([])).drop("raw")
-    sep = sniff(first.value)
-    rows = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=sep, mode="PERMISSIVE").csv(path)
-    return rows.select(*[c.alias(n) for n, c in _columns([(n, F.col(f"`{n}`")) for n in rows.columns]).items()])
+        return last_key_wins(lines).withColumns(_columns([]))
+    header = first.value.lstrip("\ufeff").rstrip("\r")
+    sep = sniff(header)
+    names = next(csv.reader([header], delimiter=sep))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = _records(lines).where((F.col("byte_offset") > 0) & (F.trim("raw") != ""))
+    rows = last_key_wins(rows).withColumn("_c", F.from_csv("raw", F.lit(schema), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}))
+    return rows.withColumns(_columns([(n, F.col(f"_c.c{i}")) for i, n in enumerate(names)])).drop("_c")
 
 
 def from_json_lines(lines: DataFrame) -> DataFrame:
-    """Lines (raw) that are JSON objects; nested values stay JSON text; others are dropped."""
-    rows = lines.withColumn("m", F.from_json("raw", "map<string,string>")).where("m IS NOT NULL AND ltrim(raw) LIKE '{%'")
+    """Lines (raw) that are JSON objects; nested values stay JSON text; others are dropped. Of equal keys the last one counts."""
+    rows = last_key_wins(lines).withColumn("m", json_map(F.col("raw"))).where("m IS NOT NULL AND ltrim(raw) LIKE '{%'")
     lower = F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     rows = rows.withColumn("l", lower)
     get = lambda *names: F.coalesce(*[F.nullif(F.col("l")[n], F.lit("")) for n in names], F.lit(""))

@@ -233,7 +233,7 @@ def test_json_lines_skip_garbage(spark):
 
 def test_offsets_and_reading_twice(spark, tmp_path):
     (tmp_path / "x.log").write_text("één\ntwo\n\nfour\n", encoding="utf-8")
-    rows = text.with_line_numbers(text.read_with_offsets(spark, str(tmp_path / "x.log"))).orderBy("byte_offset").collect()
+    rows = text.read_with_offsets(spark, str(tmp_path / "x.log")).orderBy("byte_offset").collect()
     assert [(r.byte_offset, r.line_number, r.raw) for r in rows] == [(0, 1, "één"), (6, 2, "two"), (10, 3, ""), (11, 4, "four")]
     one = spark.createDataFrame([("é",)], "raw string").withColumns({"message": F.lit(""), "timestamp": F.lit(None).cast("timestamp"), "timestamp_desc": F.lit(""), "artifact": F.lit(""), "artifact_long": F.lit(""), "display_name": F.lit(""), "tags": F.array().cast("array<string>"), "attributes": F.create_map().cast("map<string,string>")})
     a, b = text.stamp(one, "c", "s", "p"), text.stamp(one, "c", "s", "p")

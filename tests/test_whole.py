@@ -55,7 +55,7 @@ def test_streams_leave_their_rows_in_files(spark, many, tmp_path):
 def test_offsets_over_part_files(spark, tmp_path):
     lines = [f"é line {i}" * (i % 5 + 1) for i in range(200)]
     spark.createDataFrame(list(enumerate(lines)), "i int, value string").repartitionByRange(4, "i").sortWithinPartitions("i").select("value").write.text(f"{tmp_path}/t")
-    parts = text.read_parts_with_offsets(spark, f"{tmp_path}/t")
+    parts = text.read_with_offsets(spark, f"{tmp_path}/t")
     assert parts.select("source_file").distinct().count() == 4
     starts = np.cumsum([0] + [len(x.encode()) + 1 for x in lines])
-    assert sorted(tuple(r) for r in text.lines_of_parts(parts).collect()) == [(int(a), i + 1, x) for i, (a, x) in enumerate(zip(starts, lines))]
+    assert sorted(tuple(r) for r in text.as_one_file(parts).collect()) == [(int(a), i + 1, x) for i, (a, x) in enumerate(zip(starts, lines))]
