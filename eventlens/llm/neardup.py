@@ -30,6 +30,8 @@ REGISTERS = ROWS * BANDS
 SLACK = 0.13
 #: Members of a bucket that are paired by a join; members and characters of a block in larger buckets.
 SMALL, BLOCK_ROWS, BLOCK_CHARS = 16, 512, 2_000_000
+#: A class of more rows than HOT_ROWS, and than this share of all rows, is broadcast when copies are told their class.
+HOT_ROWS, HOT_CLASSES = 1000, 100_000
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -87,14 +89,13 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for i, row, key in zip(full, r, band_keys(r), strict=True):
                     own = np.unique(h[at[i] : at[i + 1]])
                     n[i], keys[i], regs[i], digest[i] = len(own), key, row.tobytes(), hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": n, "digest": digest, "regs": regs, "bands": keys})
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h": part["h"].to_numpy(), "n_shingles": n, "digest": digest, "regs": regs, "bands": keys})
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, regs, bands) for every row; the last three null for an empty set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        _sketch, "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>"
-    )
+    """(doc_id, h, n_shingles, digest, regs, bands) for every row, h a hash of the text; the last three null for an empty set."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("h", F.xxhash64("text")).mapInPandas(_sketch, "doc_id long, h long, n_shingles long, digest binary, regs binary, bands array<long>")
 
 
 def _screen(percent: int):
@@ -141,7 +142,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, n
 
 def _compare_blocks(percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+        pdf = pdf.drop_duplicates(["node", "h"]).sort_values(["node", "h"], ignore_index=True)
         node, comp, block, n = pdf["node"].to_numpy(), pdf["comp"].to_numpy().copy(), pdf["block"].to_numpy(), pdf["n_shingles"].to_numpy(float)
         regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(len(pdf), REGISTERS)
         keys = band_keys(regs)
@@ -175,15 +176,17 @@ def _linked_in_blocks(rest: DataFrame, nodes: DataFrame, docs: DataFrame, percen
 
     A bucket's members are dealt to blocks of bounded number and text size, and each pair of blocks is one
     group: pairs are estimated and confirmed in place, so only true links become rows. A pair is compared in
-    the first band that it shares only, and not at all once its components are linked in the group.
+    the first band that it shares only, and not at all once its components are linked in the group. A doc_id with
+    several texts has a member for each, with the registers of that text.
     """
-    texts = materialize(docs.join(small(rest.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").distinct(), "neardup-block-texts")
-    full = rest.join(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "regs"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    texts = docs.join(small(rest.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
+    texts = materialize(texts.dropDuplicates(["doc_id", "h"]), "neardup-block-texts")
+    full = rest.join(nodes.select(F.col("doc_id").alias("node"), "h", "n_shingles", "regs"), "node").join(texts.withColumnRenamed("doc_id", "node"), ["node", "h"])
     full = materialize(full, "neardup-block-rows")
     blocks = full.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    full = full.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = full.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "h"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = full.select("bucket", "node", "comp", "n_shingles", "regs", "text", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = full.select("bucket", "node", "h", "comp", "n_shingles", "regs", "text", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     return materialize(dealt.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long"), "neardup-block-links")
 
 
@@ -202,10 +205,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = materialize(sketches(docs), "neardup-sketches")
     full = every.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(full.select("doc_id", "n_shingles", "digest").join(classes, "digest"), "neardup-copies")
-    reps = copies.where("doc_id = rep").select("doc_id", "digest").distinct()
-    nodes = full.select("doc_id", "n_shingles", "digest", "regs", "bands").join(reps, ["doc_id", "digest"], "left_semi")
+    # Only texts that occur more than once need their class looked up; the few classes of very many are broadcast.
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = materialize(classes, "neardup-classes")
+    hot = classes.where(F.col("n") > max(HOT_ROWS, every.count() // HOT_CLASSES)).select("digest", F.col("rep").alias("hot_rep"))  # HOT_CLASSES rows at most
+    sets = full.select("doc_id", "h", "n_shingles", "digest").join(F.broadcast(hot), "digest", "left")
+    rest = small(classes.join(F.broadcast(hot), "digest", "left_anti").select("digest", "rep"))
+    cold = sets.where("hot_rep IS NULL").drop("hot_rep").join(rest, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    copies = materialize(cold.unionByName(sets.where("hot_rep IS NOT NULL").withColumnRenamed("hot_rep", "rep"), allowMissingColumns=True), "neardup-copies")
+    # Of each class the row of smallest doc_id; a doc_id may be in several classes, with a text in each.
+    reps = copies.where("doc_id = rep").groupBy("doc_id", "digest").agg(F.min("h").alias("h"))
+    nodes = full.select("doc_id", "h", "n_shingles", "digest", "regs", "bands").join(reps, ["doc_id", "digest", "h"], "left_semi")
     nodes = materialize(nodes.dropDuplicates(["doc_id", "digest"]), "neardup-nodes")
     bands = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("bucket", "hub")
