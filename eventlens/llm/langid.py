@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held_out, small_batches
+from .common import held_out, materialize, small, small_batches
 
-#: Bounds of the training sample: documents, and characters from a place of each that its hash decides.
-SAMPLE, STRETCH = 3000, 240
+#: Bound of the training sample, in documents; their texts are used whole.
+SAMPLE = 3000
 #: Groups in which the documents of a language are ranked first.
 SALTS = 64
 HIDDEN, STEPS, LANES, UPDATES, RATE = 12, 96, 192, 180, 0.014
-#: A text is read in stretches of so many bytes, all of them, so many stretches at a time.
+#: A text is read in stretches of so many bytes, all of them, so many stretches at a time. Both states begin anew
+#: in each stretch, of documents of any length: a position sees the bytes of its own stretch.
 READ, WIDE = 256, 2048
 
 
@@ -196,18 +197,20 @@ def probabilities(net: Network, texts: list[bytes], labels: bool = False) -> tup
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from docs (doc_id, text, lang): those with a language and a letter that are not held out.
 
-    A bounded sample is used: of each language an equal part of `sample`, its documents of smallest hash, and of each
-    at most STRETCH characters from a place that its hash decides. None if there is no such document.
+    A bounded sample is used: of each language an equal part of `sample`, its documents of smallest hash, with their
+    whole texts; every step of the training reads places of them anew. None if there is no such document.
     """
-    text, h = F.lower(F.col("text").cast("string")), F.xxhash64("doc_id", "text")
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    begin = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - STRETCH, F.lit(1))).cast("int")
-    rows = rows.select(F.substr(text, begin, F.lit(STRETCH)).alias("part"), F.col("lang").cast("string").alias("lang"), h.alias("h"))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    rows = usable.select(F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
     each = -(-sample // max(1, docs.select("lang").where("lang IS NOT NULL").distinct().count()))
-    # Ranked in salted groups first, so no language has to be sorted in one task.
+    picked = rows.select("lang", "h")
+    # Hashes are ranked, not texts, and in salted groups first, so no language has to be sorted in one task.
     for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= each).drop("r")
-    got = [(r.part.encode("utf-8", "replace"), r.lang) for r in rows.orderBy("h", "lang").collect() if r.part]
+        picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= each).drop("r")
+    picked = materialize(picked.distinct(), "langid-sample")
+    # A row that repeats counts once.
+    few = rows.join(small(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = [(r.text.encode("utf-8", "replace"), r.lang) for r in sorted(few.collect(), key=lambda r: (r.h, r.lang))]
     return train([t for t, _ in got], [x for _, x in got]) if got else None
 
 
@@ -216,7 +219,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
     lang_pred is `und` with score 0 if the text is null or has no letter, or if there is no network;
     otherwise the language of largest mean probability over all bytes (lower-cased), ties to the first by
-    name, and score that mean. Every text is read whole. Rows that repeat a doc_id are judged each; a null
+    name, and score that mean. Every text is read whole, in stretches of READ bytes that are judged each by itself. Rows that repeat a doc_id are judged each; a null
     doc_id is not held out; an empty table gives an empty result; other columns are ignored.
     """
     text = F.col("text").cast("string")
