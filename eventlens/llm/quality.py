@@ -81,13 +81,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from labels.quality of documents that are not held out.
 
     A bounded sample is used: of each label the `sample` labelled ids of smallest hash. Each one's features
-    are computed in tasks from its whole text, at most 2**BITS of them.
+    are computed in tasks from its whole text, at most 2**BITS of them. An id that repeats in docs or labels
+    counts once for each label, with the text of smallest hash.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
     picked = [known.where(F.col("quality") == y).distinct().orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # two samples at most
+    rows = rows.groupBy("doc_id", "quality", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("doc_id", "quality", "h", "text").mapInPandas(_featurize, "doc_id long, quality int, h long, idx binary, val binary").collect()
     got.sort(key=lambda r: (r.h, r.doc_id, r.quality, r.idx))
     return train([(np.frombuffer(r.idx, "<u4").astype(np.int64), np.frombuffer(r.val, "<f4").astype(float), r.quality) for r in got])
