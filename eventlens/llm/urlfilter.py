@@ -3,6 +3,8 @@
 The trees learn from the URLs that a rule decides. Features: lengths of URL, host and path, numbers of host
 labels and path segments, digit ratio, character entropy of host and of path, numbers of parameters, hyphens
 and other marks, and two statistics of the host's last label: how common it is and how often rules block it.
+The latter is taken out of fold: a URL that a rule decides sees the counts of other folds of URLs only, so its
+own verdict is no part of its features.
 Everything runs in DataFrame operations and Spark's own tree learner.
 """
 
@@ -30,6 +32,8 @@ SAMPLE = 10_000
 TREES, DEPTH = 12, 4
 #: The last labels of hosts are hashed into so many groups, so their statistics are a table of known size.
 SUFFIXES = 1024
+#: Folds of URLs by hash, for statistics that must not hold a URL's own verdict.
+FOLDS = 5
 MARKS = 96
 
 
@@ -89,7 +93,7 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, learn: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, method_score for every row of pages (page_id, url).
 
     verdict is the rule's, or else that of the trees: block if their probability is 0.5 or more. Null URLs and
@@ -97,23 +101,31 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     there is nothing to learn: all others get the one verdict that occurs, or allow. Rows that repeat a
     page_id are judged each; an empty table gives an empty result; other columns are ignored. The trees learn
     from a bounded sample (`sample` URLs for each verdict, of smallest hash); suffix statistics use all rows.
+    learn: a condition on pages; only rows that meet it may teach the trees and the statistics of verdicts (by
+    default all), so the rest can be held out.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
-    rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "found.*")
-    rows = lexical(rows)
-    stats = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("verdict").alias("ruled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    stats = materialize(stats, "urls-suffixes")  # SUFFIXES rows at most
+    taught = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), taught.alias("taught")).withColumns({"host": host, "path": path})
+    rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "taught", "found.*")
+    teaches = F.col("taught") & F.col("verdict").isNotNull()
+    rows = lexical(rows).withColumn("fold", F.when(teaches, F.pmod(F.xxhash64("url"), F.lit(FOLDS))).otherwise(FOLDS).cast("int"))
+    stats = rows.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(teaches).alias("ruled"), F.count_if(teaches & (F.col("verdict") == "block")).alias("blocked"))
+    stats = materialize(stats, "urls-suffixes")  # SUFFIXES * (FOLDS + 1) rows at most
     total = stats.agg(F.sum("n"), F.sum("ruled"), F.sum("blocked")).first()
     n, ruled, blocked = (x or 0 for x in total)
     out = ["page_id", "host", "path", "rule"]
     if not 0 < blocked < ruled:
         alone = "block" if blocked else "allow"
         return rows.select(*out, F.coalesce("verdict", F.lit(alone)).alias("verdict"), F.lit(1.0 if blocked else 0.0).alias("method_score"))
-    smooth = (F.col("blocked") + blocked / ruled) / (F.col("ruled") + 1)
-    stats = stats.select("suffix", (F.col("n") / n).alias("suffix_share"), smooth.alias("suffix_blocked"))
-    rows = rows.join(F.broadcast(stats), "suffix")
-    known = rows.where("verdict IS NOT NULL").select(*FEATURES, (F.col("verdict") == "block").cast("double").alias("label"), F.xxhash64("url").alias("h"), "url", "page_id")
+    # For each suffix and fold the counts of all other folds; rows that do not teach are in a fold of their own.
+    whole = stats.groupBy("suffix").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "ruled", "blocked")])
+    stats = stats.join(F.broadcast(whole), "suffix")
+    other = lambda c: F.col(f"all_{c}") - F.when(F.col("fold") < FOLDS, F.col(c)).otherwise(0)
+    smooth = (other("blocked") + blocked / ruled) / (other("ruled") + 1)
+    stats = stats.select("suffix", "fold", (F.col("all_n") / n).alias("suffix_share"), smooth.alias("suffix_blocked"))
+    rows = rows.join(F.broadcast(stats), ["suffix", "fold"])
+    known = rows.where(teaches).select(*FEATURES, (F.col("verdict") == "block").cast("double").alias("label"), F.xxhash64("url").alias("h"), "url", "page_id")
     picked = [known.where(F.col("label") == y).orderBy("h", "url", "page_id").limit(sample) for y in (0.0, 1.0)]
     learn = materialize(picked[0].unionByName(picked[1]).select(*FEATURES, "label"), "urls-sample")
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
