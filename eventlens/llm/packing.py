@@ -119,7 +119,7 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, shard: Column | None = No
     tokens: the row's ids as little-endian uint16; position_ids: positions that begin anew with each segment,
     the same way; cu_seqlens: cumulative segment lengths from 0; doc_ids, pieces, starts: for each segment its
     document, the piece's number in it and the token it starts with. shard: a string column that says which
-    documents are packed together (by default a hash of doc_id into shards of about SHARD_BYTES of text);
+    documents are packed together (by default a hash of doc_id and text into shards of about SHARD_BYTES of text);
     place: their order in it (by default doc_id). Long documents are spread over shards by RUN pieces.
 
     A null or empty text has no tokens and no segment. Rows that repeat a doc_id are packed each. A null
@@ -131,7 +131,9 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, shard: Column | None = No
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")
     if shard is None:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
-        shard = F.lpad(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 + size // SHARD_BYTES)).cast("string"), 6, "0")
+        # Null and repeated ids go by their texts, and repeated rows by their places in the input, so no id fills a shard.
+        code = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.when(F.col("doc_id").isNull(), F.spark_partition_id()))
+        shard = F.lpad(F.pmod(code, F.lit(1 + size // SHARD_BYTES)).cast("string"), 6, "0")
     place = (place if place is not None else F.col("doc_id")).cast("long")
     rows = docs.select(doc_id, F.col("text").cast("string").alias("text"), shard.cast("string").alias("shard"), F.coalesce(place, F.lit(-1)).alias("place"), F.xxhash64("text").alias("h"))
     kept = ["doc_id", "shard", "place", "h"]
