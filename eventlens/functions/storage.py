@@ -63,3 +63,32 @@ def running_sums(df: DataFrame, by: list[str], block: str, order: list[str], sum
     own = df.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums})
     out = own.join(totals, [*by, block])
     return out.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop(*[f"_{k}_{n}" for k in "vbi" for n in sums])
+
+
+def carried_last(df: DataFrame, by: list[str], block: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with a column for each of values: its last non-null value up to the row, in the order of a group; blocks as in running_sums."""
+    df = df.withColumns({f"_v_{n}": c for n, c in values.items()})
+    at = F.struct(*order)
+    ends = df.groupBy(*by, block).agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in values])
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, block, *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values])
+    inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = df.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
+    out = own.join(ends, [*by, block])
+    return out.withColumns({n: F.coalesce(f"_i_{n}", f"_b_{n}") for n in values}).drop(*[f"_{k}_{n}" for k in "vbi" for n in values])
+
+
+def with_rows_before(df: DataFrame, by: list[str], block: str, order: list[str], n: int) -> DataFrame:
+    """df with `_carried`: false for its own rows, true for copies of the n rows before each block, so a window over (by, block) sees across its border.
+
+    Only the last n rows of each block, few for each group, are sorted in one task.
+    """
+    plain = [c for c in df.columns if c not in by and c != block]
+    down = Window.partitionBy(*by, block).orderBy(*[F.desc_nulls_last(c) for c in order])
+    tails = df.withColumn("_back", F.row_number().over(down)).where(F.col("_back") <= n)
+    up = Window.partitionBy(*by).orderBy(block, *order)
+    tails = tails.withColumn("_before", F.collect_list(F.struct(*plain)).over(up.rowsBetween(-n, -1)))
+    first = F.row_number().over(Window.partitionBy(*by, block).orderBy(F.desc("_back")))
+    heads = tails.withColumn("_first", first).where("_first = 1").select(*by, block, F.explode("_before").alias("_x"))
+    carried = heads.select(*by, block, "_x.*", F.lit(True).alias("_carried"))
+    return df.withColumn("_carried", F.lit(False)).unionByName(carried)

@@ -7,10 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import TIME_DOMAINS, effective_time, number, resolve
+from ..functions.ranks import cumulative, quantiles
+from ..functions.storage import small
 from ..functions.stats import kendall, r_p_column, shapiro_wilk
 from .explore import terms
 
@@ -57,8 +59,9 @@ def _numbers(df: DataFrame, field: str, mappings=None) -> DataFrame:
 
 def numeric_summary(x: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count, extremes, mean, population deviation and skewness, and QUANTILES of x."""
-    q = F.percentile("x", F.array(*map(F.lit, QUANTILES)))
-    out = x.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.skewness("x").alias("skew"), q.alias("q"))
+    out = x.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.skewness("x").alias("skew"))
+    q = quantiles(x, by, "x", QUANTILES)
+    out = out.join(small(q), list(by), "left") if by else out.crossJoin(one_row(q))
     return out.select(*by, "n", "lo", "hi", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "skew")], *[F.round(F.get("q", i), 6).alias(f"q{int(p * 100):02d}") for i, p in enumerate(QUANTILES)])
 
 
@@ -147,10 +150,9 @@ def pivot(df: DataFrame, x: str, y: str, limit: int = 10) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, rank: str, by: Sequence[str]) -> DataFrame:
-    """Adds the mean rank of ties. Ranks come from counts of distinct values, not from a sort of all rows."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn(rank, before + (F.col("_n") + 1) / 2).drop("_n"), [*by, value])
+    """Adds the mean rank of ties. Ranks come from counts of distinct values, added up in ranges of values."""
+    counts = cumulative(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), by, value, ["n"])
+    return df.join(small(counts.select(*by, value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(rank))), [*by, value])
 
 
 def _pairs(df: DataFrame, fields: Sequence[str]) -> DataFrame:

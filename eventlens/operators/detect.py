@@ -13,26 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import number, resolve, template
-from ..functions.storage import small
+from ..functions.ranks import cumulative, quantiles
+from ..functions.storage import materialize, small, with_rows_before
 from ..functions.stats import benjamini_hochberg, chi2_p, g_2x2, ks_p_column, normal_p
 from ..plans.windows import AnalysisWindows
 from .charts import one_row
 
 RARE, PER_FIELD = 3, 25
 LEAST_NUMBERS, LEAST_VALUES, LEAST_LENGTH, MOST_CHARACTERS = 20, 20, 6, 5000
-FDR, LEAST_RATIO, MOST_CANDIDATES = 0.05, 2.0, 2000
+FDR, LEAST_RATIO = 0.05, 2.0
 SEPARATOR = "\x1f"
 
 
-def values(df: DataFrame, fields: Sequence[str], mappings=None, windows: AnalysisWindows | None = None) -> DataFrame:
-    """(field, val, ts, event_id, source_id[, base, labels, label]) of non-blank values: one unpivot for all fields."""
-    keep = ["event_id", "source_id", F.col("timestamp").alias("ts")]
+def values(df: DataFrame, fields: Sequence[str], mappings=None, windows: AnalysisWindows | None = None, group: Column | None = None) -> DataFrame:
+    """(field, val, event_id, source_id, ts[, grp][, base, labels, label]) of non-blank values: one unpivot for all fields."""
+    keep = ["event_id", "source_id", F.col("timestamp").alias("ts")] + ([group.alias("grp")] if group is not None else [])
     if windows:
         ts = F.col("timestamp")
         keep += [windows.baseline.holds(ts).alias("base"), windows.all_labels(ts).alias("labels"), windows.first_label(ts).alias("label")]
         df = df.where(windows.any(ts))
     each = F.array(*[F.struct(F.lit(f).alias("field"), resolve(f, mappings).alias("val")) for f in fields])
-    return df.select(*keep, F.explode(F.filter(each, lambda p: p["val"] != "")).alias("p")).select("p.*", "event_id", "source_id", "ts", *(["base", "labels", "label"] if windows else []))
+    return df.select(*keep, F.explode(F.filter(each, lambda p: p["val"] != "")).alias("p")).select("p.*", "event_id", "source_id", "ts", *(["grp"] if group is not None else []), *(["base", "labels", "label"] if windows else []))
 
 
 def first_event() -> Column:
@@ -88,12 +89,18 @@ def value_combos(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows
     return _novelty(rows, df, windows, most)
 
 
+def _fences(rows: DataFrame, x: str) -> DataFrame:
+    """(field, known, lo, hi): Tukey's fences of each field."""
+    known = rows.groupBy("field").agg(F.count(x).alias("known"))
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    return known.join(F.broadcast(quantiles(rows, ["field"], x, (0.25, 0.75))), "field").select("field", "known", (q1 - 1.5 * (q3 - q1)).alias("lo"), (q3 + 1.5 * (q3 - q1)).alias("hi"))  # a row a field
+
+
 def numeric_range(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows | None = None) -> DataFrame:
     """Numbers beyond Tukey's fences of their field, or beyond the baseline's extremes; score: excess by band width."""
     rows = values(df, fields, None, windows).withColumn("x", number(F.col("val"), finite=False)).where("x IS NOT NULL")
     if windows is None:
-        q = lambda p: F.percentile("x", F.lit(p))
-        band = rows.groupBy("field").agg(F.count(F.lit(1)).alias("known"), q(0.25).alias("q1"), q(0.75).alias("q3")).select("field", "known", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
+        band = _fences(rows, "x")
         by = ["field", "x"]
     else:
         band = rows.where("base").groupBy("field").agg(F.count(F.lit(1)).alias("known"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -118,11 +125,7 @@ def charset_novelty(df: DataFrame, fields: Sequence[str], windows: AnalysisWindo
     alphabet, of the rows outside the suspect windows or of the whole scope. `basis` says which was used.
     """
     by = ["field", "grp"]
-    rows = values(df, fields, None, windows)
-    if group:
-        rows = rows.join(df.select("event_id", resolve(group).alias("grp")), "event_id")
-    else:
-        rows = rows.withColumn("grp", F.lit(""))
+    rows = values(df, fields, None, windows, resolve(group) if group else F.lit(""))
     learned = (rows.where("base") if windows else rows).select(*by, "val").distinct()
     sizes = learned.groupBy(*by).agg(F.count(F.lit(1)).alias("n_vals"))
     chars = _characters(learned, by).groupBy(*by, "c").agg(F.count(F.lit(1)).alias("n_c"))
@@ -160,11 +163,9 @@ def entropy_of_values(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 def entropy_outliers(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows | None = None) -> DataFrame:
     """Values whose entropy is beyond Tukey's fences of the distinct values of their field (or of its baseline)."""
     rows = values(df, fields, None, windows)
-    bits = entropy_of_values(rows, ["field"])
+    bits = materialize(entropy_of_values(rows, ["field"]), "entropy-bits")
     base = bits.join(rows.where("base").select("field", "val").distinct(), ["field", "val"], "left_semi") if windows else bits
-    q = lambda p: F.percentile("bits", F.lit(p))
-    band = base.groupBy("field").agg(F.count(F.lit(1)).alias("known"), q(0.25).alias("q1"), q(0.75).alias("q3")).where(F.col("known") >= LEAST_VALUES)
-    band = band.select("field", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
+    band = _fences(base, "bits").where(F.col("known") >= LEAST_VALUES).drop("known")
     out = bits.join(F.broadcast(band), "field").where("bits < lo OR bits > hi")  # a row a field
     where = rows.where("label IS NOT NULL") if windows else rows
     by = ["field", "val", *(["label"] if windows else [])]
@@ -180,22 +181,23 @@ def _label_totals(df: DataFrame, windows: AnalysisWindows) -> tuple[DataFrame, D
     return one_row(base), F.broadcast(totals.where(F.col("label") != windows.baseline.label).select("label", F.col("total").alias("n_w")))
 
 
-def shift_candidates(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows) -> DataFrame:
-    """(field, val, label, a, n_b, c, n_w, g): shares of baseline values in the baseline and in each window."""
+def shift_candidates(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows, most: int | None = None) -> DataFrame:
+    """(field, val, label, a, n_b, c, n_w, g): shares of baseline values in the baseline and in each window; with most, of a field's most frequent values only."""
     rows = values(df, fields, None, windows)
     counts = rows.groupBy("field", "val").agg(F.count_if("base").alias("a"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("labels", w.label)).alias(f"w{i}") for i, w in enumerate(windows.suspects)]).where("a > 0")
-    top = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "val"))
-    counts = counts.withColumn("_r", top).where(F.col("_r") <= MOST_CANDIDATES)
+    if most is not None:
+        top = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "val"))
+        counts = counts.withColumn("_r", top).where(F.col("_r") <= most)
     each = counts.select("field", "val", "a", F.explode(F.array(*[F.struct(F.lit(w.label).alias("label"), F.col(f"w{i}").alias("c")) for i, w in enumerate(windows.suspects)])).alias("p")).select("field", "val", "a", "p.*")
     base, totals = _label_totals(df, windows)
     each = each.crossJoin(base).join(totals, "label").where("n_w > 0")
     return each.withColumn("g", g_2x2(F.col("a"), F.col("n_b"), F.col("c"), F.col("n_w")))
 
 
-def proportion_shift(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows, fdr: float = FDR, ratio: float = LEAST_RATIO) -> DataFrame:
-    """Values whose share changed: G-tests, one false-discovery pool, and an effect floor on the ratio of shares."""
-    tests = shift_candidates(df, fields, windows).withColumn("p", chi2_p(F.col("g"), F.lit(1.0)))
-    tests = benjamini_hochberg(tests, ties=["field", "val", "label"])
+def proportion_shift(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows, fdr: float = FDR, ratio: float = LEAST_RATIO, most: int | None = None) -> DataFrame:
+    """Values whose share changed: G-tests, one false-discovery pool, and an effect floor on the ratio of shares. All values are tested, or the `most` frequent of each field."""
+    tests = shift_candidates(df, fields, windows, most).withColumn("p", chi2_p(F.col("g"), F.lit(1.0)))
+    tests = benjamini_hochberg(tests)
     share_w = F.when(F.col("c") > 0, F.col("c")).otherwise(0.5) / F.col("n_w")
     tests = tests.withColumn("ratio", share_w / (F.col("a") / F.col("n_b")))
     found = tests.where((F.col("q") <= fdr) & ((F.col("ratio") >= ratio) | (F.col("ratio") <= 1 / ratio)))
@@ -235,7 +237,7 @@ def interval_periodicity(df: DataFrame, field: str, windows: AnalysisWindows, fd
     z = (green - 2 / (k + 1)) / F.sqrt(4 * (k - 1) / (F.pow(k + 1, F.lit(2)) * (k + 2) * (k + 3)))
     t = t.withColumn("stat", F.when(F.col("kind") == "cadence", g).otherwise(z))
     t = t.withColumn("p", F.when(F.col("kind") == "cadence", chi2_p(F.col("stat"), F.lit(1.0))).otherwise(normal_p(-F.col("stat"))))
-    t = benjamini_hochberg(t, ties=["val", "label", "kind"])
+    t = benjamini_hochberg(t)
     rate = (F.when(c > 0, c).otherwise(0.5) / m) / (a / n)
     t = t.withColumn("ratio", F.when(F.col("kind") == "cadence", rate))
     effect = F.when(F.col("kind") == "cadence", (F.col("ratio") >= ratio) | (F.col("ratio") <= 1 / ratio)).otherwise((F.col("w_cv") <= beacon_cv) & (F.col("w_span") / m >= beacon_span))
@@ -249,9 +251,8 @@ def drift_numeric(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows
     rows = values(df, fields, None, windows).withColumn("x", number(F.col("val"), finite=False)).where("x IS NOT NULL")
     each = rows.select("field", "x", "base", F.explode(F.when(F.col("base"), F.array(*[F.lit(w.label) for w in windows.suspects])).otherwise(F.col("labels"))).alias("label"))
     counts = each.groupBy("field", "label", "x").agg(F.count_if("base").alias("b"), F.count_if(~F.col("base")).alias("w"))
-    to = Window.partitionBy("field", "label").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("field", "label")
-    cdf = counts.withColumns({"fb": F.sum("b").over(to) / F.sum("b").over(whole), "fw": F.sum("w").over(to) / F.sum("w").over(whole)})
+    up_to = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.nullif(f"total_{c}", F.lit(0))
+    cdf = cumulative(counts, ["field", "label"], "x", ["b", "w"]).withColumns({"fb": up_to("b"), "fw": up_to("w")})
     return cdf.groupBy("field", "label").agg(F.sum("b").alias("n_b"), F.sum("w").alias("n_w"), F.round(F.max(F.abs(F.col("fb") - F.col("fw"))), 9).alias("d"), F.round(F.max(F.col("fb") - F.col("fw")), 9).alias("up"))
 
 
@@ -281,7 +282,7 @@ def distribution_drift(df: DataFrame, numeric: Sequence[str], categorical: Seque
     a = a.select("field", "label", F.lit("ks").alias("kind"), F.col("d").alias("effect"), ks_p_column(F.col("d"), F.col("n_b"), F.col("n_w")).alias("p"), F.when(F.col("up") >= 0.75 * F.col("d"), "up").when(F.col("up") <= 0.25 * F.col("d"), "down").otherwise("spread").alias("direction"))
     b = drift_categories(df, categorical, windows).where((F.col("n_b") >= least) & (F.col("n_w") >= least) & (F.col("df") > 0))
     b = b.select("field", "label", F.lit("g").alias("kind"), F.col("tvd").alias("effect"), chi2_p(F.col("g"), F.col("df").cast("double")).alias("p"), F.lit("mixed").alias("direction"))
-    t = benjamini_hochberg(a.unionByName(b), ties=["field", "label", "kind"])
+    t = benjamini_hochberg(a.unionByName(b))
     out = t.where((F.col("q") <= fdr) & (F.col("effect") >= F.when(F.col("kind") == "ks", 0.1).otherwise(0.05)))
     return out.select("field", "label", "kind", "direction", F.round("effect", 6).alias("effect"), F.round(-F.log10(F.greatest("p", F.lit(1e-300))), 4).alias("score"), "q")
 
@@ -301,16 +302,26 @@ LEAST_BUCKETS, LEAST_SD, Z = 3, 0.5, 2.5
 
 
 def frequency(df: DataFrame, series: str, interval: int, z: float = Z) -> DataFrame:
-    """Buckets of a series that stand out from its other buckets (leave-one-out), zeros filled between its ends."""
+    """Buckets of a series that stand out from its other buckets (leave-one-out), empty ones between its ends included.
+
+    All empty buckets of a series have one score, so they are only written out where it stands out.
+    """
     rows = df.where("timestamp IS NOT NULL").select(resolve(series).alias("val"), (F.floor(F.unix_millis("timestamp") / (1000 * interval)) * interval).alias("bucket")).where("val <> ''")
     counts = rows.groupBy("val", "bucket").agg(F.count(F.lit(1)).alias("c"))
     spans = counts.groupBy("val").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.count(F.lit(1)).alias("active"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("square")).where(F.col("active") >= LEAST_BUCKETS)
-    every = spans.select("*", F.explode(F.sequence("lo", "hi", F.lit(interval).cast("long"))).alias("bucket")).join(counts, ["val", "bucket"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     n = (F.col("hi") - F.col("lo")) / interval
-    mean = (F.col("total") - F.col("c")) / n
-    var = (F.col("square") - F.col("c") * F.col("c") - n * mean * mean) / (n - 1)
-    score = (F.col("c") - mean) / F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(LEAST_SD))
-    return every.select("val", "bucket", F.col("c").alias("n"), F.round(mean, 6).alias("mean"), F.round(score, 4).alias("z")).where(F.abs("z") >= z).withColumnRenamed("val", "value")
+
+    def scored(x: DataFrame) -> DataFrame:
+        mean = (F.col("total") - F.col("c")) / n
+        var = (F.col("square") - F.col("c") * F.col("c") - n * mean * mean) / (n - 1)
+        score = (F.col("c") - mean) / F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(LEAST_SD))
+        return x.withColumns({"mean": F.round(mean, 6), "z": F.round(score, 4)}).where(F.abs("z") >= z)
+
+    full = scored(counts.join(spans, "val"))
+    empty = scored(spans.where(F.col("active") < n + 1).withColumn("c", F.lit(0).cast("long")))
+    empty = empty.withColumn("bucket", F.explode(F.sequence("lo", "hi", F.lit(interval).cast("long")))).join(counts.select("val", "bucket"), ["val", "bucket"], "left_anti")
+    keep = [F.col("val").alias("value"), "bucket", F.col("c").alias("n"), "mean", "z"]
+    return full.select(*keep).unionByName(empty.select(*keep))
 
 
 def frequency_windowed(df: DataFrame, series: str, interval: int, windows: AnalysisWindows, z: float = Z) -> DataFrame:
@@ -338,9 +349,13 @@ def frequency_windowed(df: DataFrame, series: str, interval: int, windows: Analy
     stats = counts.select("val").distinct().join(in_base, "val", "left").na.fill(0).crossJoin(n)
     mean = F.col("total") / F.col("n")
     sd = F.greatest(F.sqrt(F.greatest((F.col("square") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0))), F.lit(LEAST_SD))
-    every = stats.crossJoin(F.broadcast(suspects)).join(counts, ["val", "bucket"], "left").withColumn("c", F.coalesce("c", zero))  # series x buckets
-    out = every.select(F.col("val").alias("value"), F.get(names, F.col("i")).alias("label"), "bucket", F.col("c").alias("n"), F.round(mean, 6).alias("mean"), F.round((F.col("c") - mean) / sd, 4).alias("z"))
-    return out.where(F.abs("z") >= z)
+    score = F.round((F.col("c") - mean) / sd, 4)
+    full = counts.join(F.broadcast(suspects), "bucket").join(stats, "val").withColumn("z", score).where(F.abs("z") >= z)  # suspects: a row a bucket
+    # All empty buckets of a series have one score: they are only written out where it stands out.
+    empty = stats.withColumn("c", zero).withColumn("z", score).where(F.abs("z") >= z)
+    empty = empty.crossJoin(F.broadcast(suspects)).join(counts.select("val", "bucket"), ["val", "bucket"], "left_anti")
+    keep = [F.col("val").alias("value"), F.get(names, F.col("i")).alias("label"), "bucket", F.col("c").alias("n"), F.round(mean, 6).alias("mean"), "z"]
+    return full.select(*keep).unionByName(empty.select(*keep))
 
 
 ORDER = ("ts", "byte_offset", "line_number", "event_id")
@@ -362,16 +377,17 @@ def ngrams(df: DataFrame, field: str, n: int, windows: AnalysisWindows | None =
             wid = F.when(windows.suspects[i].holds(ts), i).otherwise(wid)
         wid = F.when(windows.baseline.holds(ts), -1).otherwise(wid)
     rows = df.where("timestamp IS NOT NULL").select("source_id", "event_id", "byte_offset", "line_number", ts.alias("ts"), F.unix_millis(ts).alias("ms"), resolve(field).alias("val"), wid.alias("wid")).where("val <> '' AND wid IS NOT NULL")
-    keys = ["source_id", "wid"]
-    if max_gap is not None:
-        w = Window.partitionBy(*keys).orderBy(*ORDER)
-        rows = rows.withColumn("cut", F.coalesce((F.col("ms") - F.lag("ms").over(w)) > F.lit(max_gap) * 1000, F.lit(False)).cast("int"))
-        rows = rows.withColumn("segment", F.sum("cut").over(w))
-        keys.append("segment")
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
+    # A source's rows are cut into hours, and each hour sees the n - 1 rows before it.
+    rows = rows.withColumn("hour", F.floor(F.col("ms") / 3_600_000))
+    rows = with_rows_before(rows, ["source_id", "wid"], "hour", list(ORDER), n - 1)
+    w = Window.partitionBy("source_id", "wid", "hour").orderBy(*ORDER)
     back = lambda c: [F.lag(c, i).over(w) if i else F.col(c) for i in range(n - 1, -1, -1)]
-    out = rows.select("source_id", "wid", F.array(*back("val")).alias("gram"), F.array(*back("event_id")).alias("ids"), F.lag("ms", n - 1).over(w).alias("first_ms"), F.col("ms").alias("last_ms"))
-    return out.where(F.col("first_ms").isNotNull())
+    rows = rows.select("source_id", "wid", "_carried", F.array(*back("val")).alias("gram"), F.array(*back("event_id")).alias("ids"), F.array(*back("ms")).alias("times"))
+    first = F.col("times")[0]
+    out = rows.where(~F.col("_carried") & first.isNotNull())
+    if max_gap is not None:
+        out = out.where(F.forall(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("times", i) - F.get("times", i - 1) <= F.lit(max_gap) * 1000))
+    return out.select("source_id", "wid", "gram", "ids", first.alias("first_ms"), F.col("times")[n - 1].alias("last_ms"))
 
 
 def sequence_novelty(df: DataFrame, field: str, n: int, windows: AnalysisWindows, max_gap: float | None = None) -> DataFrame:
@@ -419,10 +435,13 @@ def template_count(df: DataFrame, muted: Sequence[str]) -> DataFrame:
 
 def order_violations(df: DataFrame, least_ms: int = 1000) -> DataFrame:
     """Dated records that are earlier than the record before them in the same source, by at least a second."""
-    w = Window.partitionBy("source_id").orderBy("byte_offset", "line_number", "event_id")
-    rows = df.where("timestamp IS NOT NULL").select("source_id", "event_id", "byte_offset", "line_number", F.unix_millis("timestamp").alias("ms"))
-    back = F.lag("ms").over(w) - F.col("ms")
-    return rows.withColumn("back_ms", back).where(F.col("back_ms") >= least_ms).select("source_id", "event_id", "ms", "back_ms", F.round(F.col("back_ms") / 1000, 3).alias("score"))
+    order = ["byte_offset", "line_number", "event_id"]
+    rows = df.where("timestamp IS NOT NULL").select("source_id", *order, F.unix_millis("timestamp").alias("ms"))
+    # A source's rows are cut into stretches of bytes, and each sees the last row before it.
+    rows = with_rows_before(rows.withColumn("part", F.coalesce(F.floor(F.col("byte_offset") / (32 << 20)), F.lit(-1))), ["source_id"], "part", order, 1)
+    back = F.lag("ms").over(Window.partitionBy("source_id", "part").orderBy(*order)) - F.col("ms")
+    rows = rows.withColumn("back_ms", back).where(~F.col("_carried") & (F.col("back_ms") >= least_ms))
+    return rows.select("source_id", "event_id", "ms", "back_ms", F.round(F.col("back_ms") / 1000, 3).alias("score"))
 
 
 def order_totals(df: DataFrame) -> DataFrame:

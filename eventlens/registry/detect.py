@@ -349,7 +349,7 @@ def fdr_bh(spark, sf):
 
     orders = X.read(spark, sf, "orders")
     top = F.broadcast(orders.agg(F.max("o_totalprice").alias("top")))
-    return benjamini_hochberg(orders.crossJoin(top).select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / F.col("top")).alias("p")), ties=["id"]).select("id", F.round("q", 9).alias("q"))
+    return benjamini_hochberg(orders.crossJoin(top).select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / F.col("top")).alias("p"))).select("id", F.round("q", 9).alias("q"))
 
 
 @query("suppress", X.sql(f", v AS ({_vals('ev')}), c AS (SELECT field, val AS value, count(*) AS n, {FIRST} AS event_id FROM v GROUP BY 1, 2 HAVING count(*) <= 3), s AS (SELECT *, round(-ln(n / (SELECT count(*) FROM ev)), 4) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, value) AS r FROM s) SELECT field, value, n, score, event_id FROM r WHERE r <= 25 AND event_id NOT LIKE '%5' AND NOT (field = 'ua' AND value LIKE '%1')"))

@@ -6,10 +6,11 @@ is false for lines of another form. All patterns are built-in regular expression
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import IPV4, clean_attributes, json_map, last_key_wins
+from ..functions.storage import carried_last
 from .text import attributes_of
 
 
@@ -250,12 +251,13 @@ def web_honeypot(lines: DataFrame) -> DataFrame:
 def zeek(lines: DataFrame) -> DataFrame:
     """Tab-separated logs (source_file, byte_offset, raw) whose headers may change inside a file.
 
-    Each row uses the last #fields and #path before it. Header lines are few: they are found first and every
-    row takes the latest that stands before it.
+    Each row uses the last #fields and #path before it. A file is cut into stretches of bytes; what headers say at
+    the end of each is carried on to the next.
     """
-    w = Window.partitionBy("source_file").orderBy("byte_offset").rowsBetween(Window.unboundedPreceding, 0)
-    head = lambda name: F.last(F.when(F.col("raw").startswith(f"#{name}"), F.expr(f"substring(raw, {len(name) + 3})")), ignorenulls=True).over(w)
-    rows = lines.withColumns({"_fields": head("fields"), "_path": head("path"), "_empty": head("empty_field"), "_unset": head("unset_field")}).where(~F.col("raw").startswith("#"))
+    head = lambda name: F.when(F.col("raw").startswith(f"#{name}"), F.expr(f"substring(raw, {len(name) + 3})"))
+    heads = {"_fields": head("fields"), "_path": head("path"), "_empty": head("empty_field"), "_unset": head("unset_field")}
+    rows = lines.withColumn("_part", F.floor(F.col("byte_offset") / (8 << 20)))
+    rows = carried_last(rows, ["source_file"], "_part", ["byte_offset"], heads).where(~F.col("raw").startswith("#")).drop("_part")
     names, parts = F.split("_fields", "\t"), F.split("raw", "\t")
     ok = F.col("_fields").isNotNull() & (F.size(names) == F.size(parts))
     clean = F.transform(parts, lambda v: F.when(v.isin("-", "(empty)") | (v == F.col("_empty")) | (v == F.col("_unset")), "").otherwise(v))
