@@ -6,6 +6,10 @@ is false for lines of another form. All patterns are built-in regular expression
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +22,9 @@ def _x(pattern: str, i: int, column: str = "raw") -> Column:
     return F.regexp_extract(column, pattern, i)
 
 
-def _event(lines: DataFrame, ok: Column, ts: Column, message: Column, artifact, attributes: Column, desc: str = "Log Entry", tags: Column | None = None) -> DataFrame:
+def _event(lines: DataFrame, ok: Column, ts: Column, message: Column, artifact, attributes: Column, desc: str | Column = "Log Entry", tags: Column | None = None) -> DataFrame:
     artifact = F.lit(artifact) if isinstance(artifact, str) else artifact
-    return last_key_wins(lines).withColumns({"ok": F.coalesce(ok, F.lit(False)), "timestamp": ts, "timestamp_desc": F.lit(desc), "message": message, "artifact": artifact, "artifact_long": F.lit(""), "display_name": F.lit(""), "tags": tags if tags is not None else F.array().cast("array<string>"), "attributes": attributes})
+    return last_key_wins(lines).withColumns({"ok": F.coalesce(ok, F.lit(False)), "timestamp": ts, "timestamp_desc": F.lit(desc) if isinstance(desc, str) else desc, "message": message, "artifact": artifact, "artifact_long": F.lit(""), "display_name": F.lit(""), "tags": tags if tags is not None else F.array().cast("array<string>"), "attributes": attributes})
 
 
 def _blank(c: Column) -> Column:
@@ -32,32 +36,68 @@ REQUEST = r"^([A-Z]+) (\S+)(?: (\S+))?$"
 CLF_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
-def _access(lines: DataFrame, pattern: str, artifact: str, shift: int = 0) -> DataFrame:
-    g = lambda i: _x(pattern, i + shift)
-    request = g(5)
+#: Stands between the groups of a match; no text log holds it.
+CUT = "\x1f\x1e"
+
+
+def _groups(pattern: str, column: str = "raw") -> Column:
+    """All groups of an anchored pattern as an array, from one match; null for other lines. Groups without text are empty."""
+    n = re.compile(pattern).groups
+    parts = F.split(F.regexp_replace(column, f"(?s){pattern}.*", CUT.join(f"${i}" for i in range(1, n + 1))), CUT)
+    return F.get(F.filter(F.array(parts), lambda p: F.size(p) == n), 0)
+
+
+def _parts(column: str):
+    return lambda i: F.get(F.col(column), i - 1)
+
+
+def _access(column: str, artifact: str, shift: int = 0) -> tuple[Column, ...]:
+    """(timestamp, message, artifact, attributes, description) of an access line's groups."""
+    g = _parts(column)
+    at = lambda i: g(i + shift)
+    request = at(5)
     part = lambda i: F.regexp_extract(request, REQUEST, i)
-    ok = F.col("raw").rlike(pattern)
-    attributes = attributes_of(src_ip=g(1), user=_blank(g(3)), method=part(1), uri=F.coalesce(F.nullif(part(2), F.lit("")), request), protocol=part(3), status=g(6), size=_blank(g(7)), referer=_blank(g(8)), user_agent=_blank(g(9)), **({"vhost": _x(pattern, 1)} if shift else {}))
-    return _event(lines, ok, F.try_to_timestamp(g(4), F.lit(CLF_TIME)), F.concat_ws(" ", request, g(6)), artifact, attributes, "Request Time")
+    attributes = attributes_of(src_ip=at(1), user=_blank(at(3)), method=part(1), uri=F.coalesce(F.nullif(part(2), F.lit("")), request), protocol=part(3), status=at(6), size=_blank(at(7)), referer=_blank(at(8)), user_agent=_blank(at(9)), **({"vhost": g(1)} if shift else {}))
+    return F.try_to_timestamp(at(4), F.lit(CLF_TIME)), F.concat_ws(" ", request, at(6)), F.lit(artifact), attributes, F.lit("Request Time")
+
+
+def _first_of(lines: DataFrame, forms: list[tuple[str, str, tuple[Column, ...]]]) -> DataFrame:
+    """Events of lines in the first of several forms that fits: (column of its groups, pattern, columns); one pass, later patterns are tried on the rest only."""
+    for i, (column, pattern, _) in enumerate(forms):
+        before = [F.col(c).isNotNull() for c, _, _ in forms[:i]]
+        lines = lines.withColumn(column, F.when(~reduce(or_, before), _groups(pattern)) if before else _groups(pattern))
+
+    def pick(i: int, other: Column) -> Column:
+        for column, _, columns in reversed(forms):
+            other = F.when(F.col(column).isNotNull(), columns[i]).otherwise(other)
+        return other
+
+    ok = reduce(or_, [F.col(c).isNotNull() for c, _, _ in forms])
+    none = (F.lit(None).cast("timestamp"), F.col("raw"), F.lit(""), F.create_map().cast("map<string,string>"), F.lit("Log Entry"))
+    out = _event(lines, ok, *[pick(i, x) for i, x in enumerate(none)])
+    return out.drop(*[c for c, _, _ in forms])
 
 
 def nginx_access(lines: DataFrame) -> DataFrame:
-    return _access(lines, COMBINED, "nginx:access")
+    return _first_of(lines, [("_a", COMBINED, _access("_a", "nginx:access"))])
 
 
 NGINX_ERROR = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] (\d+)#(\d+): (?:\*(\d+) )?(.*)$"
 
 
-def nginx_error(lines: DataFrame) -> DataFrame:
-    g = lambda i: _x(NGINX_ERROR, i)
+def _nginx_error(column: str) -> tuple[Column, ...]:
+    g = _parts(column)
     attributes = attributes_of(level=g(2), pid=g(3), tid=g(4), connection=g(5), src_ip=F.regexp_extract(g(6), r"client: ([0-9a-fA-F.:]+)", 1))
-    return _event(lines, F.col("raw").rlike(NGINX_ERROR), F.try_to_timestamp(g(1), F.lit("yyyy/MM/dd HH:mm:ss")), g(6), "nginx:error", attributes)
+    return F.try_to_timestamp(g(1), F.lit("yyyy/MM/dd HH:mm:ss")), g(6), F.lit("nginx:error"), attributes, F.lit("Log Entry")
+
+
+def nginx_error(lines: DataFrame) -> DataFrame:
+    return _first_of(lines, [("_e", NGINX_ERROR, _nginx_error("_e"))])
 
 
 def nginx(lines: DataFrame) -> DataFrame:
     """Access and error lines of one file."""
-    a, e = nginx_access(lines).where("ok"), nginx_error(lines)
-    return a.unionByName(e.where(~F.col("raw").rlike(COMBINED)))
+    return _first_of(lines, [("_a", COMBINED, _access("_a", "nginx:access")), ("_e", NGINX_ERROR, _nginx_error("_e"))])
 
 
 VHOST = r'^(\S+?)(?::\d+)? (\S+) (\S+) (\S+) \[([^\]]+)\] "((?:[^"\\]|\\.)*)" (\d{3}) (\d+|-)(?: "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)")?'
@@ -67,31 +107,30 @@ APACHE_22 = r"^\[([A-Z][a-z]{2} [A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2} \d{4})\] \
 
 def apache(lines: DataFrame) -> DataFrame:
     """Access lines with or without a virtual host, error lines of both versions."""
-    kind = F.when(F.col("raw").rlike(COMBINED), "plain").when(F.col("raw").rlike(VHOST), "vhost").when(F.col("raw").rlike(APACHE_24), "e24").when(F.col("raw").rlike(APACHE_22), "e22").otherwise("none")
-    lines = lines.withColumn("_kind", kind)
-    time = lambda c: F.coalesce(F.try_to_timestamp(F.regexp_replace(c, r"^\w+ ", ""), F.lit("MMM dd HH:mm:ss.SSSSSS yyyy")), F.try_to_timestamp(F.regexp_replace(c, r"^\w+ ", ""), F.lit("MMM dd HH:mm:ss yyyy")))
-    n, o = (lambda i: _x(APACHE_24, i)), (lambda i: _x(APACHE_22, i))
+    time = lambda c: F.coalesce(*[F.try_to_timestamp(F.regexp_replace(c, r"^\w+ ", ""), F.lit(f"MMM dd HH:mm:ss{f} yyyy")) for f in (".SSSSSS", "")])
     client = lambda c: {"src_ip": F.regexp_replace(c, r":\d+$", ""), "src_port": F.regexp_extract(c, r"\.\d+:(\d+)$", 1)}
-    e24 = _event(lines, F.lit(True), time(n(1)), n(8), "apache:error", attributes_of(module=n(2), level=n(3), pid=n(4), tid=n(5), code=n(7), **client(n(6)))).where("_kind = 'e24'")
-    e22 = _event(lines, F.lit(True), time(o(1)), o(4), "apache:error", attributes_of(level=o(2), **client(o(3)))).where("_kind = 'e22'")
-    plain, vhost = _access(lines, COMBINED, "apache:access").where("_kind = 'plain'"), _access(lines, VHOST, "apache:access", 1).where("_kind = 'vhost'")
-    none = _event(lines, F.lit(False), F.lit(None).cast("timestamp"), F.col("raw"), "", F.create_map().cast("map<string,string>")).where("_kind = 'none'")
-    out = plain
-    for part in (vhost, e24, e22, none):
-        out = out.unionByName(part)
-    return out.drop("_kind")
+    n, o = _parts("_e24"), _parts("_e22")
+    e24 = time(n(1)), n(8), F.lit("apache:error"), attributes_of(module=n(2), level=n(3), pid=n(4), tid=n(5), code=n(7), **client(n(6))), F.lit("Log Entry")
+    e22 = time(o(1)), o(4), F.lit("apache:error"), attributes_of(level=o(2), **client(o(3))), F.lit("Log Entry")
+    return _first_of(lines, [("_plain", COMBINED, _access("_plain", "apache:access")), ("_vhost", VHOST, _access("_vhost", "apache:access", 1)), ("_e24", APACHE_24, e24), ("_e22", APACHE_22, e22)])
 
 
 SYSLOG_BSD = r"^([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
 SYSLOG_ISO = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\S*) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
 
 
-def syslog_header(year: int | None) -> dict[str, Column]:
-    """Columns of both header forms; times without a year get the given one, or are undated."""
-    iso = F.col("raw").rlike(SYSLOG_ISO)
-    pick = lambda i: F.when(iso, _x(SYSLOG_ISO, i)).otherwise(_x(SYSLOG_BSD, i))
-    bsd = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(_x(SYSLOG_BSD, 1), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss")) if year else F.lit(None).cast("timestamp")
-    return {"ts": F.when(iso, _x(SYSLOG_ISO, 1).try_cast("timestamp")).otherwise(bsd), "host": pick(2), "program": pick(3), "pid": pick(4), "text": pick(5), "ok": iso | F.col("raw").rlike(SYSLOG_BSD)}
+def syslog_header(lines: DataFrame, year: int | None) -> DataFrame:
+    """lines with _ts, _host, _program, _pid, _text and _ok of both header forms; times without a year get the given one, or are undated."""
+    rows = lines.withColumn("_iso", _groups(SYSLOG_ISO))
+    rows = rows.withColumn("_head", F.coalesce("_iso", _groups(SYSLOG_BSD)))
+    g = _parts("_head")
+    bsd = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(g(1), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss")) if year else F.lit(None).cast("timestamp")
+    ts = F.when(F.col("_iso").isNotNull(), g(1).try_cast("timestamp")).otherwise(bsd)
+    texts = {f"_{k}": F.coalesce(g(i), F.lit("")) for i, k in enumerate(("host", "program", "pid", "text"), 2)}
+    return rows.withColumns({"_ts": ts, "_ok": F.col("_head").isNotNull(), **texts}).drop("_iso", "_head")
+
+
+SYSLOG_COLUMNS = ("_ts", "_host", "_program", "_pid", "_text", "_ok")
 
 
 #: (program, pattern, event, names of the groups)
@@ -112,19 +151,27 @@ SYSLOG_RULES = (
 
 
 def syslog(lines: DataFrame, year: int | None = None) -> DataFrame:
-    """BSD and ISO headers; known programs' messages by one chain of rules, others generic."""
-    h = syslog_header(year)
-    rows = lines.withColumns({f"_{k}": v for k, v in h.items()})
-    kind, names = F.lit(None).cast("string"), sorted({n for r in SYSLOG_RULES for n in r[3]})
-    values = {n: F.lit("") for n in names}
-    for program, pattern, event, groups in reversed(SYSLOG_RULES):
+    """BSD and ISO headers; known programs' messages by one chain of rules, others generic.
+
+    The chain gives one text, the rule's event and its groups; each attribute is then a place in it.
+    """
+    rows = syslog_header(lines, year)
+    found = []
+    for program, pattern, event, groups in SYSLOG_RULES:
         fits = (F.col("_program") == program) & F.col("_text").rlike(pattern)
-        kind = F.when(fits, event).otherwise(kind)
-        for n in names:
-            values[n] = F.when(fits, F.regexp_extract("_text", pattern, groups.index(n) + 1) if n in groups else F.lit("")).otherwise(values[n])
-    attributes = attributes_of(host=F.col("_host"), program=F.col("_program"), pid=F.col("_pid"), event=kind, **values)
+        made = F.regexp_replace("_text", f"(?s)^.*?{pattern.removeprefix('^')}.*" if not pattern.startswith("^") else f"(?s){pattern}.*", CUT.join([event, *[f"${i + 1}" for i in range(len(groups))]]))
+        found.append(F.when(fits, made))
+    rows = rows.withColumn("_rule", F.split(F.coalesce(*found), CUT))
+    event, values = F.get("_rule", 0), {}
+    for n in sorted({n for r in SYSLOG_RULES for n in r[3]}):
+        value = F.lit("")
+        for _, _, kind, groups in SYSLOG_RULES:
+            if n in groups:
+                value = F.when(event == kind, F.get("_rule", groups.index(n) + 1)).otherwise(value)
+        values[n] = value
+    attributes = attributes_of(host=F.col("_host"), program=F.col("_program"), pid=F.col("_pid"), event=event, **values)
     out = _event(rows, F.col("_ok"), F.col("_ts"), F.col("_text"), F.concat(F.lit("syslog:"), F.col("_program")), attributes)
-    return out.drop(*[f"_{k}" for k in h])
+    return out.drop("_rule", *SYSLOG_COLUMNS)
 
 
 #: Positions of a firewall line's fields after the header, by IP version and protocol.
@@ -136,8 +183,7 @@ FILTER_TAIL = {"tcp": ("src_port", "dst_port", "data_length", "tcp_flags", "sequ
 
 def filterlog(lines: DataFrame, year: int | None = None) -> DataFrame:
     """Packet-filter CSV behind a syslog header, positional by IP version and protocol."""
-    h = syslog_header(year)
-    rows = lines.withColumns({f"_{k}": v for k, v in h.items()}).withColumn("_p", F.split("_text", ","))
+    rows = syslog_header(lines, year).withColumn("_p", F.split("_text", ","))
     at = lambda i: F.get("_p", i)
     v4, v6, n = at(8) == "4", at(8) == "6", len(FILTER_HEAD)
     names: dict[str, Column] = {k: at(i) for i, k in enumerate(FILTER_HEAD)}
@@ -157,7 +203,7 @@ def filterlog(lines: DataFrame, year: int | None = None) -> DataFrame:
     port = lambda ip, p: F.concat_ws(":", names[ip], names[p])
     message = F.concat_ws(" ", names["action"], names["direction"], F.lit("on"), names["interface"], protocol, port("src_ip", "src_port"), F.lit("->"), port("dst_ip", "dst_port"))
     out = _event(rows, ok, F.col("_ts"), message, F.concat(F.lit("firewall:filterlog:"), names["action"]), attributes_of(**names))
-    return out.drop("_p", *[f"_{k}" for k in h])
+    return out.drop("_p", *SYSLOG_COLUMNS)
 
 
 def flat_json(raw: Column) -> Column:
@@ -174,16 +220,20 @@ PROMOTED = {"src_ip": "src_ip", "src_port": "src_port", "dest_ip": "dst_ip", "de
 def suricata(lines: DataFrame) -> DataFrame:
     """EVE JSON, fast.log lines and tabbed syslog, told apart by line."""
     body = F.when(F.col("raw").contains("\t"), F.element_at(F.split("raw", "\t"), -1)).otherwise(F.col("raw"))
-    rows = lines.withColumn("_body", F.trim(body)).withColumn("_m", F.when(F.col("_body").startswith("{"), flat_json(F.col("_body"))))
-    m, g = (lambda k: F.col("_m")[k]), (lambda i: F.regexp_extract("_body", FAST, i))
-    is_eve, is_fast = m("event_type").isNotNull(), F.col("_body").rlike(FAST)
-    kind = m("event_type")
-    eve_text = F.when(kind == "alert", F.concat(F.lit("alert: "), F.coalesce(m("alert.signature"), F.lit("")))).when(kind == "http", F.concat_ws(" ", m("http.http_method"), F.concat(F.coalesce(m("http.hostname"), F.lit("")), F.coalesce(m("http.url"), F.lit(""))))).when(kind == "dns", F.concat_ws(" ", F.lit("dns"), m("dns.type"), m("dns.rrname"))).otherwise(F.concat_ws(" ", kind, m("src_ip"), F.lit("->"), m("dest_ip")))
-    own = F.map_filter("_m", lambda k, v: ~k.isin("timestamp", *PROMOTED))
-    eve = _event(rows, F.lit(True), F.date_trunc("millisecond", F.regexp_replace(m("timestamp"), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")), eve_text, F.concat(F.lit("suricata:"), kind), F.map_concat(own, attributes_of(**{v: m(k) for k, v in PROMOTED.items()}))).where(is_eve)
-    fast = _event(rows, F.lit(True), F.try_to_timestamp(g(1), F.lit("MM/dd/yyyy-HH:mm:ss.SSSSSS")), F.concat(F.lit("alert: "), g(5)), "suricata:alert", attributes_of(gid=g(2), sid=g(3), rev=g(4), signature=g(5), classification=g(6), priority=g(7), protocol=g(8), src_ip=g(9), src_port=g(10), dst_ip=g(11), dst_port=g(12))).where(~F.coalesce(is_eve, F.lit(False)) & is_fast)
-    none = _event(rows, F.lit(False), F.lit(None).cast("timestamp"), F.col("raw"), "", F.create_map().cast("map<string,string>")).where(~F.coalesce(is_eve, F.lit(False)) & ~is_fast)
-    return eve.unionByName(fast).unionByName(none).drop("_body", "_m")
+    rows = last_key_wins(lines).withColumn("_body", F.trim(body)).withColumn("_m", F.when(F.col("_body").startswith("{"), flat_json(F.col("_body"))))
+    m, kind = (lambda k: F.col("_m")[k]), F.col("_m")["event_type"]
+    rows = rows.withColumn("_f", F.when(kind.isNull(), _groups(FAST, "_body")))
+    g, is_eve, is_fast = _parts("_f"), kind.isNotNull(), F.col("_f").isNotNull()
+    alert, http, dns = F.concat(F.lit("alert: "), F.coalesce(m("alert.signature"), F.lit(""))), F.concat_ws(" ", m("http.http_method"), F.concat(F.coalesce(m("http.hostname"), F.lit("")), F.coalesce(m("http.url"), F.lit("")))), F.concat_ws(" ", F.lit("dns"), m("dns.type"), m("dns.rrname"))
+    text = F.when(kind == "alert", alert).when(kind == "http", http).when(kind == "dns", dns).otherwise(F.concat_ws(" ", kind, m("src_ip"), F.lit("->"), m("dest_ip")))
+    own = F.map_concat(F.map_filter("_m", lambda k, v: ~k.isin("timestamp", *PROMOTED)), attributes_of(**{v: m(k) for k, v in PROMOTED.items()}))
+    fast = attributes_of(gid=g(2), sid=g(3), rev=g(4), signature=g(5), classification=g(6), priority=g(7), protocol=g(8), src_ip=g(9), src_port=g(10), dst_ip=g(11), dst_port=g(12))
+    eve_time = F.date_trunc("millisecond", F.regexp_replace(m("timestamp"), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+    pick = lambda eve, other, none: F.when(is_eve, eve).when(is_fast, other).otherwise(none)
+    ts = pick(eve_time, F.try_to_timestamp(g(1), F.lit("MM/dd/yyyy-HH:mm:ss.SSSSSS")), F.lit(None).cast("timestamp"))
+    artifact = pick(F.concat(F.lit("suricata:"), kind), F.lit("suricata:alert"), F.lit(""))
+    out = _event(rows, is_eve | is_fast, ts, pick(text, F.concat(F.lit("alert: "), g(5)), F.col("raw")), artifact, pick(own, fast, F.create_map().cast("map<string,string>")))
+    return out.drop("_body", "_m", "_f")
 
 
 def cloudtrail_lines(files: DataFrame) -> DataFrame:
