@@ -372,3 +372,64 @@ def j_finding_event(spark, sf):
 )
 def j_cross_baseline(spark, sf):
     return D.sequence_novelty(X.events(spark, sf), "ua", 3, W).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+# Rows on which the gates fire: marks and rhythms made from the events.
+MARKS = "∀∁∂∃∄∅∆∇∈∉∊∋∌∍∎∏∐∑∓∔∕∖∗∘∙√∛∜∝∞"
+
+
+def _marked(spark, sf, since: str | None = None):
+    """Events with an attribute `mark`, which holds a character of its own in one of 400 events (from a day on)."""
+    ev, n = X.events(spark, sf), F.col("event_id").cast("long")
+    odd = (n % 400 == 17) & (F.lit(True) if since is None else F.col("timestamp") >= F.lit(since).cast("timestamp"))
+    mark = F.concat(F.lit("v"), F.col("attributes")["k"], F.when(odd, F.substring(F.lit(MARKS), (F.floor(n / 400) % 30 + 1).cast("int"), F.lit(1))).otherwise(""))
+    return ev.withColumn("attributes", F.create_map(F.lit("mark"), mark))
+
+
+def _mark_sql(odd: str, base: str, rest: str) -> str:
+    return X.sql(f""", v AS (SELECT 'mark' AS field, '' AS grp, event_id, ts, ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-20' AS base, CASE WHEN ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-25' THEN 'w1' WHEN ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2024-01-31' THEN 'w2' END AS label, 'v' || a_k || CASE WHEN {odd} THEN substr('{MARKS}', CAST(CAST(event_id AS BIGINT) // 400 % 30 + 1 AS INT), 1) ELSE '' END AS val FROM ev),
+ lv AS (SELECT DISTINCT field, grp, val FROM v{base}), ch AS (SELECT field, grp, val, unnest(list_distinct(string_split(val, ''))) AS c FROM lv), ct AS (SELECT field, grp, c, count(*) AS n_c FROM ch GROUP BY ALL), sz AS (SELECT field, grp, count(*) AS n_vals FROM lv GROUP BY ALL HAVING count(*) >= 20), {rest}""")
+
+
+@query(
+    "d_charset_marks",
+    _mark_sql("CAST(event_id AS BIGINT) % 400 = 17", "", f"sc AS (SELECT field, grp, val, count(*) AS n, {FIRST} AS event_id FROM v GROUP BY ALL) SELECT field, grp, val, n, event_id, 'own' AS basis, round(sum(-ln(n_c / n_vals)), 4) AS score, string_agg(c, '' ORDER BY c) AS chars FROM sc JOIN sz USING (field, grp) JOIN ch USING (field, grp, val) JOIN ct USING (field, grp, c) WHERE n_c <= 3 GROUP BY field, grp, val, n, event_id"),
+)
+def d_charset_marks(spark, sf):
+    return D.charset_novelty(_marked(spark, sf), ["mark"])
+
+
+@query(
+    "d_charset_marks_windows",
+    _mark_sql("CAST(event_id AS BIGINT) % 400 = 17 AND ts >= TIMESTAMP '2024-01-20'", " WHERE base", f"sc AS (SELECT field, grp, val, label, count(*) AS n, {FIRST} AS event_id FROM v WHERE label IS NOT NULL GROUP BY ALL), se AS (SELECT *, unnest(list_distinct(string_split(val, ''))) AS c FROM sc) SELECT field, grp, val, n, event_id, 'own' AS basis, label, round(sum(ln(n_vals + 1)), 4) AS score, string_agg(c, '' ORDER BY c) AS chars FROM se JOIN sz USING (field, grp) ANTI JOIN ct USING (field, grp, c) GROUP BY field, grp, val, n, event_id, label"),
+)
+def d_charset_marks_windows(spark, sf):
+    return D.charset_novelty(_marked(spark, sf, "2024-01-20"), ["mark"], W)
+
+
+@query(
+    "d_proportion_shift_marks",
+    X.sql(f"""{WIN}, v AS (SELECT CASE WHEN CAST(event_id AS BIGINT) % 10 < CASE WHEN base THEN 1 ELSE 4 END THEN 'rare' ELSE 'usual' END AS val, base, in1, in2 FROM b WHERE base OR in1 OR in2), cn AS (SELECT val, count_if(base) AS a, count_if(in1) AS c1, count_if(in2) AS c2 FROM v GROUP BY val),
+ ca AS (SELECT val, a, 'w1' AS label, c1 AS c FROM cn UNION ALL SELECT val, a, 'w2', c2 FROM cn), t AS (SELECT ca.*, n_b, total AS n_w, (a + c) / (n_b + total) AS sh, (c / total) / (a / n_b) AS ratio FROM ca, nb JOIN tot ON true WHERE tot.label = ca.label)
+ SELECT 'mark' AS field, val AS value, label, CAST(c AS BIGINT) AS n, round(ratio, 4) AS ratio, 'up' AS direction, round({G}, 4) AS score FROM t WHERE ratio >= 2"""),
+)
+def d_proportion_shift_marks(spark, sf):
+    """A value whose share grows from a tenth to four tenths; its p is far below any gate, so SQL needs none."""
+    ev = X.events(spark, sf)
+    most = F.when(W.baseline.holds(F.col("timestamp")), 1).otherwise(4)
+    mark = F.when(F.col("event_id").cast("long") % 10 < most, "rare").otherwise("usual")
+    return D.proportion_shift(ev.withColumn("attributes", F.create_map(F.lit("mark"), mark)), ["mark"], W).drop("q")
+
+
+@query(
+    "d_interval_marks",
+    """WITH h AS (SELECT DISTINCT event_id % 720 AS hour FROM events), a AS (SELECT count(*) AS a FROM h WHERE hour < 456), w AS (SELECT 'w1' AS label, 432000.0 AS m UNION ALL SELECT 'w2', 604800.0)
+ SELECT 'tick' AS value, label, CAST(0 AS BIGINT) AS n, 'missed' AS direction, round((0.5 / m) / (a / 1641600.0), 4) AS ratio FROM a, w UNION ALL SELECT 'fresh', 'w2', count(*), 'new_regularity', NULL FROM h WHERE hour >= 576""",
+)
+def d_interval_marks(spark, sf):
+    """An hourly tick that stops with the baseline, and one that begins with the second window; hours come from the events' ids."""
+    hours = X.read(spark, sf, "events").select((F.col("event_id") % 720).alias("hour")).distinct().where("hour < 456 OR hour >= 576")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("hour") * 3600)
+    name = F.when(F.col("hour") < 456, "tick").otherwise("fresh")
+    rows = hours.select(F.col("hour").cast("string").alias("event_id"), F.lit("s").alias("source_id"), at.alias("timestamp"), name.alias("display_name"), F.create_map().cast("map<string,string>").alias("attributes"))
+    return D.interval_periodicity(rows, "display_name", W).select("value", "label", "n", "direction", "ratio")

@@ -1,16 +1,17 @@
 """Semantics that SQL cannot express, on hand-made rows."""
 
+import hashlib
 import ipaddress
 import math
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventlens.functions import fields, normalize, stats
-from eventlens.operators import detect, enrich, explore, rules, similarity
+from eventlens.functions import fields, normalize, ranks, stats
+from eventlens.operators import charts, detect, enrich, explore, rules, similarity, verdicts
 from eventlens.plans import filters as P
 from eventlens.plans.windows import AnalysisWindows, Window
 from eventlens.sources import logs, text, timelines
@@ -238,3 +239,70 @@ def test_offsets_and_reading_twice(spark, tmp_path):
     one = spark.createDataFrame([("é",)], "raw string").withColumns({"message": F.lit(""), "timestamp": F.lit(None).cast("timestamp"), "timestamp_desc": F.lit(""), "artifact": F.lit(""), "artifact_long": F.lit(""), "display_name": F.lit(""), "tags": F.array().cast("array<string>"), "attributes": F.create_map().cast("map<string,string>")})
     a, b = text.stamp(one, "c", "s", "p"), text.stamp(one, "c", "s", "p")
     assert a.first().event_id == b.first().event_id and a.first().message == "é" and text.new_events(b, a).count() == 0
+
+
+def test_run_snapshots(spark):
+    """Hashes do not depend on the order of rows or keys, and change with what they cover."""
+    found = spark.createDataFrame([("ua", "x", 1)], "field string, value string, n int")
+    rows = [("ua", "x", "normal"), ("ua", "y", "dismissed"), (None, None, "normal")]
+    disp = lambda r: spark.createDataFrame(r, "field string, value string, kind string")
+    make = lambda windows, r: verdicts.snapshot(found, "d", {"b": 1, "a": [2]}, windows, disp(r)).first()
+    one, two = make({"x": 1, "y": 2}, rows), make({"y": 2, "x": 1}, rows[::-1])
+    assert one == two and one.params == '{"a":[2],"b":1}' and (one.detector, one.field, one.n) == ("d", "ua", 1)
+    assert one.windows_hash == hashlib.sha256(b'{"x":1,"y":2}').hexdigest()
+    assert make({"x": 1, "y": 3}, rows).windows_hash != one.windows_hash and make({"x": 1, "y": 2}, rows[:2]).dispositions_hash != one.dispositions_hash
+    assert make({}, rows[:1] * 2).dispositions_hash != make({}, rows[:1]).dispositions_hash and make({}, []).dispositions_hash
+
+
+def test_q_values_against_a_plain_loop(spark):
+    rng = np.random.default_rng(2)
+    p = np.round(rng.random(500) ** 3, 2)  # many ties
+    df = spark.createDataFrame([(i, int(i % 2), float(x)) for i, x in enumerate(p)] + [(900, 0, None)], "i int, pool int, p double")
+    got = {r.i: r.q for r in stats.benjamini_hochberg(df, pool=["pool"]).collect()}
+    for g in (0, 1):
+        own = p[g::2]
+        order = np.argsort(own, kind="stable")
+        q = np.minimum.accumulate((own[order] * len(own) / np.arange(1, len(own) + 1))[::-1])[::-1]
+        for at, value in zip(order, q, strict=True):
+            assert got[2 * at + g] == pytest.approx(min(1.0, value))
+    assert got[900] is None
+
+
+def test_quantiles_and_ranks_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=700), np.round(rng.normal(size=300), 1), [5.0] * 400])
+    g = rng.integers(0, 3, len(x))
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x, strict=True)], "g int, x double")
+    got = {r.g: r.q for r in ranks.quantiles(df, ["g"], "x", (0.0, 0.1, 0.5, 0.93, 1.0)).collect()}
+    for k in range(3):
+        assert got[k] == pytest.approx(np.quantile(x[g == k], (0, 0.1, 0.5, 0.93, 1)))
+    assert ranks.quantiles(df, [], "x", (0.25,)).first().q == pytest.approx([np.quantile(x, 0.25)])
+    assert ranks.quantiles(df.where("false"), ["g"], "x", (0.5,)).count() == 0
+    r = {(row.g, row.x): row.r for row in charts.average_ranks(df, "x", "r", ["g"]).collect()}
+    for k in range(3):
+        own = x[g == k]
+        for v in own[:50]:
+            assert r[k, v] == (own < v).sum() + ((own == v).sum() + 1) / 2
+
+
+def test_grams_over_hours(spark):
+    """Runs over the borders of hours, with empty hours between, against a plain loop."""
+    rng = np.random.default_rng(6)
+    at = np.sort(rng.choice(40_000, 160, replace=False)) * 17
+    rows = [((datetime(2024, 1, 1) + timedelta(seconds=int(s))).isoformat(), {"k": f"v{i % 7}"}, f"s{rng.integers(0, 2)}") for i, s in enumerate(at)]
+    for gap in (None, 3000.0):
+        got = sorted((r.source_id, tuple(r.ids)) for r in detect.ngrams(ev(spark, rows), "k", 3, max_gap=gap).collect())
+        want = []
+        for source in ("s0", "s1"):
+            own = [(i, at[i]) for i, r in enumerate(rows) if r[2] == source]
+            for a, b, c in zip(own, own[1:], own[2:]):
+                if gap is None or (b[1] - a[1] <= gap and c[1] - b[1] <= gap):
+                    want.append((source, tuple(f"e{i:04d}" for i, _ in (a, b, c))))
+        assert got == sorted(want)
+
+
+def test_repeated_ids_are_not_multiplied_in_grouped_alphabets(spark):
+    rows = [(f"2024-01-0{1 + i % 9} 00:00:00", {"k": f"v{i % 30}", "g": "a"}) for i in range(60)] + [("2024-01-02 00:00:00", {"k": "v~", "g": "a"})]
+    df = ev(spark, rows)
+    got = detect.charset_novelty(df.unionByName(df), ["k"], group="g").where("val = 'v~'").collect()
+    assert [r.n for r in got] == [2]
