@@ -22,8 +22,6 @@ from .common import held_out, materialize, small, small_batches
 
 #: Bound of the training sample, in documents; their texts are used whole.
 SAMPLE = 3000
-#: Groups in which the documents of a language are ranked first.
-SALTS = 64
 HIDDEN, STEPS, LANES, UPDATES, RATE = 12, 96, 192, 180, 0.014
 #: A text is read in stretches of so many bytes, all of them, so many stretches at a time. Both states begin anew
 #: in each stretch, of documents of any length: a position sees the bytes of its own stretch.
@@ -197,17 +195,18 @@ def probabilities(net: Network, texts: list[bytes], labels: bool = False) -> tup
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from docs (doc_id, text, lang): those with a language and a letter that are not held out.
 
-    A bounded sample is used: of each language an equal part of `sample`, its documents of smallest hash, with their
-    whole texts; every step of the training reads places of them anew. None if there is no such document.
+    A bounded sample is used: of each language an equal part of `sample`, its documents of smallest hash (taken as
+    a number without sign), with their whole texts; every step of the training reads places of them anew. None if there is no such document.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     rows = usable.select(F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
-    each = -(-sample // max(1, docs.select("lang").where("lang IS NOT NULL").distinct().count()))
-    picked = rows.select("lang", "h")
-    # Hashes are ranked, not texts, and in salted groups first, so no language has to be sorted in one task.
-    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
-        picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= each).drop("r")
-    picked = materialize(picked.distinct(), "langid-sample")
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")  # a row a language
+    each = -(-sample // max(1, sizes.count()))
+    # Hashes below a bound that four times as many as needed should meet are ranked, so a language's size makes no task large.
+    place = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    near = rows.select("lang", "h").distinct().join(small(sizes), "lang").where(place * F.col("n") < 4 * each)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+    picked = materialize(near.withColumn("r", rank).where(F.col("r") <= each).select("lang", "h"), "langid-sample")
     # A row that repeats counts once.
     few = rows.join(small(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     got = [(r.text.encode("utf-8", "replace"), r.lang) for r in sorted(few.collect(), key=lambda r: (r.h, r.lang))]
