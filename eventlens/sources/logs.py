@@ -133,7 +133,7 @@ def syslog_header(lines: DataFrame, year: int | None) -> DataFrame:
 SYSLOG_COLUMNS = ("_ts", "_host", "_program", "_pid", "_text", "_ok")
 
 
-#: (program, pattern, event, names of the groups)
+#: (program or None for any, pattern, event, names of the groups); the first that fits counts.
 SYSLOG_RULES = (
     ("sshd", r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)", "ssh_login", ("method", "user", "src_ip", "src_port")),
     ("sshd", r"^Failed (\S+) for (?:invalid user )?(\S+) from (\S+) port (\d+)", "ssh_failed", ("method", "user", "src_ip", "src_port")),
@@ -147,6 +147,17 @@ SYSLOG_RULES = (
     ("useradd", r"^new user: name=([^,]+), UID=(\d+)", "user_added", ("user", "uid")),
     ("userdel", r"^delete user '([^']+)'", "user_deleted", ("user",)),
     ("passwd", r"password changed for (\S+)", "password_changed", ("user",)),
+    ("sudo", r"authentication failure;.* user=(\S+)", "sudo_failed", ("user",)),
+    ("sudo", r"^\s*(\S+) : (?:\d+ incorrect password attempts?|user NOT in sudoers)", "sudo_failed", ("user",)),
+    ("su", r"^FAILED SU \(to (\S+)\) (\S+) on", "su_failed", ("target_user", "user")),
+    ("usermod", r"^(?:change|add) '?([^'\s]+)'?", "user_changed", ("user",)),
+    ("groupadd", r"^new group: name=([^,]+), GID=(\d+)", "group_added", ("group", "gid")),
+    ("groupdel", r"^group '([^']+)' removed", "group_deleted", ("group",)),
+    ("sshd", r"^Connection closed by (?:authenticating |invalid )?(?:user (\S+) )?(\S+) port (\d+)", "ssh_closed", ("user", "src_ip", "src_port")),
+    ("systemd", r"^(Started|Stopped) (.+?)\.?$", "service", ("state", "service")),
+    # Any program's session lines.
+    (None, r"session opened for user ([^\s(]+)", "session_opened", ("user",)),
+    (None, r"session closed for user (\S+)", "session_closed", ("user",)),
 )
 
 
@@ -158,7 +169,7 @@ def syslog(lines: DataFrame, year: int | None = None) -> DataFrame:
     rows = syslog_header(lines, year)
     found = []
     for program, pattern, event, groups in SYSLOG_RULES:
-        fits = (F.col("_program") == program) & F.col("_text").rlike(pattern)
+        fits = F.col("_text").rlike(pattern) if program is None else (F.col("_program") == program) & F.col("_text").rlike(pattern)
         made = F.regexp_replace("_text", f"(?s)^.*?{pattern.removeprefix('^')}.*" if not pattern.startswith("^") else f"(?s){pattern}.*", CUT.join([event, *[f"${i + 1}" for i in range(len(groups))]]))
         found.append(F.when(fits, made))
     rows = rows.withColumn("_rule", F.split(F.coalesce(*found), CUT))
@@ -206,11 +217,17 @@ def filterlog(lines: DataFrame, year: int | None = None) -> DataFrame:
     return out.drop("_p", *SYSLOG_COLUMNS)
 
 
-def flat_json(raw: Column) -> Column:
-    """Top-level values of a JSON object as text; nested objects one level down as dotted keys."""
-    top = json_map(raw)
-    nested = F.flatten(F.transform(F.map_entries(top), lambda e: F.when(e["value"].startswith("{"), F.transform(F.map_entries(json_map(e["value"])), lambda i: F.struct(F.concat_ws(".", e["key"], i["key"]).alias("key"), i["value"].alias("value")))).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
-    return F.map_from_entries(F.filter(nested, lambda p: p["value"].isNotNull() & (p["value"] != "") & (p["value"] != "null")))
+#: Levels of nested objects that are flattened; objects below stay JSON text.
+LEVELS = 5
+
+
+def flat_json(raw: Column, levels: int = LEVELS) -> Column:
+    """A JSON object's values as text, nested objects as dotted keys, blanks and nulls left out."""
+    out = F.map_entries(json_map(raw))
+    inner = lambda e: F.transform(F.map_entries(json_map(e["value"])), lambda i: F.struct(F.concat_ws(".", e["key"], i["key"]).alias("key"), i["value"].alias("value")))
+    for _ in range(levels):
+        out = F.flatten(F.transform(out, lambda e: F.when(e["value"].startswith("{"), F.coalesce(inner(e), F.array(e))).otherwise(F.array(e))))
+    return F.map_from_entries(F.filter(out, lambda p: p["value"].isNotNull() & (p["value"] != "") & (p["value"] != "null")))
 
 
 FAST = r"^(\d{2}/\d{2}/\d{4}-\d{2}:\d{2}:\d{2}\.\d+)\s+\[\*\*\] \[(\d+):(\d+):(\d+)\] (.*?) \[\*\*\] (?:\[Classification: ([^\]]*)\] )?\[Priority: (\d+)\] \{(\w+)\} (\S+?)(?::(\d+))? -> (\S+?)(?::(\d+))?$"
@@ -255,7 +272,7 @@ def cloudtrail(spark: SparkSession, path: str) -> DataFrame:
 
 def cowrie(lines: DataFrame) -> DataFrame:
     """Honeypot JSON with eventid and timestamp; one level flattened."""
-    rows = lines.withColumn("_m", flat_json(F.col("raw")))
+    rows = lines.withColumn("_m", flat_json(F.col("raw"), 1))
     m = lambda k: F.col("_m")[k]
     text = F.coalesce(m("message"), F.when(m("eventid") == "cowrie.command.input", F.concat_ws(" ", F.lit("command:"), m("input"))), F.when(m("eventid").startswith("cowrie.login"), F.concat_ws(" ", F.lit("login"), m("username"), m("password"))), m("eventid"))
     ok = m("eventid").isNotNull() & m("timestamp").isNotNull()
@@ -315,7 +332,15 @@ def zeek(lines: DataFrame) -> DataFrame:
     m = lambda k: F.coalesce(F.col("_m")[k], F.lit(""))
     ts = F.timestamp_millis(F.floor(m("ts").try_cast("decimal(20,6)") * 1000).cast("long"))
     flow = F.concat(m("id.orig_h"), F.lit(":"), m("id.orig_p"), F.lit(" -> "), m("id.resp_h"), F.lit(":"), m("id.resp_p"))
-    text = F.when(F.col("_path") == "dns", F.concat_ws(" ", F.lit("dns"), m("qtype_name"), m("query"))).when(F.col("_path") == "http", F.concat_ws(" ", m("method"), F.concat(m("host"), m("uri")), m("status_code"))).when(F.col("_path") == "conn", F.concat_ws(" ", m("proto"), flow, m("conn_state"))).otherwise(F.concat_ws(" ", F.col("_path"), flow))
+    said = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
+    texts = {
+        "dns": F.concat_ws(" ", F.lit("dns"), m("qtype_name"), m("query")), "http": F.concat_ws(" ", m("method"), F.concat(m("host"), m("uri")), m("status_code")), "conn": F.concat_ws(" ", m("proto"), flow, m("conn_state")),
+        "ssl": said(F.lit("tls"), flow, m("server_name"), m("version"), m("validation_status")), "ssh": said(F.lit("ssh"), flow, m("auth_success"), m("client")), "files": said(F.lit("file"), F.coalesce(F.nullif(m("filename"), F.lit("")), m("fuid")), m("mime_type"), m("sha256")),
+        "notice": said(F.lit("notice"), m("note"), m("msg")), "weird": said(F.lit("weird"), m("name"), m("addl")), "x509": said(F.lit("certificate"), F.coalesce(F.nullif(m("certificate.subject"), F.lit("")), m("id"))),
+    }
+    text = F.concat_ws(" ", F.col("_path"), flow)
+    for path, own in texts.items():
+        text = F.when(F.col("_path") == path, own).otherwise(text)
     out = _event(rows, ok, ts, text, F.concat(F.lit("zeek:"), F.coalesce("_path", F.lit("?"))), F.map_concat(F.map_filter(clean_attributes(F.coalesce("_m", F.create_map().cast("map<string,string>"))), lambda k, v: ~k.isin("ts", "src_ip", "dst_ip")), attributes_of(src_ip=m("id.orig_h"), dst_ip=m("id.resp_h"))))
     return out.drop("_fields", "_path", "_empty", "_unset", "_m")
 

@@ -129,3 +129,27 @@ def test_running_sums(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"), F.floor(F.col("id") / 7).alias("b"))
     got = {r.x: r.s for r in storage.running_sums(df, ["g"], "b", ["x"], {"s": F.col("x")}).collect()}
     assert got == {x: sum(y for y in range(x) if y % 3 == x % 3) for x in range(200)}
+
+
+def test_deep_objects_are_flattened(spark):
+    got = rows(spark, '{"a":{"b":{"c":{"d":1,"e":[1,2]}}},"f":"{not json"}').select(logs.flat_json(F.col("raw")).alias("m")).first().m
+    assert got == {"a.b.c.d": "1", "a.b.c.e": "[1,2]", "f": "{not json"}
+
+
+@pytest.mark.parametrize("line, event, attributes", [
+    ("sudo: pam_unix(sudo:session): session opened for user root(uid=0) by bob(uid=1000)", "session_opened", {"user": "root"}), ("CRON[1]: pam_unix(cron:session): session closed for user bob", "session_closed", {"user": "bob"}),
+    ("su[2]: FAILED SU (to root) bob on pts/1", "su_failed", {"user": "bob", "target_user": "root"}), ("groupadd[3]: new group: name=dev, GID=1001", "group_added", {"group": "dev", "gid": "1001"}),
+    ("sshd[4]: Connection closed by invalid user x 10.0.0.1 port 22 [preauth]", "ssh_closed", {"user": "x", "src_ip": "10.0.0.1", "src_port": "22"}), ("systemd[1]: Started Daily job.", "service", {"state": "Started", "service": "Daily job"}), ("passwd[9]: password changed for eve", "password_changed", {"user": "eve"}), ("app: hello", None, {}),
+])
+def test_rules_of_syslog_lines(spark, line, event, attributes):
+    r = logs.syslog(rows(spark, f"Jan  5 10:00:00 h1 {line}"), 2024).first()
+    got = {k: v for k, v in r.attributes.items() if k not in ("host", "program", "pid")}
+    assert r.ok and got.pop("event", None) == event and got == attributes
+
+
+def test_forms_of_network_logs(spark):
+    flow = "ts\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p"
+    lines = ["#path\tssl", f"#fields\t{flow}\tserver_name\tversion", "1\t10.0.0.1\t5\t10.0.0.2\t443\th.example\tTLSv13", "#path\tnotice", "#fields\tts\tnote\tmsg", "2\tScan\tmany ports", "#path\tweird", "#fields\tts\tname\taddl", "3\todd\t-", "4\tshort"]
+    df = spark.createDataFrame([("f", i * (9 << 20), x) for i, x in enumerate(lines)], "source_file string, byte_offset long, raw string")
+    got = logs.zeek(df).orderBy("byte_offset").collect()
+    assert [(r.message, r.ok) for r in got][:3] == [("tls 10.0.0.1:5 -> 10.0.0.2:443 h.example TLSv13", True), ("notice Scan many ports", True), ("weird odd", True)] and not got[3].ok
