@@ -209,14 +209,27 @@ def arrival_gaps(df: DataFrame, field: str, windows: AnalysisWindows) -> DataFra
     rows = values(df, [field], None, windows)
     labels = F.concat(F.when(F.col("base"), F.array(F.lit(windows.baseline.label))).otherwise(F.array().cast("array<string>")), "labels")
     rows = rows.select("val", "event_id", F.unix_millis("ts").alias("ms"), F.explode(labels).alias("label"))
-    gap = (F.col("ms") - F.lag("ms").over(Window.partitionBy("val", "label").orderBy("ms", "event_id"))) / 1000
-    rows = rows.withColumn("gap", gap)
+    rows = _gaps(rows, ["val", "label"], "ms", "event_id")
     out = rows.groupBy("val", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.count("gap").alias("k"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"), F.percentile("gap", F.lit(0.5)).alias("median"), ((F.max("ms") - F.min("ms")) / 1000).alias("span"), F.sum(F.col("gap") * F.col("gap")).alias("sum2")
+        F.count(F.lit(1)).alias("n"), F.count("gap").alias("k"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"), ((F.max("ms") - F.min("ms")) / 1000).alias("span"), F.sum(F.col("gap") * F.col("gap")).alias("sum2")
     )
+    out = out.join(_medians(rows, ["val", "label"]), ["val", "label"], "left")
     return out.withColumn("cv", F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")))
 
 
+def _gaps(rows: DataFrame, by: list[str], ms: str, tie: str) -> DataFrame:
+    """rows with `gap`: seconds since the row before in each group. Groups are cut into days that see the row before them."""
+    rows = with_rows_before(rows.withColumn("_day", F.floor(F.col(ms) / 86_400_000)), by, "_day", [ms, tie], 1)
+    gap = (F.col(ms) - F.lag(ms).over(Window.partitionBy(*by, "_day").orderBy(ms, tie))) / 1000
+    return materialize(rows.withColumn("gap", gap).where(~F.col("_carried")).drop("_carried", "_day"), "gaps")
+
+
+def _medians(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., median) of gaps."""
+    found = quantiles(rows.where("gap IS NOT NULL"), by, "gap", (0.5,))
+    return found.select(*by, F.col("q")[0].alias("median"))
+
+
 def interval_periodicity(df: DataFrame, field: str, windows: AnalysisWindows, fdr: float = FDR, least_gaps: int = 5, beacon_gaps: int = 10, regular: float = 0.5, irregular: float = 0.8, beacon_cv: float = 0.3, beacon_span: float = 0.5, ratio: float = LEAST_RATIO) -> DataFrame:
     """Arrival rhythm: regular values that went missing or sped up, and new regularity of bursty or sparse ones."""
     gaps = arrival_gaps(df, field, windows)
@@ -404,8 +417,9 @@ def sequence_novelty(df: DataFrame, field: str, n: int, windows: AnalysisWindows
 def sequence_motifs(df: DataFrame, field: str, n: int, support: int = 3, max_gap: float | None = None) -> DataFrame:
     """Recurring n-grams with the cadence of the source where they are most regular; score favours regular ones."""
     grams = ngrams(df, field, n, None, max_gap)
-    gap = (F.col("first_ms") - F.lag("first_ms").over(Window.partitionBy("source_id", "gram").orderBy("first_ms", F.get("ids", 0)))) / 1000
-    each = grams.withColumn("gap", gap).groupBy("gram", "source_id").agg(F.count(F.lit(1)).alias("n"), F.count("gap").alias("k"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"), F.percentile("gap", F.lit(0.5)).alias("median"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+    grams = _gaps(grams.select("source_id", "gram", "first_ms", "last_ms", F.get("ids", 0).alias("id")), ["source_id", "gram"], "first_ms", "id")
+    each = grams.groupBy("gram", "source_id").agg(F.count(F.lit(1)).alias("n"), F.count("gap").alias("k"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+    each = each.join(_medians(grams, ["gram", "source_id"]), ["gram", "source_id"], "left")
     cv = F.when(F.col("mean") > 0, F.round(F.col("sd") / F.col("mean"), 4))
     each = each.withColumn("cv", cv)
     best = F.min(F.struct(F.col("cv").isNull().alias("none"), F.coalesce("cv", -F.col("k").cast("double")).alias("rank"), "source_id", "cv", F.round("median", 4).alias("period"))).alias("best")
