@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the
 next one's docs. The first four return the columns of documents:
 
-1. language ID: documents without a letter, and those whose best language has a mean probability below
-   LEAST_SCORE, go; the network learns from the given documents' own labels.
+1. language ID: documents without a letter, and those whose best language has a mean probability of hardly more
+   than chance (see least_score), go; the network learns from the given documents' own labels.
 2. near-duplicates: of each group of linked documents the one of smallest doc_id stays (once, if its row is
    repeated).
 3. decontamination: documents with any run of a benchmark item go.
@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from eventlens.llm import decontam, langid, mixing, neardup, packing
 from eventlens.llm.common import materialize, shared_dir, small, table
 
-#: A document whose best language is less likely than this at the mean position has none.
-LEAST_SCORE = 0.35
+#: A document has a language if its best one's mean probability exceeds chance by this share of what is left to 1.
+LEAST_GAIN = 2 / 15
 #: Consecutive documents that are packed together.
 SHARD_DOCS = 256
 
@@ -35,9 +35,16 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def least_score(languages: int) -> float:
+    """The lowest score that counts as a language, for so many of them: 0.35 for four."""
+    return 1 / languages + LEAST_GAIN * (1 - 1 / languages)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.fit(docs))
-    return _without(docs.where(F.col("text").rlike(r"\p{L}")), found.where((F.col("lang_pred") != "und") & (F.col("score") < LEAST_SCORE)))
+    net = langid.fit(docs)
+    found = langid.identify(docs, net)
+    bound = least_score(len(net.langs)) if net else 0.0
+    return _without(docs.where(F.col("text").rlike(r"\p{L}")), found.where((F.col("lang_pred") != "und") & (F.col("score") < bound)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
