@@ -30,10 +30,22 @@ def test_language_stage(stages):
     before, after = stages[0].collect(), {r.doc_id for r in stages[1].collect()}
     net = langid.fit(stages[0])
     p, _ = langid.probabilities(net, [(r.text or "").lower().encode() for r in before])
-    want = {r.doc_id for r, q in zip(before, p, strict=True) if re.search(r"[^\W\d_]", r.text or "") and q.max() >= C.LEAST_SCORE}
+    want = {r.doc_id for r, q in zip(before, p, strict=True) if re.search(r"[^\W\d_]", r.text or "") and q.max() >= C.least_score(len(net.langs))}
     assert after == want
 
 
+def test_the_least_score_grows_with_chance():
+    assert C.least_score(4) == pytest.approx(0.35) and C.least_score(2) > 0.5 and 0.05 < C.least_score(20) < 0.2 and C.least_score(1) == 1
+
+
+def test_documents_that_fit_no_language_go(spark, sf):
+    """Half of the texts of two learnt languages each in one document is a toss-up; a document of one language is not."""
+    a, b = "aba cab bac ", "xyx yzz zxy "
+    docs = spark.createDataFrame([(3 * i, (a if i % 2 else b) * 60, "a" if i % 2 else "x", "s", 1) for i in range(60)] + [(1000, (a + b) * 40, "a", "s", 1), (1001, "123 --", "a", "s", 1)], DOCS)
+    kept = {r.doc_id for r in C.language(spark, docs, sf).collect()}
+    assert set(range(0, 180, 3)) <= kept and 1001 not in kept
+
+
 def test_near_duplicate_stage(stages):
     want = components_by_brute_force([(r.doc_id, r.text) for r in stages[1].collect()])
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(d for d, (_, c) in want.items() if c == d)
