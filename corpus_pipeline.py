@@ -6,7 +6,7 @@ next one's docs. The first four return the columns of documents:
 1. language ID: documents without a letter, and those whose best language has a mean probability of hardly more
    than chance (see least_score), go; the network learns from the given documents' own labels.
 2. near-duplicates: of each group of linked documents the one of smallest doc_id stays (once, if its row is
-   repeated).
+   repeated; with each of its texts, if that doc_id has several).
 3. decontamination: documents with any run of a benchmark item go.
 4. mixing: all stay, in the order of the mixture; part files follow one another, and so do rows in them.
 5. packing: that order decides which documents are packed together: consecutive ones form a shard.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventlens.llm import decontam, langid, mixing, neardup, packing
-from eventlens.llm.common import materialize, shared_dir, small, table
+from eventlens.llm.common import free, materialize, shared_dir, small, table
 
 #: A document has a language if its best one's mean probability exceeds chance by this share of what is left to 1.
 LEAST_GAIN = 2 / 15
@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = materialize(neardup.near_duplicates(docs, 85), "pipeline-groups")
     again = found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1")
     out = _without(docs, found.where("NOT kept"))
-    return out if again.isEmpty() else out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    return out if again.isEmpty() else out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,12 +72,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _position(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """docs read from files, with each row's position in the order of file names and rows."""
-    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    files = materialize(rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")), "pipeline-files")
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.select("_file", before.alias("_before"))  # a row a file
-    return rows.join(F.broadcast(files), "_file"), F.col("_before") + F.col("_row")
+    """docs read from files, with each row's position in the order of file names and rows; columns of any names may be there."""
+    file, row, n, earlier = free(docs, "_file", "_row", "_n", "_before")
+    rows = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    files = materialize(rows.groupBy(file).agg(F.count(F.lit(1)).alias(n)), "pipeline-files")
+    before = F.coalesce(F.sum(n).over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = small(files.select(file, before.alias(earlier)))  # a row a file
+    return rows.join(files, file), F.col(earlier) + F.col(row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
