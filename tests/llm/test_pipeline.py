@@ -84,6 +84,15 @@ def test_packing_stage(stages):
     assert {d: np.concatenate([x[p] for p in sorted(x)]).tolist() for d, x in got.items()} == {d: t for d, t in want.items() if t}
 
 
+def test_positions_and_repeated_ids(spark, sf, tmp_path):
+    rows = [(1, "one two three four five six", "en", "a", 1), (1, "other words that stand alone here", "en", "a", 1), (1, "other words that stand alone here", "en", "a", 1), (2, "one two three four five six", "en", "a", 1)]
+    out = C.near_duplicates(spark, spark.createDataFrame(rows, DOCS), sf)
+    assert sorted((r.doc_id, r.text[:3]) for r in out.collect()) == [(1, "one"), (1, "oth")]
+    spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("_file", "_row", "_n", "_before")}).repartition(2).write.parquet(f"{tmp_path}/x")
+    placed, position = C._position(spark.read.parquet(f"{tmp_path}/x"))
+    assert sorted(r.p for r in placed.select(position.alias("p")).collect()) == [0, 1, 2, 3] and {r._row for r in placed.collect()} == {"x"}
+
+
 def test_run_and_awkward_rows(spark, sf, tmp_path):
     assert C.run(spark, sf).count() > 0
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "one two three four five six", "en", "a", 1), (2, "one two three four five six", "en", "a", 1), (3, "one two three four five six", "en", None, 1), (4, "!! 12", "en", "a", 1), (None, "words without an id", "en", "b", 1)]
