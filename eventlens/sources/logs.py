@@ -150,7 +150,7 @@ SYSLOG_RULES = (
     ("sudo", r"authentication failure;.* user=(\S+)", "sudo_failed", ("user",)),
     ("sudo", r"^\s*(\S+) : (?:\d+ incorrect password attempts?|user NOT in sudoers)", "sudo_failed", ("user",)),
     ("su", r"^FAILED SU \(to (\S+)\) (\S+) on", "su_failed", ("target_user", "user")),
-    ("usermod", r"^(?:change|add) '?([^'\s]+)'?", "user_changed", ("user",)),
+    ("usermod", r"^(?:change user|add) '([^']+)'", "user_changed", ("user",)),
     ("groupadd", r"^new group: name=([^,]+), GID=(\d+)", "group_added", ("group", "gid")),
     ("groupdel", r"^group '([^']+)' removed", "group_deleted", ("group",)),
     ("sshd", r"^Connection closed by (?:authenticating |invalid )?(?:user (\S+) )?(\S+) port (\d+)", "ssh_closed", ("user", "src_ip", "src_port")),

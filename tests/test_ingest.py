@@ -139,7 +139,7 @@ def test_deep_objects_are_flattened(spark):
 @pytest.mark.parametrize("line, event, attributes", [
     ("sudo: pam_unix(sudo:session): session opened for user root(uid=0) by bob(uid=1000)", "session_opened", {"user": "root"}), ("CRON[1]: pam_unix(cron:session): session closed for user bob", "session_closed", {"user": "bob"}),
     ("su[2]: FAILED SU (to root) bob on pts/1", "su_failed", {"user": "bob", "target_user": "root"}), ("groupadd[3]: new group: name=dev, GID=1001", "group_added", {"group": "dev", "gid": "1001"}),
-    ("sshd[4]: Connection closed by invalid user x 10.0.0.1 port 22 [preauth]", "ssh_closed", {"user": "x", "src_ip": "10.0.0.1", "src_port": "22"}), ("systemd[1]: Started Daily job.", "service", {"state": "Started", "service": "Daily job"}), ("passwd[9]: password changed for eve", "password_changed", {"user": "eve"}), ("app: hello", None, {}),
+    ("sshd[4]: Connection closed by invalid user x 10.0.0.1 port 22 [preauth]", "ssh_closed", {"user": "x", "src_ip": "10.0.0.1", "src_port": "22"}), ("systemd[1]: Started Daily job.", "service", {"state": "Started", "service": "Daily job"}), ("passwd[9]: password changed for eve", "password_changed", {"user": "eve"}), ("app: hello", None, {}), ("usermod[5]: add 'bob' to group 'sudo'", "user_changed", {"user": "bob"}),
 ])
 def test_rules_of_syslog_lines(spark, line, event, attributes):
     r = logs.syslog(rows(spark, f"Jan  5 10:00:00 h1 {line}"), 2024).first()
