@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 from .urlfilter import host_and_path
 
-#: Different pages of a host that its wrapper is made from.
-SAMPLE = 8
+#: Different pages of a layout that its wrapper is made from, and groups of a host's pages, by tags and classes, that are sampled each.
+SAMPLE, KINDS = 8, 32
 #: Cells of a table of siblings, and of all tables of two pages, beyond which siblings are matched in linear time.
 CELLS, ALL_CELLS = 1024, 400_000
 #: Share of the other pages in which a template text stands; pages needed; share of the text it may be at most.
@@ -430,10 +430,10 @@ def induce(pages: list[str]) -> dict | None:
         placed = _placed(root)
         page = (root, placed, _layout(placed))
         near = max(groups, key=lambda g: _alike(g[0][2], page[2]), default=None)
-        if near is not None and _alike(near[0][2], page[2]) >= ALIKE:
-            near.append(page)
-        else:
+        if near is None or _alike(near[0][2], page[2]) < ALIKE:
             groups.append([page])
+        elif len(near) < SAMPLE:
+            near.append(page)
     made = [w for w in map(_induce, sorted(groups, key=len, reverse=True)) if w]
     if len(groups) > 1:  # one layout needs no choice
         for w in made[:1]:
@@ -573,11 +573,18 @@ def _wrappers(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(made) if made else None]})
 
 
+def _kind(html: Column) -> Column:
+    """A number that pages of one layout mostly share: the smallest hash of their tags and classes, in KINDS groups."""
+    names = F.concat(F.regexp_extract_all(html, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), 1), F.regexp_extract_all(html, F.lit(r"\bclass\s*=\s*[\"']?([^\"'>]*)"), 1))
+    hashes = F.transform(F.array_distinct(names), lambda x: F.xxhash64(F.lower(F.regexp_replace(x, r"\d+", ""))))
+    return F.pmod(F.coalesce(F.array_min(hashes), F.lit(0)), F.lit(KINDS)).cast("int")
+
+
 def wrappers(pages: DataFrame, host: Column, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper as JSON or null) from a bounded sample: for each host one page for each of `sample` hash groups of page texts."""
+    """(host, wrapper as JSON or null) from a bounded sample: for each host and kind one page for each of `sample` hash groups of page texts."""
     html = F.col("html").cast("string")
-    rows = pages.where(html.isNotNull()).select(host.alias("host"), html.alias("html"), F.xxhash64(html).alias("h"))
-    few = rows.groupBy("host", F.pmod("h", F.lit(sample)).alias("g")).agg(F.min_by("html", "h").alias("html"))
+    rows = pages.where(html.isNotNull()).select(host.alias("host"), html.alias("html"), F.xxhash64(html).alias("h"), _kind(html).alias("kind"))
+    few = rows.groupBy("host", "kind", F.pmod("h", F.lit(sample)).alias("g")).agg(F.min_by("html", "h").alias("html"))
     return few.select("host", "html").groupBy("host").applyInPandas(_wrappers, "host string, wrapper string")
 
 

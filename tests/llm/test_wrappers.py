@@ -94,3 +94,12 @@ def test_siblings_beyond_the_table_are_matched_by_their_equal_parts(monkeypatch)
     monkeypatch.setattr(html, "CELLS", 4)
     pages = [page(i, 10, 30) for i in range(6)]
     assert html.extract(pages[2], html.induce(pages)).startswith("Title 2\n\n") and "slogan" not in html.extract(pages[2], html.induce(pages))
+
+
+def test_rare_layouts_of_large_hosts_have_wrappers(spark):
+    """Three pages of another layout among 300: a sample of the host alone would hardly meet them."""
+    shop = lambda i: f"<body><div class=y1>Our shop, our slogan</div><table class=y2><tr><td>Thing {i}</td><td>{words(f's{i}', 30)}</td></tr></table><center>Imprint</center></body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(300)] + [(1000 + i, f"http://h.example/s{i}", shop(i)) for i in range(3)]
+    out = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[1000 + i] == f"Thing {i}\n\n{words(f's{i}', 30)}" for i in range(3))
+    assert all(out[i] == f"Title {i}\n\n{words(f'{i}y0', 40)}" for i in range(300))
