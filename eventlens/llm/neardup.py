@@ -187,7 +187,8 @@ def _linked_in_blocks(rest: DataFrame, nodes: DataFrame, docs: DataFrame, percen
     full = full.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "h"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = full.select("bucket", "node", "h", "comp", "n_shingles", "regs", "text", "block", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return materialize(dealt.groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long"), "neardup-block-links")
+    # Pairs of blocks of one bucket are dealt to all tasks.
+    return materialize(dealt.repartition("bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long"), "neardup-block-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
