@@ -62,8 +62,8 @@ def test_null_and_repeated_ids_do_not_fill_a_shard(spark, monkeypatch):
 
 
 def test_repeated_ids_bring_one_row_to_the_fit(spark):
-    labels = spark.createDataFrame([(4, 1), (5, 0), (5, 0)], "doc_id long, quality int")
-    docs = spark.createDataFrame([(4, "good text here")] * 500 + [(5, "bad bad bad")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (8, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(7, "good text here")] * 500 + [(8, "bad bad bad")] * 500, "doc_id long, text string")
     once = quality.fit(docs.distinct(), labels)
     assert np.array_equal(quality.fit(docs, labels), once) and np.abs(once).sum() > 0
 
