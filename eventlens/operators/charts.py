@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import TIME_DOMAINS, effective_time, number, resolve
 from ..functions.ranks import cumulative, quantiles
-from ..functions.storage import small
+from ..functions.storage import materialize, small
 from ..functions.stats import kendall, r_p_column, shapiro_wilk
 from .explore import terms
 
@@ -59,6 +59,7 @@ def _numbers(df: DataFrame, field: str, mappings=None) -> DataFrame:
 
 def numeric_summary(x: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Count, extremes, mean, population deviation and skewness, and QUANTILES of x."""
+    x = materialize(x.select(*by, "x"), "numbers")  # read twice
     out = x.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.skewness("x").alias("skew"))
     q = quantiles(x, by, "x", QUANTILES)
     out = out.join(small(q), list(by), "left") if by else out.crossJoin(one_row(q))
@@ -93,6 +94,7 @@ def numeric_bins(df: DataFrame, field: str, mappings=None) -> DataFrame:
 def numeric_grouped(df: DataFrame, field: str, group: str, groups: int = 10) -> DataFrame:
     """Summaries of x in the most frequent groups; a blank group is left out, the rest of the groups are counted."""
     x = df.select(resolve(group).alias("g"), number(resolve(field)).alias("x")).where("x IS NOT NULL AND g <> ''")
+    x = materialize(x, "grouped-numbers")
     sizes = x.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.orderBy(F.desc("size"), "g").limit(groups)
     rest = sizes.agg((F.count(F.lit(1)) - F.lit(groups)).alias("omitted")).select(F.greatest("omitted", F.lit(0)).cast("long").alias("omitted"))
@@ -151,6 +153,7 @@ def pivot(df: DataFrame, x: str, y: str, limit: int = 10) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, rank: str, by: Sequence[str]) -> DataFrame:
     """Adds the mean rank of ties. Ranks come from counts of distinct values, added up in ranges of values."""
+    df = materialize(df, "ranked")  # read twice
     counts = cumulative(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), by, value, ["n"])
     return df.join(small(counts.select(*by, value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(rank))), [*by, value])
 

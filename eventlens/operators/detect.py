@@ -100,6 +100,7 @@ def numeric_range(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows
     """Numbers beyond Tukey's fences of their field, or beyond the baseline's extremes; score: excess by band width."""
     rows = values(df, fields, None, windows).withColumn("x", number(F.col("val"), finite=False)).where("x IS NOT NULL")
     if windows is None:
+        rows = materialize(rows.select("field", "x", "ts", "event_id"), "ranged-numbers")  # read three times
         band = _fences(rows, "x")
         by = ["field", "x"]
     else:
