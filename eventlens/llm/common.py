@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from ..functions.storage import materialize, shared_dir  # noqa: F401 (for the o
 BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 1000
+#: Characters of texts that a task cuts into words at once.
+PORTION = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +29,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def held_batches(pdf: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of pdf whose texts have about PORTION characters together, one row at least."""
+    size = pdf[column].str.len().fillna(0).to_numpy(np.int64)
+    lo = held = 0
+    for i, n in enumerate(size.tolist()):
+        held += n
+        if held >= PORTION or i == len(size) - 1:
+            yield pdf.iloc[lo : i + 1]
+            lo, held = i + 1, 0
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of doc_id's text leaves remainder 1 modulo 3; false for null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -57,13 +57,13 @@ def _block(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, mix((total[ends] - total[starts]) * _PWI[starts])
 
 
-def words(texts: list[str | None], breaks: np.ndarray = SPACE, fold: np.ndarray | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """All words' hashes in order, and for each text where its words begin (one more entry at the end)."""
+def spans(texts: list[str | None], breaks: np.ndarray = SPACE, fold: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, all words' starts, ends and hashes in order, and for each text where its words begin (one more entry at the end)."""
     raw = " ".join(t or "" for t in texts).encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, dtype=np.uint8)
     lens = np.fromiter((len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts), np.int64, len(texts))
     at = np.concatenate(([0], np.cumsum(lens)))
-    hashes, begins, lo = [], [], 0
+    found, lo = [], 0
     while lo < len(data):
         hi = min(lo + BLOCK, len(data))
         while hi < len(data):
@@ -73,13 +73,17 @@ def words(texts: list[str | None], breaks: np.ndarray = SPACE, fold: np.ndarray
                 break
             hi = min(hi + BLOCK, len(data))
         part = data[lo:hi]
-        s, _, h = _block(fold[part] if fold is not None else part, breaks)
-        hashes.append(h)
-        begins.append(s + lo)
+        s, e, h = _block(fold[part] if fold is not None else part, breaks)
+        found.append((s + lo, e + lo, h))
         lo = hi
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    b = np.concatenate(begins) if begins else np.zeros(0, np.int64)
-    return h, np.searchsorted(b, at)
+    s, e, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return raw, s, e, h, np.searchsorted(s, at)
+
+
+def words(texts: list[str | None], breaks: np.ndarray = SPACE, fold: np.ndarray | None = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """All words' hashes in order, and for each text where its words begin (one more entry at the end)."""
+    _, _, _, h, at = spans(texts, breaks, fold)
+    return h, at
 
 
 def shingles(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html, langid, mixing, neardup, packing, quality, tokens, urlfilter
+from . import ann, decontam, html, langid, lexical, mixing, neardup, packing, quality, repeats, tokens, urlfilter, vectorcodes
 from .common import table
 
 
@@ -60,6 +60,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.with_label_error(vectorcodes.encode(table(spark, sf_dir, "embeddings")))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -71,6 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_repeated_passages": op11_repeated_passages,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontam.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontam.SQL,
+    "op11_repeated_passages": repeats.SQL,
+    "op12_vector_codes": vectorcodes.SQL,
+    "op13_ranked_search": lexical.SQL,
+}
