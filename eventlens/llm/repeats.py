@@ -26,8 +26,9 @@ from .hashing import SPACE, mix, spans
 SPAN, MINI = 13, 3
 #: A minimiser that occurs more often sends single windows; shared minimisers up to this are sent to the tasks (8 bytes each).
 HEAVY, KNOWN = 4096, 4_000_000
-#: Owners of single windows up to this are broadcast.
-HELD = 200_000
+#: Shared single windows up to this are sent to the tasks.
+HELD = 100_000
+NOBODY = (1 << 63) - 1
 #: Windows of a packed string, at most; packed strings whose windows are sorted together, about.
 LONGEST, SORTED = 128, 1 << 15
 _STEP, _WORD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -129,28 +130,60 @@ def _packed(known, heavy, span: int, mini: int):
     return run
 
 
-def _single(heavy, span: int, mini: int):
-    """The windows of heavy minimisers, equal ones of a batch together: (words, low, high, found array of (doc_id, text_hash, place))."""
+def _windows(part: pd.DataFrame, cut: Cut, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, place, words) of the windows of heavy minimisers, in the order of texts and places."""
+    want = _among(cut.mini, heavy)
+    count = cut.count[want]
+    first = np.repeat(cut.first[want], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    text = np.repeat(cut.text[want], count)
+    return text, cut.place(first, text), cut.packed(first, np.full(len(first), cut.span))
+
+
+def _single(heavy, span: int, mini: int, where: bool):
+    """The windows of heavy minimisers, equal ones of a batch together: (words, low, high, found array of (doc_id, text_hash, place), empty unless asked for)."""
 
     def run(batches):
         for pdf in batches:
             for part, cut in _groups(pdf, span, mini):
-                want = _among(cut.mini, heavy.value)
-                count = cut.count[want]
-                first = np.repeat(cut.first[want], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                if not len(first):
-                    continue
-                text = np.repeat(cut.text[want], count)
-                ids, hashes, place = part["doc_id"].to_numpy(np.int64)[text], part["text_hash"].to_numpy(np.int64)[text], cut.place(first, text)
+                text, place, every = _windows(part, cut, heavy.value)
+                ids, hashes = part["doc_id"].to_numpy(np.int64)[text], part["text_hash"].to_numpy(np.int64)[text]
                 same: dict[str, list[int]] = {}
-                for i, words in enumerate(cut.packed(first, np.full(len(first), span))):
+                for i, words in enumerate(every):
                     same.setdefault(words, []).append(i)
-                rows = [(words, int(ids[i].min()), int(ids[i].max()), [(int(ids[j]), int(hashes[j]), int(place[j])) for j in i]) for words, i in same.items()]
-                yield pd.DataFrame(rows, columns=["words", "low", "high", "found"])
+                rows = [(words, int(ids[i].min()), int(ids[i].max()), [(int(ids[j]), int(hashes[j]), int(place[j])) for j in i] if where else []) for words, i in same.items()]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["words", "low", "high", "found"])
+
+    return run
+
+
+def _owned(heavy, owner, span: int, mini: int):
+    """(doc_id, text_hash, low, high): runs of words covered by windows of heavy minimisers that a smaller doc_id owns."""
+
+    def run(batches):
+        for pdf in batches:
+            for part, cut in _groups(pdf, span, mini):
+                text, place, every = _windows(part, cut, heavy.value)
+                own = owner.value
+                low = np.fromiter((own.get(w, NOBODY) for w in every), np.int64, len(every))
+                ids = part["doc_id"].to_numpy(np.int64)
+                hit = low < ids[text]
+                text, begin, end = _joined(text[hit], place[hit], span)
+                if len(text):
+                    yield pd.DataFrame({"doc_id": ids[text], "text_hash": part["text_hash"].to_numpy(np.int64)[text], "low": begin, "high": end})
 
     return run
 
 
+def _joined(text: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end) of the runs of words that windows at neighbouring places of a text cover."""
+    head = np.ones(len(text), bool)
+    head[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
+    begin = np.flatnonzero(head)
+    last = np.append(begin[1:], len(text))[: len(begin)] - 1
+    return text[begin], place[begin], place[last] + span
+
+
 def _among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
     at = np.searchsorted(rising, values)
     out = at < len(rising)
@@ -211,14 +244,10 @@ def _judged(span: int):
         doc_id = pdf["doc_id"].to_numpy(np.int64)
         text, place, low = owners(list(pdf["words"]), doc_id, span)
         hit = low < doc_id[text]
-        text, place = text[hit], place[hit]
-        head = np.ones(len(text), bool)
-        head[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
-        begin = np.flatnonzero(head)
-        last = np.append(begin[1:], len(text)) - 1
-        base = pdf["place"].to_numpy(np.int64)[text[begin]] if len(begin) else np.zeros(0, np.int64)
-        rows = pdf.iloc[text[begin]]
-        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "text_hash": rows["text_hash"].to_numpy(), "low": base + place[begin], "high": base + place[last] + span})
+        text, begin, end = _joined(text[hit], place[hit], span)
+        rows = pdf.iloc[text]
+        base = rows["place"].to_numpy(np.int64)
+        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "text_hash": rows["text_hash"].to_numpy(), "low": base + begin, "high": base + end})
 
     def run(batches):
         rest: list[pd.DataFrame] = []
@@ -259,7 +288,7 @@ def _kept(batches):
             yield part.drop(columns=["text", "runs"]).assign(n_words=total, n_removed=removed, kept=out)
 
 
-def repeated_runs(docs: DataFrame, span: int = SPAN, mini: int = MINI, heavy: int = HEAVY, known: int = KNOWN) -> DataFrame:
+def repeated_runs(docs: DataFrame, span: int = SPAN, mini: int = MINI, heavy: int = HEAVY, known: int = KNOWN, held: int = HELD) -> DataFrame:
     """doc_id, text_hash, runs: for each document (doc_id, text_hash, text) with repeated windows, the runs (low, high) of words that they cover."""
     spark = docs.sparkSession
     counts = docs.mapInPandas(_counted(span, mini), "mini long, n long, low long, high long")
@@ -274,14 +303,23 @@ def repeated_runs(docs: DataFrame, span: int = SPAN, mini: int = MINI, heavy: in
         sent = sent.join(shared.select("mini").hint("shuffle_merge"), "mini", "left_semi")
     runs = sent.repartition("mini").sortWithinPartitions("mini").mapInPandas(_judged(span), "doc_id long, text_hash long, low int, high int")
     if len(many.value):
-        each = materialize(docs.mapInPandas(_single(many, span, mini), "words string, low long, high long, found array<struct<doc_id: long, text_hash: long, place: int>>"), "repeats-windows")
-        owner = each.groupBy("words").agg(F.min("low").alias("owner"), F.max("high").alias("most")).where("owner < most")
-        owner = materialize(owner.select("words", "owner"), "repeats-owners")
-        got = each.join(small(owner, HELD), "words").select("owner", F.explode("found").alias("x")).where("owner < x.doc_id")
-        runs = runs.unionByName(got.select("x.doc_id", "x.text_hash", F.col("x.place").alias("low"), (F.col("x.place") + span).cast("int").alias("high")))
+        runs = runs.unionByName(_runs_of_heavy(docs, many, span, mini, held))
     return runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
 
 
+def _runs_of_heavy(docs: DataFrame, heavy, span: int, mini: int, held: int) -> DataFrame:
+    """(doc_id, text_hash, low, high) from single windows: the owners of shared ones are sent to the texts if they are few, else the texts' windows meet them in a shuffle."""
+    spark, found = docs.sparkSession, "words string, low long, high long, found array<struct<doc_id: long, text_hash: long, place: int>>"
+    owner = docs.mapInPandas(_single(heavy, span, mini, False), found).groupBy("words").agg(F.min("low").alias("owner"), F.max("high").alias("most"))
+    owner = materialize(owner.where("owner < most").select("words", "owner"), "repeats-owners")
+    few = owner.limit(held + 1).collect()
+    if len(few) <= held:
+        return docs.mapInPandas(_owned(heavy, spark.sparkContext.broadcast({r.words: r.owner for r in few}), span, mini), "doc_id long, text_hash long, low int, high int")
+    each = materialize(docs.mapInPandas(_single(heavy, span, mini, True), found).select("words", "found"), "repeats-windows")
+    got = each.join(owner, "words").select("owner", F.explode("found").alias("x")).where("owner < x.doc_id")
+    return got.select("x.doc_id", "x.text_hash", F.col("x.place").alias("low"), (F.col("x.place") + span).cast("int").alias("high"))
+
+
 def _rising(df: DataFrame, most: int) -> np.ndarray:
     """The values of a column in order, `most` at most."""
     return np.sort(df.limit(most).toArrow().column(0).to_numpy().astype(np.int64))
@@ -291,7 +329,7 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t-\r]+"), "")
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, mini: int = MINI, heavy: int = HEAVY, known: int = KNOWN) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, mini: int = MINI, heavy: int = HEAVY, known: int = KNOWN, held: int = HELD) -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row of docs (doc_id, text): kept has the words, joined by single spaces, that no removed window covers.
 
     Words are what white space separates, unchanged. A window of `span` words is removed where its words also stand, in that order, in a document
@@ -301,7 +339,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, mini: int = MINI, heavy: i
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    runs = materialize(repeated_runs(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), span, mini, heavy, known), "repeats-runs")
+    runs = materialize(repeated_runs(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), span, mini, heavy, known, held), "repeats-runs")
     mine = F.struct("doc_id", "text_hash")
     keys = small(runs.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
     same = (docs["doc_id"] == F.col("id")) & (docs["text_hash"] == F.col("hash"))
