@@ -204,6 +204,7 @@ def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
 
 def with_label_error(coded: DataFrame) -> DataFrame:
     """vec_id, code, error, label_error, codebooks_sha256: label_error is the error summed over equal labels, nulls together."""
+    coded = coded.select("vec_id", "label", "code", "error", "codebooks_sha256")
     sums = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "same_label")
     both = coded.join(small(sums), coded["label"].eqNullSafe(F.col("same_label")))
     return both.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
