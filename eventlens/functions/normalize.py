@@ -97,3 +97,12 @@ def ipv4_number(text: Column) -> Column:
     p = F.split(text, r"\.")
     n = sum((F.get(p, i).cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), F.get(p, 0).cast("long") * (1 << 24))
     return F.when(text.rlike(IPV4), n)
+
+
+#: IPv4 addresses among the IPv6 ones.
+MAPPED = "00000000000000000000ffff"
+
+
+def ipv4_digits(number: Column) -> Column:
+    """32 hex digits of an IPv4 address's number, in its mapped form."""
+    return F.concat(F.lit(MAPPED), F.lower(F.lpad(F.hex(number.cast("long")), 8, "0")))

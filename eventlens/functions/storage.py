@@ -65,14 +65,19 @@ def running_sums(df: DataFrame, by: list[str], block: str, order: list[str], sum
     return out.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop(*[f"_{k}_{n}" for k in "vbi" for n in sums])
 
 
-def carried_last(df: DataFrame, by: list[str], block: str, order: list[str], values: dict[str, Column]) -> DataFrame:
-    """df with a column for each of values: its last non-null value up to the row, in the order of a group; blocks as in running_sums."""
+def carried_last(df: DataFrame, by: list[str], block: str, order: list[str], values: dict[str, Column], before: bool = False, backwards: bool = False) -> DataFrame:
+    """df with a column for each of values: its last non-null value up to the row (or before it), in the order of a group; blocks as in running_sums.
+
+    backwards: the group is gone through from its end, so the values come from the rows after.
+    """
+    turned = (lambda c: F.desc(c)) if backwards else (lambda c: F.asc(c))
     df = df.withColumns({f"_v_{n}": c for n, c in values.items()})
     at = F.struct(*order)
-    ends = df.groupBy(*by, block).agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in values])
-    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.min_by if backwards else F.max_by
+    ends = df.groupBy(*by, block).agg(*[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in values])
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy(turned(block)).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*by, block, *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values])
-    inside = Window.partitionBy(*by, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, block).orderBy(*map(turned, order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     own = df.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
     out = own.join(ends, [*by, block])
     return out.withColumns({n: F.coalesce(f"_i_{n}", f"_b_{n}") for n in values}).drop(*[f"_{k}_{n}" for k in "vbi" for n in values])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import number, resolve, template
@@ -125,14 +125,53 @@ def charset_novelty(df: DataFrame, fields: Sequence[str], windows: AnalysisWindo
     groups with too many characters are left out, those with too few values are measured by a fallback
     alphabet, of the rows outside the suspect windows or of the whole scope. `basis` says which was used.
     """
-    by = ["field", "grp"]
+    return charset_findings(charset_basis(df, fields, windows, group), windows, group)
+
+
+GROUP = ["field", "grp"]
+
+
+def charset_basis(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows | None = None, group: str | None = None) -> DataFrame:
+    """Distinct values with their counts, written once; all alphabets come from them: (field, grp, val, label, n, known, outside, event_id)."""
     rows = values(df, fields, None, windows, resolve(group) if group else F.lit(""))
-    learned = (rows.where("base") if windows else rows).select(*by, "val").distinct()
-    sizes = learned.groupBy(*by).agg(F.count(F.lit(1)).alias("n_vals"))
-    chars = _characters(learned, by).groupBy(*by, "c").agg(F.count(F.lit(1)).alias("n_c"))
-    alphabet = chars.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
-    ready = sizes.join(alphabet, by).withColumn("state", F.when(F.col("size") > MOST_CHARACTERS, "wide").when(F.col("n_vals") < LEAST_VALUES, "thin").otherwise("own"))
-    scored = (rows.where("label IS NOT NULL") if windows else rows).groupBy(*by, "val", *(["label"] if windows else [])).agg(F.count(F.lit(1)).alias("n"), first_event().alias("event_id"))
+    if windows is None:
+        rows = rows.withColumns({"label": F.lit(None).cast("string"), "base": F.lit(True)})
+    counts = rows.groupBy(*GROUP, "val", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("base").alias("known"), first_event().alias("event_id"))
+    return materialize(counts, "charset-values")
+
+
+def _alphabets(basis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(field, grp, c, n_c) and (field, grp, n_vals, size, state) of the values that alphabets are learnt from."""
+    learned = basis.where("known > 0").select(*GROUP, "val").distinct()
+    sizes = learned.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_vals"))
+    chars = _characters(learned, GROUP).groupBy(*GROUP, "c").agg(F.count(F.lit(1)).alias("n_c"))
+    alphabet = chars.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"))
+    state = F.when(F.col("size") > MOST_CHARACTERS, "wide").when(F.col("n_vals") < LEAST_VALUES, "thin").otherwise("own")
+    return chars, sizes.join(alphabet, GROUP).withColumn("state", state)
+
+
+def _fallback(basis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The values that fallback alphabets are learnt from (outside the suspect windows), and how many a field has."""
+    outside = basis.where("label IS NULL").select("field", "val").distinct()
+    return outside, outside.groupBy("field").agg(F.count(F.lit(1)).alias("n_back"))
+
+
+def charset_states(basis: DataFrame, group: str | None = None) -> DataFrame:
+    """(field, grp, n_vals, size, state, measured): each group to be measured, its alphabet's state, and by which one it is measured: own, fallback or none."""
+    _, ready = _alphabets(basis)
+    asked = basis.where("label IS NOT NULL OR known > 0").select(*GROUP).distinct()
+    _, n_back = _fallback(basis)
+    out = asked.join(ready, GROUP, "left").withColumn("state", F.coalesce("state", F.lit("absent"))).join(n_back, "field", "left")
+    back = F.lit(group is not None) & F.col("state").isin("thin", "absent") & (F.coalesce("n_back", F.lit(0)) >= LEAST_VALUES)
+    return out.select(*GROUP, "n_vals", "size", "state", F.when(F.col("state") == "own", "own").when(back, "fallback").otherwise("none").alias("measured"))
+
+
+def charset_findings(basis: DataFrame, windows: AnalysisWindows | None = None, group: str | None = None) -> DataFrame:
+    """The findings of charset_novelty from its basis."""
+    by = GROUP
+    chars, ready = _alphabets(basis)
+    scored = basis.where("label IS NOT NULL") if windows else basis
+    scored = scored.select(*by, "val", *(["label"] if windows else []), "n", "event_id")
     scored = scored.join(ready.select(*by, "n_vals", "state"), by, "left").withColumn("state", F.coalesce("state", F.lit("absent")))
     known = chars if windows else chars.where(F.col("n_c") > RARE)
     each = scored.where("state = 'own'").withColumn("c", F.explode(F.array_distinct(F.split("val", "")))).where("c <> ''")
@@ -141,9 +180,8 @@ def charset_novelty(df: DataFrame, fields: Sequence[str], windows: AnalysisWindo
     parts = [own.select(*scored.columns, "c", "n_c", "basis")]
     if group:
         # Fallback alphabets hold one row for each field and character.
-        out_of_windows = (rows.where("label IS NULL") if windows else rows).select("field", "val").distinct()
-        n_back = out_of_windows.groupBy("field").agg(F.count(F.lit(1)).alias("n_back"))
-        back = _characters(out_of_windows, ["field"]).groupBy("field", "c").agg(F.count(F.lit(1)).alias("n_c"))
+        outside, n_back = _fallback(basis)
+        back = _characters(outside, ["field"]).groupBy("field", "c").agg(F.count(F.lit(1)).alias("n_c"))
         rest = scored.where("state IN ('thin', 'absent')").join(n_back, "field").where(F.col("n_back") >= LEAST_VALUES).withColumn("n_vals", F.col("n_back")).drop("n_back")
         rest = rest.withColumn("c", F.explode(F.array_distinct(F.split("val", "")))).where("c <> ''").join(back.where(F.col("n_c") > RARE).select("field", "c"), ["field", "c"], "left_anti")
         parts.append(rest.join(back, ["field", "c"], "left").withColumn("basis", F.lit("fallback")).select(*scored.columns, "c", "n_c", "basis"))
@@ -163,17 +201,24 @@ def entropy_of_values(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def entropy_outliers(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows | None = None) -> DataFrame:
     """Values whose entropy is beyond Tukey's fences of the distinct values of their field (or of its baseline)."""
+    return entropy_parts(df, fields, windows)[0]
+
+
+def entropy_parts(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows | None = None) -> tuple[DataFrame, DataFrame]:
+    """The findings of entropy_outliers, and (field, known): how many values each field's fences rest on."""
     rows = values(df, fields, None, windows)
     bits = materialize(entropy_of_values(rows, ["field"]), "entropy-bits")
     base = bits.join(rows.where("base").select("field", "val").distinct(), ["field", "val"], "left_semi") if windows else bits
-    band = _fences(base, "bits").where(F.col("known") >= LEAST_VALUES).drop("known")
+    fences = materialize(_fences(base, "bits"), "entropy-fences")
+    band = fences.where(F.col("known") >= LEAST_VALUES).drop("known")
     out = bits.join(F.broadcast(band), "field").where("bits < lo OR bits > hi")  # a row a field
     where = rows.where("label IS NOT NULL") if windows else rows
     by = ["field", "val", *(["label"] if windows else [])]
     seen = where.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), first_event().alias("event_id"))
     width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))
     excess = F.greatest(F.col("lo") - F.col("bits"), F.col("bits") - F.col("hi"))
-    return seen.join(out, ["field", "val"]).select(*by, "n", "event_id", F.round("bits", 6).alias("bits"), F.when(F.col("bits") > F.col("hi"), "above").otherwise("below").alias("direction"), F.round(excess / width, 4).alias("score"))
+    found = seen.join(out, ["field", "val"]).select(*by, "n", "event_id", F.round("bits", 6).alias("bits"), F.when(F.col("bits") > F.col("hi"), "above").otherwise("below").alias("direction"), F.round(excess / width, 4).alias("score"))
+    return found, fences.select("field", "known")
 
 
 def _label_totals(df: DataFrame, windows: AnalysisWindows) -> tuple[DataFrame, DataFrame]:
@@ -274,8 +319,11 @@ def drift_categories(df: DataFrame, fields: Sequence[str], windows: AnalysisWind
     """(field, label, n_b, n_w, g, df, tvd): 2 x k G-tests of the top categories and the rest."""
     rows = values(df, fields, None, windows)
     counts = rows.groupBy("field", "val").agg(F.count_if("base").alias("b"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("labels", w.label)).alias(f"w{i}") for i, w in enumerate(windows.suspects)])
+    counts = materialize(counts, "drift-categories")
     r = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "val"))
-    counts = counts.withColumn("cat", F.when(r <= top, F.col("val")).otherwise("__other__"))
+    # Only each task's first ones of a field are sent to its ranking; the others are told by what they lack.
+    first = F.broadcast(counts.select("field", "val", "n").withColumn("r", r).where(F.col("r") <= top).select("field", "val", F.lit(True).alias("named")))
+    counts = counts.join(first, ["field", "val"], "left").withColumn("cat", F.when(F.col("named"), F.col("val")).otherwise("__other__"))
     each = counts.select("field", "cat", "b", F.explode(F.array(*[F.struct(F.lit(w.label).alias("label"), F.col(f"w{i}").alias("w")) for i, w in enumerate(windows.suspects)])).alias("p")).select("field", "cat", "b", "p.*")
     each = each.groupBy("field", "label", "cat").agg(F.sum("b").alias("b"), F.sum("w").alias("w")).where("b + w > 0")
     sums = each.groupBy("field", "label").agg(F.sum("b").alias("n_b"), F.sum("w").alias("n_w"))
@@ -338,15 +386,23 @@ def frequency(df: DataFrame, series: str, interval: int, z: float = Z) -> DataFr
     return full.select(*keep).unionByName(empty.select(*keep))
 
 
+def _whole(w, interval: int) -> Column:
+    """Starts of the whole buckets of a window."""
+    lo, hi = (F.unix_millis(F.lit(x).cast("timestamp")) for x in (w.start, w.end))
+    first, last = F.ceil(lo / (1000 * interval)) * interval, F.floor(hi / (1000 * interval)) * interval - interval
+    return F.when(last >= first, F.sequence(first, last, F.lit(interval).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def whole_buckets(spark: SparkSession, windows: AnalysisWindows, interval: int) -> list[int]:
+    """How many whole buckets the baseline and each suspect window have."""
+    return list(spark.range(1).select(*[F.size(_whole(w, interval)).alias(f"n{i}") for i, w in enumerate((windows.baseline, *windows.suspects))]).first())
+
+
 def frequency_windowed(df: DataFrame, series: str, interval: int, windows: AnalysisWindows, z: float = Z) -> DataFrame:
     """Whole buckets of suspect windows against the baseline's whole buckets; overlapping windows: the first one wins."""
     ms = 1000 * interval
-    step, zero = F.lit(interval).cast("long"), F.lit(0).cast("long")
-
-    def starts(w):
-        lo, hi = (F.unix_millis(F.lit(x).cast("timestamp")) for x in (w.start, w.end))
-        first, last = F.ceil(lo / ms) * interval, F.floor(hi / ms) * interval - interval
-        return F.when(last >= first, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>"))
+    zero = F.lit(0).cast("long")
+    starts = lambda w: _whole(w, interval)
 
     def tagged(buckets, i):
         return F.transform(buckets, lambda b: F.struct(b.alias("bucket"), F.lit(i).alias("i")))
@@ -406,7 +462,11 @@ def ngrams(df: DataFrame, field: str, n: int, windows: AnalysisWindows | None =
 
 def sequence_novelty(df: DataFrame, field: str, n: int, windows: AnalysisWindows, max_gap: float | None = None) -> DataFrame:
     """N-grams of suspect windows that no source's baseline has."""
-    grams = ngrams(df, field, n, windows, max_gap)
+    return novel_grams(ngrams(df, field, n, windows, max_gap), windows)
+
+
+def novel_grams(grams: DataFrame, windows: AnalysisWindows) -> DataFrame:
+    """sequence_novelty of n-grams that are made already."""
     known = grams.where("wid = -1").select("gram").distinct()
     names = F.array(*[F.lit(w.label) for w in windows.suspects])
     new = grams.where("wid >= 0")

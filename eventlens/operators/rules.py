@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import TEXT_COLUMNS, number, resolve, search_blob
 from ..functions.normalize import IPV4, ipv4_number
+from ..functions.storage import small
 from ..plans.filters import glob_like, java_regex
 
 MODIFIERS = frozenset("contains startswith endswith cased re i m s cidr lt lte gt gte exists all".split())
@@ -175,10 +176,16 @@ def status(spark: SparkSession, df: DataFrame, rules: Mapping[str, Mapping], map
     return every.join(counts, "rule", "left").select("rule", F.coalesce("fixed", F.when(n > 0, "matched").otherwise("empty")).alias("status"), n.alias("n"))
 
 
-def annotate(old: DataFrame, hits: DataFrame) -> DataFrame:
-    """System annotations (event_id, rule, confirmed) after a new run: confirmed ones stay, others of the rules run are replaced."""
+def annotate(old: DataFrame, hits: DataFrame, ran: Iterable[str] | None = None) -> DataFrame:
+    """System annotations (event_id, rule, confirmed) after a new run: confirmed ones stay, others of the rules run are replaced.
+
+    ran: the names of the rules that were run (those that could be read); a rule without hits loses its old ones too. Without it only
+    rules with hits count as run.
+    """
+    spark = old.sparkSession
+    rules = spark.createDataFrame([(r,) for r in sorted(set(ran))], "rule string") if ran is not None else hits.select("rule").distinct()
     new = hits.select("event_id", "rule").distinct()
     kept = old.where("confirmed")
     fresh = new.join(kept.select("event_id", "rule"), ["event_id", "rule"], "left_anti").withColumn("confirmed", F.lit(False))
-    other = old.where("NOT confirmed").join(F.broadcast(hits.select("rule").distinct()), "rule", "left_anti")  # a row a rule
+    other = old.where("NOT confirmed").join(small(rules), "rule", "left_anti")
     return kept.unionByName(fresh).unionByName(other.select(*kept.columns))

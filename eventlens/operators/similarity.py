@@ -74,9 +74,19 @@ def _pairs(centers: DataFrame, group: str, both: bool) -> DataFrame:
 
 
 def cohesion(centers: DataFrame, group: str) -> DataFrame:
-    """One row: the mean cosine of all pairs of centroids (a row a group) and what that says."""
-    mean = F.round(F.avg("c"), 6)
-    return _pairs(centers, group, False).agg(mean.alias("cohesion"), F.count(F.lit(1)).alias("pairs")).withColumn("level", F.when(F.col("cohesion") >= 0.7, "strong").when(F.col("cohesion") >= 0.5, "moderate").otherwise("weak"))
+    """One row: the mean cosine of all pairs of centroids (a row a group) and what that says.
+
+    Unit vectors u of n groups have pairs with a sum of cosines of (|sum of u|^2 - n) / 2, so sums of positions are enough, no pairs are made.
+    """
+    n = norm(F.col("centroid"))
+    unit = centers.select(group, F.transform("centroid", lambda x: x.cast("double") / n).alias("u")).where("u IS NOT NULL AND NOT exists(u, x -> isnan(x))")
+    sums = unit.select(F.posexplode("u").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    square = sums.agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    count = unit.agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.expr("n * (n - 1) div 2")
+    mean = F.round((F.col("square") - F.col("n")) / (2 * pairs), 6)
+    one = square.crossJoin(F.broadcast(count)).select(F.when(pairs > 0, mean).alias("cohesion"), pairs.alias("pairs"))  # one row each
+    return one.withColumn("level", F.when(F.col("cohesion") >= 0.7, "strong").when(F.col("cohesion") >= 0.5, "moderate").otherwise("weak"))
 
 
 def groups(centers: DataFrame, group: str, least: float = 0.6) -> DataFrame:

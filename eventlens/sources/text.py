@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,10 +46,40 @@ def as_one_file(lines: DataFrame) -> DataFrame:
     return lines.join(sizes, "source_file").select((F.col("_bytes") + F.col("byte_offset")).alias("byte_offset"), (F.col("_lines") + F.col("line_number")).alias("line_number"), "raw")
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, file_hash): SHA-256 of whole files."""
+#: Files up to this are hashed as one value; larger ones are read in pieces.
+WHOLE, PIECE = 64 << 20, 4 << 20
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of files, read in pieces from their file system: one piece is held at a time."""
+    for pdf in batches:
+        hashes = []
+        for path in pdf["source_file"]:
+            system, inside = pyarrow.fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(inside, buffer_size=0) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+            hashes.append(digest.hexdigest())
+        if hashes:
+            yield pd.DataFrame({"source_file": pdf["source_file"], "file_hash": hashes})
+
+
+def file_hashes(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(source_file, file_hash): SHA-256 of a file, or of all files below a folder, of any size.
+
+    Files of up to `whole` bytes are read by Spark, so they can be in any store. A digest cannot be cut: each larger file is one task's, which
+    streams it; its store must be one that Arrow opens (local and shared folders, HDFS, object stores).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"))
+    few = files.where(F.col("length") <= whole).select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("file_hash"))
+    sizes = files.where(F.col("length") > whole).select(F.col("path").alias("source_file"), "length")
+    # Names and sizes only: they are counted, and each large file goes to a task of its own, the largest first.
+    large = sizes.count()
+    if not large:
+        return few
+    dealt = sizes.repartitionByRange(large, F.desc("length"), "source_file").select("source_file")
+    return few.unionByName(dealt.mapInPandas(_streamed, "source_file string, file_hash string"))
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import clean_attributes, json_map, last_key_wins, parse_time, split_tags
-from ..functions.storage import running_sums
+from ..functions.storage import carried_last, materialize, running_sums, small
 from .text import read_with_offsets
 
 #: Header names (lower case) and the event columns they fill; the later of two wins.
 KNOWN = {"message": "message", "msg": "message", "timestamp": "timestamp", "datetime": "timestamp", "timestamp_desc": "timestamp_desc", "tag": "tags", "tags": "tags", "artifact": "artifact", "data_type": "artifact", "artifact_long": "artifact_long", "display_name": "display_name"}
 DELIMITERS = ",;\t|"
+#: Bytes after which an opening quote that nothing has closed is plain text.
+LONGEST_FIELD = 1 << 20
 INTERCHANGE = {
     "source_file": "string", "file_hash": "string", "byte_offset": "bigint", "content_hash": "string", "message": "string", "timestamp": "timestamp", "timestamp_desc": "string",
     "artifact": "string", "artifact_long": "string", "display_name": "string", "tags": "array<string>", "attributes": "map<string,string>",
@@ -41,41 +45,104 @@ def sniff(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """CSV records (source_file, byte_offset, line_number, raw) from lines: one goes on while a quote is open.
+def _headers(lines: DataFrame) -> DataFrame:
+    """(source_file, sep, at, rest): of each file with a first line its delimiter, the place of each event column and the other names with their places."""
 
-    Quotes before each line are counted in blocks of offsets, so a file is no one task's. A quote that is never
-    closed makes the rest of its file one record.
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for file, raw in zip(pdf["source_file"], pdf["raw"], strict=True):
+                header = raw.lstrip("\ufeff")
+                sep = sniff(header)
+                names = [n.strip() for n in next(csv.reader([header], delimiter=sep), [])]
+                at = {KNOWN[n.lower()]: i for i, n in enumerate(names) if n.lower() in KNOWN}
+                out.append((file, sep, at, [(n, i) for i, n in enumerate(names) if n.lower() not in KNOWN], len(names)))
+            if out:
+                yield pd.DataFrame(out, columns=["source_file", "sep", "at", "rest", "width"])
+
+    first = lines.where("byte_offset = 0").select("source_file", "raw")
+    return first.mapInPandas(read, "source_file string, sep string, at map<string, int>, rest array<struct<name: string, at: int>>, width int")
+
+
+#: A field in quotes, from its beginning or from inside it, with what stands between its closing quote and the next delimiter.
+QUOTED, INSIDE = '(^|{0})"[^"]*(?:""[^"]*)*"(?!")[^{0}]*', '^[^"]*(?:""[^"]*)*"(?!")[^{0}]*'
+
+
+def _ends_inside(text: Column, sep: str) -> Column:
+    """Whether text that begins outside of quotes ends inside: without its whole quoted fields, a field begins with a quote. Other quotes are plain text."""
+    return F.regexp_replace(text, QUOTED.format(sep), "$1").rlike(f'(^|{sep})"')
+
+
+def _quotes(raw: Column, sep: Column, used: Sequence[str]) -> tuple[Column, Column]:
+    """Whether a line ends inside quotes if it begins outside, and if it begins inside."""
+    out, inside = F.lit(False), F.lit(True)
+    for d in used:
+        c = rf"\{d}" if d == "|" else d
+        closes = raw.rlike(INSIDE.format(c))
+        rest = F.concat(F.lit("x"), F.regexp_replace(raw, INSIDE.format(c), ""))
+        out = F.when(sep == d, _ends_inside(raw, c)).otherwise(out)
+        inside = F.when(sep == d, ~closes | _ends_inside(rest, c)).otherwise(inside)
+    some = raw.contains('"')
+    return F.when(some, out).otherwise(False), F.when(some, inside).otherwise(True)
+
+
+def _records(lines: DataFrame, used: Sequence[str], longest: int) -> DataFrame:
+    """CSV records (source_file, sep, byte_offset, line_number, raw) from lines: one goes on while a quoted field is open.
+
+    A line turns the state (outside or inside of quotes) into another: it keeps it, turns it round or sets it. So the state
+    before a line follows from the last line that sets it and the number of turns since, both carried over blocks of
+    offsets; a file is no one task's. An opening quote that no line closes within `longest` bytes is plain text.
     """
-    quotes = F.length("raw") - F.length(F.replace("raw", F.lit('"')))
-    lines = lines.withColumns({"_own": quotes.cast("long"), "_block": F.floor(F.col("byte_offset") / (8 << 20))})
-    lines = running_sums(lines, ["source_file"], "_block", ["byte_offset"], {"_open": F.col("_own")})
-    begins, ends = F.col("_open") % 2 == 0, (F.col("_open") + F.col("_own")) % 2 == 0
-    keep = ["source_file", "byte_offset", "line_number", "raw"]
-    parts = lines.where(~(begins & ends))
-    parts = running_sums(parts, ["source_file"], "_block", ["byte_offset"], {"_earlier": begins.cast("long")}).withColumn("_record", F.col("_earlier") + begins.cast("long"))
-    whole = parts.groupBy("source_file", "_record").agg(F.array_sort(F.collect_list(F.struct("byte_offset", "line_number", "raw"))).alias("p"))
-    whole = whole.select("source_file", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.col("p")[0]["line_number"].alias("line_number"), F.array_join(F.transform("p", lambda x: x["raw"]), "\n").alias("raw"))
-    return lines.where(begins & ends).select(*keep).unionByName(whole.select(*keep))
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A timeline CSV, or a folder of such files with one header: delimiter from the header, doubled quotes, quoted line breaks kept.
-
-    Each row has its record's source_file, byte_offset, line_number and raw text. Blank records are dropped; of
-    repeated column names the last one counts.
+    from_out, from_in = _quotes(F.col("raw"), F.col("sep"), used)
+    # Written once: what follows reads its few narrow columns again and again.
+    lines = materialize(lines.withColumns({"_block": F.floor(F.col("byte_offset") / (8 << 20)), "_open": from_out, "_stay": from_in}), "csv-lines")
+    # Looking back from the file's end: the next line at which an open quote would be closed.
+    lines = carried_last(lines, ["source_file"], "_block", ["byte_offset"], {"_closed": F.when(~F.col("_stay"), F.col("byte_offset"))}, before=True, backwards=True)
+    lines = lines.withColumn("_open", F.col("_open") & F.coalesce(F.col("_closed") - F.col("byte_offset") <= longest, F.lit(False)))
+    turn = F.col("_open") & ~F.col("_stay")
+    fixed = F.when(F.col("_open") == F.col("_stay"), F.col("_open").cast("int"))
+    lines = running_sums(lines.drop("_closed"), ["source_file"], "_block", ["byte_offset"], {"_turns": turn.cast("long")})
+    lines = carried_last(lines, ["source_file"], "_block", ["byte_offset"], {"_set": F.when(fixed.isNotNull(), F.struct(fixed.alias("to"), F.col("_turns").alias("turns")))}, before=True)
+    state = F.coalesce((F.col("_set.to") + F.col("_turns") - F.col("_set.turns")) % 2, F.col("_turns") % 2)
+    begins = state == 0
+    ends = ~F.when(begins, F.col("_open")).otherwise(F.col("_stay"))
+    keep = ["source_file", "sep", "byte_offset", "line_number", "raw"]
+    lines = lines.withColumns({"_begins": begins, "_ends": ends})
+    parts = running_sums(lines.where("NOT (_begins AND _ends)"), ["source_file"], "_block", ["byte_offset"], {"_earlier": F.col("_begins").cast("long")})
+    parts = parts.withColumn("_record", F.col("_earlier") + F.col("_begins").cast("long"))
+    whole = parts.groupBy("source_file", "sep", "_record").agg(F.array_sort(F.collect_list(F.struct("byte_offset", "line_number", "raw"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["raw"]), "\n")
+    whole = whole.select("source_file", "sep", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.col("p")[0]["line_number"].alias("line_number"), joined.alias("raw"))
+    return lines.where("_begins AND _ends").select(*keep).unionByName(whole.select(*keep))
+
+
+def read_csv(spark: SparkSession, path: str, longest: int = LONGEST_FIELD) -> DataFrame:
+    """Timeline CSVs: a file, or a folder of files, each with a header of its own; doubled quotes, quoted line breaks kept.
+
+    Each row has its record's source_file, byte_offset, line_number and raw text. A file's first line says its delimiter and
+    the order of its columns. Blank records are dropped; of repeated column names the last one counts. A quote inside
+    an unquoted field is plain text, and so is an opening quote that nothing closes within `longest` bytes: it costs its own line, not the
+    rest of the file.
     """
     lines = read_with_offsets(spark, path)
-    first = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).first()
-    if first is None:
+    headers = materialize(_headers(lines), "csv-headers")
+    width, used = headers.agg(F.max("width"), F.array_sort(F.collect_set("sep"))).first()  # one number, and four delimiters at most
+    if width is None:
         return last_key_wins(lines).withColumns(_columns([]))
-    header = first.value.lstrip("\ufeff").rstrip("\r")
-    sep = sniff(header)
-    names = next(csv.reader([header], delimiter=sep))
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = _records(lines).where((F.col("byte_offset") > 0) & (F.trim("raw") != ""))
-    rows = last_key_wins(rows).withColumn("_c", F.from_csv("raw", F.lit(schema), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}))
-    return rows.withColumns(_columns([(n, F.col(f"_c.c{i}")) for i, n in enumerate(names)])).drop("_c")
+    records = _records(lines.join(small(headers.select("source_file", "sep")), "source_file"), used, longest)
+    records = last_key_wins(records).where((F.col("byte_offset") > 0) & (F.trim("raw") != "")).drop("sep").join(small(headers.drop("width")), "source_file")
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    rows, cells = records, F.array().cast("array<string>")
+    for i, d in enumerate(used):  # a record is cut by its own file's delimiter
+        cut = F.from_csv("raw", F.lit(schema), {"sep": d, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+        rows = rows.withColumn(f"_s{i}", F.when(F.col("sep") == d, cut))
+        cells = F.when(F.col("sep") == d, F.array(*[F.col(f"_s{i}.c{j}") for j in range(width)])).otherwise(cells)
+    rows = rows.withColumn("_c", cells)
+    text = lambda c: F.coalesce(F.get("_c", F.try_element_at("at", F.lit(c))), F.lit(""))
+    pairs = F.transform("rest", lambda r: F.struct(r["name"].alias("key"), F.get("_c", r["at"]).alias("value")))
+    pairs = F.filter(pairs, lambda p: p["value"].isNotNull() & (p["value"] != ""))
+    made = {"timestamp": parse_time(text("timestamp")), "tags": split_tags(text("tags")), "attributes": F.map_from_entries(pairs), **{c: text(c) for c in ("message", "timestamp_desc", "artifact", "artifact_long", "display_name")}}
+    return rows.withColumns(made).drop("_c", "sep", "at", "rest", *[f"_s{i}" for i in range(len(used))])
 
 
 def from_json_lines(lines: DataFrame) -> DataFrame:
