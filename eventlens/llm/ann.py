@@ -24,8 +24,10 @@ from .common import materialize
 SHARD, BLOCK, TOGETHER = 8192, 1 << 19, 1024
 #: Cosines that differ by less may be equal but for rounding.
 TIE = 1e-12
-#: Neighbours of a node on upper layers and on the lowest; nodes kept while building and while searching.
+#: Neighbours of a node on upper layers and on the lowest; nodes kept while building and, at least, while searching.
 M, M0, BUILD, SEARCH = 12, 24, 48, 96
+#: Share of the nearest nodes that a finished graph must find; nodes that it is measured on.
+RECALL, PROBES = 0.97, 96
 BATCH, SALT = 512, 64
 
 
@@ -153,24 +155,46 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
-def _index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def width(unit: np.ndarray, layers: list[np.ndarray], k: int, recall: float = RECALL, probes: int = PROBES) -> int:
+    """How many nodes a walk must keep: SEARCH, doubled until walks from evenly spread probes find that share of the probes' k nearest nodes."""
+    n = len(unit)
+    probe = np.unique(np.linspace(0, n - 1, min(n, probes)).astype(int))
+    cos = unit[probe] @ unit.T
+    cos[np.arange(len(probe)), probe] = -2.0
+    k = min(k, n - 1)
+    if k < 1:
+        return SEARCH
+    least = -np.partition(-cos, k - 1, axis=1)[:, k - 1] - TIE
+    entry = descend(unit, layers[1:], unit[probe])
+    keep = SEARCH
+    while keep < n:
+        found, _ = walk(unit, layers[0], unit[probe], entry, keep)
+        near = np.where(found >= 0, np.take_along_axis(cos, np.maximum(found, 0), 1), -2.0) >= least[:, None]
+        if np.minimum(near.sum(axis=1), k).sum() >= recall * k * len(probe):
+            break
+        keep *= 2
+    return keep
+
+
+def _index(key: tuple, pdf: pd.DataFrame, k: int, recall: float) -> pd.DataFrame:
     h = pdf["h"].to_numpy().view(np.uint64)
     level = np.minimum(-np.log((h >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54) / np.log(M), 12).astype(int)
     order = np.lexsort((h, -level))
     pdf, level = pdf.iloc[order], level[order]
     vectors = np.array(pdf["vec"].tolist(), dtype=np.float64)
-    layers = build(_unit(vectors), level)
+    unit = _unit(vectors)
+    layers = build(unit, level)
     members = list(pdf["ids"])
     ends = np.cumsum([len(x) for x in members])
-    row = (key[0], key[1], vectors.tobytes(), np.concatenate(members).astype("<i8").tobytes(), ends.astype("<i8").tobytes(), [x.tobytes() for x in layers])
-    return pd.DataFrame([row], columns=["dim", "shard", "vectors", "ids", "ends", "layers"])
+    row = (key[0], key[1], vectors.tobytes(), np.concatenate(members).astype("<i8").tobytes(), ends.astype("<i8").tobytes(), [x.tobytes() for x in layers], width(unit, layers, k, recall))
+    return pd.DataFrame([row], columns=["dim", "shard", "vectors", "ids", "ends", "layers", "keep"])
 
 
 class Shard:
     """A shard's nodes: original vectors, ids of each, and the graph; answers queries."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, ends: np.ndarray, layers: list[np.ndarray]):
-        self.ids, self.ends, self.layers = ids, ends, layers
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, ends: np.ndarray, layers: list[np.ndarray], keep: int = SEARCH):
+        self.ids, self.ends, self.layers, self.keep = ids, ends, layers, keep
         self.begins = np.concatenate(([0], ends[:-1]))
         self.vec, self.unit = _scaled(vectors), _unit(vectors)
         self.norm = np.sqrt((self.vec * self.vec).sum(axis=1))
@@ -199,7 +223,7 @@ class Shard:
 
     def answers(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
         queries, unit = _scaled(queries), _unit(queries)
-        keep = min(SEARCH, len(self.vec))
+        keep = min(self.keep, len(self.vec))
         found, sims = walk(self.unit, self.layers[0], unit, descend(self.unit, self.layers[1:], unit), keep)
         row, col = np.nonzero(found >= 0)
         out = self._rank(row, found[row, col], queries, own, k)
@@ -231,7 +255,7 @@ def _search(k: int):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 layers = [np.frombuffer(x, np.int32).reshape(-1, M if i else M0) for i, x in enumerate(row.layers)]
-                shard = Shard(np.frombuffer(row.vectors).reshape(-1, row.dim), np.frombuffer(row.ids, "<i8"), np.frombuffer(row.ends, "<i8"), layers)
+                shard = Shard(np.frombuffer(row.vectors).reshape(-1, row.dim), np.frombuffer(row.ids, "<i8"), np.frombuffer(row.ends, "<i8"), layers, row.keep)
                 queries, own = np.frombuffer(row.queries).reshape(-1, row.dim), np.array(row.query_ids)
                 for lo in range(0, len(own), TOGETHER):
                     at, vec_id, score = shard.answers(queries[lo : lo + TOGETHER], own[lo : lo + TOGETHER], k)
@@ -241,8 +265,8 @@ def _search(k: int):
     return run
 
 
-def index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
-    """One row a shard (dim, shard, vectors, ids, ends, layers) of vectors (vec_id, vec) without invalid ones."""
+def index(vectors: DataFrame, k: int, shard: int = SHARD, recall: float = RECALL) -> DataFrame:
+    """One row a shard (dim, shard, vectors, ids, ends, layers, keep) of vectors (vec_id, vec) without invalid ones."""
     part = vectors.select("vec_id", "vec").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALT)))
     first = F.row_number().over(Window.partitionBy("vec", "salt").orderBy("vec_id"))
     few = part.distinct().withColumn("n", first).where(F.col("n") <= k + 1)
@@ -250,10 +274,10 @@ def index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
     nodes = materialize(nodes.withColumns({"h": F.xxhash64("vec"), "dim": F.size("vec")}), "ann-nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
     dealt = nodes.join(F.broadcast(shards) if shards.limit(10_001).count() <= 10_000 else shards, "dim").withColumn("shard", F.pmod(F.xxhash64(F.col("h"), F.lit(1)), F.col("shards")).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInPandas(_index, "dim int, shard int, vectors binary, ids binary, ends binary, layers array<binary>")
+    return dealt.groupBy("dim", "shard").applyInPandas(lambda key, pdf: _index(key, pdf, k, recall), "dim int, shard int, vectors binary, ids binary, ends binary, layers array<binary>, keep int")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors found, by cosine in double precision.
 
     vectors and queries: (vec_id, embedding). A query is never its own answer. Ties go to the smaller vec_id;
@@ -261,14 +285,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     components, and rows without vec_id take no part; vectors are compared only with those of their length. A
     repeated vec_id with several vectors counts with its best one. Empty tables give an empty result; other
     columns are ignored. A repeated query is answered once. Scores are the cosine in double precision; vectors are
-    scaled by powers of two before, so very large and very small ones neither overflow nor vanish.
+    scaled by powers of two before, so very large and very small ones neither overflow nor vanish. Each shard's graph is measured on probes when it
+    is built, and its walks are as wide as they must be to find `recall` of the nearest (spread vectors of many dimensions need wider ones).
     """
 
     def valid(df: DataFrame) -> DataFrame:
         ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
         return df.where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
 
-    made = materialize(index(valid(vectors), k, shard), "ann-index")
+    made = materialize(index(valid(vectors), k, shard, recall), "ann-index")
     asked = valid(queries)
     blocks = F.greatest(F.ceil(F.lit(asked.count()) * F.size("vec") / BLOCK), F.lit(1))
     flat = F.struct("vec_id", "vec")

@@ -29,6 +29,21 @@ def test_recall_on_near_copies(spark, n, clusters, noise, shard):
     assert sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got) / len(got) >= 0.95
 
 
+@pytest.mark.parametrize("dim, n, kind", [(128, 5000, "spread"), (256, 4000, "spread"), (768, 1500, "spread"), (256, 4000, "clusters"), (256, 4000, "low rank")])
+def test_walks_are_as_wide_as_the_vectors_need(spark, dim, n, kind):
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(n, dim))
+    if kind == "clusters":
+        v = rng.normal(size=(50, dim))[rng.integers(0, 50, n)] + 0.2 * v
+    elif kind == "low rank":
+        v = rng.normal(size=(n, 12)) @ rng.normal(size=(12, dim))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), 5).collect()
+    want = exact_neighbours(v, range(n), range(0, n, 50))
+    assert len(got) == 5 * len(want)
+    assert sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got) / len(got) >= 0.95
+
+
 @pytest.mark.parametrize("n", [40, 400])
 def test_ties_go_to_the_smallest_ids_whatever_their_number(spark, n):
     rows = [(i, [float(1 << (i % 8)) * (1 + i // 8), 0.0, 0.0]) for i in range(n)] + [(n + i, [1.0, 0.5 + i, 0.1]) for i in range(600)]
