@@ -4,9 +4,9 @@ Pages of one host come from one template. A bounded sample of a host's different
 is parsed, and their whole trees, menus and footers too, are aligned by simple tree matching (the largest
 order-preserving matching of equal labels). Equal subtrees are matched as such; siblings too many for a table
 are matched by their unique equal subtrees, and between these by label in order, so long pages take linear
-time. Nodes that hold the same text in nearly all pages, at a place of their own, are template; the others are slots. Names of classes and
-ids say that an element is a menu, sidebar, advert and so on only where it does not hold most of the slots'
-text. The wrapper of a layout is the path of the lowest element that holds all remaining slots, and the hashes of template
+time. Nodes that hold the same text in nearly all pages at a marked place of their own, or on every page of a whole sample, are template; the
+others are slots. Names of classes and ids say that an element is a menu, sidebar, advert and so on only where it does not hold most of the
+slots' text; inside the content, names that articles use too say so only of what does not vary. The wrapper of a layout is the path of the lowest element that holds all remaining slots, and the hashes of template
 texts inside it; a host's sampled pages are first put together by layout. Every page is then cut with its
 layout's wrapper: the element at that path without template texts and without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments. Pages without a wrapper that fits use
@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -63,6 +63,8 @@ NOT_NAMES = frozenset(
     " cookie cookies consent gdpr notice notification alert banner comment comments commentlist respond replies disqus discussion share sharing social related"
     " recommended breadcrumb breadcrumbs popup modal overlay subscribe subscription newsletter signup login form search pagination pager toolbar widget".split()
 )
+#: Of these, names that articles use for parts of their own: inside the content they do not say that an element is left out, unless its text is the same on all pages.
+SOFT_NAMES = frozenset("discussion related recommended alert notice notification banner social widget search form header masthead topbar footer aside respond".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -74,10 +76,10 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "hard", "named", "out", "kids", "size")
+    __slots__ = ("tag", "names", "hard", "named", "soft", "out", "kids", "size")
 
-    def __init__(self, tag: str, names: str = "", hard: bool = False, named: str = ""):
-        self.tag, self.names, self.hard, self.named, self.out, self.kids, self.size = tag, names, hard, named, hard, [], 0
+    def __init__(self, tag: str, names: str = "", hard: bool = False, named: str = "", soft: bool = False):
+        self.tag, self.names, self.hard, self.named, self.soft, self.out, self.kids, self.size = tag, names, hard, named, soft, hard, [], 0
 
     @property
     def label(self) -> str:
@@ -86,7 +88,7 @@ class Node:
 
 def _make(tag: str, raw: str) -> Node:
     """An element: whether its tag or role says that it is no main text (hard), or its class or id, which are kept in `named`."""
-    names, out, named = "", tag in NOT_TEXT, ""
+    names, out, named, soft = "", tag in NOT_TEXT, "", True
     if raw and not raw.isspace():
         for key, *values, hidden in _ATTRIBUTE.findall(raw):
             key, value = key.lower(), "".join(values)
@@ -94,19 +96,59 @@ def _make(tag: str, raw: str) -> Node:
                 words = {w.lower() for w in _NAME.findall(value)}
                 if words & NOT_NAMES and tag not in ("html", "body"):
                     named += f"{key}={value} "
+                    soft &= words & NOT_NAMES <= SOFT_NAMES
                 if key == "class":
                     names = ".".join(value.split())
             elif key == "role":
                 out |= value.lower() in NOT_ROLES
             elif hidden or (key == "aria-hidden" and value == "true"):
                 out = True
-    return Node(tag, names, out, named)
+    return Node(tag, names, out, named, soft and bool(named))
+
+
+class _Open:
+    """The elements that are open, and for each tag, and for blocks, where they stand: each step takes a time that does not grow with the depth."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all in it."""
+        for node in self.nodes[at:]:
+            self.places[node.tag].pop()
+        del self.nodes[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag: of the nearest such element, if there is one, but not through a block if it is none itself."""
+        places = self.places.get(tag)
+        if places and (tag in BLOCK or not self.blocks or places[-1] > self.blocks[-1]):
+            self.cut(places[-1])
+
+    def make_room(self, tag: str) -> None:
+        """What a new block ends: an open paragraph, and of list items and cells those of the same list or row."""
+        if tag not in ENDS:
+            if self.blocks and self.nodes[self.blocks[-1]].tag == "p":
+                self.cut(self.blocks[-1])
+            return
+        ends, bounds = ENDS[tag]
+        bound = max((self.places[t][-1] for t in bounds if self.places.get(t)), default=0)
+        first = [places[i] for t in {*ends, "p"} if (places := self.places.get(t)) and (i := bisect_right(places, bound)) < len(places)]
+        if first:
+            self.cut(min(first))
 
 
 def parse(html: str) -> Node:
     """A page's tree: elements, and its texts as strings. Open and crossing elements are closed as browsers do, roughly."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(html)
+    stack, at, n = _Open(root), 0, len(html)
     while at < n:
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -114,36 +156,24 @@ def parse(html: str) -> Node:
         if not tag:
             text = m[0]
             if text[0] != "<" or text == "<":
-                stack[-1].kids.append(text)
+                stack.nodes[-1].kids.append(text)
             continue
         tag = tag.lower()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+            stack.close(tag)
             continue
         if tag in BLOCK:
-            ends, bounds = ENDS.get(tag, (frozenset("p"), ()))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends or stack[i].tag == "p":
-                    del stack[i:]
-                    if tag not in ENDS:
-                        break
-                elif stack[i].tag in bounds or (stack[i].tag in BLOCK and tag not in ENDS):
-                    break
+            stack.make_room(tag)
         node = _make(tag, raw)
-        if tag == "header" and any(n.tag == "article" for n in stack):  # an article's own heading
+        if tag == "header" and stack.places.get("article"):  # an article's own heading
             node.hard = node.out = False
-        stack[-1].kids.append(node)
+        stack.nodes[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(html, at)
             node.kids.append(html[at : end.start()])
             at = end.end()
         elif tag not in VOID and not raw.endswith("/"):
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -200,11 +230,20 @@ def _most(placed: list[tuple[Node, int]], sizes: dict[int, int] | None = None) -
 
 
 def _decide(root: Node, kept: dict[int, bool], placed: list[tuple[Node, int]]) -> None:
-    """Marks what is left out: by tag and role, and by name unless kept says otherwise or, for names not in it, the page's own text does."""
+    """Marks what is left out: by tag and role, and by name unless kept says otherwise or, for names not in it, the page's own text does.
+
+    Inside an article or main element soft names leave nothing out, unless kept says so.
+    """
     if any(node.named for node, _ in placed):
         most = _most(placed) | kept
+        inside: set[int] = set()
         for node, place in placed:
-            node.out = node.hard or (bool(node.named) and not most[_name_key(node, place)])
+            within = id(node) in inside
+            key = _name_key(node, place) if node.named else 0
+            stays = kept.get(key, True) if within and node.soft else node.named and most[key]
+            node.out = node.hard or (bool(node.named) and not stays)
+            if within or (node.tag in ("article", "main") and not node.hard):
+                inside.update(id(k) for k in node.kids if isinstance(k, Node))
     keep_articles(root)
 
 
@@ -469,35 +508,43 @@ def _induce(group: list[tuple[Node, list, set[int]]]) -> dict | None:
                 have[key] += 1
                 most[key] += yes
     kept = {key: 2 * most[key] > n for key, n in have.items()}
-    for root, placed, _ in group:
-        _decide(root, kept, placed)
-    constant: list[tuple[tuple, str]] = []
-    varying: Counter = Counter()
-    slots: Counter = Counter()
-    for ref in trees:
-        for path, leaf, _ in _leaves(ref):
-            if same[id(leaf)] >= max(LEAST, CONSTANT * others):
-                constant.append((path, leaf.text))
-            else:
-                varying[path] += len(leaf.text)
-                if same[id(leaf)] < CONSTANT * others:
-                    slots[path] += len(leaf.text)
-    slots = slots or varying
-    if not slots:
-        return None
-    within = {p: n for p, n in slots.items() if _article(p)}
-    if sum(within.values()) >= HOLDS * sum(slots.values()):
-        slots = within
-    best = _common(list(slots))
-    if _article(best):  # all of the article
-        best = best[: _article(best)]
-    while best[-1].split(".")[0] not in HOLDERS and len(best) > 1:  # blocks of text: what holds them
-        best = best[:-1]
+    best: tuple = ()
+    for step in range(2):
+        if step:  # inside the content element what varies stays, whatever soft names say
+            kept |= _varying_names(group, trees, best, same, others)
+        for root, placed, _ in group:
+            _decide(root, kept, placed)
+        constant: list[tuple[tuple, str, bool]] = []
+        varying: Counter = Counter()
+        slots: Counter = Counter()
+        for ref in trees:
+            for path, leaf, _ in _leaves(ref):
+                if same[id(leaf)] >= max(LEAST, CONSTANT * others):
+                    constant.append((path, leaf.text, same[id(leaf)] == others))
+                else:
+                    varying[path] += len(leaf.text)
+                    if same[id(leaf)] < CONSTANT * others:
+                        slots[path] += len(leaf.text)
+        slots = slots or varying
+        if not slots:
+            return None
+        within = {p: n for p, n in slots.items() if _article(p)}
+        if sum(within.values()) >= HOLDS * sum(slots.values()):
+            slots = within
+        best = _common(list(slots))
+        if _article(best):  # all of the article
+            best = best[: _article(best)]
+        while best[-1].split(".")[0] not in HOLDERS and len(best) > 1:  # blocks of text: what holds them
+            best = best[:-1]
     held = sum(n for path, n in varying.items() if path[: len(best)] == best)
-    inside = [text for path, text in constant if path[: len(best)] == best]
+    inside = [text for path, text, _ in constant if path[: len(best)] == best]
     few = sum(map(len, inside)) <= MOST * (held + sum(map(len, inside)))
-    # A text that repeats among others of its kind (a paragraph of the article) is content; a template text has a marked place of its own.
-    own = [text for path, text in constant if path[: len(best)] == best and path not in varying and any("." in x for x in path[len(best) :])]
+    # A text that repeats on most pages among others of its kind (a paragraph of the article) is content, unless it stands on every page
+    # of a whole sample; a template text has a marked place of its own.
+    own = [
+        text for path, text, always in constant
+        if path[: len(best)] == best and ((always and others >= SAMPLE - 1) or (path not in varying and any("." in x for x in path[len(best) :])))
+    ]
     seen = Counter(k for _, _, layout in group for k in layout)
     return {
         "path": list(best), "template": sorted({_key(t) for t in own}) if few else [], "kept": sorted(k for k, yes in kept.items() if yes), "dropped": sorted(k for k, yes in kept.items() if not yes),
@@ -505,6 +552,26 @@ def _induce(group: list[tuple[Node, list, set[int]]]) -> dict | None:
     }
 
 
+def _varying_names(group: list, trees: list[_Tree], best: tuple, same: Counter, others: int) -> dict[int, bool]:
+    """For each soft name inside the content element: whether most of its text, on all pages together, is a slot's."""
+    slots, every = Counter(), Counter()
+    for (_, placed, _), ref in zip(group, trees, strict=True):
+        keys = {id(node): _name_key(node, place) for node, place in placed if node.soft and node.named}
+        work: list[tuple[_Tree, tuple, frozenset[int]]] = [(ref, (ref.label,), frozenset())]
+        while work:
+            tree, path, names = work.pop()
+            for k in tree.kids:
+                if k.node is None:
+                    for key in names:
+                        every[key] += len(k.text)
+                        slots[key] += len(k.text) * (same[id(k)] < CONSTANT * others)
+                elif not k.node.hard:
+                    own = (*path, k.label)
+                    inner = keys.get(id(k.node)) if len(own) > len(best) and own[: len(best)] == best else None
+                    work.append((k, own, names | {inner} if inner else names))
+    return {key: 2 * slots[key] >= n for key, n in every.items()}
+
+
 def _leaves(tree: _Tree) -> Iterator[tuple]:
     """(path of labels, leaf, its element) of a tree's texts that are not left out."""
     work = [(tree, (tree.label,))]

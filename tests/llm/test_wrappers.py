@@ -103,3 +103,110 @@ def test_rare_layouts_of_large_hosts_have_wrappers(spark):
     out = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(out[1000 + i] == f"Thing {i}\n\n{words(f's{i}', 30)}" for i in range(3))
     assert all(out[i] == f"Title {i}\n\n{words(f'{i}y0', 40)}" for i in range(300))
+
+
+def article(i, inner):
+    return f"<body><div class=top>Our site</div><article>{inner}</article><div class=end>Imprint</div></body>".replace("#", str(i))
+
+
+@pytest.mark.parametrize("inner, want", [
+    (lambda i: f"<section class=intro><p>{words(f'{i}a', 40)}</p></section><section class=discussion><p>{words(f'{i}b', 40)}</p></section><div class=related-work><p>{words(f'{i}c', 50)}</p></div>", lambda i: [words(f"{i}a", 40), words(f"{i}b", 40), words(f"{i}c", 50)]),
+    (lambda i: f"<p>{words(f'{i}a', 40)}</p><p class=alert>{words(f'{i}b', 9)}</p><p>{words(f'{i}c', 20)}</p>", lambda i: [words(f"{i}a", 40), words(f"{i}b", 9), words(f"{i}c", 20)]),
+    (lambda i: f"<p>{words(f'{i}a', 40)}</p><p class=notice>We use biscuits</p>", lambda i: [words(f"{i}a", 40)]),
+    (lambda i: f"<p>{words(f'{i}a', 40)}</p><div class=comments><p>{words(f'{i}b', 9)}</p></div><div class=ad-slot>{words(f'{i}c', 5)}</div>", lambda i: [words(f"{i}a", 40)]),
+    (lambda i: f"<h1>Head {i}</h1><p>{words(f'{i}a', 40)}</p><p>{words(f'{i}b', 30)}</p><p>Copyright by us, all rights reserved</p>", lambda i: [f"Head {i}", words(f"{i}a", 40), words(f"{i}b", 30)]),
+])
+def test_varying_slots_overrule_names_and_constant_ones_are_template(inner, want):
+    pages = [article(i, inner(i)) for i in range(8)]
+    w = html.induce(pages)
+    assert [html.extract(p, w) for p in pages] == ["\n\n".join(want(i)) for i in range(8)]
+
+
+def test_a_page_alone_keeps_the_parts_of_its_article():
+    inner = f"<section class=intro><p>{words('a', 40)}</p></section><section class=discussion><p>{words('b', 40)}</p></section><div class=comments>{words('c', 5)}</div>"
+    assert html.extract(article(1, inner)) == f"{words('a', 40)}\n\n{words('b', 40)}"
+
+
+def test_a_paragraph_that_most_pages_share_is_content():
+    pages = [article(i, f"<p>{words(f'{i}a', 40)}</p><p>{'shared words' if i else 'other words'}</p><p>{words(f'{i}b', 30)}</p>") for i in range(8)]
+    w = html.induce(pages)
+    assert all("shared words" in html.extract(p, w) for p in pages[1:])
+
+
+def plain_parse(page):
+    """The same tree by plain walks over all open elements."""
+    root = html.Node("#root")
+    stack, at = [root], 0
+    while at < len(page):
+        m = html._TOKEN.match(page, at)
+        at = m.end()
+        close, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not tag:
+            if m[0][0] != "<" or m[0] == "<":
+                stack[-1].kids.append(m[0])
+            continue
+        tag = tag.lower()
+        if close:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    del stack[i:]
+                    break
+                if tag not in html.BLOCK and stack[i].tag in html.BLOCK:
+                    break
+            continue
+        if tag in html.BLOCK:
+            ends, bounds = html.ENDS.get(tag, (frozenset("p"), ()))
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in ends or stack[i].tag == "p":
+                    del stack[i:]
+                    if tag not in html.ENDS:
+                        break
+                elif stack[i].tag in bounds or (stack[i].tag in html.BLOCK and tag not in html.ENDS):
+                    break
+        node = html.Node(tag)
+        stack[-1].kids.append(node)
+        if tag not in html.VOID and not raw.endswith("/"):
+            stack.append(node)
+    return root
+
+
+def shape(node):
+    return node if isinstance(node, str) else (node.tag, [shape(k) for k in node.kids])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_the_tree_is_that_of_plain_walks(seed):
+    import random
+
+    rng = random.Random(seed)
+    tags = ["p", "div", "b", "i", "ul", "li", "table", "tr", "td", "th", "span", "dl", "dt", "dd", "br", "article"]
+    page = "".join(rng.choice(["<{}>", "<{}>", "</{}>", "text", "<{}/>"]).format(rng.choice(tags)) for _ in range(200))
+    assert shape(html.parse(page)) == shape(plain_parse(page))
+
+
+@pytest.mark.parametrize("part", ["<i>x</b>", "<b><div><i>x</i></b>", "<i>x<li>", "<table><td>x</tr>", "<p><span>x</div>", "<div><dd>x</dt>"])
+def test_misnested_tags_take_linear_time(part):
+    began = time.perf_counter()
+    html.parse(part * 30_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_main_text_of_made_hosts_is_what_was_put_in(spark):
+    """Hosts with templates of their own, and what each page's article says: every page gives that and nothing else."""
+    import random
+
+    rng = random.Random(11)
+    rows, want = [], {}
+    for h in range(6):
+        box = rng.choice(["article", "main", "div class=x1"])
+        menu = "".join(f"<li><a href=/{k}>menu {h} {k}</a></li>" for k in range(rng.randrange(2, 6)))
+        foot = rng.choice(["<footer>&copy; host</footer>", "<div class=f>Imprint of the host</div>"])
+        for i in range(10):
+            key = h * 100 + i
+            parts = [f"Title {key} &amp; more", *[words(f"{key}z{k}", rng.randrange(5, 40)) for k in range(rng.randrange(2, 8))]]
+            body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}" + rng.choice(["</p>", ""]) for p in parts[1:])
+            page = f"<html><head><title>t{key}</title><script>var x='<p>';</script></head><body><nav><ul>{menu}</ul></nav><{box}>{body}</{box.split()[0]}><div class=ad>buy {key}</div><aside>see {key}</aside>{foot}</body></html>"
+            rows.append((key, f"http://h{h}.example/{i}", page))
+            want[key] = "\n\n".join([f"Title {key} & more", *parts[1:]])
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
