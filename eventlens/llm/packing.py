@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free, materialize, small, small_batches
 from .tokens import model_path, pieces
 
 LENGTH = 2048
@@ -113,7 +113,7 @@ def _pack(length: int):
     return run
 
 
-def packed_rows(docs: DataFrame, length: int = LENGTH, shard: Column | None = None, place: Column | None = None, path: str | None = None) -> DataFrame:
+def packed_rows(docs: DataFrame, length: int = LENGTH, shard: Column | None = None, place: Column | None = None, path: str | None = None, shard_bytes: int | None = None) -> DataFrame:
     """Packed rows of the tokens of docs (doc_id, text), columns PACKED.
 
     tokens: the row's ids as little-endian uint16; position_ids: positions that begin anew with each segment,
@@ -122,18 +122,28 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, shard: Column | None = No
     documents are packed together (by default a hash of doc_id and text into shards of about SHARD_BYTES of text);
     place: their order in it (by default doc_id). Long documents are spread over shards by RUN pieces.
 
-    A null or empty text has no tokens and no segment. Rows that repeat a doc_id are packed each. A null
-    doc_id counts as -1. An empty table gives an empty result; other columns are ignored.
+    A null or empty text has no tokens and no segment. Rows that repeat a doc_id are packed each; equal ones that are too much for a shard
+    are spread. A null doc_id counts as -1. An empty table gives an empty result; other columns are ignored.
     """
     if not 1 <= length < 1 << 16:
         raise ValueError("length must be 1 to 65535")
     small_batches(docs.sparkSession)
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")
+    shard_bytes = shard_bytes or SHARD_BYTES
     if shard is None:
-        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
-        # Null and repeated ids go by their texts, and repeated rows by their places in the input, so no id fills a shard.
-        code = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.when(F.col("doc_id").isNull(), F.spark_partition_id()))
-        shard = F.lpad(F.pmod(code, F.lit(1 + size // SHARD_BYTES)).cast("string"), 6, "0")
+        text = F.col("text").cast("string")
+        code = F.xxhash64(F.col("doc_id").cast("long"), text)
+        each = docs.groupBy(code.alias("code")).agg(F.sum(F.octet_length(text).cast("long")).alias("bytes"))
+        each = materialize(each, "packing-sizes")
+        size = each.agg(F.sum("bytes")).first()[0] or 0
+        # Rows of one id and text that are too much for a shard are dealt to shards by their places in the input.
+        large = each.where(F.col("bytes") > shard_bytes).select("code")
+        split = F.lit(None).cast("long")
+        if not large.isEmpty():
+            (mark,) = free(docs, "_large")
+            docs = docs.join(small(large.withColumnRenamed("code", mark)), code == F.col(mark), "left")
+            split = F.when(F.col(mark).isNotNull(), F.monotonically_increasing_id())
+        shard = F.lpad(F.pmod(F.xxhash64(code, split), F.lit(1 + size // shard_bytes)).cast("string"), 6, "0")
     place = (place if place is not None else F.col("doc_id")).cast("long")
     rows = docs.select(doc_id, F.col("text").cast("string").alias("text"), shard.cast("string").alias("shard"), F.coalesce(place, F.lit(-1)).alias("place"), F.xxhash64("text").alias("h"))
     kept = ["doc_id", "shard", "place", "h"]

@@ -1,9 +1,10 @@
 """Operators of corpora on repeated ids, repeated rows and null ids, and models on held-out rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from eventlens.llm import langid, neardup, packing, quality, urlfilter
+from eventlens.llm import langid, mixing, neardup, packing, quality, urlfilter
 
 from .test_operators import components_by_brute_force
 
@@ -130,3 +131,34 @@ def test_urls_of_odd_rows(spark):
     out = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert len(out) == 5 and [r.verdict for r in out if r.page_id == 1] == ["block", "block"]
     assert sorted(r.rule or "" for r in out) == ["", "", "com/en/", "com/en/", "org/es/"]
+
+
+@pytest.mark.parametrize("blocks", [{"a": 4, "b": 30, "c": 10}, {"a": 40, "b": 3, "c": 1}, {"a": 1, "b": 1, "c": 50}])
+def test_one_schedule_whatever_the_sum_of_weights(spark, monkeypatch, blocks):
+    """The order is the same where a whole period is made and where the schedule is gone through."""
+    rows = [(s * 1000 + i, "t", "abc"[s]) for s, n in enumerate(blocks.values()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = lambda: [(r.source, r.doc_id) for r in mixing.mix(docs, {"a": 3, "b": 2, "c": 1}, block=1).orderBy("slot", "place").collect()]
+    whole = order()
+    monkeypatch.setattr(mixing, "PERIOD", 2)
+    assert order() == whole and len(whole) == len(rows)
+
+
+def test_repeated_rows_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HOT", 50)
+    docs = spark.range(6000, numPartitions=6).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("a").alias("source"))
+    docs = docs.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source")))
+    got = mixing.mix(docs, {"a": 2, "b": 1}).collect()
+    assert len(got) == 6500 and len({(r.slot, r.place) for r in got}) == 6500
+    assert {(r.doc_id, r.text) for r in got} == {(7, "same text")} | {(i, f"text {i}") for i in range(500)}
+    counted = mixing.numbered(docs, "n", "source", {"a": 6250, "b": 250})
+    assert sorted(r.n for r in counted.where("source = 'a'").collect()) == list(range(6250))
+    windows = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in windows
+
+
+def test_equal_rows_go_to_many_shards(spark):
+    docs = spark.range(6000, numPartitions=6).select(F.lit(7).cast("long").alias("doc_id"), F.lit(words(0, 200)).alias("text"))
+    size = 6000 * len(words(0, 200))
+    per = [r["count"] for r in packing.packed_rows(docs, shard_bytes=size // 12).select("shard", F.explode("doc_ids")).groupBy("shard").count().collect()]
+    assert len(per) >= 10 and sum(per) == 6000 and max(per) < 1500
