@@ -9,7 +9,7 @@ The network is trained in numpy by backpropagation through time on a bounded sam
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,25 +96,49 @@ def _back_way(state: np.ndarray, x: np.ndarray, seen: list, grads: np.ndarray) -
     return d_embed, d_state
 
 
-def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Network:
-    """A network from labelled texts of at least one byte; one language only gives a constant."""
+@dataclass
+class Plan:
+    """What the training starts from, and which places of which texts it reads in every step: drawn from the texts' sizes alone."""
+
+    langs: list[str]
+    weights: dict[str, np.ndarray]
+    label: np.ndarray
+    texts: list[np.ndarray]  # for each step the text of each lane
+    places: list[list[int]]  # and where the lane begins in it
+
+
+def plan(labels: list[str], sizes: list[int], seed: int = 7) -> Plan:
     langs = sorted(set(labels))
     rng, c = np.random.default_rng(seed), len(langs)
     p = {f"e{w}": rng.normal(0, 0.3, (256, 3 * HIDDEN)) for w in "fb"} | {f"s{w}": rng.normal(0, 0.25, (3 * HIDDEN, HIDDEN)) for w in "fb"}
     p |= {f"o{w}": rng.normal(0, 0.3, (c, HIDDEN)) for w in "fb"} | {"bias": np.zeros((c, 1))}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     y = np.array([langs.index(x) for x in labels])
     groups = [np.flatnonzero(y == i) for i in range(c)]
-    for step in range(1, UPDATES + 1 if c > 1 else 1):
+    out = Plan(langs, {k: v.astype(np.float32) for k, v in p.items()}, y, [], [])
+    for _ in range(UPDATES if c > 1 else 0):
         # As many lanes of each language; every lane a place in a text.
         pick = np.concatenate([rng.choice(g, -(-LANES // c)) for g in groups])
-        x = np.full((STEPS, len(pick)), 32, np.int64)
-        for j, i in enumerate(pick):
-            raw = texts[i]
-            lo = int(rng.integers(0, max(1, len(raw) - STEPS + 1)))
-            part = np.frombuffer(raw[lo : lo + STEPS], np.uint8)
-            x[: len(part), j] = part
+        out.texts.append(pick)
+        out.places.append([int(rng.integers(0, max(1, sizes[i] - STEPS + 1))) for i in pick])
+    return out
+
+
+def lane(text: bytes, at: int) -> bytes:
+    """STEPS bytes of a text from a place on, filled up with spaces."""
+    return text[at : at + STEPS].ljust(STEPS)
+
+
+def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Network:
+    """A network from labelled texts of at least one byte; one language only gives a constant."""
+    return learn(plan(labels, [len(t) for t in texts], seed), lambda i, at: lane(texts[i], at))
+
+
+def learn(start: Plan, read: Callable[[int, int], bytes]) -> Network:
+    """Backpropagation through time over a plan's lanes; read gives the bytes of a lane."""
+    langs, y, p = start.langs, start.label, start.weights
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    for step, (pick, places) in enumerate(zip(start.texts, start.places, strict=True), 1):
+        x = np.frombuffer(b"".join(map(read, pick.tolist(), places)), np.uint8).reshape(-1, STEPS).T.astype(np.int64)
         hf, seen_f = _train_way(p["ef"], p["sf"], x)
         hb, seen_b = _train_way(p["eb"], p["sb"], x[::-1])
         hf, hb = np.stack(hf), np.stack(hb[::-1])
@@ -209,8 +233,36 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     picked = materialize(near.withColumn("r", rank).where(F.col("r") <= each).select("lang", "h"), "langid-sample")
     # A row that repeats counts once.
     few = rows.join(small(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    got = [(r.text.encode("utf-8", "replace"), r.lang) for r in sorted(few.collect(), key=lambda r: (r.h, r.lang))]
-    return train([t for t, _ in got], [x for _, x in got]) if got else None
+    few = materialize(few, "langid-texts")
+    got = sorted(few.select("h", "lang", F.octet_length("text").alias("n")).collect())  # names and numbers of the sample
+    if not got:
+        return None
+    start = plan([r.lang for r in got], [r.n for r in got])
+    asked: dict[tuple[int, str], set[int]] = {}
+    for pick, places in zip(start.texts, start.places, strict=True):
+        for i, at in zip(pick.tolist(), places, strict=True):
+            asked.setdefault((got[i].h, got[i].lang), set()).add(at)
+    want = docs.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in asked.items()})
+    # Of the texts, whatever their lengths, only the lanes that are read come to the driver: UPDATES * LANES * STEPS bytes at most.
+    lanes = few.mapInPandas(_lanes_of(want), "h long, lang string, lanes binary").collect()
+    held = {(r.h, r.lang, at): bytes(r.lanes[k * STEPS : (k + 1) * STEPS]) for r in lanes for k, at in enumerate(want.value[r.h, r.lang])}
+    return learn(start, lambda i, at: held[got[i].h, got[i].lang, at])
+
+
+def _lanes_of(want):
+    """The lanes that are asked for of each text, one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for h, lang, text in zip(pdf["h"], pdf["lang"], pdf["text"], strict=True):
+                if places := want.value.get((h, lang)):
+                    raw = text.encode("utf-8", "replace")
+                    out.append((h, lang, b"".join(lane(raw, at) for at in places)))
+            if out:
+                yield pd.DataFrame(out, columns=["h", "lang", "lanes"])
+
+    return run
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

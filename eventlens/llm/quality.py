@@ -8,14 +8,14 @@ dot product, computed for a whole batch by gathering weights.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, materialize, small_batches
 from .hashing import LOWER, mix, words
 from .langid import _parts
 
@@ -23,6 +23,8 @@ from .langid import _parts
 BITS = 18
 #: Bound of the training sample, for each of the two labels.
 SAMPLE = 2000
+#: Bytes of the sample's features that the driver holds at a time.
+HELD = 128 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 1.0, 3
 #: Bytes to their classes.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -46,26 +48,48 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return index[np.argsort(doc, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(texts)))))
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> np.ndarray:
-    """Weights (the bias last) from (feature numbers, values, label); all zero without examples."""
+def train(examples: Iterable[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Weights (the bias last) from (feature numbers, values, label), one after the other; all zero without examples."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i):
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        for e in rng.permutation(len(examples)):
-            idx, x, y = examples[e]
-            i, x = np.append(idx, 1 << BITS), np.append(x, 1.0)
-            w = weights(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            z[i] += g - sigma * w
-            n[i] += g * g
+    for idx, x, y in examples:
+        i, x = np.append(idx, 1 << BITS), np.append(x, 1.0)
+        w = weights(i)
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
+        sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
+        z[i] += g - sigma * w
+        n[i] += g * g
     return weights(np.arange(len(z))).astype(np.float32)
 
 
+def epochs(stored: DataFrame, most: int = HELD, seed: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The examples of a written table (doc_id, quality, h, idx, val) in EPOCHS random orders; at most about `most` bytes of them are held at a time."""
+    keys = sorted(stored.select("h", "doc_id", "quality", (F.octet_length("idx") + F.octet_length("val")).alias("size")).collect())  # a row an example
+    rng, total = np.random.default_rng(seed), sum(k.size for k in keys)
+    held: dict[tuple, tuple] = {}
+
+    def load(part: list) -> None:
+        rows = stored if len(part) == len(keys) else stored.join(F.broadcast(stored.sparkSession.createDataFrame([(k.h, k.doc_id, k.quality) for k in part], "h long, doc_id long, quality int")), ["h", "doc_id", "quality"])
+        held.clear()
+        held.update({(r.h, r.doc_id, r.quality): (np.frombuffer(r.idx, "<u4").astype(np.int64), np.frombuffer(r.val, "<f4").astype(float), r.quality) for r in rows.toLocalIterator()})
+
+    for _ in range(EPOCHS):
+        order = [keys[e] for e in rng.permutation(len(keys))]
+        lo = 0
+        while lo < len(order):
+            hi, size = lo + 1, order[lo].size
+            while hi < len(order) and (total <= most or size + order[hi].size <= most):
+                size += order[hi].size
+                hi += 1
+            if total > most or not held:
+                load(order[lo:hi])
+            yield from (held[k.h, k.doc_id, k.quality] for k in order[lo:hi])
+            lo = hi
+
+
 def _featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for part in _parts(pdf, 1_000_000):
@@ -77,12 +101,13 @@ def _featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "h": part["h"], "idx": [a for a, _ in rows], "val": [b for _, b in rows]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = HELD) -> np.ndarray:
     """Weights from labels.quality of documents that are not held out.
 
     A bounded sample is used: of each label the `sample` labelled ids of smallest hash. Each one's features
     are computed in tasks from its whole text, at most 2**BITS of them. An id that repeats in docs or labels
-    counts once for each label, with the text of smallest hash.
+    counts once for each label, with the text of smallest hash. The features are written, and the driver reads them in portions of `held`
+    bytes: longer texts need more portions, not more memory.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -90,9 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     picked = [known.where(F.col("quality") == y).distinct().orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # two samples at most
     rows = rows.groupBy("doc_id", "quality", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = rows.select("doc_id", "quality", "h", "text").mapInPandas(_featurize, "doc_id long, quality int, h long, idx binary, val binary").collect()
-    got.sort(key=lambda r: (r.h, r.doc_id, r.quality, r.idx))
-    return train([(np.frombuffer(r.idx, "<u4").astype(np.int64), np.frombuffer(r.val, "<f4").astype(float), r.quality) for r in got])
+    made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "h", "text").mapInPandas(_featurize, "doc_id long, quality int, h long, idx binary, val binary")
+    return train(epochs(materialize(made, "quality-features"), held))
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
