@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, running_sums, small
+from .storage import BROADCAST_ROWS, materialize, running_sums, small
 
 #: Ranges of the values of a group.
 RANGES = 32
@@ -28,6 +28,10 @@ def _ranged(counts: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 def cumulative(counts: DataFrame, by: Sequence[str], x: str, weights: Sequence[str]) -> DataFrame:
     """counts (a row for each value x of a group) with before_<w>, the sum of w over smaller values, and total_<w>."""
     by, counts = list(by), materialize(counts, "ranks-counts")
+    if counts.count() <= BROADCAST_ROWS:  # as few as may be broadcast are as few as a task may sort
+        group = Window.partitionBy(*by or [F.lit(0)])
+        earlier = group.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumns({f"before_{w}": F.coalesce(F.sum(w).over(earlier), F.lit(0)) for w in weights} | {f"total_{w}": F.sum(w).over(group) for w in weights})
     out = running_sums(_ranged(counts, by, x), by, "_block", [x], {f"before_{w}": F.col(w) for w in weights}).drop("_block")
     totals = counts.groupBy(*by).agg(*[F.sum(w).alias(f"total_{w}") for w in weights])
     return out.join(small(totals), by) if by else out.crossJoin(F.broadcast(totals))  # one row
@@ -55,6 +59,12 @@ def q_values(df: DataFrame, p: str, q: str, pool: Sequence[str] = ()) -> DataFra
     smallest of that over it and all larger p.
     """
     pool, df = list(pool), materialize(df, "fdr-tests")
+    if df.count() <= BROADCAST_ROWS:  # as in cumulative
+        group = Window.partitionBy(F.col(p).isNull(), *pool)
+        own = F.col(p) * F.count(p).over(group) / F.count(p).over(group.orderBy(p).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = df.withColumn("_own", own)
+        low = F.min("_own").over(group.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumn(q, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), low))).drop("_own")
     counts = df.where(F.col(p).isNotNull()).groupBy(*pool, p).agg(F.count(F.lit(1)).alias("_n"))
     rows = _ranged(cumulative(counts, pool, p, ["_n"]), pool, p)
     rows = materialize(rows.select(*pool, p, "_block", (F.col(p) * F.col("total__n") / (F.col("before__n") + F.col("_n"))).alias("_own")), "fdr-ranks")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side with at most this many narrow rows may be broadcast; larger ones are shuffled.
@@ -49,6 +51,14 @@ def same(df: DataFrame, other: DataFrame, pairs: dict[str, str]) -> Column:
     return out
 
 
+def observed(metrics: Observation, scan: Callable[[], DataFrame]) -> dict[str, int]:
+    """What an observation has counted; by a scan of its own where adaptive execution has found the result empty and dropped the observed part of the plan."""
+    try:
+        return metrics.get
+    except Py4JJavaError:
+        return scan().first().asDict()
+
+
 def running_sums(df: DataFrame, by: list[str], block: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """df with a column for each of sums: its sum over the rows before in the order of a group, 0 for the first.
 
@@ -83,6 +93,38 @@ def carried_last(df: DataFrame, by: list[str], block: str, order: list[str], val
     return out.withColumns({n: F.coalesce(f"_i_{n}", f"_b_{n}") for n in values}).drop(*[f"_{k}_{n}" for k in "vbi" for n in values])
 
 
+#: Rows of a stretch that one task sorts, about.
+STRETCH = 1_000_000
+
+
+def stretches(df: DataFrame, by: list[str], block: str, cell: Column, most: int | None = None) -> DataFrame:
+    """df with its blocks cut where they hold too many rows: block becomes (block, part), in the same order.
+
+    Blocks are counted first. Those of more than `most` rows are cut between cells, finer pieces of the same order, so that each part holds
+    about `most` rows, or one cell.
+    """
+    most = most or STRETCH
+    counts = materialize(df.groupBy(*by, block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most), "hot-blocks")
+    if counts.isEmpty():
+        return df.withColumn(block, F.struct(F.col(block).alias("block"), F.lit(0).cast("long").alias("part")))
+    df = df.withColumn("_cell", cell)
+    hot = small(counts.select(*[F.col(c).alias(f"_h_{c}") for c in (*by, block)]))
+    same = F.lit(True)
+    for c in (*by, block):
+        same = same & df[c].eqNullSafe(F.col(f"_h_{c}"))
+    cells = df.join(hot, same, "left_semi").groupBy(*by, block, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by, block).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / most)
+    cells = materialize(cells.withColumn("_part", part).drop("_n"), "cells")  # cells of hot blocks only
+    keys = [*by, block, "_cell"]
+    cells = small(cells.select("_part", *[F.col(c).alias(f"_c_{c}") for c in keys]))
+    same = F.lit(True)
+    for c in keys:
+        same = same & df[c].eqNullSafe(F.col(f"_c_{c}"))
+    out = df.join(cells, same, "left").drop(*[f"_c_{c}" for c in keys], "_cell")
+    return out.withColumn(block, F.struct(F.col(block).alias("block"), F.coalesce("_part", F.lit(0)).alias("part"))).drop("_part")
+
+
 def with_rows_before(df: DataFrame, by: list[str], block: str, order: list[str], n: int) -> DataFrame:
     """df with `_carried`: false for its own rows, true for copies of the n rows before each block, so a window over (by, block) sees across its border.
 

@@ -152,10 +152,17 @@ def pivot(df: DataFrame, x: str, y: str, limit: int = 10) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, rank: str, by: Sequence[str]) -> DataFrame:
-    """Adds the mean rank of ties. Ranks come from counts of distinct values, added up in ranges of values."""
-    df = materialize(df, "ranked")  # read twice
-    counts = cumulative(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), by, value, ["n"])
-    return df.join(small(counts.select(*by, value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(rank))), [*by, value])
+    """Adds the mean rank of ties."""
+    return all_ranks(df, {value: rank}, by)
+
+
+def all_ranks(df: DataFrame, ranks: Mapping[str, str], by: Sequence[str]) -> DataFrame:
+    """Adds for each value column of ranks the mean rank of ties. Ranks come from counts of distinct values; df is written once."""
+    df = out = materialize(df, "ranked")
+    for value, rank in ranks.items():
+        counts = cumulative(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), by, value, ["n"])
+        out = out.join(small(counts.select(*by, value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(rank))), [*by, value])
+    return out
 
 
 def _pairs(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -169,7 +176,7 @@ def correlation(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(fx, fy, n, pearson, spearman, p): pairwise-complete correlations of 2 to 8 fields; constant axes give null."""
     if not 2 <= len(fields) <= 8:
         raise ValueError("2 to 8 fields")
-    rows = average_ranks(average_ranks(_pairs(df, fields), "x", "rx", ["fx", "fy"]), "y", "ry", ["fx", "fy"])
+    rows = all_ranks(_pairs(df, fields), {"x": "rx", "y": "ry"}, ["fx", "fy"])
     out = rows.groupBy("fx", "fy").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), ((F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))).alias("flat")
     )
@@ -179,7 +186,7 @@ def correlation(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: extents, correlations and the least-squares line of all pairs."""
-    rows = average_ranks(average_ranks(_pairs(df, [x, y]), "x", "rx", ["fx", "fy"]), "y", "ry", ["fx", "fy"])
+    rows = all_ranks(_pairs(df, [x, y]), {"x": "rx", "y": "ry"}, ["fx", "fy"])
     r = lambda c, name: F.round(c, 6).alias(name)
     return rows.agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"), F.min("y").alias("y_lo"), F.max("y").alias("y_hi"),

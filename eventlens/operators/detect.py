@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import number, resolve, template
 from ..functions.ranks import cumulative, quantiles
-from ..functions.storage import materialize, small, with_rows_before
+from ..functions.storage import materialize, small, stretches, with_rows_before
 from ..functions.stats import benjamini_hochberg, chi2_p, g_2x2, ks_p_column, normal_p
 from ..plans.windows import AnalysisWindows
 from .charts import one_row
@@ -22,6 +22,8 @@ from .charts import one_row
 RARE, PER_FIELD = 3, 25
 LEAST_NUMBERS, LEAST_VALUES, LEAST_LENGTH, MOST_CHARACTERS = 20, 20, 6, 5000
 FDR, LEAST_RATIO = 0.05, 2.0
+#: Finest pieces of time that busy stretches are cut into, in milliseconds.
+CELL_MS = 10
 SEPARATOR = "\x1f"
 
 
@@ -250,8 +252,8 @@ def proportion_shift(df: DataFrame, fields: Sequence[str], windows: AnalysisWind
     return found.select("field", F.col("val").alias("value"), "label", F.col("c").alias("n"), F.round("ratio", 4).alias("ratio"), F.when(F.col("ratio") > 1, "up").otherwise("down").alias("direction"), F.round("g", 4).alias("score"), "q")
 
 
-def arrival_gaps(df: DataFrame, field: str, windows: AnalysisWindows) -> DataFrame:
-    """(val, label, n, k, mean, sd, cv, median, span, sum2) of seconds between arrivals in each window."""
+def arrival_gaps(df: DataFrame, field: str, windows: AnalysisWindows, medians: bool = True) -> DataFrame:
+    """(val, label, n, k, mean, sd, cv, median, span, sum2) of seconds between arrivals in each window; medians, which need all gaps ranked, only if asked for."""
     rows = values(df, [field], None, windows)
     labels = F.concat(F.when(F.col("base"), F.array(F.lit(windows.baseline.label))).otherwise(F.array().cast("array<string>")), "labels")
     rows = rows.select("val", "event_id", F.unix_millis("ts").alias("ms"), F.explode(labels).alias("label"))
@@ -259,13 +261,15 @@ def arrival_gaps(df: DataFrame, field: str, windows: AnalysisWindows) -> DataFra
     out = rows.groupBy("val", "label").agg(
         F.count(F.lit(1)).alias("n"), F.count("gap").alias("k"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"), ((F.max("ms") - F.min("ms")) / 1000).alias("span"), F.sum(F.col("gap") * F.col("gap")).alias("sum2")
     )
-    out = out.join(_medians(rows, ["val", "label"]), ["val", "label"], "left")
+    if medians:
+        out = out.join(_medians(rows, ["val", "label"]), ["val", "label"], "left")
     return out.withColumn("cv", F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")))
 
 
 def _gaps(rows: DataFrame, by: list[str], ms: str, tie: str) -> DataFrame:
-    """rows with `gap`: seconds since the row before in each group. Groups are cut into days that see the row before them."""
-    rows = with_rows_before(rows.withColumn("_day", F.floor(F.col(ms) / 86_400_000)), by, "_day", [ms, tie], 1)
+    """rows with `gap`: seconds since the row before in each group. Groups are cut into days, and busy days into parts, that see the row before them."""
+    rows = stretches(rows.withColumn("_day", F.floor(F.col(ms) / 86_400_000)), by, "_day", F.floor(F.col(ms) / CELL_MS))
+    rows = with_rows_before(rows, by, "_day", [ms, tie], 1)
     gap = (F.col(ms) - F.lag(ms).over(Window.partitionBy(*by, "_day").orderBy(ms, tie))) / 1000
     return materialize(rows.withColumn("gap", gap).where(~F.col("_carried")).drop("_carried", "_day"), "gaps")
 
@@ -278,8 +282,8 @@ def _medians(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def interval_periodicity(df: DataFrame, field: str, windows: AnalysisWindows, fdr: float = FDR, least_gaps: int = 5, beacon_gaps: int = 10, regular: float = 0.5, irregular: float = 0.8, beacon_cv: float = 0.3, beacon_span: float = 0.5, ratio: float = LEAST_RATIO) -> DataFrame:
     """Arrival rhythm: regular values that went missing or sped up, and new regularity of bursty or sparse ones."""
-    gaps = arrival_gaps(df, field, windows)
-    names = ["n", "k", "mean", "cv", "span", "sum2", "median"]
+    gaps = materialize(arrival_gaps(df, field, windows, medians=False), "arrival-gaps")  # read three times
+    names = ["n", "k", "mean", "cv", "span", "sum2"]
     base = gaps.where(F.col("label") == windows.baseline.label).select("val", *[F.col(c).alias(f"b_{c}") for c in names])
     seconds = df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(w.label).alias("label"), w.seconds.alias("d_w")) for w in windows.suspects])).alias("p")).select("p.*").withColumn("d_b", windows.baseline.seconds)
     vals = gaps.select("val").distinct().crossJoin(F.broadcast(seconds))  # values x windows
@@ -447,8 +451,8 @@ def ngrams(df: DataFrame, field: str, n: int, windows: AnalysisWindows | None =
             wid = F.when(windows.suspects[i].holds(ts), i).otherwise(wid)
         wid = F.when(windows.baseline.holds(ts), -1).otherwise(wid)
     rows = df.where("timestamp IS NOT NULL").select("source_id", "event_id", "byte_offset", "line_number", ts.alias("ts"), F.unix_millis(ts).alias("ms"), resolve(field).alias("val"), wid.alias("wid")).where("val <> '' AND wid IS NOT NULL")
-    # A source's rows are cut into hours, and each hour sees the n - 1 rows before it.
-    rows = rows.withColumn("hour", F.floor(F.col("ms") / 3_600_000))
+    # A source's rows are cut into hours, busy ones into parts, and each sees the n - 1 rows before it.
+    rows = stretches(rows.withColumn("hour", F.floor(F.col("ms") / 3_600_000)), ["source_id", "wid"], "hour", F.floor(F.col("ms") / CELL_MS))
     rows = with_rows_before(rows, ["source_id", "wid"], "hour", list(ORDER), n - 1)
     w = Window.partitionBy("source_id", "wid", "hour").orderBy(*ORDER)
     back = lambda c: [F.lag(c, i).over(w) if i else F.col(c) for i in range(n - 1, -1, -1)]
@@ -512,8 +516,10 @@ def order_violations(df: DataFrame, least_ms: int = 1000) -> DataFrame:
     """Dated records that are earlier than the record before them in the same source, by at least a second."""
     order = ["byte_offset", "line_number", "event_id"]
     rows = df.where("timestamp IS NOT NULL").select("source_id", *order, F.unix_millis("timestamp").alias("ms"))
-    # A source's rows are cut into stretches of bytes, and each sees the last row before it.
-    rows = with_rows_before(rows.withColumn("part", F.coalesce(F.floor(F.col("byte_offset") / (32 << 20)), F.lit(-1))), ["source_id"], "part", order, 1)
+    # A source's rows are cut into stretches of bytes, or of lines where offsets are unknown, and each sees the last row before it.
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("byte_offset") / (32 << 20)), F.lit(-1)))
+    rows = stretches(rows, ["source_id"], "part", F.coalesce("byte_offset", "line_number"))
+    rows = with_rows_before(rows, ["source_id"], "part", order, 1)
     back = F.lag("ms").over(Window.partitionBy("source_id", "part").orderBy(*order)) - F.col("ms")
     rows = rows.withColumn("back_ms", back).where(~F.col("_carried") & (F.col("back_ms") >= least_ms))
     return rows.select("source_id", "event_id", "ms", "back_ms", F.round(F.col("back_ms") / 1000, 3).alias("score"))

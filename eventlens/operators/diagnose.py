@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import number, resolve
-from ..functions.storage import materialize
+from ..functions.storage import materialize, observed
 from ..plans.windows import AnalysisWindows
 from . import detect
 
@@ -87,13 +86,7 @@ def _seen(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows | None,
         counts |= {f"f{i}_{k}": has & c for k, c in spans.items()}
     seen, metrics = Observation(), [F.count_if(c).alias(n) for n, c in counts.items()]
 
-    def get() -> dict[str, int]:
-        try:
-            return seen.get
-        except Py4JJavaError:  # adaptive execution found the result empty before it and dropped the scan from the plan
-            return df.agg(*metrics).first().asDict()
-
-    return df.observe(seen, *metrics), get
+    return df.observe(seen, *metrics), lambda: observed(seen, lambda: df.agg(*metrics))
 
 
 def _text(field: str) -> Column:

@@ -6,13 +6,14 @@ import ipaddress
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import TEXT_COLUMNS, number, resolve, search_blob
 from ..functions.normalize import IPV4, ipv4_number
-from ..functions.storage import small
+from ..functions.storage import materialize, small
 from ..plans.filters import glob_like, java_regex
 
 MODIFIERS = frozenset("contains startswith endswith cased re i m s cidr lt lte gt gte exists all".split())
@@ -73,40 +74,96 @@ def match(value: Column, want, modifiers: Sequence[str]) -> Column:
     return value.like(pattern) if "cased" in modifiers else value.ilike(pattern)
 
 
-def selection(spec, mappings=None) -> Column:
+class Columns:
+    """Rules as columns: the parts of a condition are boolean columns."""
+
+    def __init__(self, mappings=None):
+        self.mappings = mappings
+
+    def keyword(self, text: str) -> Column:
+        return search_blob().like(f"%{glob_like(text.lower())}%")
+
+    def test(self, field: str, want, modifiers: Sequence[str]) -> Column:
+        return match(resolve(field, self.mappings), want, modifiers)
+
+    def every(self, parts: list[Column]) -> Column:
+        return reduce(lambda a, b: a & b, parts)
+
+    def some(self, parts: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, parts)
+
+    def none(self, part: Column) -> Column:
+        return ~part
+
+
+class Cover(NamedTuple):
+    """(field, value) pairs one of which an event must have for a condition to hold; None if there are no such pairs. whole: having one is enough."""
+
+    pairs: frozenset[tuple[str, str]] | None
+    whole: bool
+
+
+class Covers:
+    """Rules as what they need: only whole values, in any case, can be looked up."""
+
+    def keyword(self, text: str) -> Cover:
+        return Cover(None, False)
+
+    def test(self, field: str, want, modifiers: Sequence[str]) -> Cover:
+        if "re" in modifiers:
+            java_regex(want)
+        if "cidr" in modifiers:
+            ipaddress.ip_network(str(want), strict=False)
+        plain = isinstance(want, (str, int, float)) and not modifiers and (not isinstance(want, str) or (want != "" and not set("*?\\%_") & set(want)))
+        return Cover(frozenset({(field, str(want).lower())}), True) if plain else Cover(None, False)
+
+    def every(self, parts: list[Cover]) -> Cover:
+        best = min((p for p in parts if p.pairs is not None), key=lambda p: len(p.pairs), default=Cover(None, False))
+        return best if len(parts) == 1 else Cover(best.pairs, False)
+
+    def some(self, parts: list[Cover]) -> Cover:
+        if any(p.pairs is None for p in parts):
+            return Cover(None, False)
+        return Cover(frozenset().union(*(p.pairs for p in parts)), all(p.whole for p in parts))
+
+    def none(self, part: Cover) -> Cover:
+        return Cover(None, False)
+
+
+def _selected(spec, how):
     """A map (all of its items), a list of maps (any), or field-less keywords (any, in the lower-cased blob)."""
     if isinstance(spec, str):
-        return search_blob().like(f"%{glob_like(spec.lower())}%")
+        return how.keyword(spec)
     if isinstance(spec, (list, tuple)):
-        return reduce(lambda a, b: a | b, [selection(s, mappings) for s in spec])
+        return how.some([_selected(s, how) for s in spec])
     parts = []
     for key, wanted in spec.items():
         name, *modifiers = key.split("|")
         if unknown := set(modifiers) - MODIFIERS:
             raise ValueError(f"unknown modifiers {sorted(unknown)}")
-        tests = [match(resolve(name, mappings), w, modifiers) for w in (wanted if isinstance(wanted, (list, tuple)) else [wanted])]
-        parts.append(reduce((lambda a, b: a & b) if "all" in modifiers else (lambda a, b: a | b), tests))
-    return reduce(lambda a, b: a & b, parts)
+        tests = [how.test(name, w, modifiers) for w in (wanted if isinstance(wanted, (list, tuple)) else [wanted])]
+        parts.append(how.every(tests) if "all" in modifiers else how.some(tests))
+    return how.every(parts)
 
 
-def condition(rule: Mapping, mappings=None) -> Column:
-    """A rule's condition: selection names with and, or, not, brackets, `1 of x*`, `all of them`."""
-    named = {k: selection(v, mappings) for k, v in rule["selections"].items()}
+def _built(rule: Mapping, how):
+    """A rule's condition put together by `how`: selection names with and, or, not, brackets, `1 of x*`, `all of them`."""
+    named = {k: _selected(v, how) for k, v in rule["selections"].items()}
     words = re.findall(r"\(|\)|[^\s()]+", rule["condition"])
     at = 0
 
-    def group(pattern: str, every: bool) -> Column:
+    def group(pattern: str, every: bool):
         found = [c for k, c in named.items() if pattern == "them" or re.fullmatch(pattern.replace("*", ".*"), k)]
         if not found:
             raise ValueError(f"nothing named {pattern}")
-        return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), found)
+        return how.every(found) if every else how.some(found)
 
-    def unary() -> Column:
+    def unary():
         nonlocal at
         word = words[at]
         at += 1
         if word == "not":
-            return ~unary()
+            return how.none(unary())
         if word == "(":
             out = either()
             at += 1
@@ -116,21 +173,21 @@ def condition(rule: Mapping, mappings=None) -> Column:
             return group(words[at - 1], word == "all")
         return named[word]
 
-    def both() -> Column:
+    def both():
         nonlocal at
-        out = unary()
+        parts = [unary()]
         while at < len(words) and words[at] == "and":
             at += 1
-            out = out & unary()
-        return out
+            parts.append(unary())
+        return how.every(parts)
 
-    def either() -> Column:
+    def either():
         nonlocal at
-        out = both()
+        parts = [both()]
         while at < len(words) and words[at] == "or":
             at += 1
-            out = out | both()
-        return out
+            parts.append(both())
+        return how.some(parts)
 
     out = either()
     if at != len(words):
@@ -138,6 +195,54 @@ def condition(rule: Mapping, mappings=None) -> Column:
     return out
 
 
+def selection(spec, mappings=None) -> Column:
+    return _selected(spec, Columns(mappings))
+
+
+def condition(rule: Mapping, mappings=None) -> Column:
+    return _built(rule, Columns(mappings))
+
+
+def scan_many(df: DataFrame, rules: Mapping[str, Mapping], mappings=None, batch: int = 64) -> tuple[DataFrame, dict[str, str]]:
+    """The hits and errors of scan, for thousands of rules: an index from (field, value) to rules is joined with the events.
+
+    Of a rule that needs one of some whole values only the events that have one are looked at, and it is compiled only if there are such
+    events; a rule that needs no more than that is never compiled. Rules without such values are tested on all events, as in scan.
+    """
+    spark = df.sparkSession
+    covers, errors, rest = {}, {}, {}
+    for name, rule in rules.items():
+        try:
+            cover = _built(rule, Covers())
+        except Exception as e:  # one bad rule does not stop the others
+            errors[name] = str(e)
+            continue
+        (covers if cover.pairs else rest)[name] = cover
+    out, more = scan(df, {n: rules[n] for n in rest}, mappings)
+    errors |= more
+    if not covers:
+        return out, errors
+    names = sorted(covers)
+    index = spark.createDataFrame([(f, v, i, covers[n].whole) for i, n in enumerate(names) for f, v in sorted(covers[n].pairs)], "field string, val string, no int, whole boolean")
+    fields = sorted({f for c in covers.values() for f, _ in c.pairs})
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(resolve(f, mappings)).alias("val")) for f in fields])
+    pairs = df.select("event_id", F.explode(F.array_distinct(F.filter(cells, lambda c: c["val"] != ""))).alias("c")).select("event_id", "c.*")
+    met = materialize(pairs.join(small(index), ["field", "val"]).select("event_id", "no", "whole").distinct(), "rule-candidates")
+    titles = spark.createDataFrame(list(enumerate(names)), "no int, rule string")
+    out = out.unionByName(met.where("whole").join(small(titles), "no").select("event_id", "rule"))
+    asked = sorted(r.no for r in met.where("NOT whole").select("no").distinct().collect())  # rules, not events
+    if not asked:
+        return out, errors
+    near = met.where("NOT whole").groupBy("event_id").agg(F.collect_set("no").alias("_rules"))
+    wide = df.join(near, "event_id")
+    wide = materialize(wide, "rule-events") if len(asked) > batch else wide
+    for lo in range(0, len(asked), batch):
+        part = {n: condition(rules[names[n]], mappings) for n in asked[lo : lo + batch]}
+        found = F.array(*[F.when(F.array_contains("_rules", n) & c, F.lit(names[n])) for n, c in part.items()])
+        out = out.unionByName(wide.select("event_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("rule")))
+    return out, errors
+
+
 def raw_fields(rule: Mapping, mappings=None) -> list[str]:
     """Fields that fell through to raw attribute keys."""
     out = set()

@@ -9,10 +9,15 @@ from ..functions.storage import materialize, new_folder
 from ..operators import enrich as E
 from ..operators import rules as R
 from ..operators import summaries as U
+from ..plans import filters as P
+from ..sources import logs as L
+from ..sources import store as ST
+from ..sources import text as T
 from ..sources import timelines as TL
 from . import query
+from . import SQL
 from .rules import HIT, RULES
-from .sources import ID, K, USER
+from .sources import ID, K, USER, _nginx
 
 
 def _written(spark, lines, name):
@@ -152,3 +157,55 @@ def numeric_sketch(spark, sf):
     ranks = both.groupBy("low", "key").agg(*[F.avg((F.col("x") <= F.get("q", i)).cast("int")).alias(f"a{i}") for i in range(5)], *[F.avg((F.col("x") < F.get("q", i)).cast("int")).alias(f"b{i}") for i in range(5)])
     near = sum(((F.col(f"a{i}") >= p - 0.015) & (F.col(f"b{i}") <= p + 0.015)).cast("int") for i, p in enumerate(shares))
     return found.join(ranks, ["low", "key"]).select("low", "key", "n", "lo", "hi", "mean", "sd", near.alias("near"))
+
+
+def _stored(spark, sf):
+    path = new_folder(spark, "store")
+    ST.write_store(X.events(spark, sf), path)
+    return path
+
+
+@query("store_page", SQL["page"])
+def store_page(spark, sf):
+    """The page of `page`, from a written store: thin columns first, then only the row groups of the page's rows."""
+    found = ST.page(spark, _stored(spark, sf), P.EventQuery(artifact="error"), 50)
+    return found.select("event_id", F.coalesce(F.unix_millis("timestamp"), F.lit(-1)).alias("ms"), "message", F.col("place").cast("long").alias("place"), "more")
+
+
+@query("store_ids", X.sql("SELECT event_id, message, a_k AS k FROM ev WHERE event_id IN ('3', '17', '256', '999')"))
+def store_ids(spark, sf):
+    """Whole events by their ids, found by Bloom filters."""
+    found = ST.by_ids(spark, _stored(spark, sf), ["999", "3", "256", "17", "3", "none"])
+    return found.select("event_id", "message", F.col("attributes")["k"].alias("k"))
+
+
+@query("del_source_stored", X.sql("SELECT source_id, count(*) AS n, CAST(sum(length(message)) AS BIGINT) AS chars FROM ev WHERE source_id <> 'src-2' GROUP BY source_id"))
+def del_source_stored(spark, sf):
+    """A source's partition is deleted from a written store, twice."""
+    path = _stored(spark, sf)
+    ST.delete_source(spark, path, "case-1", "src-2")
+    ST.delete_source(spark, path, "case-1", "src-2")
+    return spark.read.parquet(path).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars"))
+
+
+@query("src_timefilter_written", SQL["src_timefilter"].replace("SELECT CAST(count_if", "SELECT CAST(count_if(n % 11 <> 0 AND s >= epoch_ms(TIMESTAMP '2024-01-10') AND s < epoch_ms(TIMESTAMP '2024-01-20')) AS BIGINT) AS written, CAST(count_if", 1))
+def src_timefilter_written(spark, sf):
+    """Rows inside the bounds are written and all rows counted in one pass over the lines."""
+    path = new_folder(spark, "bounded")
+    counts = T.write_bounded(L.nginx(_nginx(spark, sf)), path, "2024-01-10", "2024-01-20")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written")).withColumns({k: F.lit(v).cast("long") for k, v in counts.items()})
+
+
+def _many() -> dict[str, dict]:
+    """A rule for each of 2,000 users, one in ten with a second selection, and the rules of r_scan."""
+    own = {f"user-{i}": {"selections": {"a": {"user": str(i)}, "b": {"bytes|gt": 20000}}, "condition": "a and b" if i % 20 == 0 else "a and not b" if i % 20 == 1 else "a"} for i in range(2000)}
+    return own | RULES
+
+
+@query(
+    "r_scan_many",
+    X.sql(f"{HIT} SELECT * FROM h UNION ALL SELECT event_id, 'user-' || a_user FROM ev WHERE CAST(a_user AS BIGINT) < 2000 AND CASE CAST(a_user AS BIGINT) % 20 WHEN 0 THEN CAST(a_bytes AS DOUBLE) > 20000 WHEN 1 THEN CAST(a_bytes AS DOUBLE) <= 20000 ELSE true END"),
+)
+def r_scan_many(spark, sf):
+    """Two thousand rules by an index of the values that they need."""
+    return R.scan_many(X.events(spark, sf), _many())[0]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import EVENT_SCHEMA
+from ..functions.storage import observed
 
 
 def write_parquet(events: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
@@ -27,13 +28,15 @@ def json_rows(events: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def write_jsonl(events: DataFrame, annotations: DataFrame, path: str, offsets: Mapping[str, float] | None = None) -> None:
-    """A folder of JSON lines; the rows written are counted again and must be as many as the rows asked for."""
-    spark, asked = events.sparkSession, events.count()
-    json_rows(events, annotations).select("line").write.mode("overwrite").text(path)
-    written = spark.read.text(path).count()
-    if written != asked:
-        raise RuntimeError(f"{written} of {asked} events were written")
-    trailer = F.to_json(F.struct(F.lit(written).alias("written"), F.lit(str(dict(offsets or {}))).alias("offsets")))
+    """A folder of JSON lines and a trailer. Events are counted where they are read and lines where they are written, in one pass; as many must come out as went in."""
+    spark, n = events.sparkSession, F.count(F.lit(1)).alias("n")
+    asked, written = Observation(), Observation()
+    lines = json_rows(events.observe(asked, n), annotations).select("line").observe(written, n)
+    lines.write.mode("overwrite").text(path)
+    read, made = observed(asked, lambda: events.agg(n))["n"], observed(written, lambda: spark.read.text(path).agg(n))["n"]
+    if made != read:
+        raise RuntimeError(f"{made} of {read} events were written")
+    trailer = F.to_json(F.struct(F.lit(made).alias("written"), F.lit(str(dict(offsets or {}))).alias("offsets")))
     spark.range(1).select(trailer.alias("line")).coalesce(1).write.mode("overwrite").text(f"{path}-trailer")
 
 

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.normalize import clean_attributes, event_id
-from ..functions.storage import running_sums
+from ..functions.storage import observed, running_sums
 
 #: What parsers return, before provenance.
 PARSED = ("timestamp", "timestamp_desc", "message", "artifact", "artifact_long", "display_name", "tags", "attributes")
@@ -115,8 +115,8 @@ def new_events(events: DataFrame, known: DataFrame) -> DataFrame:
     return events.join(known.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"])
 
 
-def time_bounds(parsed: DataFrame, since: str | None = None, until: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows inside the bounds, and one row of counts: parsed, malformed (null `ok`), out of range."""
+def _bounds(since: str | None, until: str | None) -> tuple[Column, dict[str, Column]]:
+    """Which parsed rows stay, and the counters of all: parsed, malformed (null `ok`), out of range."""
     ok = F.coalesce(F.col("ok"), F.lit(False))
     inside = F.lit(True)
     if since:
@@ -124,8 +124,21 @@ def time_bounds(parsed: DataFrame, since: str | None = None, until: str | None =
     if until:
         inside = inside & (F.col("timestamp") < F.lit(until).cast("timestamp"))
     inside = F.coalesce(inside, F.lit(since is None and until is None))
-    counts = parsed.agg(F.count_if(ok & inside).alias("parsed"), F.count_if(~ok).alias("malformed"), F.count_if(ok & ~inside).alias("out_of_range"))
-    return parsed.where(ok & inside), counts
+    return ok & inside, {"parsed": F.count_if(ok & inside), "malformed": F.count_if(~ok), "out_of_range": F.count_if(ok & ~inside)}
+
+
+def time_bounds(parsed: DataFrame, since: str | None = None, until: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows inside the bounds, and one row of counts: parsed, malformed (null `ok`), out of range. Each of the two reads the input; write_bounded reads it once."""
+    keep, counters = _bounds(since, until)
+    return parsed.where(keep), parsed.agg(*[c.alias(n) for n, c in counters.items()])
+
+
+def write_bounded(parsed: DataFrame, path: str, since: str | None = None, until: str | None = None) -> dict[str, int]:
+    """Writes the rows inside the bounds as Parquet and returns the counts of time_bounds, made while the rows are parsed: one pass."""
+    keep, counters = _bounds(since, until)
+    metrics, seen = [c.alias(n) for n, c in counters.items()], Observation()
+    parsed.observe(seen, *metrics).where(keep).write.mode("overwrite").parquet(path)
+    return observed(seen, lambda: parsed.agg(*metrics))
 
 
 def attributes_of(**columns: Column) -> Column:
