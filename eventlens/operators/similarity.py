@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,20 +58,36 @@ def centroids(df: DataFrame, group: str) -> DataFrame:
     return whole.withColumn("n", norm(F.col("mean"))).where("n > 0").select(group, F.transform("mean", lambda x: x / F.col("n")).alias("centroid"))
 
 
-def _pairs(centers: DataFrame, group: str, both: bool) -> DataFrame:
-    """(a, b, c): cosines of pairs of centroids, each once or in both orders.
+#: Centroids to which all angles are measured first.
+PIVOTS = 8
 
-    Every pair is asked for, in blocks: centroids are dealt to blocks, and pairs of blocks meet by an equi-join, so
-    neither side is broadcast however many groups there are.
+
+def near_pairs(centers: DataFrame, group: str, least: float) -> DataFrame:
+    """(a, b, u, v): pairs of centroids, each once, whose angles to all pivots differ by no more than the angle of cosine `least`.
+
+    By the triangle inequality no other pair can be as near, so only these need a dot product. Centroids meet by an equi-join on bands of the
+    angle to the pivot that spreads them most, neighbouring bands too; bands are dealt to blocks, so neither side is broadcast and no band is
+    one task's.
     """
-    n = centers.count()
-    blocks = max(1, int((n / 256) ** 0.5))  # as many pairs of blocks as tasks of 256 x 256 centroids or so ask for
-    side = lambda x, v: centers.select(F.col(group).alias(x), F.col("centroid").alias(v), F.pmod(F.xxhash64(group), F.lit(blocks)).alias("_block"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_other")
-    a = side("a", "u").select("a", "u", F.col("_block").alias("i"), other).withColumnRenamed("_other", "j")
-    b = side("b", "v").select("b", "v", F.col("_block").alias("j"), other).withColumnRenamed("_other", "i")
-    met = a.join(b, ["i", "j"]).where(F.col("a") != F.col("b") if both else F.col("a") < F.col("b"))
-    return met.select("a", "b", cosine(F.col("u"), F.col("v")).alias("c"))
+    n = F.nullif(norm(F.col("centroid")), F.lit(0.0))
+    unit = centers.select(F.col(group).alias("g"), F.transform("centroid", lambda x: x.cast("double") / n).alias("u")).where("u IS NOT NULL AND NOT exists(u, x -> x IS NULL OR isnan(x))")
+    pivots = [r.u for r in unit.orderBy(F.xxhash64("g"), "g").limit(PIVOTS).collect()]  # a fixed number of vectors
+    if not pivots:
+        return unit.select(F.col("g").alias("a"), F.col("g").alias("b"), "u", F.col("u").alias("v")).where("false")
+    fixed = centers.sparkSession.createDataFrame([(pivots,)], "pivots array<array<double>>")
+    angle = lambda p: F.acos(F.greatest(F.least(dot(F.col("u"), p), F.lit(1.0)), F.lit(-1.0)))
+    rows = materialize(unit.crossJoin(F.broadcast(fixed)).select("g", "u", F.transform("pivots", angle).alias("angles")), "pivot-angles")  # one row of pivots
+    width = math.acos(max(-1.0, min(1.0, least))) + 1e-7
+    count, *spread = rows.agg(F.count(F.lit(1)), *[F.coalesce(F.stddev_pop(F.get("angles", i)), F.lit(0.0)) for i in range(len(pivots))]).first()
+    first = max(range(len(pivots)), key=lambda i: spread[i])
+    blocks = max(1, int((count / 256) ** 0.5))  # as many pairs of blocks as tasks of 256 x 256 centroids or so ask for
+    rows = rows.withColumns({"band": F.floor(F.get("angles", first) / width), "block": F.pmod(F.xxhash64("g"), F.lit(blocks))})
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = rows.select(F.col("g").alias("a"), "u", F.col("angles").alias("p"), F.col("block").alias("i"), others.alias("j"), "band")
+    b = rows.select(F.col("g").alias("b"), F.col("u").alias("v"), F.col("angles").alias("q"), F.col("block").alias("j"), others.alias("i"), "band")
+    b = b.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    met = a.join(b, ["i", "j", "band"]).where(F.col("a") < F.col("b"))
+    return met.where(F.forall(F.zip_with("p", "q", lambda x, y: F.abs(x - y) <= width), lambda x: x)).select("a", "b", "u", "v")
 
 
 def cohesion(centers: DataFrame, group: str) -> DataFrame:
@@ -78,8 +95,8 @@ def cohesion(centers: DataFrame, group: str) -> DataFrame:
 
     Unit vectors u of n groups have pairs with a sum of cosines of (|sum of u|^2 - n) / 2, so sums of positions are enough, no pairs are made.
     """
-    n = norm(F.col("centroid"))
-    unit = centers.select(group, F.transform("centroid", lambda x: x.cast("double") / n).alias("u")).where("u IS NOT NULL AND NOT exists(u, x -> isnan(x))")
+    n = F.nullif(norm(F.col("centroid")), F.lit(0.0))
+    unit = centers.select(group, F.transform("centroid", lambda x: x.cast("double") / n).alias("u")).where("u IS NOT NULL AND NOT exists(u, x -> x IS NULL OR isnan(x))")
     sums = unit.select(F.posexplode("u").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
     square = sums.agg(F.sum(F.col("x") * F.col("x")).alias("square"))
     count = unit.agg(F.count(F.lit(1)).alias("n"))
@@ -95,7 +112,9 @@ def groups(centers: DataFrame, group: str, least: float = 0.6) -> DataFrame:
     In every round each group takes the smallest label of its neighbours, and then that label's own label, so
     chains end in logarithmically many rounds.
     """
-    links = materialize(_pairs(centers, group, True).where(F.col("c") >= least).select("a", "b"), "similar-links")
+    once = near_pairs(centers, group, least).where(cosine(F.col("u"), F.col("v")) >= least).select("a", "b")
+    once = materialize(once, "similar-pairs")
+    links = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(centers.select(F.col(group).alias("b"), F.col(group).alias("root")), "similar-labels")
     while True:
         near = links.join(labels, "b").groupBy("a").agg(F.min("root").alias("near"))

@@ -302,3 +302,31 @@ def test_busy_stretches_are_cut(spark, monkeypatch):
     assert small == [f() for f in plan]
     ordered = sorted(rows, key=lambda r: (r[2], r[4] is not None, r[4] or 0, r[5], r[0]))
     assert small[0] == sorted((tuple(x[3]["k"] for x in w), tuple(x[0] for x in w)) for w in zip(ordered, ordered[1:], ordered[2:]))
+
+
+@pytest.mark.parametrize("least", [0.95, 0.6, -0.2])
+def test_groups_of_centroids_without_all_pairs(spark, least):
+    from eventlens.operators import similarity
+
+    rng = np.random.default_rng(3)
+    mid = rng.normal(size=(12, 16))
+    v = mid[rng.integers(0, 12, 240)] + 0.15 * rng.normal(size=(240, 16))
+    rows = [(f"g{i:03d}", x.tolist()) for i, x in enumerate(v)] + [("zero", [0.0] * 16), ("none", None)]
+    centers = spark.createDataFrame(rows, "label string, centroid array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= least
+    root = list(range(240))
+    for _ in range(240):
+        new = [min(root[j] for j in range(240) if near[i, j]) for i in range(240)]
+        if new == root:
+            break
+        root = new
+    want = {f"g{i:03d}": f"g{r:03d}" for i, r in enumerate(root)} | {"zero": "zero", "none": "none"}
+    assert {r.label: r.root for r in similarity.groups(centers, "label", least).collect()} == want
+    pairs = {(r.a, r.b) for r in similarity.near_pairs(centers, "label", least).select("a", "b").collect()}
+    assert {(f"g{i:03d}", f"g{j:03d}") for i, j in zip(*np.nonzero(near)) if i < j} <= pairs
+    assert len(pairs) == similarity.near_pairs(centers, "label", least).count()  # each once
+    if least == 0.95:
+        assert len(pairs) < 0.25 * 240 * 239 / 2
+    c = similarity.cohesion(centers, "label").first()
+    assert c.pairs == 240 * 239 // 2 and c.cohesion == pytest.approx((unit @ unit.T)[np.triu_indices(240, 1)].mean(), abs=1e-6)
