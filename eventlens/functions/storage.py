@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # the executors of local-cluster are processes of their own
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
