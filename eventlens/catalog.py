@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL, Query
 
-for _name in ("filters", "explore", "charts", "detect", "diagnose", "rules", "sources", "rest", "ingest"):
+for _name in ("filters", "explore", "charts", "detect", "diagnose", "rules", "sources", "rest", "converters", "ingest"):
     import_module(f"eventlens.registry.{_name}")
 
 

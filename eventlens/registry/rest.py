@@ -11,6 +11,7 @@ from ..sources import exchange as EX
 from ..sources import logs as L
 from ..sources import text as T
 from ..sources import timelines as TL
+from ..sources import zeek as Z
 from ..streaming import streams as ST
 from . import query
 from .sources import ID, IP, K, SEC, USER, _flat, _lines
@@ -36,7 +37,7 @@ def src_zeek(spark, sf):
     heads = [(-3, "#separator \\x09"), (-2, f"#path\tconn"), (-1, f"#fields\t{flow}\tproto\tconn_state\tservice"), (300_001, "#path\tdns"), (300_002, f"#fields\t{flow}\tqtype_name\tquery")]
     lines = rows.withColumn("byte_offset", F.when(F.col("byte_offset") > 300_000, F.col("byte_offset") + 10).otherwise(F.col("byte_offset")))
     head = spark.createDataFrame([("", h, at) for at, h in heads], "event_id string, raw string, byte_offset long")
-    out = L.zeek(lines.unionByName(head).withColumn("source_file", F.lit("zeek.log"))).where("ok")
+    out = Z.zeek(lines.unionByName(head).withColumn("source_file", F.lit("zeek.log"))).where("ok")
     return out.select("event_id", _ms(), "artifact", *_flat("src_ip", "query"), "message")
 
 

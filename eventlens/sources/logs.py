@@ -1,4 +1,4 @@
-"""Log families: nginx, Apache, firewall, Suricata, syslog, Zeek, honeypots, journal, CloudTrail, Windows events.
+"""Log families: nginx, Apache, firewall, Suricata, syslog, honeypots, journal, CloudTrail, Windows events.
 
 Each parser takes lines (raw and any other columns) and returns them with the event columns and `ok`, which
 is false for lines of another form. All patterns are built-in regular expressions on whole columns.
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import IPV4, clean_attributes, json_map, last_key_wins
-from ..functions.storage import carried_last
 from .text import attributes_of
 
 
@@ -22,7 +21,8 @@ def _x(pattern: str, i: int, column: str = "raw") -> Column:
     return F.regexp_extract(column, pattern, i)
 
 
-def _event(lines: DataFrame, ok: Column, ts: Column, message: Column, artifact, attributes: Column, desc: str | Column = "Log Entry", tags: Column | None = None) -> DataFrame:
+def event_rows(lines: DataFrame, ok: Column, ts: Column, message: Column, artifact, attributes: Column, desc: str | Column = "Log Entry", tags: Column | None = None) -> DataFrame:
+    """lines with the columns of an event, and ok."""
     artifact = F.lit(artifact) if isinstance(artifact, str) else artifact
     return last_key_wins(lines).withColumns({"ok": F.coalesce(ok, F.lit(False)), "timestamp": ts, "timestamp_desc": F.lit(desc) if isinstance(desc, str) else desc, "message": message, "artifact": artifact, "artifact_long": F.lit(""), "display_name": F.lit(""), "tags": tags if tags is not None else F.array().cast("array<string>"), "attributes": attributes})
 
@@ -74,7 +74,7 @@ def _first_of(lines: DataFrame, forms: list[tuple[str, str, tuple[Column, ...]]]
 
     ok = reduce(or_, [F.col(c).isNotNull() for c, _, _ in forms])
     none = (F.lit(None).cast("timestamp"), F.col("raw"), F.lit(""), F.create_map().cast("map<string,string>"), F.lit("Log Entry"))
-    out = _event(lines, ok, *[pick(i, x) for i, x in enumerate(none)])
+    out = event_rows(lines, ok, *[pick(i, x) for i, x in enumerate(none)])
     return out.drop(*[c for c, _, _ in forms])
 
 
@@ -115,8 +115,10 @@ def apache(lines: DataFrame) -> DataFrame:
     return _first_of(lines, [("_plain", COMBINED, _access("_plain", "apache:access")), ("_vhost", VHOST, _access("_vhost", "apache:access", 1)), ("_e24", APACHE_24, e24), ("_e22", APACHE_22, e22)])
 
 
-SYSLOG_BSD = r"^([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
-SYSLOG_ISO = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\S*) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$"
+#: Both headers may stand behind a priority in angle brackets.
+SYSLOG_REST = r"\s+(\S+)\s+([^\s:\[]+)(?:\[(\d+)\])?:\s?(.*)$"
+SYSLOG_BSD = r"^(?:<\d+>\s*)?([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})" + SYSLOG_REST
+SYSLOG_ISO = r"^(?:<\d+>\s*)?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\S*)" + SYSLOG_REST
 
 
 def syslog_header(lines: DataFrame, year: int | None) -> DataFrame:
@@ -125,64 +127,113 @@ def syslog_header(lines: DataFrame, year: int | None) -> DataFrame:
     rows = rows.withColumn("_head", F.coalesce("_iso", _groups(SYSLOG_BSD)))
     g = _parts("_head")
     bsd = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(g(1), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss")) if year else F.lit(None).cast("timestamp")
-    ts = F.when(F.col("_iso").isNotNull(), g(1).try_cast("timestamp")).otherwise(bsd)
+    # Fractions beyond microseconds are cut off, and hours and minutes of an offset may stand without a colon.
+    iso = F.regexp_replace(F.regexp_replace(g(1), r"(\.\d{6})\d+", "$1"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    ts = F.when(F.col("_iso").isNotNull(), iso.try_cast("timestamp")).otherwise(bsd)
     texts = {f"_{k}": F.coalesce(g(i), F.lit("")) for i, k in enumerate(("host", "program", "pid", "text"), 2)}
     return rows.withColumns({"_ts": ts, "_ok": F.col("_head").isNotNull(), **texts}).drop("_iso", "_head")
 
 
 SYSLOG_COLUMNS = ("_ts", "_host", "_program", "_pid", "_text", "_ok")
 
-
-#: (program or None for any, pattern, event, names of the groups); the first that fits counts.
+#: (programs in lower case or () for any, pattern, event, what its time means, names of the groups); the first that fits counts.
 SYSLOG_RULES = (
-    ("sshd", r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)", "ssh_login", ("method", "user", "src_ip", "src_port")),
-    ("sshd", r"^Failed (\S+) for (?:invalid user )?(\S+) from (\S+) port (\d+)", "ssh_failed", ("method", "user", "src_ip", "src_port")),
-    ("sshd", r"^Invalid user (\S*) from (\S+)", "ssh_invalid_user", ("user", "src_ip")),
-    ("sshd", r"^Disconnected from (?:user (\S+) )?(\S+) port (\d+)", "ssh_disconnect", ("user", "src_ip", "src_port")),
-    ("sudo", r"^\s*(\S+) : .*PWD=(.*?) ; USER=(\S+) ; COMMAND=(.*)$", "sudo_command", ("user", "cwd", "target_user", "command")),
-    ("su", r"^\(to (\S+)\) (\S+) on", "su", ("target_user", "user")),
-    ("CRON", r"^\((\S+)\) CMD \((.*)\)$", "cron_command", ("user", "command")),
-    ("systemd-logind", r"^New session (\S+) of user (\S+)\.", "session_start", ("session", "user")),
-    ("systemd-logind", r"^Removed session (\S+)\.", "session_end", ("session",)),
-    ("useradd", r"^new user: name=([^,]+), UID=(\d+)", "user_added", ("user", "uid")),
-    ("userdel", r"^delete user '([^']+)'", "user_deleted", ("user",)),
-    ("passwd", r"password changed for (\S+)", "password_changed", ("user",)),
-    ("sudo", r"authentication failure;.* user=(\S+)", "sudo_failed", ("user",)),
-    ("sudo", r"^\s*(\S+) : (?:\d+ incorrect password attempts?|user NOT in sudoers)", "sudo_failed", ("user",)),
-    ("su", r"^FAILED SU \(to (\S+)\) (\S+) on", "su_failed", ("target_user", "user")),
-    ("usermod", r"^(?:change user|add) '([^']+)'", "user_changed", ("user",)),
-    ("groupadd", r"^new group: name=([^,]+), GID=(\d+)", "group_added", ("group", "gid")),
-    ("groupdel", r"^group '([^']+)' removed", "group_deleted", ("group",)),
-    ("sshd", r"^Connection closed by (?:authenticating |invalid )?(?:user (\S+) )?(\S+) port (\d+)", "ssh_closed", ("user", "src_ip", "src_port")),
-    ("systemd", r"^(Started|Stopped) (.+?)\.?$", "service", ("state", "service")),
+    (
+        ("sshd",),
+        r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)(?:.*?(SHA256:\S+))?",
+        "ssh_login",
+        "SSH Login Time",
+        ("method", "user", "src_ip", "src_port", "key_fingerprint"),
+    ),
+    (
+        ("sshd",),
+        r"^Failed (\S+) for (invalid user )?(\S+) from (\S+) port (\d+)",
+        "ssh_failed",
+        "SSH Login Failed Time",
+        ("method", "invalid_user", "user", "src_ip", "src_port"),
+    ),
+    (("sshd",), r"^Invalid user (\S*) from (\S+)(?: port (\d+))?", "ssh_invalid_user", "SSH Invalid User Time", ("user", "src_ip", "src_port")),
+    (
+        ("sshd",),
+        r"^(?:Disconnected|Received disconnect) from (?:authenticating |invalid )?(?:user (\S+) )?(\S+) port (\d+)",
+        "ssh_disconnect",
+        "SSH Disconnect Time",
+        ("user", "src_ip", "src_port"),
+    ),
+    (
+        ("sshd",),
+        r"^Connection closed by (?:authenticating |invalid )?(?:user (\S+) )?(\S+) port (\d+)",
+        "ssh_closed",
+        "SSH Disconnect Time",
+        ("user", "src_ip", "src_port"),
+    ),
+    # Refused commands are written behind the reason, so these come before the commands.
+    (("sudo",), r"^\s*(\S+) : (?:\d+ incorrect password attempts?|user NOT in sudoers)", "sudo_failed", "Sudo Auth Failure Time", ("user",)),
+    (
+        ("sudo",),
+        r"^\s*(\S+) : (?:.*?TTY=(\S+) ; )?.*?PWD=(.*?) ; USER=(\S+) ; COMMAND=(.*)$",
+        "sudo_command",
+        "Sudo Command Time",
+        ("user", "tty", "cwd", "target_user", "command"),
+    ),
+    (("sudo",), r"authentication failure;.* user=(\S+)", "sudo_failed", "Sudo Auth Failure Time", ("user",)),
+    (("sudo",), r"authentication failure", "sudo_failed", "Sudo Auth Failure Time", ()),
+    (("su", "su-l"), r"^\(to ([^)]+)\) (\S+) on", "su", "Su Success Time", ("target_user", "user")),
+    (("su", "su-l"), r"^Successful su for (\S+) by (\S+)", "su", "Su Success Time", ("target_user", "user")),
+    (("su", "su-l"), r"^FAILED SU \(to ([^)]+)\) (\S+) on", "su_failed", "Su Failed Time", ("target_user", "user")),
+    (("su", "su-l"), r"^FAILED [sS][uU](?: for (\S+))?(?: by (\S+))?", "su_failed", "Su Failed Time", ("target_user", "user")),
+    (("cron", "crond"), r"^\(([^)]+)\) CMD \((.*)\)\s*$", "cron_command", "Cron Command Time", ("user", "command")),
+    (("systemd-logind",), r"^New session (\S+) of user (\S+)\.", "session_start", "Login Session Start Time", ("session", "user")),
+    (("systemd-logind",), r"^Removed session (\S+)\.", "session_end", "Login Session End Time", ("session",)),
+    (("useradd",), r"^new user: name=([^,]+), UID=(\d+)", "user_added", "User Created Time", ("user", "uid")),
+    (("useradd", "groupadd"), r"^new group: name=([^,]+)(?:, GID=(\d+))?", "group_added", "Group Created Time", ("group", "gid")),
+    (("userdel",), r"^delete user '([^']+)'", "user_deleted", "User Deleted Time", ("user",)),
+    (("userdel", "groupdel"), r"^(?:removed )?group '([^']+)'(?: removed)?", "group_deleted", "Group Deleted Time", ("group",)),
+    (("usermod", "chage"), r"^(?:change user|add|changed password expiry for) '?([^'\s]+)'?", "user_changed", "User Modified Time", ("user",)),
+    (("passwd",), r"password changed for (\S+)", "password_changed", "Password Changed Time", ("user",)),
+    (("passwd",), r"^password for '?([^'\s]+)'? changed", "password_changed", "Password Changed Time", ("user",)),
+    (("systemd",), r"^(Started|Stopped) (.+?)\.?$", "service", "Log Entry", ("state", "service")),
     # Any program's session lines.
-    (None, r"session opened for user ([^\s(]+)", "session_opened", ("user",)),
-    (None, r"session closed for user (\S+)", "session_closed", ("user",)),
+    ((), r"session opened for user ([^\s(]+)", "session_opened", "Session Opened Time", ("user",)),
+    ((), r"session closed for user ([^\s(]+)", "session_closed", "Session Closed Time", ("user",)),
 )
+#: Stand between the pairs, and between name and value, of what a rule has found; texts are cleared of them first.
+PAIR, NAMED = "\x1e", "\x1f"
+
+
+def _syslog_rule(pattern: str, event: str, desc: str, groups: tuple[str, ...]) -> Column:
+    """What a rule finds in a text that it fits, as one text of named values."""
+    named = [("event", event), ("time", desc), *[(n, f"${i}") for i, n in enumerate(groups, 1)]]
+    around = f"(?s){pattern}.*" if pattern.startswith("^") else f"(?s)^.*?{pattern}.*"
+    return F.regexp_replace("_said", around, PAIR.join(f"{n}{NAMED}{v}" for n, v in named))
 
 
 def syslog(lines: DataFrame, year: int | None = None) -> DataFrame:
-    """BSD and ISO headers; known programs' messages by one chain of rules, others generic.
+    """BSD and ISO headers; known programs' messages by one chain of rules, others with the first address of their text.
 
-    The chain gives one text, the rule's event and its groups; each attribute is then a place in it.
+    The rule that fits gives one text of named values, which becomes the attributes as a whole. The column ok is false
+    for lines without a header, null ones too.
     """
-    rows = syslog_header(lines, year)
-    found = []
-    for program, pattern, event, groups in SYSLOG_RULES:
-        fits = F.col("_text").rlike(pattern) if program is None else (F.col("_program") == program) & F.col("_text").rlike(pattern)
-        made = F.regexp_replace("_text", f"(?s)^.*?{pattern.removeprefix('^')}.*" if not pattern.startswith("^") else f"(?s){pattern}.*", CUT.join([event, *[f"${i + 1}" for i in range(len(groups))]]))
-        found.append(F.when(fits, made))
-    rows = rows.withColumn("_rule", F.split(F.coalesce(*found), CUT))
-    event, values = F.get("_rule", 0), {}
-    for n in sorted({n for r in SYSLOG_RULES for n in r[3]}):
-        value = F.lit("")
-        for _, _, kind, groups in SYSLOG_RULES:
-            if n in groups:
-                value = F.when(event == kind, F.get("_rule", groups.index(n) + 1)).otherwise(value)
-        values[n] = value
-    attributes = attributes_of(host=F.col("_host"), program=F.col("_program"), pid=F.col("_pid"), event=event, **values)
-    out = _event(rows, F.col("_ok"), F.col("_ts"), F.col("_text"), F.concat(F.lit("syslog:"), F.col("_program")), attributes)
-    return out.drop("_rule", *SYSLOG_COLUMNS)
+    rows = syslog_header(lines, year).withColumn("_said", F.translate("_text", PAIR + NAMED, "  "))
+    program, found = F.lower("_program"), []
+    for programs, pattern, event, desc, groups in SYSLOG_RULES:
+        fits = F.col("_said").rlike(pattern)
+        found.append(F.when(program.isin(*programs) & fits if programs else fits, _syslog_rule(pattern, event, desc, groups)))
+    rows = rows.withColumn("_rule", F.str_to_map(F.coalesce(*found), F.lit(PAIR), F.lit(NAMED)))
+    # The words before a name say that the user is none of the system's.
+    value = lambda k, v: F.when(k == "invalid_user", F.when(v != "", "true")).otherwise(v)
+    named = clean_attributes(F.transform_values("_rule", value))
+    own = F.coalesce(F.map_filter(named, lambda k, v: k != "time"), attributes_of(src_ip=_first_address(F.col("_said"))))
+    common = attributes_of(host=F.col("_host"), program=F.col("_program"), pid=F.col("_pid"))
+    desc = F.coalesce(F.col("_rule")["time"], F.lit("Log Entry"))
+    out = event_rows(rows, F.col("_ok"), F.col("_ts"), F.col("_text"), F.concat(F.lit("syslog:"), F.col("_program")), F.map_concat(common, own), desc)
+    return out.drop("_rule", "_said", *SYSLOG_COLUMNS)
+
+
+def _first_address(text: Column) -> Column:
+    """The first IPv4 address of a text, or ''."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3})(?![\d.]*\d)"), F.lit(1))
+    return F.coalesce(F.get(F.filter(found, lambda a: a.rlike(IPV4)), 0), F.lit(""))
 
 
 #: Positions of a firewall line's fields after the header, by IP version and protocol.
@@ -213,7 +264,7 @@ def filterlog(lines: DataFrame, year: int | None = None) -> DataFrame:
     ok = F.col("_ok") & (F.col("_program") == "filterlog") & (v4 | v6) & (F.size("_p") >= n + 8)
     port = lambda ip, p: F.concat_ws(":", names[ip], names[p])
     message = F.concat_ws(" ", names["action"], names["direction"], F.lit("on"), names["interface"], protocol, port("src_ip", "src_port"), F.lit("->"), port("dst_ip", "dst_port"))
-    out = _event(rows, ok, F.col("_ts"), message, F.concat(F.lit("firewall:filterlog:"), names["action"]), attributes_of(**names))
+    out = event_rows(rows, ok, F.col("_ts"), message, F.concat(F.lit("firewall:filterlog:"), names["action"]), attributes_of(**names))
     return out.drop("_p", *SYSLOG_COLUMNS)
 
 
@@ -249,7 +300,7 @@ def suricata(lines: DataFrame) -> DataFrame:
     pick = lambda eve, other, none: F.when(is_eve, eve).when(is_fast, other).otherwise(none)
     ts = pick(eve_time, F.try_to_timestamp(g(1), F.lit("MM/dd/yyyy-HH:mm:ss.SSSSSS")), F.lit(None).cast("timestamp"))
     artifact = pick(F.concat(F.lit("suricata:"), kind), F.lit("suricata:alert"), F.lit(""))
-    out = _event(rows, is_eve | is_fast, ts, pick(text, F.concat(F.lit("alert: "), g(5)), F.col("raw")), artifact, pick(own, fast, F.create_map().cast("map<string,string>")))
+    out = event_rows(rows, is_eve | is_fast, ts, pick(text, F.concat(F.lit("alert: "), g(5)), F.col("raw")), artifact, pick(own, fast, F.create_map().cast("map<string,string>")))
     return out.drop("_body", "_m", "_f")
 
 
@@ -260,7 +311,7 @@ def cloudtrail_lines(files: DataFrame) -> DataFrame:
     m = lambda k: F.col("_m")[k]
     who = F.coalesce(m("userIdentity.userName"), m("userIdentity.arn"), m("userIdentity.invokedBy"), m("userIdentity.type"), F.lit("?"))
     address = F.when(m("sourceIPAddress").rlike(IPV4) | m("sourceIPAddress").contains(":"), m("sourceIPAddress"))
-    out = _event(rows, m("eventName").isNotNull(), m("eventTime").try_cast("timestamp"), F.concat_ws(" ", who, m("eventName"), F.lit("on"), m("eventSource")), "cloudtrail", F.map_concat(F.map_filter("_m", lambda k, v: k != "eventTime"), attributes_of(src_ip=address, user=who)), "Event Time")
+    out = event_rows(rows, m("eventName").isNotNull(), m("eventTime").try_cast("timestamp"), F.concat_ws(" ", who, m("eventName"), F.lit("on"), m("eventSource")), "cloudtrail", F.map_concat(F.map_filter("_m", lambda k, v: k != "eventTime"), attributes_of(src_ip=address, user=who)), "Event Time")
     return out.drop("_m")
 
 
@@ -276,7 +327,7 @@ def cowrie(lines: DataFrame) -> DataFrame:
     m = lambda k: F.col("_m")[k]
     text = F.coalesce(m("message"), F.when(m("eventid") == "cowrie.command.input", F.concat_ws(" ", F.lit("command:"), m("input"))), F.when(m("eventid").startswith("cowrie.login"), F.concat_ws(" ", F.lit("login"), m("username"), m("password"))), m("eventid"))
     ok = m("eventid").isNotNull() & m("timestamp").isNotNull()
-    return _event(rows, ok, F.date_trunc("millisecond", m("timestamp").try_cast("timestamp")), text, m("eventid"), F.map_filter("_m", lambda k, v: ~k.isin("timestamp", "message"))).drop("_m")
+    return event_rows(rows, ok, F.date_trunc("millisecond", m("timestamp").try_cast("timestamp")), text, m("eventid"), F.map_filter("_m", lambda k, v: ~k.isin("timestamp", "message"))).drop("_m")
 
 
 PRIORITIES = ("emergency", "alert", "critical", "error", "warning", "notice", "info", "debug")
@@ -293,7 +344,7 @@ def journal(lines: DataFrame) -> DataFrame:
     ts = F.date_trunc("millisecond", F.timestamp_micros(m("__REALTIME_TIMESTAMP").try_cast("long")))
     ok = m("__REALTIME_TIMESTAMP").isNotNull()
     attributes = F.map_concat(F.map_filter(clean_attributes(joined), lambda k, v: ~k.isin("MESSAGE", "__REALTIME_TIMESTAMP", "PRIORITY")), attributes_of(priority=priority, src_ip=ip))
-    return _event(rows, ok, ts, text, F.concat(F.lit("journal:"), F.coalesce(m("SYSLOG_IDENTIFIER"), F.lit("?"))), attributes).drop("_m")
+    return event_rows(rows, ok, ts, text, F.concat(F.lit("journal:"), F.coalesce(m("SYSLOG_IDENTIFIER"), F.lit("?"))), attributes).drop("_m")
 
 
 def web_honeypot(lines: DataFrame) -> DataFrame:
@@ -312,37 +363,7 @@ def web_honeypot(lines: DataFrame) -> DataFrame:
     body = m("body")
     attributes = attributes_of(src_ip=client, method=m("method"), uri=url, path=F.try_parse_url(full, F.lit("PATH")), query=query, user_agent=head("user-agent"), host=head("host"), referer=head("referer"), ssrf_target=target, rpc_method=F.get_json_object(body, "$.method"), rpc_id=F.get_json_object(body, "$.id"), body=body)
     ok = m("timestamp").isNotNull() & m("method").isNotNull()
-    return _event(rows, ok, F.date_trunc("millisecond", m("timestamp").try_cast("timestamp")), F.concat_ws(" ", m("method"), url), "webhoneypot", attributes, "Request Time").drop("_m", "_h")
-
-
-def zeek(lines: DataFrame) -> DataFrame:
-    """Tab-separated logs (source_file, byte_offset, raw) whose headers may change inside a file.
-
-    Each row uses the last #fields and #path before it. A file is cut into stretches of bytes; what headers say at
-    the end of each is carried on to the next.
-    """
-    head = lambda name: F.when(F.col("raw").startswith(f"#{name}"), F.expr(f"substring(raw, {len(name) + 3})"))
-    heads = {"_fields": head("fields"), "_path": head("path"), "_empty": head("empty_field"), "_unset": head("unset_field")}
-    rows = lines.withColumn("_part", F.floor(F.col("byte_offset") / (8 << 20)))
-    rows = carried_last(rows, ["source_file"], "_part", ["byte_offset"], heads).where(~F.col("raw").startswith("#")).drop("_part")
-    names, parts = F.split("_fields", "\t"), F.split("raw", "\t")
-    ok = F.col("_fields").isNotNull() & (F.size(names) == F.size(parts))
-    clean = F.transform(parts, lambda v: F.when(v.isin("-", "(empty)") | (v == F.col("_empty")) | (v == F.col("_unset")), "").otherwise(v))
-    rows = rows.withColumn("_m", F.when(ok, F.map_from_arrays(names, clean)))
-    m = lambda k: F.coalesce(F.col("_m")[k], F.lit(""))
-    ts = F.timestamp_millis(F.floor(m("ts").try_cast("decimal(20,6)") * 1000).cast("long"))
-    flow = F.concat(m("id.orig_h"), F.lit(":"), m("id.orig_p"), F.lit(" -> "), m("id.resp_h"), F.lit(":"), m("id.resp_p"))
-    said = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
-    texts = {
-        "dns": F.concat_ws(" ", F.lit("dns"), m("qtype_name"), m("query")), "http": F.concat_ws(" ", m("method"), F.concat(m("host"), m("uri")), m("status_code")), "conn": F.concat_ws(" ", m("proto"), flow, m("conn_state")),
-        "ssl": said(F.lit("tls"), flow, m("server_name"), m("version"), m("validation_status")), "ssh": said(F.lit("ssh"), flow, m("auth_success"), m("client")), "files": said(F.lit("file"), F.coalesce(F.nullif(m("filename"), F.lit("")), m("fuid")), m("mime_type"), m("sha256")),
-        "notice": said(F.lit("notice"), m("note"), m("msg")), "weird": said(F.lit("weird"), m("name"), m("addl")), "x509": said(F.lit("certificate"), F.coalesce(F.nullif(m("certificate.subject"), F.lit("")), m("id"))),
-    }
-    text = F.concat_ws(" ", F.col("_path"), flow)
-    for path, own in texts.items():
-        text = F.when(F.col("_path") == path, own).otherwise(text)
-    out = _event(rows, ok, ts, text, F.concat(F.lit("zeek:"), F.coalesce("_path", F.lit("?"))), F.map_concat(F.map_filter(clean_attributes(F.coalesce("_m", F.create_map().cast("map<string,string>"))), lambda k, v: ~k.isin("ts", "src_ip", "dst_ip")), attributes_of(src_ip=m("id.orig_h"), dst_ip=m("id.resp_h"))))
-    return out.drop("_fields", "_path", "_empty", "_unset", "_m")
+    return event_rows(rows, ok, F.date_trunc("millisecond", m("timestamp").try_cast("timestamp")), F.concat_ws(" ", m("method"), url), "webhoneypot", attributes, "Request Time").drop("_m", "_h")
 
 
 #: What well-known event ids mean.
@@ -355,7 +376,7 @@ def _windows(rows: DataFrame, event: Column, time: Column, host: Column, channel
     who = F.coalesce(data["TargetUserName"], data["SubjectUserName"])
     text = F.concat_ws(" ", what, F.when(who.isNotNull(), F.concat(F.lit("user="), who)), F.when(data["NewProcessName"].isNotNull(), F.concat(F.lit("process="), data["NewProcessName"])))
     attributes = F.map_concat(F.map_filter(clean_attributes(data), lambda k, v: ~k.isin("event_id", "host", "channel")), attributes_of(event_id=event, host=host, channel=channel))
-    return _event(rows, event.isNotNull(), F.date_trunc("millisecond", time.try_cast("timestamp")), text, F.concat(F.lit("windows:"), event), attributes, "Event Time")
+    return event_rows(rows, event.isNotNull(), F.date_trunc("millisecond", time.try_cast("timestamp")), text, F.concat(F.lit("windows:"), event), attributes, "Event Time")
 
 
 def windows_json(lines: DataFrame) -> DataFrame:

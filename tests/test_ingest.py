@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions import storage
 from eventlens.operators import rules
-from eventlens.sources import logs, text, timelines
+from eventlens.sources import logs, text, timelines, zeek
 
 
 def rows(spark, *lines):
@@ -151,5 +151,5 @@ def test_forms_of_network_logs(spark):
     flow = "ts\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p"
     lines = ["#path\tssl", f"#fields\t{flow}\tserver_name\tversion", "1\t10.0.0.1\t5\t10.0.0.2\t443\th.example\tTLSv13", "#path\tnotice", "#fields\tts\tnote\tmsg", "2\tScan\tmany ports", "#path\tweird", "#fields\tts\tname\taddl", "3\todd\t-", "4\tshort"]
     df = spark.createDataFrame([("f", i * (9 << 20), x) for i, x in enumerate(lines)], "source_file string, byte_offset long, raw string")
-    got = logs.zeek(df).orderBy("byte_offset").collect()
+    got = zeek.zeek(df).orderBy("byte_offset").collect()
     assert [(r.message, r.ok) for r in got][:3] == [("tls 10.0.0.1:5 -> 10.0.0.2:443 h.example TLSv13", True), ("notice Scan many ports", True), ("weird odd", True)] and not got[3].ok
