@@ -54,7 +54,7 @@ PROMOTED = ("ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p")
 
 def _header(name: str) -> Column:
     """What a header line of that name says; null for other lines. Its name ends at one separator or space."""
-    return F.when(F.col("raw").rlike(rf"^#{name}\W"), F.expr(f"substring(raw, {len(name) + 3})"))
+    return F.when(F.col("raw").startswith(f"#{name}") & F.col("raw").rlike(rf"^#{name}\W"), F.expr(f"substring(raw, {len(name) + 3})"))
 
 
 def _separator() -> Column:
@@ -64,42 +64,56 @@ def _separator() -> Column:
     return F.when(code != "", F.chr(F.conv(code, 16, 10).cast("int"))).otherwise(said)
 
 
-def _said(*parts: Column | str) -> Column:
-    """The parts that are not blank, joined by spaces."""
-    return F.array_join(F.filter(F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts]), lambda x: x != ""), " ")
-
-
-def _named(name: str, value: Column) -> Column:
-    return F.when(value != "", F.concat(F.lit(f"{name} "), value)).otherwise("")
-
-
-def _messages(m: Callable[[str], Column], flow: Column) -> dict[str, Column]:
-    """A text for a line of each kind of log."""
-    first = lambda *names: F.coalesce(*[F.nullif(m(n), F.lit("")) for n in names], F.lit(""))
-    sizes = F.when((m("orig_bytes") != "") | (m("resp_bytes") != ""), F.concat(_or0(m("orig_bytes")), F.lit("/"), _or0(m("resp_bytes")), F.lit(" bytes"))).otherwise("")
-    return {
-        "conn": _said(m("proto"), flow, m("conn_state"), m("service"), sizes),
-        "dns": _said("dns", m("qtype_name"), m("query"), _named("->", m("answers"))),
-        "http": _said(m("method"), F.concat(m("host"), m("uri")), m("status_code")),
-        "ssl": _said("tls", flow, m("server_name"), m("version"), m("validation_status")),
-        "ssh": _said("ssh", flow, m("auth_success"), m("client")),
-        "ftp": _said("ftp", m("command"), m("arg"), flow),
-        "smtp": _said("mail", _named("from", m("mailfrom")), _named("to", m("rcptto")), _named("subject", m("subject"))),
-        "files": _said("file", first("filename", "fuid"), m("mime_type"), _named("bytes", m("seen_bytes")), m("sha256")),
-        "notice": _said("notice", m("note"), m("msg")),
-        "weird": _said("weird", m("name"), m("addl")),
-        "x509": _said("certificate", first("certificate.subject", "id")),
-        "software": _said("software", m("name"), first("version.addl", "version.major"), _named("on", m("host"))),
-        "dhcp": _said("dhcp", m("mac"), _named("got", m("assigned_addr"))),
-        "kerberos": _said("kerberos", m("request_type"), m("client"), _named("for", m("service")), m("error_msg")),
-        "ntlm": _said("ntlm", m("domainname"), m("username"), _named("from", m("hostname")), _named("success", m("success"))),
-        "rdp": _said("rdp", flow, m("cookie"), m("result")),
-        "smb_files": _said("smb", m("action"), F.concat(m("path"), m("name"))),
-        "smb_mapping": _said("smb share", m("path"), m("share_type")),
-        "dce_rpc": _said("rpc", m("endpoint"), m("operation")),
-        "sip": _said("sip", m("method"), m("uri"), m("status_code")),
-        "pe": _said("binary", m("id"), m("machine"), m("os")),
-    }
+#: What is said of a line of each kind: parts joined by spaces, a word in front of a mark or a field that may have words before it; fields without a value are left out.
+#: Made from several fields: flow, sizes, url, and the first of some names.
+TEXTS = {
+    "conn": "proto, flow, conn_state, service, sizes",
+    "dns": "dns!, qtype_name, query, -> answers",
+    "http": "method, url, status_code",
+    "ssl": "tls!, flow, server_name, version, validation_status",
+    "ssh": "ssh!, flow, auth_success, client",
+    "ftp": "ftp!, command, arg, flow",
+    "smtp": "mail!, from mailfrom, to rcptto, subject subject",
+    "files": "file!, filename/fuid, mime_type, bytes seen_bytes, sha256",
+    "notice": "notice!, note, msg",
+    "weird": "weird!, name, addl",
+    "x509": "certificate!, certificate.subject/id",
+    "software": "software!, name, version.addl/version.major, on host",
+    "dhcp": "dhcp!, mac, got assigned_addr",
+    "kerberos": "kerberos!, request_type, client, for service, error_msg",
+    "ntlm": "ntlm!, domainname, username, from hostname, success success",
+    "rdp": "rdp!, flow, cookie, result",
+    "smb_files": "smb!, action, path, name",
+    "smb_mapping": "smb share!, path, share_type",
+    "dce_rpc": "rpc!, endpoint, operation",
+    "sip": "sip!, method, uri, status_code",
+    "pe": "binary!, id, machine, os",
+}
+OTHER = "flow"
+
+
+def _values(m: Callable[[str], Column], flow: Column) -> Column:
+    """The line's fields, and those that are made from several."""
+    alternatives = sorted({p.split(" ")[-1] for t in TEXTS.values() for p in t.split(", ") if "/" in p})
+    first = lambda names: F.coalesce(*[F.nullif(m(n), F.lit("")) for n in names.split("/")], F.lit(""))
+    some = F.concat(m("orig_bytes"), m("resp_bytes")) != ""
+    sizes = F.when(some, F.concat(_or0(m("orig_bytes")), F.lit("/"), _or0(m("resp_bytes")), F.lit(" bytes"))).otherwise("")
+    made = {"flow": flow, "sizes": sizes, "url": F.concat(m("host"), m("uri")), **{n: first(n) for n in alternatives}}
+    return F.map_concat("_m", F.create_map(*[x for n, v in made.items() for x in (F.lit(n), v)]))
+
+
+def _text(kind: Column, values: Column) -> Column:
+    """The text of a line, from the parts that its kind names; one small expression, whatever the number of kinds."""
+    texts = F.create_map(*[F.lit(x) for pair in TEXTS.items() for x in pair])
+    parts = F.split(F.coalesce(texts[kind], F.concat(kind, F.lit(f"!, {OTHER}"))), ", ")
+
+    def said(part: Column) -> Column:
+        name = F.substring_index(part, " ", -1)
+        value = F.coalesce(values[name], F.lit(""))
+        before = F.left(part, F.length(part) - F.length(name))
+        return F.when(part.endswith("!"), F.left(part, F.length(part) - 1)).when(value != "", F.concat(before, value)).otherwise("")
+
+    return F.array_join(F.filter(F.transform(parts, said), lambda x: x != ""), " ")
 
 
 def _or0(c: Column) -> Column:
@@ -124,8 +138,10 @@ def zeek(lines: DataFrame) -> DataFrame:
     }
     rows = lines.where(F.length("raw") > 0).withColumn("_part", F.floor(F.col("byte_offset") / STRETCH))
     rows = carried_last(rows, ["source_file"], "_part", ["byte_offset"], heads).where(~F.col("raw").startswith("#")).drop("_part")
-    cut = F.concat(F.lit("\\Q"), F.coalesce("_sep", F.lit("\t")), F.lit("\\E"))
-    names, parts = F.split("_fields", cut), F.split("raw", cut)
+    tabs, other = F.coalesce(F.col("_sep") == "\t", F.lit(True)), F.concat(F.lit("\\Q"), F.col("_sep"), F.lit("\\E"))
+    cut = lambda c: F.when(tabs, F.split(c, "\t")).otherwise(F.split(c, other))  # noqa: E731  (a fixed separator is no pattern to compile)
+    rows = rows.withColumns({"_names": cut("_fields"), "_parts": cut("raw")})
+    names, parts = F.col("_names"), F.col("_parts")
     fits = F.col("_fields").isNotNull() & (F.size(names) == F.size(parts))
     unset = lambda v: v.isin("-", "(empty)") | F.coalesce(v == F.col("_empty"), F.lit(False)) | F.coalesce(v == F.col("_unset"), F.lit(False))
     clean = F.transform(parts, lambda v: F.when(unset(v), "").otherwise(v))
@@ -143,9 +159,8 @@ def zeek(lines: DataFrame) -> DataFrame:
 
     flow = F.concat(m("id.orig_h"), F.lit(":"), m("id.orig_p"), F.lit(" -> "), m("id.resp_h"), F.lit(":"), m("id.resp_p"))
     flow = F.when(m("id.orig_h") != "", flow).otherwise("")
-    text = _said(kind, flow)
-    for path, own in _messages(m, flow).items():
-        text = F.when(kind == path, own).otherwise(text)
+    rows = rows.withColumn("_v", _values(m, flow))  # a column of its own: made once a row, not once a part
+    text = _text(kind, F.col("_v"))
 
     is_http = kind == "http"
     own = F.map_filter(clean_attributes(F.coalesce("_m", F.create_map().cast("map<string,string>"))), lambda k, v: ~k.isin(*PROMOTED, "src_ip", "dst_ip", "src_port", "dst_port", "url", "event", "zeek_log") & ~(is_http & (k == "uri")))
@@ -159,4 +174,4 @@ def zeek(lines: DataFrame) -> DataFrame:
         zeek_log=kind,
     )
     out = event_rows(rows, ok, ts, text, F.concat(F.lit("zeek:"), kind), F.map_concat(own, common), desc)
-    return out.drop(*heads, "_m")
+    return out.drop(*heads, "_names", "_parts", "_m", "_v")
