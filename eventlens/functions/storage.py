@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -32,9 +34,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The folder of the innermost open scope of temporary tables.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[str]:
+    """A scope whose intermediate tables are deleted at its end, errors included: results are read from them lazily, so write the results inside.
+
+    Tables made outside any scope stay until the shared folder is cleared. Scopes may be nested; each deletes its own tables.
+    """
+    folder = new_folder(spark, "scope")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: computed once, whatever executors are lost."""
-    path = new_folder(df.sparkSession, name)
+    """df written to the shared folder and read back: computed once, whatever executors are lost. See temporary_tables for its end."""
+    scope = _scope.get()
+    path = f"{scope}/{name}-{uuid.uuid4().hex}" if scope else new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
