@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import small
 
-MOST_ANNOTATED = 100_000
 
-
-def bulk_annotate(df: DataFrame, annotations: DataFrame, kind: str, value: str, most: int = MOST_ANNOTATED) -> DataFrame:
-    """annotations (event_id, kind, value) with one more for each event of a filtered view; refuses more than `most`."""
+def bulk_annotate(df: DataFrame, annotations: DataFrame, kind: str, value: str, most: int | None = None) -> DataFrame:
+    """annotations (event_id, kind, value) with one more for each event of a filtered view, however many; with most, a larger view is refused as a whole."""
     ids = df.select("event_id").distinct()
-    if ids.limit(most + 1).count() > most:
+    if most is not None and ids.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} events")
     return annotations.unionByName(ids.select("event_id", F.lit(kind).alias("kind"), F.lit(value).alias("value")))
 
