@@ -69,8 +69,9 @@ def q_values(df: DataFrame, p: str, q: str, pool: Sequence[str] = ()) -> DataFra
     rows = _ranged(cumulative(counts, pool, p, ["_n"]), pool, p)
     rows = materialize(rows.select(*pool, p, "_block", (F.col(p) * F.col("total__n") / (F.col("before__n") + F.col("_n"))).alias("_own")), "fdr-ranks")
     blocks = rows.groupBy(*pool, "_block").agg(F.min("_own").alias("_low"))
-    after = Window.partitionBy(*pool or [F.lit(0)]).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*pool or [F.lit(0)]).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*pool, "_block", F.min("_low").over(after).alias("_later"))  # RANGES rows a pool
-    inside = F.min("_own").over(Window.partitionBy(*pool, "_block").orderBy(p).rowsBetween(0, Window.unboundedFollowing))
+    # From the largest p down: a frame that ends at the block's end would be gone through anew for each row.
+    inside = F.min("_own").over(Window.partitionBy(*pool, "_block").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
     done = rows.withColumn("_low", inside).join(small(blocks), [*pool, "_block"]).select(*pool, p, F.least(F.lit(1.0), "_low", "_later").alias(q))
     return df.join(small(done), [*pool, p], "left")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from eventlens.functions import ranks
 from eventlens.operators import verdicts
 
 
@@ -10,3 +11,17 @@ def test_bulk_annotations_of_many_events(spark):
     ev = spark.range(100_001).select(F.col("id").cast("string").alias("event_id"))
     none = spark.createDataFrame([], "event_id string, kind string, value string")
     assert verdicts.bulk_annotate(ev, none, "tag", "bulk").count() == 100_001
+
+
+def test_ranks_go_through_each_block_once(spark, monkeypatch):
+    """A frame to the end of its partition is gone through anew for each row."""
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 10)
+    tests = spark.range(200).select(F.col("id").alias("i"), ((F.col("id") * 37 % 101 + 1) / 102).alias("p"))
+    out = ranks.q_values(tests, "p", "q")
+    rows = sorted(((r.p, r.q) for r in out.collect()), reverse=True)
+    low, n = 1.0, 200
+    for at, (p, q) in enumerate(rows):
+        own = min(p * n / sum(x <= p for x, _ in rows), low)
+        low = min(low, own)
+        assert abs(q - low) < 1e-12, at
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
