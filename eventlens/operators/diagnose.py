@@ -157,7 +157,7 @@ def charset(df: DataFrame, fields: Sequence[str], windows: AnalysisWindows | Non
         return Outcome("charset", "no_data", 0, 0, None, _table(df.sparkSession, []))
     seen_df, seen = _seen(df, fields, windows, _text)
     basis = detect.charset_basis(seen_df, fields, windows, group)
-    findings = materialize(detect.charset_findings(basis, windows, group), "findings")
+    findings = materialize(detect.charset_findings(df, fields, basis, windows, group), "findings")
     n, states = seen(), detect.charset_states(basis, group)
     kind = F.when(F.col("state") == "wide", "wide_group").when(F.col("measured") == "none", "unmeasured_group").when(F.col("state") == "thin", "thin_group").when(F.col("state") == "absent", "absent_group")
     size = F.when(F.col("state") == "wide", F.col("size")).otherwise(F.coalesce("n_vals", F.lit(0)))
