@@ -94,26 +94,32 @@ def _records(lines: DataFrame, used: Sequence[str], longest: int) -> DataFrame:
     offsets; a file is no one task's. An opening quote that no line closes within `longest` bytes is plain text.
     """
     from_out, from_in = _quotes(F.col("raw"), F.col("sep"), used)
-    # Written once: what follows reads its few narrow columns again and again.
-    lines = materialize(lines.withColumns({"_block": F.floor(F.col("byte_offset") / (8 << 20)), "_open": from_out, "_stay": from_in}), "csv-lines")
+    file, at = ["source_file"], ["byte_offset"]
+    # Each step reads the marks before it twice, so they are written after each, without the lines' text.
+    marks = lines.select(*file, *at, F.floor(F.col("byte_offset") / (8 << 20)).alias("_block"), from_out.alias("_open"), from_in.alias("_stay"))
+    marks = materialize(marks, "csv-marks")
     # Looking back from the file's end: the next line at which an open quote would be closed.
-    lines = carried_last(lines, ["source_file"], "_block", ["byte_offset"], {"_closed": F.when(~F.col("_stay"), F.col("byte_offset"))}, before=True, backwards=True)
-    lines = lines.withColumn("_open", F.col("_open") & F.coalesce(F.col("_closed") - F.col("byte_offset") <= longest, F.lit(False)))
+    marks = carried_last(marks, file, "_block", at, {"_closed": F.when(~F.col("_stay"), F.col("byte_offset"))}, before=True, backwards=True)
+    marks = marks.withColumn("_open", F.col("_open") & F.coalesce(F.col("_closed") - F.col("byte_offset") <= longest, F.lit(False)))
+    marks = materialize(marks.drop("_closed"), "csv-quotes")
     turn = F.col("_open") & ~F.col("_stay")
     fixed = F.when(F.col("_open") == F.col("_stay"), F.col("_open").cast("int"))
-    lines = running_sums(lines.drop("_closed"), ["source_file"], "_block", ["byte_offset"], {"_turns": turn.cast("long")})
-    lines = carried_last(lines, ["source_file"], "_block", ["byte_offset"], {"_set": F.when(fixed.isNotNull(), F.struct(fixed.alias("to"), F.col("_turns").alias("turns")))}, before=True)
+    marks = materialize(running_sums(marks, file, "_block", at, {"_turns": turn.cast("long")}), "csv-turns")
+    marks = carried_last(marks, file, "_block", at, {"_set": F.when(fixed.isNotNull(), F.struct(fixed.alias("to"), F.col("_turns").alias("turns")))}, before=True)
     state = F.coalesce((F.col("_set.to") + F.col("_turns") - F.col("_set.turns")) % 2, F.col("_turns") % 2)
     begins = state == 0
     ends = ~F.when(begins, F.col("_open")).otherwise(F.col("_stay"))
+    # Lines that are no whole record, and where each one's record begins.
+    parts = materialize(marks.select(*file, *at, "_block", begins.alias("_begins"), ends.alias("_ends")).where("NOT (_begins AND _ends)"), "csv-open")
     keep = ["source_file", "sep", "byte_offset", "line_number", "raw"]
-    lines = lines.withColumns({"_begins": begins, "_ends": ends})
-    parts = running_sums(lines.where("NOT (_begins AND _ends)"), ["source_file"], "_block", ["byte_offset"], {"_earlier": F.col("_begins").cast("long")})
-    parts = parts.withColumn("_record", F.col("_earlier") + F.col("_begins").cast("long"))
-    whole = parts.groupBy("source_file", "sep", "_record").agg(F.array_sort(F.collect_list(F.struct("byte_offset", "line_number", "raw"))).alias("p"))
+    if parts.isEmpty():
+        return lines.select(*keep)
+    parts = carried_last(parts, file, "_block", at, {"_record": F.when(F.col("_begins"), F.col("byte_offset"))})
+    lines = lines.join(small(materialize(parts.select(*file, *at, "_record"), "csv-parts")), [*file, *at], "left")
+    whole = lines.where("_record IS NOT NULL").groupBy("source_file", "sep", "_record").agg(F.array_sort(F.collect_list(F.struct("byte_offset", "line_number", "raw"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["raw"]), "\n")
     whole = whole.select("source_file", "sep", F.col("p")[0]["byte_offset"].alias("byte_offset"), F.col("p")[0]["line_number"].alias("line_number"), joined.alias("raw"))
-    return lines.where("_begins AND _ends").select(*keep).unionByName(whole.select(*keep))
+    return materialize(lines.where("_record IS NULL").select(*keep).unionByName(whole.select(*keep)), "csv-records")
 
 
 def read_csv(spark: SparkSession, path: str, longest: int = LONGEST_FIELD) -> DataFrame:
@@ -124,7 +130,7 @@ def read_csv(spark: SparkSession, path: str, longest: int = LONGEST_FIELD) -> Da
     an unquoted field is plain text, and so is an opening quote that nothing closes within `longest` bytes: it costs its own line, not the
     rest of the file.
     """
-    lines = read_with_offsets(spark, path)
+    lines = materialize(read_with_offsets(spark, path), "csv-lines")  # the text is cut into lines once
     headers = materialize(_headers(lines), "csv-headers")
     width, used = headers.agg(F.max("width"), F.array_sort(F.collect_set("sep"))).first()  # one number, and four delimiters at most
     if width is None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventlens import catalog
 from eventlens.functions import ranks
 from eventlens.operators import detect, explore, verdicts
+from eventlens.sources import timelines
 
 from .compare import TABLES, connect, same
 
@@ -67,3 +68,11 @@ def test_long_values_are_not_shuffled(spark):
     assert "val" not in basis.columns and max(len(r.chars) for r in basis.collect()) < 10
     (found,) = detect.charset_novelty(rows, ["k"]).collect()
     assert found.chars == "~" and found.event_id == "7" and len(found.val) == 60_022 and found.val.endswith(" ~") and found.n == 1
+
+
+def test_csv_text_is_read_a_few_times(spark, tmp_path):
+    """The steps of quote states are written, so a step does not double the reads of the step before."""
+    (tmp_path / "a.csv").write_text("id,message\n" + "".join(f'{i},"line {i}\nmore ""{i}"""\n' for i in range(50)))
+    out = timelines.read_csv(spark, str(tmp_path / "a.csv"))
+    assert sorted((int(r.attributes["id"]), r.message) for r in out.collect()) == [(i, f'line {i}\nmore "{i}"') for i in range(50)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
